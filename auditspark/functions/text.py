@@ -15,7 +15,7 @@ SNIPPET_CHARS = 260
 def java(pattern: str, ignore_case: bool = False) -> str:
     r"""A Python pattern as a Java one: ``\s``, ``\w`` and ``\b`` follow Unicode as in Python."""
     edge = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
-    out = pattern.replace(r"\s", SPACE).replace(r"\w", WORD).replace(r"\b", edge)
+    out = pattern.replace(r"\s", SPACE).replace(r"\w", WORD).replace(r"\d", r"\p{Nd}").replace(r"\b", edge)
     return ("(?iu)" if ignore_case else "") + out
 
 

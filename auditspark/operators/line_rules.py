@@ -43,5 +43,5 @@ def line_findings(line_table: DataFrame, extra_rules=()) -> DataFrame:
         F.lit(schema.FILE_PHASE).alias("phase"),
         F.lit(schema.LINE_STAGE).alias("stage"),
         F.col("rule_seq").cast("bigint").alias("seq1"),
-        F.lit(0).cast("bigint").alias("seq2"),
+        F.col("line").cast("bigint").alias("seq2"),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from auditspark import dims
 from auditspark.functions import text
+from auditspark.session import broadcast_if_small
 
 # Repository address format and clone failure signs, first match wins.
 REPOSITORY_PATTERN = r"^(https://github\.com/|git@github\.com:)([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(\.git)?/?$"
@@ -50,26 +51,25 @@ def select_source_files(
 ) -> DataFrame:
     """Files a scan looks at: known suffix, no excluded path part, the first ``max_files`` by path.
 
-    The cap works on paths alone: each task keeps at most ``max_files`` paths of a scan before the
-    shuffle, and the text of the files takes no part in it.
+    The cap works on paths alone. Each task keeps at most ``max_files`` paths of a scan before the
+    shuffle, and what comes back is one last path per scan that reaches the cap; the contents are
+    filtered against it and take no part in a shuffle while that table is small.
     """
-    wanted = F.lit(list(include_extensions or dims.DEFAULT_EXTENSIONS))
-    lowered = F.lower("file_path")
-    banned = [token.lower().strip() for token in exclude_paths or [] if token.strip()]
+    wanted = F.array(*[F.lit(ext) for ext in include_extensions or dims.DEFAULT_EXTENSIONS])
     kept = files.where(F.array_contains(text.normalize_extensions(wanted), text.suffix(F.col("file_path"))))
-    for token in banned:
-        kept = kept.where(~lowered.contains(token))
+    for token in exclude_paths or []:
+        if token.strip():
+            kept = kept.where(~F.lower("file_path").contains(token.lower().strip()))
+    cap = max_files or dims.MAX_SCAN_FILES
     order = Window.partitionBy("scan_id").orderBy("file_path")
-    return (
-        kept.withColumn("file_rank", F.row_number().over(order))
-        .where(F.col("file_rank") <= (max_files or dims.MAX_SCAN_FILES))
-        .drop("file_rank")
+    last = (
+        kept.select("scan_id", "file_path")
+        .withColumn("file_rank", F.row_number().over(order))
+        .where(F.col("file_rank") == cap)
+        .select("scan_id", F.col("file_path").alias("last_path"))
     )
-
-
-def select_source_paths(files: DataFrame, **options) -> DataFrame:
-    """`select_source_files` on the keys only, to be joined back to the contents."""
-    return select_source_files(files.select("scan_id", "file_path"), **options)
+    bounded = kept.join(broadcast_if_small(last), "scan_id", "left")
+    return bounded.where(F.col("last_path").isNull() | (F.col("file_path") <= F.col("last_path"))).select(*files.columns)
 
 
 def manifests(files: DataFrame) -> DataFrame:
