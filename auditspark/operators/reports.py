@@ -103,6 +103,10 @@ def json_rows(table: DataFrame, part: str, order: Column) -> DataFrame:
     return table.select("scan_id", F.lit(part).alias("part"), order.cast("bigint").alias("seq"), F.to_json(F.struct("scan_id", *body)).alias("json"))
 
 
-def export_json(rows: DataFrame, path: str) -> None:
-    """One folder per scan with JSON lines; a large scan is many lines and never one document in memory."""
-    rows.select("scan_id", F.col("json").alias("value")).write.partitionBy("scan_id").text(path)
+def export_json(rows: DataFrame, path: str, rows_per_file: int = 200_000) -> None:
+    """One folder per scan with JSON lines.
+
+    A large scan is spread over several files and is never one document in memory.
+    """
+    placed = rows.repartition("scan_id", "part", F.floor(F.col("seq") / rows_per_file))
+    placed.select("scan_id", F.col("json").alias("value")).write.partitionBy("scan_id").text(path)
