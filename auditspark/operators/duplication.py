@@ -42,7 +42,8 @@ def shingles(files: DataFrame) -> DataFrame:
 def _fingerprints(files: DataFrame) -> DataFrame:
     cleaned = files.select("scan_id", "file_path", cleaned_lines(F.col("content")).alias("cleaned"))
     enough = cleaned.where(F.size("cleaned") >= WINDOW_LINES)
-    starts = F.sequence(F.lit(1), F.size("cleaned") - (WINDOW_LINES - 1))
+    # the test is repeated here because filters may be evaluated in any order
+    starts = F.when(F.size("cleaned") >= WINDOW_LINES, F.sequence(F.lit(1), F.size("cleaned") - (WINDOW_LINES - 1)))
     blocks = F.transform(
         starts,
         lambda i: F.struct(F.concat_ws("\n", F.slice("cleaned", i, F.lit(WINDOW_LINES))).alias("block"), i.alias("idx")),

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from auditspark import dims
+from auditspark.functions import text
 
 KEPT_SCANS = 100
 AVERAGED = ["security_score", "reliability_score", "quality_score", "trust_score"]
@@ -17,17 +19,16 @@ HISTORY_SCHEMA = (
 )
 
 
-def read_history_json(spark: SparkSession, path: str) -> DataFrame:
-    """History kept as JSON lists; a file that is no list, or cannot be read as one, gives no rows."""
-    whole = spark.read.text(path, wholetext=True)
-    items = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<struct<{_as_fields(HISTORY_SCHEMA)}>>"))
-    return whole.select(F.explode(items).alias("h")).select("h.*").where(F.col("scan_id").isNotNull())
-
+def parse_history(texts: DataFrame) -> DataFrame:
+    """History rows from JSON lists in ``value``; a text that is no list, or is damaged, gives none."""
+    item = StructType.fromDDL(HISTORY_SCHEMA).simpleString()
+    items = F.when(text.strip(F.col("value")).startswith("["), F.from_json("value", f"array<{item}>"))
+    return texts.select(F.explode(items).alias("h")).select("h.*").where(F.col("scan_id").isNotNull())
 
-def _as_fields(ddl: str) -> str:
-    from pyspark.sql.types import StructType
 
-    return StructType.fromDDL(ddl).simpleString()[len("struct<"):-1]
+def read_history_json(spark: SparkSession, path: str) -> DataFrame:
+    """History kept as files that each hold one JSON list."""
+    return parse_history(spark.read.text(path, wholetext=True))
 
 
 def append_history(scans: DataFrame, path: str) -> None:

@@ -118,7 +118,7 @@ TEMPLATES = [
     ("app/dead_@@.py", "# ", DEAD),
     ("app/broken_@@.py", "# ", BROKEN),
     ("app/complex17_@@.py", "# ", "def steps(value, other):¶" + _branches(16)),
-    ("app/complex26_@@.py", "", "def steps(value, other):¶" + _branches(26)),
+    ("app/complex26_@@.py", "", "def steps(value, other):¶" + _branches(25)),
     ("web/ui_@@.js", "// ", UI),
     ("web/util_@@.ts", "// ", UTIL),
     ("lib/a/one_@@.py", "# ", ONE),
