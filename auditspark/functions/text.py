@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,11 +14,28 @@ LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 SNIPPET_CHARS = 260
 
 
-def java(pattern: str, ignore_case: bool = False) -> str:
-    r"""A Python pattern as a Java one: ``\s``, ``\w`` and ``\b`` follow Unicode as in Python."""
+def java(pattern: str, ignore_case: bool = False, whole_words: bool = False) -> str:
+    r"""A Python pattern as a Java one: ``\s``, ``\w``, ``\d`` and ``\b`` follow Unicode as in Python.
+
+    ``whole_words`` says that every ``\b`` has a word character on its inner side, so one look to
+    the outer side is enough.
+    """
     edge = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
-    out = pattern.replace(r"\s", SPACE).replace(r"\w", WORD).replace(r"\d", r"\p{Nd}").replace(r"\b", edge)
-    return ("(?iu)" if ignore_case else "") + out
+    out = pattern.replace(r"\s", SPACE).replace(r"\w", WORD).replace(r"\d", r"\p{Nd}")
+    if whole_words:
+        out = re.sub(r"\\b(?=[(A-Za-z])", lambda _: f"(?<!{WORD})", out).replace(r"\b", f"(?!{WORD})")
+    return ("(?iu)" if ignore_case else "") + out.replace(r"\b", edge)
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once per row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def py_round(value: Column, places: int) -> Column:
+    """Rounds the exact binary value half to even, as Python does."""
+    shape = "0" if places == 0 else "0." + "0" * places
+    return F.call_function("format_number", value, F.lit(shape)).cast("double")
 
 
 def strip(text: Column) -> Column:
@@ -25,8 +44,8 @@ def strip(text: Column) -> Column:
 
 def split_lines(content: Column) -> Column:
     """Lines of a text; a line break at the very end opens no new line."""
-    parts = F.split(content, LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    body = F.regexp_replace(content, rf"(?:{LINE_BREAK})\z", "")
+    return F.when(content == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK, -1))
 
 
 def snippet(line: Column) -> Column:
@@ -41,8 +60,8 @@ def line_at(lines: Column, number: Column | int) -> Column:
 
 def clean_line(line: Column) -> Column:
     """A line without trailing comment and with single spaces."""
-    bare = F.regexp_replace(F.regexp_replace(line, r"(?s)#.*", ""), r"(?s)//.*", "")
-    return strip(F.regexp_replace(bare, f"{SPACE}+", " "))
+    bare = F.substring_index(F.substring_index(line, "#", 1), "//", 1)
+    return F.trim(F.regexp_replace(bare, f"{SPACE}+", " "))
 
 
 def suffix(path: Column) -> Column:
@@ -95,7 +114,7 @@ def parse_list(value: Column) -> Column:
 
 def duration_seconds(start: Column, end: Column) -> Column:
     micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
-    return F.bround(micros / F.lit(1e6), 2)
+    return py_round(micros / F.lit(1e6), 2)
 
 
 def score_band(value: Column) -> Column:

@@ -33,33 +33,35 @@ def cleaned_lines(content: Column) -> Column:
 
 def shingles(files: DataFrame) -> DataFrame:
     """``(scan_id, file_path, idx, fp)``: fingerprints of six cleaned lines, idx from 1."""
-    marked = _fingerprints(files)
-    return marked.select("scan_id", "file_path", F.explode("marks").alias("m")).select(
-        "scan_id", "file_path", F.col("m.idx").alias("idx"), F.col("m.fp").alias("fp")
-    )
+    one = files.select("scan_id", "file_path", F.explode(fingerprints(F.col("content"))).alias("m"))
+    return one.select("scan_id", "file_path", F.col("m.idx").alias("idx"), F.col("m.fp").alias("fp"))
+
+
+def fingerprints(content: Column) -> Column:
+    """(fp, idx) of every block of a file, worked out inside its row; null for short files."""
+    return text.let(cleaned_lines(content), _block_marks)
 
 
-def _fingerprints(files: DataFrame) -> DataFrame:
-    cleaned = files.select("scan_id", "file_path", cleaned_lines(F.col("content")).alias("cleaned"))
-    enough = cleaned.where(F.size("cleaned") >= WINDOW_LINES)
-    # the test is repeated here because filters may be evaluated in any order
-    starts = F.when(F.size("cleaned") >= WINDOW_LINES, F.sequence(F.lit(1), F.size("cleaned") - (WINDOW_LINES - 1)))
+def _block_marks(cleaned: Column) -> Column:
+    last = F.size(cleaned) - (WINDOW_LINES - 1)
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last))
     blocks = F.transform(
         starts,
-        lambda i: F.struct(F.concat_ws("\n", F.slice("cleaned", i, F.lit(WINDOW_LINES))).alias("block"), i.alias("idx")),
+        lambda i: F.struct(F.concat_ws("\n", F.slice(cleaned, i, F.lit(WINDOW_LINES))).alias("block"), i.alias("idx")),
     )
     long_enough = F.filter(blocks, lambda b: F.length(b["block"]) >= MIN_BLOCK_CHARS)
-    marks = F.transform(long_enough, lambda b: F.struct(F.sha1(b["block"]).alias("fp"), b["idx"].alias("idx")))
-    return enough.select("scan_id", "file_path", marks.alias("marks"))
+    return F.transform(long_enough, lambda b: F.struct(F.sha1(b["block"]).alias("fp"), b["idx"].alias("idx")))
 
 
-def _own_occurrences(marks: Column) -> Column:
+def _own_occurrences(ordered: Column) -> Column:
     """Distinct fingerprints of one file with their first and second place in it.
 
-    After sorting by (fp, idx) a run of equal fingerprints lies together.
+    ``ordered`` is sorted by (fp, idx), so equal fingerprints lie together.
     """
-    ordered = F.array_sort(marks)
-    same = lambda at, fp: F.coalesce(F.get(ordered, at)["fp"] == fp, F.lit(False))
+
+    def same(at: Column, fp: Column) -> Column:
+        return F.coalesce(F.get(ordered, at)["fp"] == fp, F.lit(False))
+
     noted = F.transform(
         ordered,
         lambda m, n: F.struct(
@@ -77,9 +79,8 @@ def duplicate_blocks(files: DataFrame) -> DataFrame:
     Each file first reduces its own repeats, so a row per (fingerprint, file) is left; of those only
     two per fingerprint are needed and each task passes on two at most, however many copies there are.
     """
-    own = _fingerprints(files).select(
-        "scan_id", "file_path", F.explode(_own_occurrences(F.col("marks"))).alias("m")
-    ).select("scan_id", "file_path", F.unhex("m.fp").alias("fp"), "m.first_idx", "m.second_idx")
+    places = text.let(F.array_sort(fingerprints(F.col("content"))), _own_occurrences)
+    own = files.select("scan_id", "file_path", F.explode(places).alias("m")).select("scan_id", "file_path", F.unhex("m.fp").alias("fp"), "m.first_idx", "m.second_idx")
     order = Window.partitionBy("scan_id", "fp").orderBy("file_path")
     two = own.withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2)
     place = F.struct("file_path", "first_idx", "second_idx")
@@ -242,11 +243,11 @@ def similar_functions(blocks: DataFrame, limit: int = MAX_FUNCTION_REPORTS) -> D
 
 
 def pair_confidence(ratio: Column) -> Column:
-    return F.bround(F.least(F.lit(99.0), F.lit(65.0) + ratio * F.lit(35.0)), 1)
+    return text.py_round(F.least(F.lit(99.0), F.lit(65.0) + ratio * F.lit(35.0)), 1)
 
 
 def similarity_findings(pairs: DataFrame) -> DataFrame:
-    percent = F.bround(F.col("ratio") * 100, 1).cast("string")
+    percent = text.py_round(F.col("ratio") * 100, 1).cast("string")
     message = F.concat(F.lit("The function is "), percent, F.lit("% like "), "right_path", F.lit(":"), F.col("right_line").cast("string"), F.lit("."))
     one = schema.finding(
         "DUPLICATE_FUNCTION_SIMILARITY", line=F.col("left_line"), message=message, phase=schema.FUNCTION_PHASE,

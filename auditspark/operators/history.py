@@ -50,7 +50,7 @@ def owner_analytics(history: DataFrame, owners: DataFrame) -> DataFrame:
     """Number, averages and last time of each owner's scans; owners without scans get zeros."""
     grouped = history.groupBy("owner_uid").agg(
         F.count("*").alias("total_scans"),
-        *[F.bround(F.sum(name) / F.count("*"), 2).alias(f"avg_{name}") for name in AVERAGED],
+        *[text.py_round(F.sum(name) / F.count("*"), 2).alias(f"avg_{name}") for name in AVERAGED],
         F.max("updated_at").alias("last_scan_at"),
     )
     zeros = [F.coalesce("total_scans", F.lit(0)).alias("total_scans")]

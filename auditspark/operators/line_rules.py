@@ -16,7 +16,7 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def matches(rule_id: str, line_text: Column) -> Column:
-    return line_text.rlike(text.java(dims.LINE_PATTERNS[rule_id], ignore_case=True))
+    return line_text.rlike(text.java(dims.LINE_PATTERNS[rule_id], ignore_case=True, whole_words=True))
 
 
 def rule_hits(line_table: DataFrame, rule_id: str) -> DataFrame:

@@ -20,7 +20,7 @@ def js_complexity(content: Column) -> Column:
 
 
 def keyword_complexity(content: Column) -> Column:
-    return F.regexp_count(content, F.lit(text.java(OTHER_BRANCHES))) + 1
+    return F.regexp_count(content, F.lit(text.java(OTHER_BRANCHES, whole_words=True))) + 1
 
 
 def text_complexity(lang: Column, content: Column) -> Column:
@@ -38,7 +38,7 @@ def maintainability(lines: Column, complexity: Column, comments: Column) -> Colu
         - F.lit(0.23) * branches - F.lit(16.2) * F.ln(loc)
     )
     value = (raw + F.lit(50.0) * F.sin(F.sqrt(F.lit(2.4) * ratio))) * F.lit(100.0) / F.lit(171.0)
-    return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)), 2)
+    return text.py_round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)), 2)
 
 
 def profile(files: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def profile(files: DataFrame) -> DataFrame:
         F.when(script, structure_rules.null_check_count(content)).otherwise(F.lit(0)).alias("js_null_checks"),
         any_of(dims.AUTH_TOKENS).alias("has_auth"),
         (lowered.contains("cors") & any_of(dims.CORS_WILDCARDS)).alias("open_cors"),
-        lowered.rlike(text.java(dims.DEBUG_PATTERN)).alias("debug_on"),
+        lowered.rlike(text.java(dims.DEBUG_PATTERN, whole_words=True)).alias("debug_on"),
         (lowered.rlike(dims.INPUT_PATTERN) & ~lowered.rlike(dims.VALIDATION_PATTERN)).alias("unchecked_input"),
         any_of(["pytest", "unittest"]).alias("test_framework"),
         any_of(["logging", "logger"]).alias("logging_text"),

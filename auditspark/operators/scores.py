@@ -70,7 +70,7 @@ def file_issue_counts(issues: DataFrame) -> DataFrame:
 
 
 def file_risk(weight_sum: Column) -> Column:
-    return F.bround(F.least(F.lit(100.0), weight_sum * F.lit(2.4)), 2)
+    return text.py_round(F.least(F.lit(100.0), weight_sum * F.lit(2.4)), 2)
 
 
 def file_report(metrics: DataFrame, issues: DataFrame) -> DataFrame:

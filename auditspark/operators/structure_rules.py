@@ -169,7 +169,7 @@ def magic_number_count(block: Column) -> Column:
 
 
 def keyword_complexity(content: Column) -> Column:
-    return F.regexp_count(content, F.lit(text.java(JS_KEYWORDS))) + 1
+    return F.regexp_count(content, F.lit(text.java(JS_KEYWORDS, whole_words=True))) + 1
 
 
 def null_check_count(content: Column) -> Column:
@@ -177,7 +177,7 @@ def null_check_count(content: Column) -> Column:
 
 
 def js_has_logging(content: Column) -> Column:
-    return content.rlike(text.java(JS_LOGGING))
+    return content.rlike(text.java(JS_LOGGING, whole_words=True))
 
 
 def js_measures(functions: DataFrame) -> DataFrame:
@@ -187,8 +187,8 @@ def js_measures(functions: DataFrame) -> DataFrame:
         keyword_complexity(block).alias("complexity"),
         brace_depth(block).alias("max_nesting"),
         magic_number_count(block).alias("magic_numbers"),
-        block.rlike(text.java(JS_RISKY)).alias("risky"),
-        block.rlike(text.java(JS_TRY)).alias("has_try"),
+        block.rlike(text.java(JS_RISKY, whole_words=True)).alias("risky"),
+        block.rlike(text.java(JS_TRY, whole_words=True)).alias("has_try"),
     )
 
 

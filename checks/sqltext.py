@@ -37,6 +37,11 @@ def count(pattern: str, x: str) -> str:
     return f"len(regexp_extract_all({plain(x)}, {lit(pattern)}))"
 
 
+def rounded(x: str, places: int) -> str:
+    """Rounded like Python: the exact binary value, half to even."""
+    return f"CAST(printf('%.{places}f', {x}) AS DOUBLE)"
+
+
 def split(x: str) -> str:
     parts = f"string_split_regex({x}, {lit(LINE_BREAK)})"
     return f"(CASE WHEN {parts}[-1] = '' THEN {parts}[1:len({parts}) - 1] ELSE {parts} END)"
@@ -83,7 +88,7 @@ def maintainability(lines: str, complexity: str, comments: str) -> str:
     cc = f"greatest({complexity}::DOUBLE, 1e0)"
     raw = f"(171e0 - 5.2e0 * ln(greatest({loc} * {cc}, 1e0)) - 0.23e0 * {cc} - 16.2e0 * ln({loc}))"
     value = f"({raw} + 50e0 * sin(sqrt(2.4e0 * least({comments} / {loc}, 1e0)))) * 100e0 / 171e0"
-    return f"round_even(greatest(0e0, least(100e0, {value})), 2)"
+    return rounded(f"greatest(0e0, least(100e0, {value}))", 2)
 
 
 def clamp(x: str) -> str:
@@ -175,7 +180,7 @@ FRAGMENTS = {
     "AS improvement_potential, CAST(greatest(0, 100 - dependency_weight) AS INTEGER) AS dependency_risk_score FROM four_scores",
     "file_report": "SELECT m.scan_id, m.file_path, coalesce(issue_count, 0) AS issue_count, coalesce(critical_count, 0) AS critical_count, "
     "coalesce(high_count, 0) AS high_count, coalesce(medium_count, 0) AS medium_count, coalesce(low_count, 0) AS low_count, "
-    "coalesce(duplication_blocks, 0) AS duplication_blocks, round_even(least(100e0, coalesce(w, 0) * 2.4e0), 2) AS risk_score "
+    "coalesce(duplication_blocks, 0) AS duplication_blocks, " + rounded("least(100e0, coalesce(w, 0) * 2.4e0)", 2) + " AS risk_score "
     "FROM file_facts m LEFT JOIN (SELECT scan_id, file_path, count(*) AS issue_count, "
     + ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}_count" for s in dims.SEVERITIES)
     + ", count(*) FILTER (WHERE contains(rule_id, 'DUPLICATION')) AS duplication_blocks, "
