@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
+OTHER_BREAKS = ["\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
 SNIPPET_CHARS = 260
 
 
@@ -27,6 +30,17 @@ def java(pattern: str, ignore_case: bool = False, whole_words: bool = False) ->
     return ("(?iu)" if ignore_case else "") + out.replace(r"\b", edge)
 
 
+def folded(text: Column) -> Column:
+    """Lower case, with the two letters that match an ASCII one when case is ignored replaced by it."""
+    return F.replace(F.replace(F.lower(text), F.lit("\u017f"), F.lit("s")), F.lit("\u0131"), F.lit("i"))
+
+
+def holds(lowered: Column, groups: list[list[str]]) -> Column:
+    """True if the text holds one of each group."""
+    tests = [reduce(or_, [lowered.contains(sign) for sign in group]) for group in groups]
+    return reduce(and_, tests)
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` worked out once per row, however often ``use`` names it."""
     return F.get(F.transform(F.array(value), use), 0)
@@ -43,9 +57,19 @@ def strip(text: Column) -> Column:
 
 
 def split_lines(content: Column) -> Column:
-    """Lines of a text; a line break at the very end opens no new line."""
-    body = F.regexp_replace(content, rf"(?:{LINE_BREAK})\z", "")
-    return F.when(content == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK, -1))
+    """Lines of a text; a line break at the very end opens no new line.
+
+    Nearly all texts break lines with a line feed alone and are split on that; others are brought to
+    that form first.
+    """
+    unusual = reduce(or_, [content.contains(mark) for mark in OTHER_BREAKS])
+    unified = F.when(unusual, F.regexp_replace(content, LINE_BREAK, "\n")).otherwise(content)
+
+    def split(text: Column) -> Column:
+        body = F.when(text.endswith("\n"), F.left(text, F.length(text) - 1)).otherwise(text)
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
+
+    return let(unified, split)
 
 
 def snippet(line: Column) -> Column:
@@ -80,9 +104,8 @@ def language(path: Column) -> Column:
 
 
 def is_comment(lang: Column, line: Column) -> Column:
-    text = strip(line)
-    slashes = text.startswith("//") | text.startswith("/*") | text.startswith("*")
-    return F.when(lang == "python", text.startswith("#")).otherwise(slashes)
+    hash_mark, slashes = rf"\A{SPACE}*#", rf"\A{SPACE}*(?://|/\*|\*)"
+    return F.when(lang == "python", line.rlike(hash_mark)).otherwise(line.rlike(slashes))
 
 
 def comment_lines(lang: Column, lines: Column) -> Column:

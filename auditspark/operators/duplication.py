@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from auditspark import schema
 from auditspark.functions import text
-from auditspark.session import broadcast_if_small
+from auditspark.session import broadcast_if_small, shuffle_partitions
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -199,9 +199,9 @@ def _useful(blocks: DataFrame, limit: int) -> DataFrame:
     return few.unionByName(blocks.where(F.col("turn") == 2))
 
 
-def _cells(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
+def _cells(blocks: DataFrame, sizes: DataFrame, block_rows: int) -> DataFrame:
     """Each block once per cell it takes part in."""
-    split = F.col("total") > BLOCK_ROWS
+    split = F.col("total") > block_rows
     step = F.when(split, F.col("step")).otherwise(F.lit(0))
     salts = lambda s: F.coalesce(F.element_at("salts", s), F.lit(0))
     own_salt = F.when(split, F.pmod(F.xxhash64("file_path", "name", "line"), salts(step))).otherwise(F.lit(0))
@@ -224,20 +224,21 @@ def _cells(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def similar_functions(blocks: DataFrame, limit: int = MAX_FUNCTION_REPORTS) -> DataFrame:
+def similar_functions(blocks: DataFrame, limit: int = MAX_FUNCTION_REPORTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The first ``limit`` pairs of similar functions of each scan, from ``function_blocks``."""
     stepped = blocks.withColumn("step", F.floor(F.log(F.col("chars")) / F.lit(float(-np.log(LENGTH_STEP)))).cast("int"))
     per_step = stepped.groupBy("scan_id", "step").agg(F.count("*").alias("n"))
-    entry = F.struct("step", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))  # under fifty steps up to the read limit
+    entry = F.struct("step", F.ceil(F.col("n") / block_rows).cast("int"))  # under fifty steps up to the read limit
     sizes = per_step.groupBy("scan_id").agg(
         F.sum("n").alias("total"), F.map_from_entries(F.collect_list(entry)).alias("salts")
     )
-    cells = _cells(_useful(stepped, limit), sizes)
+    cells = _cells(_useful(stepped, limit), sizes, block_rows)
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
         return similar_in_cell(cell, limit)
 
-    pairs = cells.groupBy("scan_id", "cell_a", "cell_b").applyInPandas(compare, PAIR_SCHEMA)
+    place = ["scan_id", "cell_a", "cell_b"]
+    pairs = cells.repartition(shuffle_partitions(blocks.sparkSession), *place).groupBy(*place).applyInPandas(compare, PAIR_SCHEMA)
     order = Window.partitionBy("scan_id").orderBy("left_path", "left_line", "right_path", "right_line")
     return pairs.withColumn("pair_rank", F.row_number().over(order)).where(F.col("pair_rank") <= limit)
 

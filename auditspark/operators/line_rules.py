@@ -15,8 +15,10 @@ def lines(files: DataFrame) -> DataFrame:
     return exploded.select("scan_id", "file_path", (F.col("pos") + 1).alias("line"), "text")
 
 
-def matches(rule_id: str, line_text: Column) -> Column:
-    return line_text.rlike(text.java(dims.LINE_PATTERNS[rule_id], ignore_case=True, whole_words=True))
+def matches(rule_id: str, line_text: Column, lowered: Column | None = None) -> Column:
+    """Whether a line matches a rule; plain text searches come first, since few lines pass them."""
+    lowered = text.folded(line_text) if lowered is None else lowered
+    return text.holds(lowered, dims.LINE_TRIGGERS[rule_id]) & line_text.rlike(text.java(dims.LINE_PATTERNS[rule_id], ignore_case=True, whole_words=True))
 
 
 def rule_hits(line_table: DataFrame, rule_id: str) -> DataFrame:
@@ -31,10 +33,11 @@ def line_findings(line_table: DataFrame, extra_rules=()) -> DataFrame:
     ``extra_rules`` are tuples (rule_id, issue_type, category, severity, confidence, tags, pattern, message).
     All patterns are literals of one projection, so a line is read once and only its hits are spread to rows.
     """
-    tests = [(rule_id, matches(rule_id, F.col("text"))) for rule_id in dims.LINE_PATTERNS]
+    with_lowered = line_table.withColumn("lowered", text.folded(F.col("text")))
+    tests = [(rule_id, matches(rule_id, F.col("text"), F.col("lowered"))) for rule_id in dims.LINE_PATTERNS]
     tests += [(rule[0], F.col("text").rlike(text.java(rule[6], ignore_case=True))) for rule in extra_rules]
     hit_ids = F.array_compact(F.array(*[F.when(test, rule_id) for rule_id, test in tests]))
-    hits = line_table.select(
+    hits = with_lowered.select(
         "scan_id", "file_path", "line", "text", F.explode(hit_ids).alias("rule_id")
     ).withColumn("code_snippet", text.snippet(F.col("text")))
     catalogue = F.broadcast(dims.rules(line_table.sparkSession, extra_rules))

@@ -15,8 +15,15 @@ OTHER_BRANCHES = r"\b(if|for|while|switch|catch)\b"
 HIGH_COMPLEXITY, ELEVATED_COMPLEXITY, LOW_INDEX = 25, 16, 45
 
 
+# JS_BRANCHES with each boundary as one look outwards: before a word none, around a sign one letter.
+JS_BRANCHES_JAVA = (
+    rf"(?<!{text.WORD})(?:if|for|while|catch|case)(?!{text.WORD})"
+    rf"|(?<={text.WORD})(?:\?{text.SPACE}*|&&|\|\|)(?={text.WORD})"
+)
+
+
 def js_complexity(content: Column) -> Column:
-    return F.regexp_count(content, F.lit(text.java(JS_BRANCHES))) + 1
+    return F.regexp_count(content, F.lit(JS_BRANCHES_JAVA)) + 1
 
 
 def keyword_complexity(content: Column) -> Column:
@@ -65,7 +72,7 @@ def profile(files: DataFrame) -> DataFrame:
         F.when(script, structure_rules.null_check_count(content)).otherwise(F.lit(0)).alias("js_null_checks"),
         any_of(dims.AUTH_TOKENS).alias("has_auth"),
         (lowered.contains("cors") & any_of(dims.CORS_WILDCARDS)).alias("open_cors"),
-        lowered.rlike(text.java(dims.DEBUG_PATTERN, whole_words=True)).alias("debug_on"),
+        (lowered.contains("debug") & lowered.rlike(text.java(dims.DEBUG_PATTERN, whole_words=True))).alias("debug_on"),
         (lowered.rlike(dims.INPUT_PATTERN) & ~lowered.rlike(dims.VALIDATION_PATTERN)).alias("unchecked_input"),
         any_of(["pytest", "unittest"]).alias("test_framework"),
         any_of(["logging", "logger"]).alias("logging_text"),

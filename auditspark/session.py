@@ -57,3 +57,22 @@ BROADCAST_ROWS = 200_000
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a narrow table for broadcast after counting it; a larger one is joined by shuffle."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def widen(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread an input of few splits over all cores before heavy work per row.
+
+    An input that already has a split per core, as any large one has, is left as it is. Meant for a
+    table that is read directly; the keys make a repeated task give the same rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Partitions for shuffles in front of Python workers.
+
+    Naming the number keeps adaptive execution from merging partitions by size: such rows are few
+    bytes and much work.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from auditspark.session import shuffle_partitions
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Accepted scan requests per user and window.
@@ -65,7 +67,8 @@ def throttle(requests: DataFrame, max_requests: int = MAX_REQUESTS, window_sec:
     limit, window = _limits(max_requests, window_sec)
     timed = requests.select("user_key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     keys = ["user_key", "segment"]
-    placed = _segments(timed, window).repartition(*keys).sortWithinPartitions(*keys, "t", "event_id")
+    parts = shuffle_partitions(requests.sparkSession)
+    placed = _segments(timed, window).repartition(parts, *keys).sortWithinPartitions(*keys, "t", "event_id")
 
     def run(batches):
         current, accepted = None, deque()

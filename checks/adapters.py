@@ -12,6 +12,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditspark.session import widen
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -306,6 +308,8 @@ def adapt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The logical input ``name`` as a DataFrame."""
     text, prefix = ADAPTERS[name], _view_prefix(sf_dir)
     for used in set(re.findall(r"\$(\w+)", text)):
-        table(spark, sf_dir, used).createOrReplaceTempView(prefix + used)
+        rows = table(spark, sf_dir, used)
+        rows = widen(rows, "doc_id") if used == "documents" else rows
+        rows.createOrReplaceTempView(prefix + used)
         text = re.sub(rf"\${used}\b", prefix + used, text)
     return spark.sql(text)
