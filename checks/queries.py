@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pandas as pd
@@ -16,9 +17,9 @@ from auditspark.operators import (
     structure_rules as rules,
 )
 from auditspark.plans import scan as plan
-from auditspark.session import stored
+from auditspark.session import shared_folder, stored
 from auditspark.sources import files as sources
-from auditspark.streaming import status, throttle
+from auditspark.streaming import incremental, status, throttle
 from checks import sqltext as S
 from checks.adapters import TEMPLATES, adapt, table
 
@@ -1154,6 +1155,74 @@ def _(spark, sf):
 ORACLE["t1_throttle"] = ORACLE["t1_throttle"].replace(") , ordered AS", "), ordered AS")
 
 
+# --- streams over the given tables -------------------------------------------------------------
+
+
+def _stream(spark, sf, name: str) -> DataFrame:
+    """The rows of one given table as a stream."""
+    reader = spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet")
+    return reader.parquet(sf)
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _drained(stream: DataFrame, name: str) -> DataFrame:
+    """What an append stream has written once all present input is taken in."""
+    spark, path = stream.sparkSession, _folder(stream.sparkSession, name)
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-log")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+_t1_tail = " WHERE t <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events)"
+ORACLE["t1_throttle_stream"] = ORACLE["t1_throttle"] + _t1_tail
+
+
+@query("t1_throttle_stream")
+def _(spark, sf):
+    # Events behind the watermark get a verdict; it stands at the last event, in milliseconds.
+    requests = _stream(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("user_key"), "ts")
+    return _drained(throttle.throttle_stream(requests, 2, 86400, "0 seconds"), "throttle")
+
+
+@query("t2_status_stream", f"""
+SELECT CAST(scan_id AS VARCHAR) AS scan_id, status, progress, CASE WHEN f > c THEN e END AS error FROM
+  (SELECT * FROM {_fold} s WHERE c IS NOT NULL) k""")
+def _(spark, sf):
+    events = _stream(spark, sf, "events")
+    op = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "view", "running")
+    op = op.when(F.col("event_type") == "click", "progress").when(F.col("event_type") == "purchase", "completed").otherwise("failed")
+    log = events.select(
+        (F.col("user_id") * 10 + F.col("event_id") % 10).alias("scan_id"), F.col("event_id").alias("seq"), op.alias("op"),
+        (F.floor("value").cast("int") * 3 - 20).alias("progress"), F.col("props").alias("error"),
+    )
+    path = _folder(spark, "status")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+
+    stream = status.status_stream(log).writeStream.outputMode("update").foreachBatch(keep)
+    stream.option("checkpointLocation", path + "-log").trigger(availableNow=True).start().awaitTermination()
+    latest = spark.read.parquet(path).groupBy("scan_id").agg(F.max_by(F.struct("status", "progress", "error"), "last_seq").alias("s"))
+    return latest.select("scan_id", "s.*")
+
+
+@query("t3_new_files", " UNION ALL ".join(
+    f"SELECT scan_id, file_path, CAST(line AS INTEGER) AS line, '{r}' AS rule_id FROM doc_stream_lines WHERE {S.hit(p, 'text', True)}"
+    for r, p in dims.LINE_PATTERNS.items()))
+def _(spark, sf):
+    docs = _stream(spark, sf, "documents")
+    arriving = docs.select(
+        F.col("source").alias("scan_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"),
+        F.concat(F.lit("# TODO "), F.col("text")).alias("content"),
+    )
+    path = _folder(spark, "arriving")
+    incremental.scan_new_files(arriving, f"{path}/findings", f"{path}/counts", f"{path}/log").awaitTermination()
+    return spark.read.parquet(f"{path}/findings").select("scan_id", "file_path", "line", "rule_id")
+
+
 # --- whole scans -----------------------------------------------------------------------------
 
 _all_hits = " UNION ALL ".join(

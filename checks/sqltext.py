@@ -131,6 +131,8 @@ FRAGMENTS = {
     "'m' || issue_seq AS message, ' x = ' || line AS code_snippet FROM issue_facts JOIN rules USING (rule_seq)",
     "code_lines": "SELECT scan_id, file_path, unnest(l) AS text, unnest(range(1, len(l) + 1)) AS line "
     f"FROM (SELECT scan_id, file_path, {split('content')} AS l FROM code_files) s",
+    "doc_stream_lines": "SELECT scan_id, file_path, unnest(l) AS text, unnest(range(1, len(l) + 1)) AS line FROM (SELECT source AS scan_id, "
+    f"'d' || doc_id || '.py' AS file_path, {split("'# TODO ' || text")} AS l FROM documents) s",
     "doc_lines": "SELECT scan_id, file_path, unnest(l) AS text, unnest(range(1, len(l) + 1)) AS line "
     f"FROM (SELECT scan_id, file_path, {split('content')} AS l FROM doc_files) s",
     "measured": f"SELECT *, {maintainability('lines', 'complexity', 'comment_lines')} AS maintainability_index FROM file_facts",
