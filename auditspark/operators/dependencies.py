@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditspark import dims, schema
@@ -15,6 +15,11 @@ OPEN_VERSIONS = ["*", "latest"]
 VERSION_PREFIX = r"^[\^~>=< ]+"
 
 
+def is_manifest(path: Column) -> Column:
+    lowered = F.lower(path)
+    return lowered.endswith("requirements.txt") | lowered.endswith("package.json")
+
+
 def requirements(manifest_lines: DataFrame) -> DataFrame:
     """(package, operator, version) of each requirement line of ``(scan_id, [file_path,] line, text)``."""
     line = text.strip(F.col("text"))

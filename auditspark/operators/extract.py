@@ -14,10 +14,12 @@ import warnings
 from collections import Counter
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from auditspark.functions import text
 
@@ -55,6 +57,7 @@ PYTHON_TYPE = (
     f"struct<functions:{FUNCTION_TYPE},imports:array<struct<name:string,line:int,seq:int,snippet:string>>,names:array<string>,"
     "calls:array<struct<func:string,dotted:string,plain:string>>,null_checks:int,has_logging:boolean,complexity:int>"
 )
+BODY_TYPE = "array<struct<name:string,line:int,body:string,turn:int,chars:int>>"
 SCRIPT_TYPE = (
     "struct<functions:array<struct<name:string,start_line:int,end_line:int,param_count:int,uses:int,"
     "block:string,snippet:string>>,imports:array<struct<name:string,line:int,seq:int,used:boolean,snippet:string>>>"
@@ -229,51 +232,68 @@ def function_bodies(source: str) -> list[dict]:
     return out
 
 
-def structure(files: DataFrame) -> DataFrame:
-    """Adds ``py`` and ``js`` facts to files that have a ``language`` and drops the content.
+def numbered_bodies(source: str) -> list[dict]:
+    """`function_bodies` with ``turn``: first or second of its name in the file.
+
+    A third function of the same name in a file is never compared with anything and is left out.
+    """
+    turns, out = Counter(), []
+    for block in function_bodies(source):
+        turns[block["name"]] += 1
+        if turns[block["name"]] <= 2:
+            out.append({**block, "turn": turns[block["name"]], "chars": len(block["body"])})
+    return out
+
+
+def _parts(makers: dict) -> dict:
+    """column -> (Arrow type, function of language and content)"""
+    return {name: (to_arrow_type(_parse_datatype_string(ddl)), make) for name, (ddl, make) in makers.items()}
+
+
+PYTHON_PART = {"py": (PYTHON_TYPE, lambda lang, source: python_facts(source) if lang == "python" else None)}
+SCRIPT_PART = {
+    "js": (SCRIPT_TYPE, lambda lang, source: script_facts(source) if lang in ("javascript", "typescript") else None)
+}
+BODY_PART = {"blocks": (BODY_TYPE, lambda lang, source: numbered_bodies(source))}
+
 
-    Other columns pass through, so facts worked out in the JVM need no join back.
+def _extract(files: DataFrame, makers: dict) -> DataFrame:
+    """Adds fact columns to files and drops the content.
+
+    Other columns pass through as Arrow columns, so facts worked out in the JVM need no join back.
     """
     kept = [f for f in files.schema.fields if f.name != "content"]
-    passed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     names = [f.name for f in kept]
+    passed = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
+    parts = _parts(makers)
 
-    def extract(batches):
+    def run(batches):
         for batch in batches:
-            out = batch[names].copy()
-            pairs = list(zip(batch["language"], batch["content"]))
-            out["py"] = [python_facts(c) if lang == "python" else None for lang, c in pairs]
-            out["js"] = [script_facts(c) if lang in ("javascript", "typescript") else None for lang, c in pairs]
-            yield out
+            pairs = list(zip(batch.column("language").to_pylist(), batch.column("content").to_pylist()))
+            made = [pa.array([make(*pair) for pair in pairs], type=kind) for kind, make in parts.values()]
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + made, names=names + list(parts))
+
+    return files.mapInArrow(run, ", ".join(passed + [f"{name} {ddl}" for name, (ddl, _) in makers.items()]))
 
-    return files.mapInPandas(extract, f"{passed}, py {PYTHON_TYPE}, js {SCRIPT_TYPE}")
+
+def structure(files: DataFrame) -> DataFrame:
+    """All facts of files that have a ``language``: one pass of Python workers over the texts."""
+    return _extract(files, {**PYTHON_PART, **SCRIPT_PART, **BODY_PART})
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """`structure` over bare ``files(scan_id, file_path, content)``."""
+    """``py`` and ``js`` facts of bare ``files(scan_id, file_path, content)``."""
     named = files.withColumn("language", text.language(F.col("file_path")))
     code = named.where(F.col("language").isin("python", "javascript", "typescript"))
-    return structure(code.select("scan_id", "file_path", "language", "content"))
+    return _extract(code.select("scan_id", "file_path", "language", "content"), {**PYTHON_PART, **SCRIPT_PART})
 
 
-BLOCK_SCHEMA = "scan_id string, file_path string, name string, line int, turn int, chars int, body string"
+def blocks_of(facts: DataFrame) -> DataFrame:
+    """``(scan_id, file_path, name, line, body, turn, chars)``: one row per function body."""
+    return facts.select("scan_id", "file_path", F.explode("blocks").alias("b")).select("scan_id", "file_path", "b.*")
 
 
 def function_blocks(files: DataFrame) -> DataFrame:
-    """One row per function body: its name, line, whether it is the first or second of its name in the file, text.
-
-    A third function of the same name in a file is never compared, so it is not emitted.
-    """
-
-    def extract(batches):
-        for batch in batches:
-            rows = []
-            for scan, path, content in zip(batch["scan_id"], batch["file_path"], batch["content"]):
-                turns = Counter()
-                for block in function_bodies(content):
-                    turns[block["name"]] += 1
-                    if (turn := turns[block["name"]]) <= 2:
-                        rows.append((scan, path, block["name"], block["line"], turn, len(block["body"]), block["body"]))
-            yield pd.DataFrame(rows, columns=[part.split()[0] for part in BLOCK_SCHEMA.split(", ")])
-
-    return files.select("scan_id", "file_path", "content").mapInPandas(extract, BLOCK_SCHEMA)
+    """Function bodies of bare files in any language."""
+    named = files.withColumn("language", text.language(F.col("file_path")))
+    return blocks_of(_extract(named.select("scan_id", "file_path", "language", "content"), BODY_PART))

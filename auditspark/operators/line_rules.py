@@ -27,24 +27,45 @@ def rule_hits(line_table: DataFrame, rule_id: str) -> DataFrame:
     return hit.select("scan_id", "file_path", "line", text.snippet(F.col("text")).alias("code_snippet"))
 
 
-def line_findings(line_table: DataFrame, extra_rules=()) -> DataFrame:
-    """Findings of all line rules.
+def line_hits(content: Column, extra_rules=()) -> Column:
+    """(rule_seq, line, code_snippet) of every hit in a text, worked out inside its row.
 
     ``extra_rules`` are tuples (rule_id, issue_type, category, severity, confidence, tags, pattern, message).
-    All patterns are literals of one projection, so a line is read once and only its hits are spread to rows.
+    All patterns are literals, so they are compiled once, and only hits become rows later.
     """
-    with_lowered = line_table.withColumn("lowered", text.folded(F.col("text")))
-    tests = [(rule_id, matches(rule_id, F.col("text"), F.col("lowered"))) for rule_id in dims.LINE_PATTERNS]
-    tests += [(rule[0], F.col("text").rlike(text.java(rule[6], ignore_case=True))) for rule in extra_rules]
-    hit_ids = F.array_compact(F.array(*[F.when(test, rule_id) for rule_id, test in tests]))
-    hits = with_lowered.select(
-        "scan_id", "file_path", "line", "text", F.explode(hit_ids).alias("rule_id")
-    ).withColumn("code_snippet", text.snippet(F.col("text")))
-    catalogue = F.broadcast(dims.rules(line_table.sparkSession, extra_rules))
-    return hits.join(catalogue, "rule_id").select(
+    first_extra = len(dims.RULES)
+
+    def of_line(line: Column, n: Column) -> Column:
+        def tests(lowered: Column) -> Column:
+            judged = [(dims.RULE_SEQ[rule_id], matches(rule_id, line, lowered)) for rule_id in dims.LINE_PATTERNS]
+            judged += [
+                (first_extra + i, line.rlike(text.java(rule[6], ignore_case=True))) for i, rule in enumerate(extra_rules)
+            ]
+            hits = [
+                F.when(test, F.struct(F.lit(seq).alias("rule_seq"), (n + 1).alias("line"), text.snippet(line).alias("code_snippet")))
+                for seq, test in judged
+            ]
+            return F.array_compact(F.array(*hits))
+
+        return text.let(text.folded(line), tests)
+
+    return text.let(text.split_lines(content), lambda all_lines: F.flatten(F.transform(all_lines, of_line)))
+
+
+def hit_findings(hits: DataFrame, extra_rules=()) -> DataFrame:
+    """Findings from ``(scan_id, file_path, h)`` with one hit ``h`` per row; the catalogue is broadcast."""
+    catalogue = F.broadcast(dims.rules(hits.sparkSession, extra_rules))
+    rows = hits.select("scan_id", "file_path", "h.rule_seq", "h.line", "h.code_snippet")
+    return rows.join(catalogue, "rule_seq").select(
         *schema.FINDING[:11],
         F.lit(schema.FILE_PHASE).alias("phase"),
         F.lit(schema.LINE_STAGE).alias("stage"),
         F.col("rule_seq").cast("bigint").alias("seq1"),
         F.col("line").cast("bigint").alias("seq2"),
     )
+
+
+def line_findings(files: DataFrame, extra_rules=()) -> DataFrame:
+    """Findings of all line rules in ``files(scan_id, file_path, content)``."""
+    hits = files.select("scan_id", "file_path", F.explode(line_hits(F.col("content"), extra_rules)).alias("h"))
+    return hit_findings(hits, extra_rules)

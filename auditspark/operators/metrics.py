@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditspark import dims, schema
 from auditspark.functions import text
-from auditspark.operators import structure_rules
+from auditspark.operators import dependencies, line_rules, project, structure_rules
 
 # Keyword patterns and limits.
 JS_BRANCHES = r"\b(if|for|while|catch|case|\?\s*|&&|\|\|)\b"
@@ -48,7 +48,7 @@ def maintainability(lines: Column, complexity: Column, comments: Column) -> Colu
     return text.py_round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)), 2)
 
 
-def profile(files: DataFrame) -> DataFrame:
+def profile(files: DataFrame, extra_rules=()) -> DataFrame:
     """What the JVM reads off a file's text in one pass; the content stays for the parser."""
     content, lang = F.col("content"), F.col("language")
     lowered = F.lower(content)
@@ -60,10 +60,10 @@ def profile(files: DataFrame) -> DataFrame:
             test = test | lowered.contains(token)
         return test
 
-    base = files.select("scan_id", "file_path", "content").withColumn("language", text.language(F.col("file_path")))
+    base = files.withColumn("language", text.language(F.col("file_path")))
     split = base.withColumn("lines_", text.split_lines(content))
     return split.select(
-        "scan_id", "file_path", "content", "language",
+        *files.columns, "language",
         text.count_lines(content).alias("lines"),
         text.comment_lines(lang, F.col("lines_")).alias("comment_lines"),
         text.line_at(F.col("lines_"), 1).alias("first_line"),
@@ -76,6 +76,9 @@ def profile(files: DataFrame) -> DataFrame:
         (lowered.rlike(dims.INPUT_PATTERN) & ~lowered.rlike(dims.VALIDATION_PATTERN)).alias("unchecked_input"),
         any_of(["pytest", "unittest"]).alias("test_framework"),
         any_of(["logging", "logger"]).alias("logging_text"),
+        line_rules.line_hits(content, extra_rules).alias("line_hits"),
+        F.when(dependencies.is_manifest(F.col("file_path")), content).alias("manifest"),
+        project.root_measure(F.col("file_path"), content).alias("root"),
     )
 
 

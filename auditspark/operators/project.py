@@ -61,30 +61,29 @@ def test_coverage(facts: DataFrame) -> DataFrame:
     return signs.withColumn("test_coverage_score", F.least(F.lit(100), score))
 
 
-def root_documents(files: DataFrame) -> DataFrame:
-    """Readme and licence per scan, from files before any suffix filter; texts are measured before grouping."""
-    path = F.col("file_path")
-    readme = path.isin(dims.README_NAMES)
+def root_measure(path: Column, content: Column) -> Column:
+    """What a readme or licence in the project's root folder contributes; null for other files."""
     rank = F.coalesce(*[F.when(path == name, n) for n, name in enumerate(dims.README_NAMES)])
-    headings = F.regexp_count("content", F.lit(rf"(?md)^{text.SPACE}*#+{text.SPACE}+"))
-    length = F.length(text.strip(F.col("content")))
-    quality = F.least(F.lit(100), F.floor(length / 30).cast("int") + headings * 5)
-    measured = files.where(path.isin(dims.README_NAMES + dims.LICENSE_NAMES)).select(
-        "scan_id",
-        path.isin(dims.LICENSE_NAMES).alias("is_license"),
-        F.when(readme, rank).alias("rank"),
-        F.struct((F.length("content") > 0).alias("filled"), quality.alias("quality")).alias("measure"),
-    )
-    picked = measured.groupBy("scan_id").agg(
-        F.bool_or("is_license").alias("has_license"), F.min_by("measure", "rank").alias("m"),
+    headings = F.regexp_count(content, F.lit(rf"(?md)^{text.SPACE}*#+{text.SPACE}+"))
+    quality = F.least(F.lit(100), F.floor(F.length(text.strip(content)) / 30).cast("int") + headings * 5)
+    return F.when(path.isin(dims.README_NAMES + dims.LICENSE_NAMES), F.struct(
+        path.isin(dims.LICENSE_NAMES).alias("is_license"), rank.alias("rank"),
+        (F.length(content) > 0).alias("filled"), quality.alias("quality"),
+    ))
+
+
+def root_documents(measured: DataFrame) -> DataFrame:
+    """Readme and licence per scan from ``(scan_id, root)``, taken before any suffix filter."""
+    picked = measured.where(F.col("root").isNotNull()).groupBy("scan_id").agg(
+        F.bool_or("root.is_license").alias("has_license"), F.min_by("root", F.col("root.rank")).alias("m"),
     )
-    filled = F.coalesce(F.col("m.filled"), F.lit(False))
+    filled = F.col("m.filled") & F.col("m.rank").isNotNull()
     return picked.select(
         "scan_id", "has_license", filled.alias("has_readme"), F.when(filled, F.col("m.quality")).otherwise(0).alias("readme_quality")
     )
 
 
-def maturity(facts: DataFrame, all_files: DataFrame) -> DataFrame:
+def maturity(facts: DataFrame, measured: DataFrame) -> DataFrame:
     """Documentation, licence, structure and logging per scan, and their score."""
     parts = F.split("file_path", "/")
     shape = facts.groupBy("scan_id").agg(
@@ -92,7 +91,7 @@ def maturity(facts: DataFrame, all_files: DataFrame) -> DataFrame:
         F.count_distinct(parts[0]).alias("tops"),
         F.bool_or("logging_text").alias("logging_detected"),
     )
-    joined = shape.join(root_documents(all_files), "scan_id", "left").select(
+    joined = shape.join(root_documents(measured), "scan_id", "left").select(
         "scan_id",
         F.coalesce("has_readme", F.lit(False)).alias("has_readme"),
         F.coalesce("readme_quality", F.lit(0)).alias("readme_quality"),

@@ -29,7 +29,7 @@ class Scan:
 def riskiest(files: DataFrame, extra_rules=()) -> DataFrame:
     """Severity counts and security score of each scan from the line rules alone."""
     chosen = files.select("scan_id", "file_path", "content")
-    found = line_rules.line_findings(line_rules.lines(chosen), extra_rules)
+    found = line_rules.line_findings(chosen, extra_rules)
     totals = chosen.groupBy("scan_id").agg(F.count("*").alias("files"), F.sum(metrics.text.count_lines(F.col("content"))).alias("total_lines"))
     counted = totals.join(scores.issue_rollup(found), "scan_id", "left")
     filled = [F.coalesce(name, F.lit(0)).alias(name) for name in [*dims.SEVERITIES, "issues", "security_weight"]]
@@ -38,19 +38,22 @@ def riskiest(files: DataFrame, extra_rules=()) -> DataFrame:
     return rows.select("scan_id", "files", "total_lines", "issues", *dims.SEVERITIES, score)
 
 
-def file_facts(chosen: DataFrame) -> DataFrame:
-    """One row per file with all that later steps need of it; texts are read once and left behind."""
-    return extract.structure(metrics.profile(chosen))
+def file_facts(files: DataFrame, extra_rules=()) -> DataFrame:
+    """One row per file with all that later steps need of it; each text is read once and left behind."""
+    return extract.structure(metrics.profile(files, extra_rules))
 
 
-def findings(chosen: DataFrame, facts: DataFrame, blocks: DataFrame, extra_rules=()) -> DataFrame:
+def findings(chosen: DataFrame, facts: DataFrame, extra_rules=()) -> DataFrame:
+    """All findings; only the search for repeated blocks reads the texts again."""
+    hits = facts.select("scan_id", "file_path", F.explode("line_hits").alias("h"))
+    manifests = facts.where(F.col("manifest").isNotNull()).select("scan_id", "file_path", F.col("manifest").alias("content"))
     return issues.union_findings(
-        line_rules.line_findings(line_rules.lines(chosen), extra_rules),
+        line_rules.hit_findings(hits, extra_rules),
         structure_rules.structure_findings(facts),
         metrics.complexity_findings(metrics.file_metrics(facts)),
         duplication.block_findings(chosen),
-        duplication.similarity_findings(duplication.similar_functions(blocks)),
-        dependencies.dependency_findings(chosen),
+        duplication.similarity_findings(duplication.similar_functions(extract.blocks_of(facts))),
+        dependencies.dependency_findings(manifests),
         project.safeguard_findings(facts),
     )
 
@@ -58,17 +61,19 @@ def findings(chosen: DataFrame, facts: DataFrame, blocks: DataFrame, extra_rules
 def scan(files: DataFrame, include_extensions=None, exclude_paths=None, max_files=None, extra_rules=()) -> Scan:
     """Scan every ``scan_id`` of ``files(scan_id, file_path, content)``.
 
-    Three tables are written to the shared folder, since several later steps read each of them and
-    the Python workers behind two of them should run once: file facts, function bodies, findings.
+    Two tables are written to the shared folder, since several later steps read each of them and the
+    Python workers behind the first should run once: file facts and findings. Readme and licence of a
+    project count even if their suffix is not selected, so the facts hold them too, unselected.
     """
-    chosen = sources.select_source_files(files, include_extensions, exclude_paths, max_files)
-    facts = stored(file_facts(chosen), "facts")
-    blocks = stored(extract.function_blocks(chosen), "blocks")
-    found = stored(findings(chosen, facts, blocks, extra_rules), "findings")
+    marked = sources.mark_source_files(files, include_extensions, exclude_paths, max_files)
+    root_names = dims.README_NAMES + dims.LICENSE_NAMES
+    every = stored(file_facts(marked.where(F.col("selected") | F.col("file_path").isin(root_names)), extra_rules), "facts")
+    facts = every.where("selected")
+    found = stored(findings(marked.where("selected"), facts, extra_rules), "findings")
     listed = enrich.add_guidance(issues.number_issues(found))
     report = scores.file_report(metrics.file_metrics(facts), found)
     scored = scores.with_scores(scores.scan_rollup(report, found))
-    full = scored.join(project.test_coverage(facts), "scan_id").join(project.maturity(facts, files), "scan_id")
+    full = scored.join(project.test_coverage(facts), "scan_id").join(project.maturity(facts, every), "scan_id")
     full = full.join(project.safeguards(facts).drop("has_auth", "first_backend"), "scan_id").withColumn("mode", F.lit("basic"))
     return Scan(listed, report, full, scores.recommendations(full), reports.heat_map(report))
 

@@ -46,30 +46,36 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def select_source_files(
+def mark_source_files(
     files: DataFrame, include_extensions=None, exclude_paths=None, max_files: int | None = None
 ) -> DataFrame:
-    """Files a scan looks at: known suffix, no excluded path part, the first ``max_files`` by path.
+    """Adds ``selected``: known suffix, no excluded path part, among the first ``max_files`` by path.
 
     The cap works on paths alone. Each task keeps at most ``max_files`` paths of a scan before the
     shuffle, and what comes back is one last path per scan that reaches the cap; the contents are
-    filtered against it and take no part in a shuffle while that table is small.
+    tested against it and take no part in a shuffle while that table is small.
     """
     wanted = F.array(*[F.lit(ext) for ext in include_extensions or dims.DEFAULT_EXTENSIONS])
-    kept = files.where(F.array_contains(text.normalize_extensions(wanted), text.suffix(F.col("file_path"))))
+    fits = F.array_contains(text.normalize_extensions(wanted), text.suffix(F.col("file_path")))
     for token in exclude_paths or []:
         if token.strip():
-            kept = kept.where(~F.lower("file_path").contains(token.lower().strip()))
+            fits = fits & ~F.lower("file_path").contains(token.lower().strip())
     cap = max_files or dims.MAX_SCAN_FILES
     order = Window.partitionBy("scan_id").orderBy("file_path")
     last = (
-        kept.select("scan_id", "file_path")
+        files.where(fits).select("scan_id", "file_path")
         .withColumn("file_rank", F.row_number().over(order))
         .where(F.col("file_rank") == cap)
         .select("scan_id", F.col("file_path").alias("last_path"))
     )
-    bounded = kept.join(broadcast_if_small(last), "scan_id", "left")
-    return bounded.where(F.col("last_path").isNull() | (F.col("file_path") <= F.col("last_path"))).select(*files.columns)
+    bounded = files.join(broadcast_if_small(last), "scan_id", "left")
+    in_cap = F.col("last_path").isNull() | (F.col("file_path") <= F.col("last_path"))
+    return bounded.select(*files.columns, (fits & in_cap).alias("selected"))
+
+
+def select_source_files(files: DataFrame, include_extensions=None, exclude_paths=None, max_files: int | None = None) -> DataFrame:
+    """The files a scan looks at, see `mark_source_files`."""
+    return mark_source_files(files, include_extensions, exclude_paths, max_files).where("selected").select(*files.columns)
 
 
 def manifests(files: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def scan_new_files(files: DataFrame, findings_path: str, summary_path: str, chec
     def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         part = f"batch_id={number}"
-        line_rules.line_findings(line_rules.lines(batch)).write.mode("overwrite").parquet(f"{findings_path}/{part}")
+        line_rules.line_findings(batch).write.mode("overwrite").parquet(f"{findings_path}/{part}")
         touched = broadcast_if_small(batch.select("scan_id").distinct())
         found = spark.read.parquet(findings_path).where(F.col("batch_id") <= number).join(touched, "scan_id", "left_semi")
         scores.severity_distribution(found).write.mode("overwrite").parquet(f"{summary_path}/{part}")

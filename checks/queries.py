@@ -397,7 +397,7 @@ for _number, _rule_id in enumerate(dims.LINE_PATTERNS, 1):
     f"SELECT scan_id, file_path, CAST(line AS INTEGER) AS line, '{r}' AS rule_id, '{dims.RULES[dims.RULE_SEQ[r]][3]}' AS severity "
     f"FROM code_lines WHERE {S.hit(p, 'text', True)}" for r, p in dims.LINE_PATTERNS.items()))
 def _(spark, sf):
-    found = line_rules.line_findings(line_rules.lines(_code(spark, sf)))
+    found = line_rules.line_findings(_code(spark, sf))
     return found.select("scan_id", "file_path", "line", "rule_id", "severity")
 
 
@@ -917,7 +917,7 @@ SELECT s.scan_id, coalesce(filled, false) AS has_readme, CAST(CASE WHEN filled T
     arg_min(least(100, length({S.strip('content')}) // 30 + {_heads} * 5), {_readme_rank}) AS quality
   FROM code_files WHERE file_path IN ('README.md', 'readme.md', 'Readme.md', 'LICENSE', 'LICENSE.md', 'COPYING') GROUP BY scan_id) r USING (scan_id)) t""")
 def _(spark, sf):
-    return project.maturity(_profile(spark, sf), _code(spark, sf))
+    return project.maturity(_profile(spark, sf), _profile(spark, sf))
 
 
 # --- roll-ups and scores ---------------------------------------------------------------------
@@ -1246,9 +1246,7 @@ def riskiest_scans(spark, sf):
 @query("u1_all_findings")
 def _(spark, sf):
     code = _code(spark, sf)
-    facts = stored(plan.file_facts(code), "facts")
-    blocks = stored(extract.function_blocks(code), "blocks")
-    found = plan.findings(code, facts, blocks)
+    found = plan.findings(code, stored(plan.file_facts(code), "facts"))
     return found.groupBy("rule_id", "category", "severity").agg(F.count("*").alias("findings"), F.count_distinct("file_path").alias("files"))
 
 

@@ -131,14 +131,14 @@ def test_conform_splits_good_and_bad(done):
 
 def test_extra_rules(files):
     extra = [("NO_PRINT", "Print", "quality", "low", 50.0, ["style"], r"\bprint\s*\(", "A print call.")]
-    found = line_rules.line_findings(line_rules.lines(files({"s": {"a.py": "print (1)\nblueprint(2)"}})), extra).collect()
+    found = line_rules.line_findings(files({"s": {"a.py": "print (1)\nblueprint(2)"}}), extra).collect()
     assert [(r.rule_id, r.line, r.message) for r in found] == [("NO_PRINT", 1, "A print call.")]
 
 
 def test_order_and_partitions_do_not_matter(files):
     def run(frame):
         facts = plan.file_facts(frame)
-        found = line_rules.line_findings(line_rules.lines(frame))
+        found = line_rules.line_findings(frame)
         report = scores.file_report(metrics.file_metrics(facts), found)
         rows = scores.with_scores(scores.scan_rollup(report, found)).join(project.test_coverage(facts), "scan_id")
         return {tuple(r) for r in rows.collect()}
@@ -151,7 +151,8 @@ def test_order_and_partitions_do_not_matter(files):
 
 def test_first_readme_counts(files):
     trees = {"a": {"readme.md": "# t", "README.md": ""}, "b": {"Readme.md": " # t\n## u\n" + "x" * 300, "docs/README.md": "no"}, "c": {"COPYING": ""}}
-    got = {r.scan_id: (r.has_readme, r.readme_quality, r.has_license) for r in project.root_documents(files(trees)).collect()}
+    measured = files(trees).withColumn("root", project.root_measure(F.col("file_path"), F.col("content")))
+    got = {r.scan_id: (r.has_readme, r.readme_quality, r.has_license) for r in project.root_documents(measured).collect()}
     assert got == {"a": (False, 0, False), "b": (True, 20, False), "c": (False, 0, True)}
 
 
