@@ -13,7 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # source files differ much in size, so batches for Python workers are bounded by bytes as well
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.sql.files.maxPartitionBytes": "64m",
 }
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
@@ -25,40 +26,81 @@ WINDOW_SECONDS = 60
 MICROS = 1_000_000
 
 
-def judge(accepted: deque, now: int, limit: int, window: int) -> tuple[bool, int]:
-    """Verdict on an event at ``now`` (microseconds); ``accepted`` holds the accepted times still in the window."""
-    while accepted and accepted[0] < now - window:
-        accepted.popleft()
-    if len(accepted) >= limit:
-        return False, int(max(1, (window - (now - accepted[0])) / MICROS))
-    accepted.append(now)
-    return True, 0
+def judge(times: np.ndarray, accepted: deque, limit: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Verdicts and waiting seconds for the sorted ``times`` (microseconds) of one key.
+
+    ``accepted`` holds the accepted times before them and is brought up to date. While the window is
+    full nothing changes until its oldest time leaves, so the events up to there are refused at once
+    and the work follows the accepted events, not the refused ones.
+    """
+    allowed, retry = np.ones(len(times), bool), np.zeros(len(times), np.int32)
+    at = 0
+    while at < len(times):
+        now = int(times[at])
+        while accepted and accepted[0] < now - window:
+            accepted.popleft()
+        if len(accepted) < limit:
+            accepted.append(now)
+            at += 1
+            continue
+        stop = int(np.searchsorted(times, accepted[0] + window, side="right"))
+        allowed[at:stop] = False
+        wait = (window - (times[at:stop] - accepted[0])) / MICROS
+        retry[at:stop] = np.maximum(1, wait).astype(np.int32)
+        at = stop
+    return allowed, retry
 
 
 def _limits(max_requests: int, window_sec: int) -> tuple[int, int]:
     return max(1, max_requests), max(1, window_sec) * MICROS
 
 
-def _segments(events: DataFrame, window: int) -> DataFrame:
-    """Adds ``segment``: events of a key between two pauses longer than the window.
+SEGMENT_ROWS = 200_000
+
 
-    After such a pause no accepted event is left in the window, so segments are independent and the
-    segments of one busy key run in parallel. A pause longer than the window always crosses a border
-    of window-sized time slots, so one row per (key, slot) is enough to find all of them.
+def _segments(events: DataFrame, limit: int, window: int, segment_rows: int) -> DataFrame:
+    """Adds ``segment`` and ``seed``: parts of a key that can be judged apart from each other.
+
+    Time is cut into slots as long as the window. If a slot and the one before it hold no more than
+    ``limit`` events together, all events of the slot are accepted whatever came earlier; an empty
+    slot is a special case of this. What is judged after such a slot depends on nothing older, so a
+    new segment may start there, with the events of that slot as accepted seeds. A busy key starts
+    one about every ``segment_rows`` events; other keys stay whole. Only counts per slot are sorted
+    by key here.
     """
     slotted = events.withColumn("slot", F.floor(F.col("t") / window))
-    spans = slotted.groupBy("user_key", "slot").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    counts = slotted.groupBy("user_key", "slot").agg(F.count("*").alias("n"))
     by_slot = Window.partitionBy("user_key").orderBy("slot")
-    paused = F.coalesce(F.col("first_t") - F.lag("last_t").over(by_slot) > window, F.lit(True))
-    marked = spans.withColumn("starts", paused.cast("int"))
-    numbered = marked.withColumn("segment", F.sum("starts").over(by_slot)).select("user_key", "slot", "segment")
-    return slotted.join(numbered, ["user_key", "slot"]).drop("slot")
+    before = by_slot.rowsBetween(Window.unboundedPreceding, -1)
+
+    def held(back: int):
+        """Events in the slot ``back`` slots earlier."""
+        near = [F.when(F.lag("slot", k).over(by_slot) == F.col("slot") - back, F.lag("n", k).over(by_slot)) for k in (1, 2)]
+        return F.coalesce(*near, F.lit(0))
+
+    free = (held(1) == 0) | (held(1) + held(2) <= limit)
+    part = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / segment_rows)
+    marked = counts.withColumn("mark", F.when(free, part))
+    starts = F.col("mark").isNotNull() & (F.col("mark") > F.coalesce(F.max("mark").over(before), F.lit(-1)))
+    begun = marked.withColumn("starts", starts.cast("int"))
+    whole = by_slot.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seeds_next = (F.lead("slot").over(by_slot) == F.col("slot") + 1) & (F.lead("starts").over(by_slot) == 1)
+    placed = begun.select("user_key", "slot", F.sum("starts").over(whole).alias("own"), F.coalesce(seeds_next, F.lit(False)).alias("seeds"))
+    roles = F.array_compact(F.array(
+        F.struct(F.col("own").alias("segment"), F.lit(False).alias("seed")),
+        F.when(F.col("seeds"), F.struct((F.col("own") + 1).alias("segment"), F.lit(True).alias("seed"))),
+    ))
+    joined = slotted.join(placed, ["user_key", "slot"]).withColumn("role", F.explode(roles))
+    return joined.select("user_key", "event_id", "t", "role.segment", "role.seed")
 
 
 VERDICT_SCHEMA = "user_key string, event_id bigint, t bigint, allowed boolean, retry_after_sec int"
+VERDICT_COLUMNS = [part.split()[0] for part in VERDICT_SCHEMA.split(", ")]
 
 
-def throttle(requests: DataFrame, max_requests: int = MAX_REQUESTS, window_sec: int = WINDOW_SECONDS) -> DataFrame:
+def throttle(
+    requests: DataFrame, max_requests: int = MAX_REQUESTS, window_sec: int = WINDOW_SECONDS, segment_rows: int = SEGMENT_ROWS
+) -> DataFrame:
     """Verdicts on ``requests(event_id, user_key, ts)`` in time order per key.
 
     Rows reach the workers sorted and are judged in one pass that remembers at most ``max_requests``
@@ -68,20 +110,23 @@ def throttle(requests: DataFrame, max_requests: int = MAX_REQUESTS, window_sec:
     timed = requests.select("user_key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     keys = ["user_key", "segment"]
     parts = shuffle_partitions(requests.sparkSession)
-    placed = _segments(timed, window).repartition(parts, *keys).sortWithinPartitions(*keys, "t", "event_id")
+    cut = _segments(timed, limit, window, segment_rows)
+    placed = cut.repartition(parts, *keys).sortWithinPartitions(*keys, "t", "event_id")
 
     def run(batches):
         current, accepted = None, deque()
         for batch in batches:
-            verdicts = []
-            for key, segment, now in zip(batch["user_key"], batch["segment"], batch["t"].tolist()):
-                if (key, segment) != current:
-                    current, accepted = (key, segment), deque()
-                verdicts.append(judge(accepted, now, limit, window))
-            out = batch[["user_key", "event_id", "t"]].copy()
-            out["allowed"] = [v[0] for v in verdicts]
-            out["retry_after_sec"] = [v[1] for v in verdicts]
-            yield out
+            times, seed = batch["t"].to_numpy(), batch["seed"].to_numpy()
+            allowed, retry = np.ones(len(batch), bool), np.zeros(len(batch), np.int32)
+            fresh = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy()
+            edges = [*np.flatnonzero(fresh), len(batch)]
+            for start, stop in zip(edges, edges[1:]):
+                group = (batch["user_key"].iat[start], batch["segment"].iat[start])
+                if group != current:
+                    current, accepted = group, deque()
+                allowed[start:stop], retry[start:stop] = judge(times[start:stop], accepted, limit, window)
+            out = batch[["user_key", "event_id", "t"]].assign(allowed=allowed, retry_after_sec=retry)
+            yield out[~seed]
 
     return placed.mapInPandas(run, VERDICT_SCHEMA)
 
@@ -107,16 +152,16 @@ def throttle_stream(
         mark = state.getCurrentWatermarkMs() * 1000
         ready = sorted(item for item in waiting if item[0] <= mark)
         waiting = sorted(item for item in waiting if item[0] > mark)
-        recent, rows = deque(accepted), []
-        for now, event in ready:
-            rows.append((key[0], event, now, *judge(recent, now, limit, window)))
+        recent, times = deque(accepted), np.array([t for t, _ in ready], np.int64)
+        verdicts = judge(times, recent, limit, window)
+        rows = [(key[0], event, t, bool(ok), int(wait)) for (t, event), ok, wait in zip(ready, *verdicts)]
         if not waiting and (not recent or recent[-1] < mark - window):
             state.remove()
         else:
             state.update((list(recent), [t for t, _ in waiting], [i for _, i in waiting], max(done, mark)))
             wake = waiting[0][0] if waiting else recent[-1] + window
             state.setTimeoutTimestamp(max(wake, mark) // 1000 + 1)
-        yield pd.DataFrame(rows, columns=["user_key", "event_id", "t", "allowed", "retry_after_sec"])
+        yield pd.DataFrame(rows, columns=VERDICT_COLUMNS)
 
     timed = requests.select(
         "user_key", "event_id", F.col("ts").cast("timestamp").alias("ts"),

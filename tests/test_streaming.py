@@ -43,10 +43,20 @@ def test_throttle_equals_model(spark, limit, window):
     assert got == model_throttle(events, max(1, limit), max(1, window))
 
 
-def test_pauses_cut_a_key_into_segments(spark):
-    events = [(n, "hot", n * 10 + (n // 50) * 500) for n in range(500)]
-    timed = frame(spark, events).select("user_key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    assert throttle._segments(timed, 60 * throttle.MICROS).select("segment").distinct().count() == 10
+@pytest.mark.parametrize("segment_rows", [1, 5, 40])
+@pytest.mark.parametrize("limit,window", [(6, 60), (2, 20), (1, 5)])
+def test_segments_do_not_change_verdicts(spark, limit, window, segment_rows):
+    rng = random.Random(segment_rows + limit)
+    events, now = [], 0
+    for n in range(1500):  # busy and quiet stretches of one key
+        now += rng.choice([0, 1, 2]) if (n // 100) % 3 else rng.randint(0, 40)
+        events.append((n, "hot", now))
+    df = frame(spark, events)
+    got = {r.event_id: (r.allowed, r.retry_after_sec) for r in throttle.throttle(df, limit, window, segment_rows).collect()}
+    assert got == model_throttle(events, limit, window)
+    timed = df.select("user_key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    cut = throttle._segments(timed, limit, window * throttle.MICROS, segment_rows)
+    assert cut.select("segment").distinct().count() > 3
 
 
 def run_stream(query):
