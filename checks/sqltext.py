@@ -95,8 +95,10 @@ def clamp(x: str) -> str:
     return f"CAST(greatest(0, least(100, {x})) AS INTEGER)"
 
 
-def _values(rows) -> str:
+def values(rows) -> str:
     def cell(v):
+        if isinstance(v, bool):
+            return str(v).lower()
         return lit(v) if isinstance(v, str) else f"{v!r}e0" if isinstance(v, float) else str(v)
 
     return ", ".join("(" + ", ".join(cell(v) for v in row) + ")" for row in rows)
@@ -121,11 +123,11 @@ _dead = lit(dims.DEAD_CODE_GUIDANCE[0])
 FRAGMENTS = {
     **{name: adapters.oracle_text(name) for name in adapters.ADAPTERS},
     "rules": "SELECT * FROM (VALUES "
-    + _values([(n, r[0], r[1], r[2], r[3], r[4]) for n, r in enumerate(dims.RULES)])
+    + values([(n, r[0], r[1], r[2], r[3], r[4]) for n, r in enumerate(dims.RULES)])
     + ") t(rule_seq, rule_id, issue_type, category, severity, confidence)",
     "risks": "SELECT * FROM (VALUES "
-    + _values([(k, v[0], v[1]) for k, v in dims.DEPENDENCY_RISKS.items()]) + ") t(package, safe_version, risk_severity)",
-    "guidance": "SELECT * FROM (VALUES " + _values([(k, *v) for k, v in dims.GUIDANCE.items()])
+    + values([(k, v[0], v[1]) for k, v in dims.DEPENDENCY_RISKS.items()]) + ") t(package, safe_version, risk_severity)",
+    "guidance": "SELECT * FROM (VALUES " + values([(k, *v) for k, v in dims.GUIDANCE.items()])
     + ") t(rule_id, " + ", ".join(f"g_{k}" for k in dims.GUIDANCE_KEYS) + ")",
     "issues": "SELECT scan_id, issue_seq, file_path, line, rule_id, issue_type, category, severity, confidence, "
     "'m' || issue_seq AS message, ' x = ' || line AS code_snippet FROM issue_facts JOIN rules USING (rule_seq)",

@@ -124,3 +124,20 @@ def test_bounds_never_lose_a_pair():
         for j in range(i + 1, len(bodies)):
             if SequenceMatcher(None, bodies[i], bodies[j]).ratio() >= 0.86:
                 assert j in kept
+                assert duplication._can_reach(duplication._places(bodies[i]), len(bodies[i]), bodies[j])
+
+
+def test_subsequence_bound_is_exact():
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row[:]
+            for n, y in enumerate(b, 1):
+                row[n] = last[n - 1] + 1 if x == y else max(last[n], row[n - 1])
+        return row[-1]
+
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abcd", k=rng.randint(1, 30))) for _ in range(2))
+        want = 2 * longest(a, b) >= 0.86 * (len(a) + len(b))
+        assert duplication._can_reach(duplication._places(a), len(a), b) == want
