@@ -121,7 +121,7 @@ def block_findings(files: DataFrame) -> DataFrame:
 #      ratio from above; only pairs that pass are compared exactly. Nothing but similar pairs leaves the cell.
 
 LENGTH_STEP = 0.754  # a little below 0.86 / (2 - 0.86): shorter partners cannot reach the threshold
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 512
 SALT_SPACE = 1 << 20
 PAIR_SCHEMA = (
     "scan_id string, left_path string, left_line int, left_name string, right_path string, right_line int, "

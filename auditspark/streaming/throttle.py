@@ -55,63 +55,54 @@ def _limits(max_requests: int, window_sec: int) -> tuple[int, int]:
     return max(1, max_requests), max(1, window_sec) * MICROS
 
 
-SEGMENT_ROWS = 200_000
-
-
-def _segments(events: DataFrame, limit: int, window: int, segment_rows: int) -> DataFrame:
-    """Adds ``segment`` and ``seed``: parts of a key that can be judged apart from each other.
-
-    Time is cut into slots as long as the window. If a slot and the one before it hold no more than
-    ``limit`` events together, all events of the slot are accepted whatever came earlier; an empty
-    slot is a special case of this. What is judged after such a slot depends on nothing older, so a
-    new segment may start there, with the events of that slot as accepted seeds. A busy key starts
-    one about every ``segment_rows`` events; other keys stay whole. Only counts per slot are sorted
-    by key here.
+def _placed(events: DataFrame, limit: int, window: int) -> DataFrame:
+    """Adds ``calm``, ``segment`` and ``seeds`` to each event.
+
+    Time is cut into slots as long as the window. In a calm slot, one that holds no more than
+    ``limit`` events together with the slot before it, all events are accepted whatever came earlier.
+    What follows a calm or empty slot depends on nothing older than that slot, so each run of slots
+    that are not calm is a segment of its own, judged apart, with the events of the calm slot before
+    it as accepted ``seeds``. Only one row per key and slot is sorted by key here.
     """
     slotted = events.withColumn("slot", F.floor(F.col("t") / window))
     counts = slotted.groupBy("user_key", "slot").agg(F.count("*").alias("n"))
     by_slot = Window.partitionBy("user_key").orderBy("slot")
-    before = by_slot.rowsBetween(Window.unboundedPreceding, -1)
-
-    def held(back: int):
-        """Events in the slot ``back`` slots earlier."""
-        near = [F.when(F.lag("slot", k).over(by_slot) == F.col("slot") - back, F.lag("n", k).over(by_slot)) for k in (1, 2)]
-        return F.coalesce(*near, F.lit(0))
-
-    free = (held(1) == 0) | (held(1) + held(2) <= limit)
-    part = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / segment_rows)
-    marked = counts.withColumn("mark", F.when(free, part))
-    starts = F.col("mark").isNotNull() & (F.col("mark") > F.coalesce(F.max("mark").over(before), F.lit(-1)))
-    begun = marked.withColumn("starts", starts.cast("int"))
     whole = by_slot.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seeds_next = (F.lead("slot").over(by_slot) == F.col("slot") + 1) & (F.lead("starts").over(by_slot) == 1)
-    placed = begun.select("user_key", "slot", F.sum("starts").over(whole).alias("own"), F.coalesce(seeds_next, F.lit(False)).alias("seeds"))
-    roles = F.array_compact(F.array(
-        F.struct(F.col("own").alias("segment"), F.lit(False).alias("seed")),
-        F.when(F.col("seeds"), F.struct((F.col("own") + 1).alias("segment"), F.lit(True).alias("seed"))),
-    ))
-    joined = slotted.join(placed, ["user_key", "slot"]).withColumn("role", F.explode(roles))
-    return joined.select("user_key", "event_id", "t", "role.segment", "role.seed")
+    follows = F.coalesce(F.lag("slot").over(by_slot) == F.col("slot") - 1, F.lit(False))
+    before = F.when(follows, F.lag("n").over(by_slot)).otherwise(0)
+    noted = counts.withColumn("follows", follows).withColumn("calm", F.col("n") + before <= limit)
+    carried = F.col("follows") & ~F.lag("calm").over(by_slot)
+    begun = noted.withColumn("starts", (~F.col("calm") & ~F.coalesce(carried, F.lit(False))).cast("int"))
+    next_starts = F.lead("follows").over(by_slot) & (F.lead("starts").over(by_slot) == 1)
+    slots = begun.select(
+        "user_key", "slot", "calm", F.sum("starts").over(whole).alias("segment"),
+        (F.col("calm") & F.coalesce(next_starts, F.lit(False))).alias("seeds"),
+    )
+    return slotted.join(slots, ["user_key", "slot"]).select("user_key", "event_id", "t", "calm", "segment", "seeds")
 
 
 VERDICT_SCHEMA = "user_key string, event_id bigint, t bigint, allowed boolean, retry_after_sec int"
 VERDICT_COLUMNS = [part.split()[0] for part in VERDICT_SCHEMA.split(", ")]
 
 
-def throttle(
-    requests: DataFrame, max_requests: int = MAX_REQUESTS, window_sec: int = WINDOW_SECONDS, segment_rows: int = SEGMENT_ROWS
-) -> DataFrame:
+def throttle(requests: DataFrame, max_requests: int = MAX_REQUESTS, window_sec: int = WINDOW_SECONDS) -> DataFrame:
     """Verdicts on ``requests(event_id, user_key, ts)`` in time order per key.
 
-    Rows reach the workers sorted and are judged in one pass that remembers at most ``max_requests``
-    times, so memory does not grow with the number of events of a key.
+    Calm times are settled without leaving the JVM. The rest reaches the workers sorted and is judged
+    in one pass that remembers at most ``max_requests`` times, so memory does not grow with the number
+    of events of a key.
     """
     limit, window = _limits(max_requests, window_sec)
     timed = requests.select("user_key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     keys = ["user_key", "segment"]
     parts = shuffle_partitions(requests.sparkSession)
-    cut = _segments(timed, limit, window, segment_rows)
-    placed = cut.repartition(parts, *keys).sortWithinPartitions(*keys, "t", "event_id")
+    placed = _placed(timed, limit, window)
+    calm = placed.where("calm").select("user_key", "event_id", "t", F.lit(True).alias("allowed"), F.lit(0).alias("retry_after_sec"))
+    segment = F.when(F.col("calm"), F.col("segment") + 1).otherwise(F.col("segment"))
+    busy = placed.where(~F.col("calm") | F.col("seeds")).select(
+        "user_key", "event_id", "t", segment.alias("segment"), F.col("calm").alias("seed")
+    )
+    ordered = busy.repartition(parts, *keys).sortWithinPartitions(*keys, "t", "event_id")
 
     def run(batches):
         current, accepted = None, deque()
@@ -128,7 +119,7 @@ def throttle(
             out = batch[["user_key", "event_id", "t"]].assign(allowed=allowed, retry_after_sec=retry)
             yield out[~seed]
 
-    return placed.mapInPandas(run, VERDICT_SCHEMA)
+    return calm.unionByName(ordered.mapInPandas(run, VERDICT_SCHEMA))
 
 
 STATE_SCHEMA = "accepted array<bigint>, pending_t array<bigint>, pending_id array<bigint>, done bigint"

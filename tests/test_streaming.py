@@ -43,20 +43,19 @@ def test_throttle_equals_model(spark, limit, window):
     assert got == model_throttle(events, max(1, limit), max(1, window))
 
 
-@pytest.mark.parametrize("segment_rows", [1, 5, 40])
-@pytest.mark.parametrize("limit,window", [(6, 60), (2, 20), (1, 5)])
-def test_segments_do_not_change_verdicts(spark, limit, window, segment_rows):
-    rng = random.Random(segment_rows + limit)
+@pytest.mark.parametrize("limit,window", [(6, 60), (2, 20), (1, 5), (3, 7)])
+def test_busy_and_quiet_stretches_of_one_key(spark, limit, window):
+    rng = random.Random(limit)
     events, now = [], 0
-    for n in range(1500):  # busy and quiet stretches of one key
-        now += rng.choice([0, 1, 2]) if (n // 100) % 3 else rng.randint(0, 40)
+    for n in range(2000):
+        now += rng.choice([0, 1, 2]) if (n // 50) % 3 == 0 else rng.randint(0, 2 * window)
         events.append((n, "hot", now))
     df = frame(spark, events)
-    got = {r.event_id: (r.allowed, r.retry_after_sec) for r in throttle.throttle(df, limit, window, segment_rows).collect()}
-    assert got == model_throttle(events, limit, window)
+    got = {r.event_id: (r.allowed, r.retry_after_sec) for r in throttle.throttle(df, limit, window).collect()}
+    assert len(got) == len(events) and got == model_throttle(events, limit, window)
     timed = df.select("user_key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    cut = throttle._segments(timed, limit, window * throttle.MICROS, segment_rows)
-    assert cut.select("segment").distinct().count() > 3
+    placed = throttle._placed(timed, limit, window * throttle.MICROS)
+    assert placed.where("not calm").select("segment").distinct().count() > 3 and placed.where("calm").count() > 0
 
 
 def run_stream(query):
