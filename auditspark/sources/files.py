@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import io
+import sys
 import zipfile
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from auditspark import dims
 from auditspark.functions import text
 from auditspark.session import broadcast_if_small
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Repository address format and clone failure signs, first match wins.
 REPOSITORY_PATTERN = r"^(https://github\.com/|git@github\.com:)([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(\.git)?/?$"
 CLONE_FAILURES = [

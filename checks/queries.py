@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import sys
 import uuid
 import zipfile
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from auditspark.streaming import incremental, status, throttle
 from checks import sqltext as S
 from checks.adapters import TEMPLATES, adapt, table
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 KINDS = len(TEMPLATES)
