@@ -148,7 +148,7 @@ def whole_windows(text: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(text[:n] == text[width - 1:]) if n > 0 else np.zeros(0, np.int64)
 
 
-def in_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def in_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
     """Apply ``work`` to each Arrow batch of each partition."""
 
     def run(batches):
