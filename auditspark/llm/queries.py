@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditspark.llm import near_dedup, preference
+from auditspark.llm import decontaminate, near_dedup, preference
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return preference.scored(documents, preference.train(documents, _table(spark, sf_dir, "labels")))
@@ -22,6 +26,7 @@ def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_near_dedup": op5_near_dedup,
+    "op6_decontaminate": op6_decontaminate,
     "op8_preference": op8_preference,
 }
 
