@@ -14,8 +14,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def sample(labelled: DataFrame, per_class: int, total: int) -> DataFrame:
     """At most ``per_class`` rows of each label of ``labelled(doc_id, label)`` and ``total`` rows, the same in each run.
 
-    Rows are taken in the order of a hash of their id, class by class in turn. No task sorts more of a class than the
-    rows that it keeps.
+    Rows are taken in the order of a hash of their id, class by class in turn. Up to
+    1,000 per class, Spark keeps no more rows of a class than that in any task.
     """
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     ranked = labelled.where("doc_id is not null and label is not null").withColumn("rank", F.row_number().over(order))
