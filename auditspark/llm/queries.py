@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditspark.llm import decontaminate, near_dedup, preference, secrets
+from auditspark.llm import decontaminate, mixture, near_dedup, preference, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents, secrets.train(documents))
 
 
+def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.shares(_table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_secrets": op2_secrets,
+    "op3_mixture": op3_mixture,
     "op5_near_dedup": op5_near_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op8_preference": op8_preference,
@@ -39,6 +44,49 @@ QUERIES = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op3_mixture": rf"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+sources AS (
+  SELECT source, sum(size) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM sized GROUP BY source),
+levels AS (
+  SELECT *, 3 * source_size AS top,
+    ((SELECT sum(source_size) FROM sources) - coalesce(sum(3 * source_size) OVER (
+       ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(weight) OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM sources),
+common AS (
+  SELECT level FROM levels WHERE level * weight <= top ORDER BY top::DOUBLE / weight, source NULLS FIRST LIMIT 1),
+targets AS (
+  SELECT source, source_size::BIGINT AS source_size,
+    CASE WHEN level * weight <= top THEN (SELECT level FROM common) * weight ELSE top::DOUBLE END AS target FROM levels),
+wholes AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM targets),
+lefts AS (SELECT *, target - whole * source_size AS remaining FROM wholes),
+counted AS (
+  SELECT c.source, c.size, l.remaining,
+    coalesce(sum(c.m * c.size) OVER (PARTITION BY c.source ORDER BY c.size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
+    (sum((c.m * c.size * c.size)::HUGEINT) OVER (PARTITION BY c.source ORDER BY c.size ROWS UNBOUNDED PRECEDING))::DOUBLE AS squares
+  FROM (SELECT source, size, count(*) AS m FROM sized WHERE size > 0 GROUP BY ALL) c
+  JOIN lefts l ON c.source IS NOT DISTINCT FROM l.source),
+rates AS (
+  SELECT source, max_by((remaining - above::DOUBLE) / squares, size) AS rate, max_by(above, size) AS above
+  FROM counted WHERE (remaining - above::DOUBLE) / squares * size <= 1 GROUP BY source),
+drawn AS (
+  SELECT s.doc_id, s.size, l.source, l.source_size, l.target, l.whole, l.remaining - coalesce(r.above, 0)::DOUBLE AS open,
+    coalesce(r.rate, 0) * s.size AS chance,
+    (CAST('0x' || substr(md5('mixture-1:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+  FROM sized s JOIN lefts l ON s.source IS NOT DISTINCT FROM l.source LEFT JOIN rates r ON l.source IS NOT DISTINCT FROM r.source),
+ranked AS (
+  SELECT *, CASE WHEN size > 0 AND chance > 0 AND chance < 1 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS odds FROM drawn),
+reached AS (
+  SELECT *, coalesce(sum(CASE WHEN odds IS NOT NULL THEN size END) OVER (
+    PARTITION BY source ORDER BY odds NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ranked)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+  (size * (whole + CASE WHEN size > 0 AND chance >= 1 THEN 1 WHEN odds IS NOT NULL AND before + size / 2.0::DOUBLE <= open THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM reached
+""",
     "op5_near_dedup": rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
