@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditspark.llm import decontaminate, mixture, near_dedup, preference, secrets
+from auditspark.llm import decontaminate, language, mixture, near_dedup, preference, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +33,18 @@ def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.scored(documents, preference.train(documents, _table(spark, sf_dir, "labels")))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return language.predicted(documents, language.train(documents))
+
+
 QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_mixture": op3_mixture,
     "op5_near_dedup": op5_near_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op8_preference": op8_preference,
+    "op10_language": op10_language,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
