@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditspark.llm import decontaminate, language, mixture, near_dedup, preference, secrets
+from auditspark.llm import decontaminate, language, line_quality, mixture, near_dedup, preference, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return line_quality.judged(documents, line_quality.train(documents, _table(spark, sf_dir, "labels")))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return secrets.scan(documents, secrets.train(documents))
@@ -39,6 +44,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_quality": op1_line_quality,
     "op2_secrets": op2_secrets,
     "op3_mixture": op3_mixture,
     "op5_near_dedup": op5_near_dedup,
