@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditspark.llm import decontaminate, language, line_quality, mixture, near_dedup, preference, secrets
+from auditspark.llm import decontaminate, language, licenses, line_quality, mixture, near_dedup, preference, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.shares(_table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(_table(spark, sf_dir, "documents"))
 
@@ -47,12 +51,15 @@ QUERIES = {
     "op1_line_quality": op1_line_quality,
     "op2_secrets": op2_secrets,
     "op3_mixture": op3_mixture,
+    "op4_licenses": op4_licenses,
     "op5_near_dedup": op5_near_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op8_preference": op8_preference,
     "op10_language": op10_language,
 }
 
+_TEMPLATES = ", ".join(f"('{label}', list_distinct(string_split('{text}', ' ')))" for label, text in licenses.TEMPLATES)
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
@@ -98,6 +105,27 @@ reached AS (
 SELECT doc_id, size::BIGINT AS size, source_size, target,
   (size * (whole + CASE WHEN size > 0 AND chance >= 1 THEN 1 WHEN odds IS NOT NULL AND before + size / 2.0::DOUBLE <= open THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM reached
+""",
+    "op4_licenses": rf"""
+WITH words AS (
+  SELECT doc_id, {_LOWER} AS text, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+places AS (
+  SELECT doc_id, label, unnest(list_filter(range(1, len(w) - len(p) + 2), lambda i: w[i:i + len(p) - 1] = p)) - 1 AS spot
+  FROM words, (VALUES (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved')) f(p, label)),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list_distinct(list(label)) AS labels FROM places GROUP BY doc_id),
+blocks AS (
+  SELECT doc_id, regexp_extract_all(unnest(string_split(text, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS b FROM words),
+met AS (
+  SELECT doc_id, label, max(len(list_intersect(t, b))::DOUBLE / len(t)) AS score
+  FROM blocks, (VALUES {_TEMPLATES}) f(label, t)
+  WHERE len(b) > 0 AND len(list_intersect(t, b)) >= ceil(0.8 * len(t) - 1e-9) GROUP BY ALL),
+added AS (SELECT doc_id, list(label) AS labels, max(score) AS score FROM met GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(added.labels, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(score, 0) END::DOUBLE AS score
+FROM words LEFT JOIN base USING (doc_id) LEFT JOIN added USING (doc_id)
 """,
     "op5_near_dedup": rf"""
 WITH RECURSIVE words AS (
