@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditspark.llm import decontaminate, language, licenses, line_quality, mixture, near_dedup, preference, secrets
+from auditspark.llm import decontaminate, html_text, language, licenses, line_quality, mixture, near_dedup, preference, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +37,19 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"), html_text.train())
+
+
 def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return preference.scored(documents, preference.train(documents, _table(spark, sf_dir, "labels")))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return language.predicted(documents, language.train(documents))
@@ -54,7 +62,9 @@ QUERIES = {
     "op4_licenses": op4_licenses,
     "op5_near_dedup": op5_near_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op7_html_text": op7_html_text,
     "op8_preference": op8_preference,
+    "op9_warc": op9_warc,
     "op10_language": op10_language,
 }
 
@@ -146,5 +156,17 @@ reach AS (
   UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
 FROM sets s JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+""",
+    "op9_warc": r"""
+WITH payloads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+coded AS (
+  SELECT page_id, n, h, array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform(range(0, 4), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 1 + 5 * g, 5) AS BIGINT) >> (15 - 5 * k)) & 31 AS INTEGER) + 1, 1)), '')), '') AS d
+  FROM payloads)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id = max(page_id) OVER (PARTITION BY h) THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> max(page_id) OVER (PARTITION BY h) THEN max(page_id) OVER (PARTITION BY h) END AS refers_to
+FROM coded
 """,
 }
