@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditspark.llm.samples import fresh
 from auditspark.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,13 +35,17 @@ SEED = "mixture-1:"
 
 
 def _key(source: str = "source") -> Column:
-    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+
+
+def _words() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def sizes(documents: DataFrame) -> DataFrame:
     """``(doc_id, source, key, size)``: the words of each document, and its source as a text that is never null."""
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+                            _words().alias("size"))
     return slim.withColumn("key", _key())
 
 
@@ -106,24 +111,31 @@ def plan(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sized, decided.select("doc_id", "key", "size", "source_size", "target", (F.col("whole") + F.col("extra").cast("long")).alias("copies"))
 
 
-def _matched(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Join on document, source and size."""
-    right = right.select(*(F.col(c).alias(f"_mix_{c}") for c in right.columns))
-    return left.join(right, left["_doc"].eqNullSafe(right["_mix_doc_id"]) & (left["_key"] == right["_mix_key"]) & (left["_size"] == right["_mix_size"]))
+def _matched(left: DataFrame, decided: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Join with the decisions on document, source and size, which ``names`` names in ``left``; and the decisions' names."""
+    known = {c: fresh(f"mix_{c}", left.columns) for c in decided.columns}
+    right = decided.select(*(F.col(c).alias(n) for c, n in known.items()))
+    doc, key, size = names
+    same = F.col(doc).eqNullSafe(F.col(known["doc_id"])) & (F.col(key) == F.col(known["key"])) & (F.col(size) == F.col(known["size"]))
+    return left.join(right, same), known
 
 
 def shares(documents: DataFrame) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` for every document."""
     sized, decided = plan(documents)
-    found = _matched(sized.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("size").alias("_size")), decided)
-    return found.select(F.col("_doc").alias("doc_id"), F.col("_size").alias("size"), F.col("_mix_source_size").alias("source_size"),
-                        F.col("_mix_target").alias("target"), (F.col("_size") * F.col("_mix_copies")).alias("taken"))
+    found, known = _matched(sized.select("doc_id", "key", "size"), decided, ["doc_id", "key", "size"])
+    return found.select("doc_id", "size", F.col(known["source_size"]).alias("source_size"), F.col(known["target"]).alias("target"),
+                        (F.col("size") * F.col(known["copies"])).alias("taken"))
 
 
 def mixed(documents: DataFrame) -> DataFrame:
-    """The documents that the mix takes, all columns, with ``copies``, ``taken`` words and the source's ``target``."""
+    """The documents that the mix takes, all columns, with ``copies``, ``taken`` words and the source's ``target``.
+
+    Columns of ``documents`` with these three names are replaced.
+    """
     _, decided = plan(documents)
-    known = documents.select("*", F.col("doc_id").cast("long").alias("_doc"), _key().alias("_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size"))
-    found = _matched(known, decided.where("copies > 0"))
-    own = [c for c in documents.columns if c not in ("copies", "taken", "target")]
-    return found.select(*own, F.col("_mix_copies").alias("copies"), (F.col("_size") * F.col("_mix_copies")).alias("taken"), F.col("_mix_target").alias("target"))
+    own = documents.select(*(c for c in documents.columns if c.lower() not in ("copies", "taken", "target")))
+    doc, key, size = names = [fresh(c, own.columns) for c in ("mix_id", "mix_source", "mix_words")]
+    left = own.withColumns({doc: F.col("doc_id").cast("long"), key: _key(), size: _words()})
+    found, known = _matched(left, decided.where("copies > 0"), names)
+    return found.select(*own.columns, F.col(known["copies"]).alias("copies"), (F.col(size) * F.col(known["copies"])).alias("taken"), F.col(known["target"]).alias("target"))

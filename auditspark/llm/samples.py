@@ -26,3 +26,11 @@ def texts_of(chosen: DataFrame, documents: DataFrame) -> DataFrame:
     """``(label, text)`` of a bounded sample; its size is bounded by ``sample``, so that it is broadcast."""
     return (documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
             .join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id").select("label", "text"))
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that none of ``columns`` has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

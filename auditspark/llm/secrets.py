@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditspark.llm.samples import fresh
+
 # fixed values: the patterns of the contract, and the least length of what counts of a match
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"(AKIA[A-Z0-9]+)"
@@ -126,20 +128,21 @@ def _random_spans(text: Column, ratios: list[float]) -> Column:
     return F.filter(_spans(text, "random", len(KINDS), f"({TOKEN})", 1), secret)
 
 
-def with_spans(documents: DataFrame, ratios: list[float], text: str = "text") -> DataFrame:
-    """``documents`` with ``found_base`` and ``found``: arrays of (start, rank, end, kind), in order."""
+def with_spans(documents: DataFrame, ratios: list[float]) -> tuple[DataFrame, str, str]:
+    """``documents`` with two more columns, and their names: base spans, and all spans, as (start, rank, end, kind) in order."""
 
     def ordered(spans: Column) -> Column:
         return F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    whole = F.coalesce(F.col(text), F.lit(""))
+    base, added, both = (fresh(c, documents.columns) for c in ("base_spans", "random_spans", "all_spans"))
+    whole = F.coalesce(F.col("text"), F.lit(""))
     # columns of their own, so that no part is worked out twice
-    found = documents.withColumn("found_base", ordered(base_spans(whole)))
+    found = documents.withColumn(base, ordered(base_spans(whole)))
     mixed = F.when(whole.rlike("[0-9]"), whole.rlike("(?=[A-Za-z+/_=-]*[0-9])" + TOKEN)).otherwise(F.lit(False))
-    found = found.withColumn("found_random", ordered(_or_none(mixed, _random_spans(whole, ratios))))
-    apart = F.filter("found_random", lambda s: ~F.exists("found_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    found = found.withColumn("found_random", F.when(F.size("found_random") > 0, apart).otherwise(F.col("found_random")))
-    return found.withColumn("found", F.when(F.size("found_random") > 0, F.array_sort(F.concat("found_base", "found_random"))).otherwise(F.col("found_base"))).drop("found_random")
+    found = found.withColumn(added, ordered(_or_none(mixed, _random_spans(whole, ratios))))
+    apart = F.filter(added, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    found = found.withColumn(added, F.when(F.size(added) > 0, apart).otherwise(F.col(added)))
+    return found.withColumn(both, F.when(F.size(added) > 0, F.array_sort(F.concat(base, added))).otherwise(F.col(base))).drop(added), base, both
 
 
 def _said(spans: str) -> Column:
@@ -152,15 +155,16 @@ def _count_of(spans: str, kind: str) -> Column:
 
 def scan(documents: DataFrame, ratios: list[float]) -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)`` for every document."""
-    found = with_spans(_slim(documents), ratios)
-    counts = [_count_of("found_base", kind).alias(f"n_{kind}") for kind, _, _ in KINDS]
-    return found.select("doc_id", *counts, F.sha2(_said("found_base"), 256).alias("base_sha256"), _said("found").alias("spans"))
+    found, base, both = with_spans(_slim(documents), ratios)
+    counts = [_count_of(base, kind).alias(f"n_{kind}") for kind, _, _ in KINDS]
+    return found.select("doc_id", *counts, F.sha2(_said(base), 256).alias("base_sha256"), _said(both).alias("spans"))
 
 
 def redacted(documents: DataFrame, ratios: list[float]) -> DataFrame:
     """``documents`` with each secret of ``text`` replaced by ``REDACTION``; all columns stay, and n_chars follows the text."""
     columns = documents.columns
-    found = with_spans(documents, ratios)
+    found, _, spans = with_spans(documents, ratios)
+    cut = fresh("cut", found.columns)
     first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(have, s):
@@ -168,11 +172,10 @@ def redacted(documents: DataFrame, ratios: list[float]) -> DataFrame:
         mark = F.when(s["start"] < have["at"], F.lit("")).otherwise(F.lit(REDACTION))
         return F.struct(F.greatest(s["end"], have["at"]).alias("at"), F.concat(have["out"], gap, mark).alias("out"))
 
-    rest = F.aggregate("found", first, step)
-    found = found.withColumn("cut", F.when(F.size("found") > 0, rest))
-    tail = F.substring(F.col("text"), (F.col("cut.at") + 1).cast("int"), F.length("text"))
-    found = found.withColumn("text", F.when(F.col("cut").isNotNull(), F.concat("cut.out", tail)).otherwise(F.col("text")))
+    found = found.withColumn(cut, F.when(F.size(spans) > 0, F.aggregate(spans, first, step)))
+    tail = F.substring(F.col("text"), (F.col(cut)["at"] + 1).cast("int"), F.length("text"))
+    found = found.withColumn("text", F.when(F.col(cut).isNotNull(), F.concat(F.col(cut)["out"], tail)).otherwise(F.col("text")))
     if "n_chars" in columns:
         kind = documents.schema["n_chars"].dataType
-        found = found.withColumn("n_chars", F.when(F.col("cut").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(F.col(cut).isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return found.select(*columns)
