@@ -2,7 +2,7 @@
 
 The models are bigram tables over classes of characters, one for random strings and one for ordinary identifiers. They
 are trained from labelled samples. Random ones are the values that the fixed patterns find in the documents, and base-64
-forms of ``MADE`` hashes; ordinary ones are all other words of the sampled documents. Counts start at one. A candidate is a run of token characters with a letter and a digit; it is a secret if the log-likelihood
+forms of ``MADE`` hashes; ordinary ones are all other words of the sampled documents, single and joined. Counts start at one. A candidate is a run of token characters with a letter and a digit; it is a secret if the log-likelihood
 ratio of the two models is at least ``MARGIN`` per character.
 
 Everything here is Catalyst expressions: no Python runs on the executors.
@@ -99,8 +99,10 @@ def train(documents: DataFrame) -> list[float]:
     plain = F.col("text")
     for pattern in (ASSIGN, ACCESS, "[0-9a-f]{24,}"):
         plain = F.regexp_replace(plain, pattern, " ")
-    ordinary = slim.join(F.broadcast(ids), "doc_id").select(
-        F.explode(F.regexp_extract_all(plain, F.lit("[A-Za-z_][A-Za-z0-9_-]{3,}"), F.lit(0))).alias("token"), F.lit(0).alias("label"))
+    # once as they stand, and once joined as in names of several words
+    forms = F.explode(F.array(plain, F.regexp_replace(plain, " ", "_"))).alias("plain")
+    ordinary = slim.join(F.broadcast(ids), "doc_id").select(forms).select(
+        F.explode(F.regexp_extract_all("plain", F.lit("[A-Za-z_][A-Za-z0-9_-]{3,}"), F.lit(0))).alias("token"), F.lit(0).alias("label"))
     hits = slim.withColumn("found", base_spans(F.col("text"))).where(F.size("found") > 0)
     random = (hits.select("doc_id", "found.value").orderBy(F.xxhash64("doc_id"), "doc_id").limit(RANDOM)
               .select(F.explode("value").alias("token"), F.lit(1).alias("label")))
