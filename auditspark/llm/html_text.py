@@ -187,6 +187,8 @@ SAMPLES = [
     f"""<article data-label=1><p>{_BRIEF}</p></article><footer data-label=0><p>{_LONG}</p></footer>""",
     f"""<article data-label=1><p><a href=/w>{_LONG}</a></p><p>One</p></article><div class="banner" data-label=0><a href=/s>{_MORE}</a></div>""",
     """<p data-label=1>A page of one sentence only.</p>""",
+    """<p data-label=1>Short.</p>""",
+    f"""<h1 data-label=1>Two</h1><p data-label=1>Short one.</p><p data-label=1>{_LONG}</p>""",
     f"""<header class="masthead" data-label=0><p>{_LONG}</p><h1>Site name</h1></header><div class="post" data-label=1><p>{_BRIEF}</p><p>{_MORE}</p></div>""",
     f"""<body><header data-label=0><h1>The Gazette</h1><p>Since 1900</p></header><article data-label=1><h1>Rain</h1><p>{_BRIEF}</p></article></body>""",
     f"""<body><header data-label=0><h2>Town notes</h2></header><p data-label=1>{_LONG}</p><footer data-label=0>Printed here</footer></body>""",

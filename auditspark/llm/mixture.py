@@ -108,7 +108,7 @@ def plan(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     last = last.withColumn("extra", reached + F.col("m") * F.col("size") / 2 <= F.col("open"))
     rest = placed.where("odds is null or all_in or all_out").withColumn("extra", F.col("certain") | F.coalesce("all_in", F.lit(False)))
     decided = rest.unionByName(last)
-    return sized, decided.select("doc_id", "key", "size", "source_size", "target", (F.col("whole") + F.col("extra").cast("long")).alias("copies"))
+    return sized, decided.select("doc_id", "key", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("whole") + F.col("extra").cast("long")).otherwise(F.lit(0)).alias("copies"))
 
 
 def _matched(left: DataFrame, decided: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
