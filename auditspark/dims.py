@@ -110,10 +110,11 @@ DEFAULT_EXTENSIONS = [
     ".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".go", ".rb", ".php", ".cs", ".cpp", ".c",
     ".json", ".yaml", ".yml", ".toml", ".ini", ".env", ".sql",
 ]
-MAX_SCAN_FILES = 2500
-MAX_READ_BYTES = 512 * 1024
-MAX_ARCHIVE_BYTES = 25 * 1024 * 1024
-MAX_MEMBER_BYTES = MAX_READ_BYTES * 8
+
+# Limits a caller may ask for; none is applied unless it is passed on.
+USUAL_SCAN_FILES = 2500
+USUAL_READ_BYTES = 512 * 1024
+USUAL_ARCHIVE_BYTES = 25 * 1024 * 1024
 
 AUTH_TOKENS = ["verify_id_token", "jwt", "oauth", "authentication", "authorize", "firebase_admin.auth"]
 CORS_WILDCARDS = ["allow_origins=['*']", 'allow_origins=["*"]']
@@ -165,90 +166,90 @@ MESSAGES = {
     "MISSING_INPUT_VALIDATION_ARCH": "This file reads input and shows no sign of validation.",
 }
 
-# rule_id -> texts in the order of GUIDANCE_KEYS
+# rule_id -> texts in the order of GUIDANCE_KEYS; the last one is a fixed value
 DEFAULT_GUIDANCE = [
-    "Code of this shape tends to be open to misuse or to fail in service.",
-    "Whoever reaches the code from outside can steer it into the weak spot.",
-    "Data may leak, rights may be gained or the service may stop.",
-    "Choose interfaces that are safe by default, check input and handle failures on purpose.",
-    "# put a checked implementation with least rights here",
-    "OWASP ASVS and the secure coding guide of the language",
-    "Hardly any cost at run time.",
+    "The pattern found here often goes together with faults; whether it does in this place needs a look.",
+    "No scenario is on file for this rule.",
+    "How bad it is depends on what the surrounding code guards.",
+    "Read the place, decide whether the pattern is wanted, and note the decision next to it.",
+    "",
+    "Project conventions",
+    "Unknown until measured.",
     "78%",
 ]
 GUIDANCE = {
     "HARDCODED_SECRET": [
-        "Anyone who can read the repository or a build product can read the credential.",
-        "After a leak of the sources the key opens the live service at once.",
-        "The holder of the key acts with its full rights until it is changed.",
-        "Read the credential from the environment or a vault and replace the exposed one.",
-        "key = os.environ['SERVICE_KEY']",
-        "OWASP guidance on secrets management",
-        "None at run time.",
+        "Source text is copied, cached, indexed and backed up, and each copy keeps the value for good.",
+        "Years later someone greps an old clone or a container layer and finds a value that still works.",
+        "Nobody can tell who used the value, and changing it means a release.",
+        "Revoke the value first. Then let the deployment hand it over as a file or a mounted secret, and add a commit hook that looks for such values.",
+        "with open('/run/secrets/billing') as handle:\n    billing_token = handle.read().strip()",
+        "CWE-798; twelve-factor configuration",
+        "One small file read at start.",
         "95%",
     ],
     "SQL_INJECTION_STRING_BUILD": [
-        "Input that is pasted into a query can change what the query does.",
-        "A prepared field value turns one lookup into a dump of the table.",
-        "Rows can be read, changed or removed by strangers.",
-        "Bind values as parameters.",
-        "cursor.execute('select name from person where id = %s', (person_id,))",
-        "OWASP guidance on SQL injection",
-        "Bound statements can be reused by the database.",
+        "The database cannot tell which part of the text the programmer wrote and which part a visitor typed.",
+        "A search box accepts a quote mark, and from there on the visitor writes the rest of the statement.",
+        "The statement runs with the rights of the application, which are usually those of the owner of all tables.",
+        "Keep the statement constant and hand values over apart from it, or build it with a query builder that does so.",
+        "query = select(orders).where(orders.c.customer == bindparam('customer'))\nrows = connection.execute(query, {'customer': customer})",
+        "CWE-89",
+        "A constant statement is parsed and planned once.",
         "91%",
     ],
     "COMMAND_INJECTION": [
-        "A command line built from input can run more than was meant.",
-        "A shell operator in the input starts a second command.",
-        "The whole host may be taken over.",
-        "Pass the arguments as a list without a shell and accept known values only.",
-        "subprocess.run(['ls', checked_path], check=True)",
-        "CWE-78",
-        "Starting a program without a shell is faster.",
+        "A shell gives meaning to spaces, quotes, semicolons and dollar signs that the author of the line did not plan for.",
+        "An upload is named so that its name holds a second command, and a nightly job passes the name on.",
+        "The added command runs as the service account, with its files, network and keys.",
+        "Ask whether a library does the same without another program. If not, choose the program from a fixed table and check each argument against a narrow pattern.",
+        "archive = tarfile.open(name)\narchive.extractall(target, filter='data')",
+        "CWE-78; CWE-88",
+        "A library call saves a process for each use.",
         "92%",
     ],
     "MISSING_EXCEPTION_HANDLING": [
-        "A call that may fail is made without a plan for the failure.",
-        "A malformed request ends the handler again and again.",
-        "Requests are lost and data may be left half written.",
-        "Catch the expected failures, record them and answer in a controlled way.",
-        "try:\n    body = json.loads(raw)\nexcept ValueError as error:\n    log.warning('bad body: %s', error)",
-        "Site reliability practice for overload and failure",
-        "Hardly measurable.",
+        "Files vanish, peers hang up and documents are cut short; this function treats none of it as possible.",
+        "A disk fills up during the night, the first write raises, and the rest of the batch is never looked at.",
+        "The trouble surfaces far from its cause, in a caller that cannot know what was half done.",
+        "Decide what each failure means to the caller, and turn it into a result of its own, a retry with a limit, or an error that names the input.",
+        "def load(path):\n    try:\n        return Loaded(path.read_text())\n    except FileNotFoundError:\n        return Missing(path)",
+        "CWE-755",
+        "A try block costs nothing until something is raised.",
         "86%",
     ],
     "DUPLICATION_BLOCK": [
-        "The same logic lives in several places and drifts apart.",
-        "A repair reaches one copy and misses the other.",
-        "The forgotten copy keeps the fault.",
-        "Move the shared part into one tested function.",
-        "def shared_step(record):\n    ...",
-        "Do not repeat yourself",
-        "Less code to load.",
+        "A reader has to compare the copies to learn whether their differences are meant.",
+        "A limit is raised in the copy that a test covers; the other one goes on refusing.",
+        "Each further change costs as many edits as there are copies, and reviews grow with them.",
+        "Write a test that runs through all copies, then replace them one by one by a call, with what differs as arguments.",
+        "total = priced(basket, rate=STANDARD)\nrefund = priced(returned, rate=STANDARD)",
+        "CWE-1041",
+        "A call in place of a copy is not measurable.",
         "85%",
     ],
 }
 DEAD_CODE_GUIDANCE = [
-    "Code that nothing calls hides outdated logic.",
-    "An old entry point still reaches the unused function.",
-    "It widens what must be defended and read.",
-    "Remove it and watch coverage of the rest.",
-    "# delete the unused function",
+    "A function without callers is kept in step with its surroundings by nobody.",
+    "Someone finds it by its name, takes it for current and builds on it.",
+    "It shows up in searches, in type checks and in every rename.",
+    "Search the repository and its configuration for the name, since frameworks may call it by reflection; if nothing turns up, delete it. Version control keeps it.",
+    "git log -S function_name --oneline",
     "CWE-561",
-    "Smaller programs and faster reviews.",
+    "Less to load, to lint and to read.",
     "72%",
 ]
 
 RECOMMENDATIONS = {
-    "secret": "Take credentials out of the sources and replace the exposed ones.",
-    "injection": "Bind query parameters and accept only known commands.",
-    "exceptions": "Handle failures of files, network and parsing where they occur.",
-    "duplication": "Move repeated logic into shared modules and cover it with tests.",
-    "quality": "Refactor long, deeply nested and badly named functions first.",
-    "security": "Strengthen authentication, cross-origin and validation code before release.",
-    "tests": "Add automated unit and integration tests.",
-    "maturity": "Complete documentation, licence and module structure.",
-    "none": "No risk stands out; keep reviewing regularly.",
+    "secret": "Rotate every value found in the sources, and have the deployment supply it.",
+    "injection": "Separate code from data wherever a statement or a command is put together.",
+    "exceptions": "Name the failures that outside resources can cause, and give each a defined outcome.",
+    "duplication": "Pick the largest repeated block, cover it with a test and reduce it to one place.",
+    "quality": "Begin with the functions that several structure rules name at once.",
+    "security": "Go through who may call what from where, and what is checked on the way in.",
+    "tests": "Start a test run in the build, first for the files with most findings.",
+    "maturity": "Tell newcomers what the project is, how it is laid out and on which terms it may be used.",
+    "none": "The rules have nothing to say about this project today.",
 }
 
 RULE_SCHEMA = (

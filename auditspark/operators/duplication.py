@@ -20,7 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Block size, shortest block text, report limits, similarity threshold.
 WINDOW_LINES = 6
 MIN_BLOCK_CHARS = 40
-MAX_BLOCK_REPORTS = 250
+USUAL_BLOCK_REPORTS = 250
 MAX_FUNCTION_REPORTS = 120
 MIN_RATIO = 0.86
 
@@ -94,14 +94,16 @@ def duplicate_blocks(files: DataFrame) -> DataFrame:
     )
 
 
-def reported_blocks(blocks: DataFrame, limit: int = MAX_BLOCK_REPORTS) -> DataFrame:
-    """The first blocks of each scan in order of first occurrence."""
+def reported_blocks(blocks: DataFrame, limit: int | None = None) -> DataFrame:
+    """The blocks of each scan; if given, the first ``limit`` in order of first occurrence."""
+    if limit is None:
+        return blocks
     order = Window.partitionBy("scan_id").orderBy("file_path", "line")
     return blocks.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit)
 
 
-def block_findings(files: DataFrame) -> DataFrame:
-    blocks = reported_blocks(duplicate_blocks(files))
+def block_findings(files: DataFrame, limit: int | None = None) -> DataFrame:
+    blocks = reported_blocks(duplicate_blocks(files), limit)
     message = F.concat(F.lit("The same lines stand at "), "other_path", F.lit(":"), F.col("other_line").cast("string"), F.lit("."))
     one = schema.finding(
         "DUPLICATION_BLOCK", line=F.col("line"), message=message, phase=schema.BLOCK_PHASE, seq1=F.col("line")

@@ -11,8 +11,10 @@ from auditspark.functions import text
 HEAT_FILES, TOP_FINDINGS, TOP_SUGGESTIONS, PRINTED_ADVICE = 60, 12, 6, 10
 
 
-def heat_map(file_report: DataFrame, limit: int = HEAT_FILES) -> DataFrame:
-    """The riskiest files of each scan."""
+def heat_map(file_report: DataFrame, limit: int | None = HEAT_FILES) -> DataFrame:
+    """The riskiest files of each scan with their place; without a limit all files, and no place."""
+    if limit is None:
+        return file_report.select("scan_id", "file_path", "risk_score", "issue_count")
     order = Window.partitionBy("scan_id").orderBy(F.col("risk_score").desc(), "file_path")
     ranked = file_report.select("scan_id", "file_path", "risk_score", "issue_count").withColumn("position", F.row_number().over(order))
     return ranked.where(F.col("position") <= limit)

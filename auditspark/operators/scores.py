@@ -166,9 +166,6 @@ def score_radar(scored: DataFrame) -> DataFrame:
     return scored.select("scan_id", F.explode(axes).alias("a")).select("scan_id", "a.axis", "a.value")
 
 
-MAX_RECOMMENDATIONS = 12
-
-
 def recommendations(scored: DataFrame) -> DataFrame:
     """Ordered advice per scan from rows that hold scores, counters and the test and maturity scores."""
     conditions = [
@@ -182,7 +179,7 @@ def recommendations(scored: DataFrame) -> DataFrame:
         ("maturity", F.col("code_maturity_index") < 55),
     ]
     topics = F.array_compact(F.array(*[F.when(test, topic) for topic, test in conditions]))
-    chosen = F.when(F.size(topics) == 0, F.array(F.lit("none"))).otherwise(F.slice(topics, 1, MAX_RECOMMENDATIONS))
+    chosen = F.when(F.size(topics) == 0, F.array(F.lit("none"))).otherwise(topics)
     wording = F.create_map(*[F.lit(part) for item in dims.RECOMMENDATIONS.items() for part in item])
     one = scored.select("scan_id", F.posexplode(chosen).alias("pos", "topic"))
     return one.select("scan_id", (F.col("pos") + 1).alias("position"), "topic", F.element_at(wording, F.col("topic")).alias("advice"))

@@ -15,7 +15,7 @@ from auditspark.functions import text
 SNAKE_CASE = r"^[a-z_][a-z0-9_]{2,}$"
 MAX_LENGTH, MAX_PARAMS, MAX_NESTING, MIN_MAGIC = 50, 5, 4, 4
 MAX_JS_COMPLEXITY, MAX_JS_NESTING, MIN_JS_NAME = 14, 5, 3
-MAX_UNUSED_IMPORTS, MAX_DEAD_FUNCTIONS = 30, 20
+USUAL_UNUSED_IMPORTS, USUAL_DEAD_FUNCTIONS = 30, 20
 JS_LOGGING = r"\b(console\.(log|error|warn)|logger\.)"
 JS_NULL_CHECK = r"(\?\.|!=\s*null|!==\s*null|typeof\s+\w+\s*!==?\s*['\"]undefined['\"])"
 JS_KEYWORDS = r"\b(if|for|while|switch|case|catch)\b|\?\s*"
@@ -111,28 +111,32 @@ def python_function_findings(functions: DataFrame) -> DataFrame:
 IMPORT_PLACE, DEAD_PLACE = 1_000_000_000, 2_000_000_000
 
 
-def unused_imports(imports: Column, names: Column) -> Column:
-    """Imported names nobody uses, in import order, the first thirty."""
-    return F.slice(F.filter(imports, lambda i: ~F.array_contains(names, i["name"])), 1, MAX_UNUSED_IMPORTS)
+def _first(found: Column, limit: int | None) -> Column:
+    return found if limit is None else F.slice(found, 1, limit)
 
 
-def dead_functions(functions: Column, called: Column) -> Column:
-    """Functions nobody calls in the file, by name, the first twenty."""
+def unused_imports(imports: Column, names: Column, limit: int | None = None) -> Column:
+    """Imported names nobody uses, in import order; the first ``limit``, if given."""
+    return _first(F.filter(imports, lambda i: ~F.array_contains(names, i["name"])), limit)
+
+
+def dead_functions(functions: Column, called: Column, limit: int | None = None) -> Column:
+    """Functions nobody calls in the file, by name; the first ``limit``, if given."""
     lonely = F.filter(functions, lambda f: ~F.array_contains(called, f["name"]) & ~f["name"].startswith("_"))
     by_name = F.array_sort(lonely, lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
-    return F.slice(by_name, 1, MAX_DEAD_FUNCTIONS)
+    return _first(by_name, limit)
 
 
-def python_file_findings(facts: DataFrame) -> DataFrame:
+def python_file_findings(facts: DataFrame, max_imports: int | None = None, max_dead: int | None = None) -> DataFrame:
     unused = F.transform(
-        unused_imports(F.col("py.imports"), F.col("py.names")),
+        unused_imports(F.col("py.imports"), F.col("py.names"), max_imports),
         lambda i: schema.finding(
             "UNUSED_IMPORT", line=i["line"], message=_say("Nothing uses the import '", i["name"], "'."),
             snippet=i["snippet"], stage=schema.STRUCTURE_STAGE, seq1=IMPORT_PLACE, seq2=i["seq"],
         ),
     )
     dead = F.transform(
-        dead_functions(F.col("py.functions"), F.transform("py.calls", lambda c: c["plain"])),
+        dead_functions(F.col("py.functions"), F.transform("py.calls", lambda c: c["plain"]), max_dead),
         lambda f, n: schema.finding(
             "DEAD_CODE_FUNCTION", line=f["start_line"],
             message=_say("Nothing in this file calls function '", f["name"], "'."),
@@ -223,13 +227,13 @@ def js_dead_findings(functions: DataFrame) -> DataFrame:
     return schema.spread(functions, F.array(dead))
 
 
-def unused_js_imports(imports: Column) -> Column:
-    return F.slice(F.filter(imports, lambda i: ~i["used"]), 1, MAX_UNUSED_IMPORTS)
+def unused_js_imports(imports: Column, limit: int | None = None) -> Column:
+    return _first(F.filter(imports, lambda i: ~i["used"]), limit)
 
 
-def js_import_findings(facts: DataFrame) -> DataFrame:
+def js_import_findings(facts: DataFrame, limit: int | None = None) -> DataFrame:
     unused = F.transform(
-        unused_js_imports(F.col("js.imports")),
+        unused_js_imports(F.col("js.imports"), limit),
         lambda i: schema.finding(
             "UNUSED_IMPORT_JS", line=i["line"], message=_say("Nothing uses the import '", i["name"], "'."),
             snippet=i["snippet"], stage=schema.STRUCTURE_STAGE, seq1=DEAD_PLACE, seq2=i["seq"],

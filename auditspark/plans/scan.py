@@ -24,6 +24,7 @@ class Scan:
     scans: DataFrame
     recommendations: DataFrame
     heat_map: DataFrame
+    skipped: DataFrame
 
 
 def riskiest(files: DataFrame, extra_rules=()) -> DataFrame:
@@ -43,24 +44,33 @@ def file_facts(files: DataFrame, extra_rules=()) -> DataFrame:
     return extract.structure(metrics.profile(files, extra_rules))
 
 
-def findings(chosen: DataFrame, facts: DataFrame, extra_rules=()) -> DataFrame:
-    """All findings; only the search for repeated blocks reads the texts again."""
+def findings(chosen: DataFrame, facts: DataFrame, extra_rules=(), max_blocks=None, similar_pairs=duplication.MAX_FUNCTION_REPORTS) -> DataFrame:
+    """All findings; only the search for repeated blocks reads the texts again.
+
+    ``similar_pairs`` is the number of pairs of similar functions that are reported for a scan; all others have no
+    limit of their own.
+    """
     hits = facts.select("scan_id", "file_path", F.explode("line_hits").alias("h"))
     manifests = facts.where(F.col("manifest").isNotNull()).select("scan_id", "file_path", F.col("manifest").alias("content"))
     return issues.union_findings(
         line_rules.hit_findings(hits, extra_rules),
         structure_rules.structure_findings(facts),
         metrics.complexity_findings(metrics.file_metrics(facts)),
-        duplication.block_findings(chosen),
-        duplication.similarity_findings(duplication.similar_functions(extract.blocks_of(facts))),
+        duplication.block_findings(chosen, max_blocks),
+        duplication.similarity_findings(duplication.similar_functions(extract.blocks_of(facts), similar_pairs)),
         dependencies.dependency_findings(manifests),
         project.safeguard_findings(facts),
     )
 
 
-def scan(files: DataFrame, include_extensions=None, exclude_paths=None, max_files=None, extra_rules=()) -> Scan:
+def scan(
+    files: DataFrame, include_extensions=None, exclude_paths=None, max_files=None, extra_rules=(), max_blocks=None,
+    similar_pairs=duplication.MAX_FUNCTION_REPORTS,
+) -> Scan:
     """Scan every ``scan_id`` of ``files(scan_id, file_path, content)``.
 
+    Nothing is left out unless the caller says so; files that are not selected are rows of ``skipped``.
+
     Two tables are written to the shared folder, since several later steps read each of them and the
     Python workers behind the first should run once: file facts and findings. Readme and licence of a
     project count even if their suffix is not selected, so the facts hold them too, unselected.
@@ -69,13 +79,13 @@ def scan(files: DataFrame, include_extensions=None, exclude_paths=None, max_file
     root_names = dims.README_NAMES + dims.LICENSE_NAMES
     every = stored(file_facts(marked.where(F.col("selected") | F.col("file_path").isin(root_names)), extra_rules), "facts")
     facts = every.where("selected")
-    found = stored(findings(marked.where("selected"), facts, extra_rules), "findings")
+    found = stored(findings(marked.where("selected"), facts, extra_rules, max_blocks, similar_pairs), "findings")
     listed = enrich.add_guidance(issues.number_issues(found))
     report = scores.file_report(metrics.file_metrics(facts), found)
     scored = scores.with_scores(scores.scan_rollup(report, found))
     full = scored.join(project.test_coverage(facts), "scan_id").join(project.maturity(facts, every), "scan_id")
     full = full.join(project.safeguards(facts).drop("has_auth", "first_backend"), "scan_id").withColumn("mode", F.lit("basic"))
-    return Scan(listed, report, full, scores.recommendations(full), reports.heat_map(report))
+    return Scan(listed, report, full, scores.recommendations(full), reports.heat_map(report, None), sources.skipped_files(marked))
 
 
 def scan_document(scans: DataFrame) -> DataFrame:

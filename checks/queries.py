@@ -142,6 +142,21 @@ def _(spark, sf):
     return chosen.select("scan_id", "file_path", F.md5("content").alias("digest"))
 
 
+@query("s1_all_source_files", f"""
+SELECT scan_id, file_path, md5(content) AS digest FROM doc_files
+WHERE {S.suffix('file_path')} IN ('.py', '.js', '.ts', '.json') AND NOT contains(lower(file_path), 'fr/')""")
+def _(spark, sf):
+    chosen = sources.select_source_files(adapt(spark, sf, "doc_files"), ["PY", ".js", " ts", ".json"], ["FR/", " "])
+    return chosen.select("scan_id", "file_path", F.md5("content").alias("digest"))
+
+
+@query("s1_skipped_files", f"""
+SELECT scan_id, file_path, 'NOT_SELECTED' AS reason FROM doc_files
+WHERE NOT {S.suffix('file_path')} IN ('.py', '.js', '.ts', '.json') OR contains(lower(file_path), 'fr/')""")
+def _(spark, sf):
+    return sources.skipped_files(sources.mark_source_files(adapt(spark, sf, "doc_files"), ["PY", ".js", " ts", ".json"], ["FR/", " "]))
+
+
 @query("s2_read_text", "SELECT doc_id, md5(text) AS digest FROM documents")
 def _(spark, sf):
     data = F.concat(F.encode("text", "utf-8"), F.unhex(F.lit("C3")))
@@ -150,8 +165,10 @@ def _(spark, sf):
 
 @query("s3_file_map", "SELECT scan_id, file_path FROM doc_files")
 def _(spark, sf):
-    stored_path = F.concat(F.lit("file:/data\\in/"), F.replace("file_path", F.lit("/"), F.lit("\\")))
-    return adapt(spark, sf, "doc_files").select("scan_id", sources.relative_path(stored_path, "/data/in").alias("file_path"))
+    # paths as different file systems list them
+    head = F.element_at(F.array(*map(F.lit, ["file:/data\\in/", "hdfs://node:8020/data/in/", "s3a://bucket/data/in/", "/data/in/"])), (F.length("file_path") % 4 + 1).cast("int"))
+    stored_path = F.concat(head, F.replace("file_path", F.lit("/"), F.lit("\\")))
+    return adapt(spark, sf, "doc_files").select("scan_id", sources.relative_path(stored_path, "s3a://bucket/data/in/").alias("file_path"))
 
 
 def _zipped(batches):
@@ -181,7 +198,7 @@ SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'NOT_A_ZIP_NAME' WHEN n_chars * 100
 FROM documents""")
 def _(spark, sf):
     name = F.concat(F.lit("a"), F.when(F.col("doc_id") % 3 == 0, ".zip.txt").otherwise(".ZIP"))
-    return table(spark, sf, "documents").select("doc_id", sources.archive_verdict(name, F.col("n_chars") * 10000).alias("verdict"))
+    return table(spark, sf, "documents").select("doc_id", sources.archive_verdict(name, F.col("n_chars") * 10000, dims.USUAL_ARCHIVE_BYTES).alias("verdict"))
 
 
 _repo = S.lit(sources.REPOSITORY_PATTERN)
@@ -551,31 +568,52 @@ def _nested(df: DataFrame, fields, into: str) -> DataFrame:
     return df.groupBy("scan_id", "file_path").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(into))
 
 
-@query("a17_unused_import", """
-SELECT scan_id, file_path, name, line FROM (SELECT i.*, ROW_NUMBER() OVER (PARTITION BY scan_id, file_path ORDER BY seq) AS n
-  FROM imports i ANTI JOIN names u USING (scan_id, file_path, name)) x WHERE n <= 30""")
-def _(spark, sf):
+_unused = "SELECT i.*, ROW_NUMBER() OVER (PARTITION BY scan_id, file_path ORDER BY seq) AS n FROM imports i ANTI JOIN names u USING (scan_id, file_path, name)"
+
+
+def _unused_imports(spark, sf, limit: int | None) -> DataFrame:
     imports = _nested(adapt(spark, sf, "imports"), ["seq", "name", "line"], "imports")
     used = adapt(spark, sf, "names").groupBy("scan_id", "file_path").agg(F.collect_set("name").alias("names"))
     both = imports.join(used, ["scan_id", "file_path"], "left")
-    unused = rules.unused_imports(F.col("imports"), F.coalesce("names", F.array().cast("array<string>")))
+    unused = rules.unused_imports(F.col("imports"), F.coalesce("names", F.array().cast("array<string>")), limit)
     return both.select("scan_id", "file_path", F.explode(unused).alias("i")).select("scan_id", "file_path", "i.name", "i.line")
 
 
-@query("a18_dead_function", """
-SELECT scan_id, file_path, name, start_line FROM (SELECT f.*, ROW_NUMBER() OVER (PARTITION BY scan_id, file_path ORDER BY name) AS n
+@query("a17_unused_import", f"SELECT scan_id, file_path, name, line FROM ({_unused}) x WHERE n <= 30")
+def _(spark, sf):
+    return _unused_imports(spark, sf, rules.USUAL_UNUSED_IMPORTS)
+
+
+@query("a17_all_unused_imports", f"SELECT scan_id, file_path, name, line FROM ({_unused}) x")
+def _(spark, sf):
+    return _unused_imports(spark, sf, None)
+
+
+_dead = """SELECT f.*, ROW_NUMBER() OVER (PARTITION BY scan_id, file_path ORDER BY name) AS n
   FROM (SELECT scan_id, file_path, name, max(start_line) AS start_line FROM functions GROUP BY ALL) f
   ANTI JOIN (SELECT DISTINCT scan_id, file_path, plain AS name FROM calls) c USING (scan_id, file_path, name)
-  WHERE NOT starts_with(name, '_')) x WHERE n <= 20""")
-def _(spark, sf):
+  WHERE NOT starts_with(name, '_')"""
+
+
+def _dead_functions(spark, sf, limit: int | None) -> DataFrame:
     distinct = adapt(spark, sf, "functions").groupBy("scan_id", "file_path", "name").agg(F.max("start_line").alias("start_line"))
     functions = _nested(distinct, ["name", "start_line"], "functions")
     called = adapt(spark, sf, "calls").groupBy("scan_id", "file_path").agg(F.collect_set("plain").alias("called"))
     both = functions.join(called, ["scan_id", "file_path"], "left")
-    dead = rules.dead_functions(F.col("functions"), F.coalesce("called", F.array().cast("array<string>")))
+    dead = rules.dead_functions(F.col("functions"), F.coalesce("called", F.array().cast("array<string>")), limit)
     return both.select("scan_id", "file_path", F.explode(dead).alias("f")).select("scan_id", "file_path", "f.name", "f.start_line")
 
 
+@query("a18_dead_function", f"SELECT scan_id, file_path, name, start_line FROM ({_dead}) x WHERE n <= 20")
+def _(spark, sf):
+    return _dead_functions(spark, sf, rules.USUAL_DEAD_FUNCTIONS)
+
+
+@query("a18_all_dead_functions", f"SELECT scan_id, file_path, name, start_line FROM ({_dead}) x")
+def _(spark, sf):
+    return _dead_functions(spark, sf, None)
+
+
 # --- script structure ------------------------------------------------------------------------
 
 _header = "^(function\\s+(\\w+)\\s*\\(([^)]*)\\)|(const|let|var)\\s+(\\w+)\\s*=\\s*\\(([^)]*)\\)\\s*=>\\s*\\{)"
@@ -1092,6 +1130,11 @@ def _(spark, sf):
     return reports.heat_map(_file_report(spark, sf))
 
 
+@query("w2_all_files", "SELECT scan_id, file_path, risk_score, issue_count FROM file_report")
+def _(spark, sf):
+    return reports.heat_map(_file_report(spark, sf), None)
+
+
 _severest = f"(SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY scan_id ORDER BY {S.weight('rank')} DESC, issue_seq) AS INTEGER) AS position FROM %s)"
 
 

@@ -76,8 +76,9 @@ def test_first_two_places_may_be_in_one_file(files):
 
 def test_block_cap(files):
     text = "\n".join(f"some_value_{n} = {n}" for n in range(300))
-    found = duplication.block_findings(files({"s": {"a.py": text, "b.py": text}}))
-    assert sorted(r.line for r in found.collect()) == list(range(1, 251))
+    tree = files({"s": {"a.py": text, "b.py": text}})
+    for limit, last in ((250, 250), (None, 295)):
+        assert sorted(r.line for r in duplication.block_findings(tree, limit).collect()) == list(range(1, last + 1))
 
 
 def pairs(spark, files, scans, **options):

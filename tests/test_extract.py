@@ -115,9 +115,12 @@ def test_findings_of_python_and_script_files(spark, files):
     facts = file_facts(files({"s": {"imports.py": many, "dead.py": dead, "a.js": JS, "broken.py": "def ("}})).cache()
     found = rules.structure_findings(facts)
     count = {r["rule_id"]: r["count"] for r in found.groupBy("rule_id").count().collect()}
+    assert count["UNUSED_IMPORT"] == 32 and count["DEAD_CODE_FUNCTION"] == 22
+    capped = rules.python_file_findings(facts, rules.USUAL_UNUSED_IMPORTS, rules.USUAL_DEAD_FUNCTIONS)
+    count |= {r["rule_id"]: r["count"] for r in capped.groupBy("rule_id").count().collect()}
     assert count["UNUSED_IMPORT"] == 30 and count["DEAD_CODE_FUNCTION"] == 20
     unused = [r.message for r in found.where("rule_id = 'UNUSED_IMPORT'").orderBy("seq2").collect()]
-    assert "m01" in unused[0] and "m30" in unused[-1]
+    assert "m01" in unused[0] and "m32" in unused[-1]
     named = [r.message for r in found.where("rule_id = 'DEAD_CODE_FUNCTION'").orderBy("seq2").collect()]
     assert "lone_01" in named[0] and "lone_20" in named[-1]
     assert count["DEAD_CODE_JS"] == 5

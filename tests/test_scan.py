@@ -44,12 +44,12 @@ def test_archives(spark):
         ("in/long.zip", 26 * 1024 * 1024, bytearray(b"x")),
     ]
     df = spark.createDataFrame(rows, "path string, length bigint, content binary")
-    members = sources.archive_members(df, max_total=5000, max_member=2000).cache()
+    members = sources.archive_members(df, max_total=5000, max_member=2000, max_archive=25 * 1024 * 1024).cache()
     got = {(r.path, r.member, r.error) for r in members.collect()}
     assert got == {
         ("in/good.ZIP", "src/a.py", None), ("in/good.ZIP", "a/../b.py", None), ("in/bad.zip", None, "NOT_A_ZIP_FILE"),
         ("in/escape.zip", None, "UNSAFE_MEMBER_PATH"), ("in/sibling.zip", None, "UNSAFE_MEMBER_PATH"),
-        ("in/huge.zip", None, "EXTRACTED_SIZE_TOO_LARGE"), ("in/name.tar", None, "NOT_A_ZIP_NAME"), ("in/long.zip", None, "TOO_LARGE"),
+        ("in/huge.zip", None, "EXTRACTED_SIZE_TOO_LARGE"), ("in/good.ZIP", "big.py", "MEMBER_TOO_LARGE"), ("in/name.tar", None, "NOT_A_ZIP_NAME"), ("in/long.zip", None, "TOO_LARGE"),
     }
     assert ("good", "src/a.py", "eval(x)") in {tuple(r) for r in sources.archive_files(members).collect()}
 
@@ -63,6 +63,30 @@ def test_read_files(spark, tmp_path):
     assert got == {("s1", path): content for path, content in TREE.items()}
 
 
+def test_read_files_of_another_file_system_opens_selected_files_only(spark, tmp_path):
+    for path in ("s1/a.py", "s1/vendor/b.py", "s1/image.png", "s 2/c.JS"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes("aé".encode() * 10)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.box.link./in", f"file://{tmp_path}")
+    found = sources.read_files(spark, "viewfs://box/in", [".py", "js"], ["vendor/"], max_bytes=5)
+    assert {(r.scan_id, r.file_path, r.content, r.truncated) for r in found.collect()} == {("s1", "a.py", "aéa", True), ("s 2", "c.JS", "aéa", True)}
+    whole = sources.read_files(spark, "viewfs://box/in").collect()
+    assert {r.scan_id for r in whole} == {"s1", "s 2"} and all(r.content == "aé" * 10 for r in whole)
+    opened = found._jdf.queryExecution().executedPlan().toString()
+    assert found.inputFiles() and "file_path" in opened
+    archives = spark.read.format("binaryFile").load(str(tmp_path / "s1"))
+    plan = sources.archive_members(archives, max_archive=7)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,7)" in plan
+
+
+def test_a_scan_without_limits_keeps_every_file(spark, files):
+    kept = sources.mark_source_files(files({"big": {f"f{n:04d}.py": "x" for n in range(3000)} | {"x.bin": "x"}}))
+    assert kept.where("selected").count() == 3000 and "Window" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in sources.skipped_files(kept).collect()] == [("big", "x.bin", "NOT_SELECTED")]
+    capped = sources.mark_source_files(kept.drop("selected"), max_files=2500)
+    assert "WindowGroupLimit" in capped._jdf.queryExecution().executedPlan().toString() and capped.where("selected").count() == 2500
+
+
 def test_cap_keeps_the_first_paths_of_each_scan(spark, files):
     trees = {"big": {f"f{n:04d}.py": "x" for n in range(500)}, "small": {"a.py": "x", "b.txt": "x", "VENDOR/c.py": "x"}}
     kept = sources.select_source_files(files(trees).repartition(7), exclude_paths=["vendor/"], max_files=120)
