@@ -122,7 +122,7 @@ def test_findings_of_python_and_script_files(spark, files):
     unused = [r.message for r in found.where("rule_id = 'UNUSED_IMPORT'").orderBy("seq2").collect()]
     assert "m01" in unused[0] and "m32" in unused[-1]
     named = [r.message for r in found.where("rule_id = 'DEAD_CODE_FUNCTION'").orderBy("seq2").collect()]
-    assert "lone_01" in named[0] and "lone_20" in named[-1]
+    assert "lone_01" in named[0] and "lone_22" in named[-1]
     assert count["DEAD_CODE_JS"] == 5
     assert "broken.py" not in {r.file_path for r in found.collect()}
 
