@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.session import stored
+from auditspark.llm.tables import compact
 
 
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -15,7 +15,7 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     links form stars. A node of very many links is reduced by partial minima, and its join can be split. Rounds grow
     with the logarithm of the number of nodes; each round's links are a written table.
     """
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    edges = compact(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b"), F.col("a")))
@@ -23,7 +23,7 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "links")
+        edges = compact(small.select("e.a", "e.b").where("a <> b").distinct(), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.llm.samples import fresh
+from auditspark.llm.tables import compact
 from auditspark.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,8 +88,8 @@ def plan(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sizes of all rows, and for each distinct (doc_id, key, size) its ``copies``, ``source_size`` and ``target``."""
     sized = stored(sizes(documents), "sizes")
     units = sized.groupBy("doc_id", "key", "size").agg(F.count("*").alias("m"))
-    sources = stored(targets(sized), "targets")
-    rates = stored(_rates(units, sources), "rates")
+    sources = compact(targets(sized), "targets")
+    rates = compact(_rates(units, sources), "rates")
 
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     chance = F.col("rate") * F.col("size")
@@ -96,7 +97,7 @@ def plan(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     drawn = units.join(rates, "key").withColumn("certain", (F.col("size") > 0) & (chance >= 1))
     drawn = drawn.withColumn("odds", F.when((F.col("size") > 0) & (chance > 0) & (chance < 1), odds))
     drawn = drawn.withColumn("bucket", F.floor(BUCKETS * F.col("odds") / (1 + F.col("odds"))))
-    drawn = stored(drawn, "drawn")
+    drawn = compact(drawn, "drawn")
 
     ranges = drawn.where("odds is not null").groupBy("key", "bucket", "open").agg(F.sum(F.col("m") * F.col("size")).alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

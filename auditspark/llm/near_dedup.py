@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from auditspark.llm import setsketch
 from auditspark.llm.batches import WORD, in_batches, mix, pieces, prepare
 from auditspark.llm.components import components
+from auditspark.llm.tables import compact
 from auditspark.session import stored
 
 WIDTH = 5
@@ -236,18 +237,18 @@ def groups(documents: DataFrame) -> DataFrame:
     spark = prepare(documents.sparkSession)
     made = stored(sketches(documents), "sketches")
     nodes = made.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    banded = stored(nodes.select("node", "doc_id", F.explode("bands").alias("key")), "bands")
-    buckets = stored(banded.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("members")).where("members > 1"), "buckets")
-    members = stored(banded.join(buckets, "key").select("key", "lead", "members", "node", "doc_id"), "members")
+    banded = compact(nodes.select("node", "doc_id", F.explode("bands").alias("key")), "bands")
+    buckets = compact(banded.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("members")).where("members > 1"), "buckets")
+    members = compact(banded.join(buckets, "key").select("key", "lead", "members", "node", "doc_id"), "members")
 
     # null-safe, as a node may have no doc_id
     wanted = members.select("node", F.col("doc_id").alias("id")).distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = wanted.join(texts, wanted["id"].eqNullSafe(texts["doc_id"])).select("node", "text")
-    sets = stored(_sets(texts).dropDuplicates(["node"]), "sets")
+    sets = compact(_sets(texts).dropDuplicates(["node"]), "sets")
 
     stars = members.where("node <> lead").groupBy("node").agg(F.min("lead").alias("b")).withColumnRenamed("node", "a")
-    links = stored(_confirmed(stars, sets), "stars")
+    links = compact(_confirmed(stars, sets), "stars")
     roots = components(links)
 
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -256,12 +257,12 @@ def groups(documents: DataFrame) -> DataFrame:
     open_ = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     sides = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
     open_ = open_.select("key", "node", "root", "block", F.explode(sides).alias("s")).select("key", "s.p", "s.q", "block", "node", "root")
-    likely = stored(_likely_partners(_dealt(open_.join(sets.select("node", "n", "registers"), "node"))), "likely")
+    likely = compact(_likely_partners(_dealt(open_.join(sets.select("node", "n", "registers"), "node"))), "likely")
     more = _links_of_groups(_dealt(likely.join(sets.select("node", "shingles"), "node")))
-    roots = components(stored(links.union(more), "links"))
+    roots = components(compact(links.union(more), "links"))
 
     slim = made.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    slim = stored(slim.select("doc_id", "n_shingles", "root"), "rooted")
+    slim = compact(slim.select("doc_id", "n_shingles", "root"), "rooted")
     least = slim.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return (slim.join(least, "root", "left").select("doc_id", "n_shingles", component.alias("component_id"))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.llm.batches import prepare
+from auditspark.llm.tables import FILES
 from auditspark.session import shared_folder, stored
 
 #: payloads from this many bytes on are looked for again
@@ -96,7 +97,9 @@ def write(pages: DataFrame, least: int = LEAST) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "size": [size]})
 
-    made = known.select("page_id", "url", "html", "response_id", "revisit").mapInArrow(run, "path string, size long")
+    # a few archives for each core
+    rows = known.select("page_id", "url", "html", "response_id", "revisit").coalesce(FILES * spark.sparkContext.defaultParallelism)
+    made = rows.mapInArrow(run, "path string, size long")
     return stored(made, "archives")
 
 
