@@ -44,12 +44,22 @@ def prompt(issue_type: Column, severity: Column, path: Column, line: Column, mes
 
 
 def parse_answers(responses: DataFrame) -> DataFrame:
-    """Adds the trimmed answer texts ``a_<key>``; an answer that is no JSON object gives empty texts."""
+    """Adds the trimmed answer texts ``a_<key>``; an answer that is no JSON object gives empty texts.
+
+    A JSON null is the text ``None`` and truth values are ``True`` and ``False``; lists and objects stay JSON.
+    """
     fields = ", ".join(f"{key} string" for key in dims.ANSWER_KEYS)
     is_object = text.strip(F.col("raw")).startswith("{")
     parsed = responses.withColumn("parsed", F.when(is_object, F.from_json("raw", fields)))
-    answers = {f"a_{key}": text.strip(F.coalesce(F.col("parsed")[key], F.lit(""))) for key in dims.ANSWER_KEYS}
-    return parsed.withColumns(answers).drop("parsed")
+    parsed = parsed.withColumn("kinds", F.when(F.col("parsed").isNotNull(), F.try_parse_json("raw")))
+
+    def shown(key: str) -> Column:
+        value = F.coalesce(F.col("parsed")[key], F.lit(""))
+        kind = F.schema_of_variant(F.try_variant_get("kinds", f"$.{key}", "variant"))
+        return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(value)).otherwise(value)
+
+    answers = {f"a_{key}": text.strip(shown(key)) for key in dims.ANSWER_KEYS}
+    return parsed.withColumns(answers).drop("parsed", "kinds")
 
 
 def apply_answers(issues: DataFrame, answers: DataFrame) -> DataFrame:

@@ -44,21 +44,28 @@ def file_facts(files: DataFrame, extra_rules=()) -> DataFrame:
     return extract.structure(metrics.profile(files, extra_rules))
 
 
+def file_findings(facts: DataFrame, extra_rules=()) -> DataFrame:
+    """Findings that rest on single files: line rules, structure, complexity and manifests."""
+    hits = facts.select("scan_id", "file_path", F.explode("line_hits").alias("h"))
+    manifests = facts.where(F.col("manifest").isNotNull()).select("scan_id", "file_path", F.col("manifest").alias("content"))
+    return issues.union_findings(
+        line_rules.hit_findings(hits, extra_rules),
+        structure_rules.structure_findings(facts),
+        metrics.complexity_findings(metrics.file_metrics(facts)),
+        dependencies.dependency_findings(manifests),
+    )
+
+
 def findings(chosen: DataFrame, facts: DataFrame, extra_rules=(), max_blocks=None, similar_pairs=duplication.MAX_FUNCTION_REPORTS) -> DataFrame:
     """All findings; only the search for repeated blocks reads the texts again.
 
     ``similar_pairs`` is the number of pairs of similar functions that are reported for a scan; all others have no
     limit of their own.
     """
-    hits = facts.select("scan_id", "file_path", F.explode("line_hits").alias("h"))
-    manifests = facts.where(F.col("manifest").isNotNull()).select("scan_id", "file_path", F.col("manifest").alias("content"))
     return issues.union_findings(
-        line_rules.hit_findings(hits, extra_rules),
-        structure_rules.structure_findings(facts),
-        metrics.complexity_findings(metrics.file_metrics(facts)),
+        file_findings(facts, extra_rules),
         duplication.block_findings(chosen, max_blocks),
         duplication.similarity_findings(duplication.similar_functions(extract.blocks_of(facts), similar_pairs)),
-        dependencies.dependency_findings(manifests),
         project.safeguard_findings(facts),
     )
 

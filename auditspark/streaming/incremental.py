@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from auditspark.operators import line_rules, scores
-from auditspark.session import broadcast_if_small
+from auditspark import dims
+from auditspark.operators import line_rules
+from auditspark.plans import scan
+from auditspark.session import stored
 
 
-def scan_new_files(files: DataFrame, findings_path: str, summary_path: str, checkpoint: str) -> StreamingQuery:
-    """Line findings of each batch of new ``files``, and fresh counts of the scans it touches.
+def scan_new_files(files: DataFrame, findings_path: str, summary_path: str, checkpoint: str, line_rules_only: bool = False) -> StreamingQuery:
+    """Findings of each batch of new ``files`` that rest on single files, and their counts per file.
 
-    Both tables are partitioned by batch number and a repeated batch overwrites its own part. Of the
-    summaries of a scan the one with the highest batch number is valid.
+    Both tables are partitioned by batch number and a repeated batch overwrites its own part. A batch reads nothing of
+    earlier ones, so its cost does not grow with the history; `current_counts` adds up.
     """
 
     def take(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         part = f"batch_id={number}"
-        line_rules.line_findings(batch).write.mode("overwrite").parquet(f"{findings_path}/{part}")
-        touched = broadcast_if_small(batch.select("scan_id").distinct())
-        found = spark.read.parquet(findings_path).where(F.col("batch_id") <= number).join(touched, "scan_id", "left_semi")
-        scores.severity_distribution(found).write.mode("overwrite").parquet(f"{summary_path}/{part}")
+        found = line_rules.line_findings(batch) if line_rules_only else scan.file_findings(stored(scan.file_facts(batch), "arrived"))
+        found.write.mode("overwrite").parquet(f"{findings_path}/{part}")
+        written = batch.sparkSession.read.schema(found.schema).parquet(f"{findings_path}/{part}")
+        counts = [F.count_if(F.col("severity") == name).alias(name) for name in dims.SEVERITIES]
+        per_file = written.groupBy("scan_id", "file_path").agg(*counts)
+        # files without findings count too: they may replace a version that had some
+        arrived = batch.select("scan_id", "file_path").distinct().join(per_file, ["scan_id", "file_path"], "left")
+        arrived.na.fill(0, dims.SEVERITIES).write.mode("overwrite").parquet(f"{summary_path}/{part}")
 
     return files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_counts(spark: SparkSession, summary_path: str) -> DataFrame:
+    """Findings by severity of each scan, taking the last version of each file."""
+    last = spark.read.parquet(summary_path).groupBy("scan_id", "file_path").agg(F.max_by(F.struct(*dims.SEVERITIES), "batch_id").alias("c"))
+    return last.groupBy("scan_id").agg(*(F.sum(F.col("c")[name]).alias(name) for name in dims.SEVERITIES))

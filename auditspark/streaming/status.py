@@ -90,26 +90,67 @@ def next_state(state: dict | None, op: str, progress, error) -> dict | None:
 
 
 STATUS_SCHEMA = "scan_id string, status string, progress int, error string, last_seq bigint"
+STATE_SCHEMA = (
+    "status string, progress int, error string, last_seq bigint, closed bigint, "
+    "seqs array<bigint>, times array<bigint>, ops array<string>, progresses array<int>, errors array<string>"
+)
+COLUMNS = ["scan_id", "status", "progress", "error", "last_seq"]
+#: seconds that a closed scan is remembered after its last event, in case it is restarted
+REMEMBERED = 7 * 24 * 3600
+
+
+def status_stream(events: DataFrame, lateness: str = "10 minutes", remembered: int = REMEMBERED) -> DataFrame:
+    """The same fold on a stream, in update mode.
+
+    Events of a scan may come in any order within ``lateness``. Those that the watermark has not passed are kept and
+    folded anew in each batch, so that every status shown takes in all events so far in the order of ``seq``; what the
+    watermark has passed is settled, and an event older than that is dropped. State goes ``remembered`` seconds after
+    the last event of a closed scan, and is never kept for events without a create event that are settled.
+    """
 
-
-def status_stream(events: DataFrame) -> DataFrame:
-    """The same fold on a stream, in update mode; events older than the last one seen are dropped."""
+    def fold(now, waiting):
+        for event in waiting:
+            now = next_state(now, event[2], event[3], event[4])
+        return now
 
     def step(key, frames, state: GroupState):
-        status, progress, error, last = state.get if state.exists else (None, None, None, -1)
-        now = None if status is None else {"status": status, "progress": progress, "error": error}
-        for frame in frames:
-            for row in frame.sort_values("seq").itertuples(index=False):
-                if row.seq > last:
-                    now, last = next_state(now, row.op, row.progress, row.error), row.seq
-        if now is None:
-            yield pd.DataFrame([], columns=["scan_id", "status", "progress", "error", "last_seq"])
+        now, last, closed, waiting = None, -1, 0, []
+        if state.exists:
+            status, progress, error, last, closed, *columns = state.get
+            now = None if status is None else {"status": status, "progress": progress, "error": error}
+            waiting = list(zip(*columns))
+        if not state.hasTimedOut:
+            for frame in frames:
+                plain = frame.astype(object).where(frame.notna(), None)
+                waiting += [r for r in zip(plain["seq"], plain["t"], plain["op"], plain["progress"], plain["error"]) if r[0] > last]
+        waiting.sort(key=lambda r: r[0])
+        mark = state.getCurrentWatermarkMs() * 1000
+        settled = 0
+        while settled < len(waiting) and waiting[settled][1] <= mark:
+            settled += 1
+        shown = fold(now, waiting)
+        newest = waiting[-1][0] if waiting else last
+        now, passed, waiting = fold(now, waiting[:settled]), waiting[:settled], waiting[settled:]
+        last = passed[-1][0] if passed else last
+        closed = max([closed, *(r[1] for r in passed)])
+        done = not waiting and (now is None or (now["status"] in CLOSING and closed + remembered * 1_000_000 <= mark))
+        if done:
+            if state.exists:
+                state.remove()
         else:
-            state.update((now["status"], now["progress"], now["error"], last))
-            yield pd.DataFrame([(key[0], now["status"], now["progress"], now["error"], last)],
-                               columns=["scan_id", "status", "progress", "error", "last_seq"])
-
-    shaped = events.select(F.col("scan_id").cast("string").alias("scan_id"), "seq", "op", "progress", "error")
+            kept = (now["status"], now["progress"], now["error"]) if now else (None, None, None)
+            columns = [list(c) for c in zip(*waiting)] or [[] for _ in range(5)]
+            state.update((*kept, last, closed, *columns))
+            if waiting or now["status"] in CLOSING:
+                wake = waiting[0][1] if waiting else closed + remembered * 1_000_000
+                state.setTimeoutTimestamp(max(wake, mark) // 1000 + 1)
+        rows = [] if shown is None or state.hasTimedOut else [(key[0], shown["status"], shown["progress"], shown["error"], newest)]
+        yield pd.DataFrame(rows, columns=COLUMNS)
+
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    shaped = timed.select(
+        F.col("scan_id").cast("string").alias("scan_id"), "seq", "op", "progress", "error", "ts", F.unix_micros("ts").alias("t")
+    ).withWatermark("ts", lateness)
     return shaped.groupBy("scan_id").applyInPandasWithState(
-        step, STATUS_SCHEMA, "status string, progress int, error string, last_seq bigint", "update", GroupStateTimeout.NoTimeout
+        step, STATUS_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout
     )

@@ -161,3 +161,18 @@ def throttle_stream(
     return timed.groupBy("user_key").applyInPandasWithState(
         step, VERDICT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+CLOSING_KEY = "closing tick"
+
+
+def with_closing_tick(requests: DataFrame, folder: str) -> DataFrame:
+    """A stream with one more event far in the future, so that a run over all present input judges every event.
+
+    The added event itself is never judged. ``folder`` takes the file that it is read from.
+    """
+    spark = requests.sparkSession
+    schema = requests.select("event_id", "user_key", "ts").schema
+    tick = spark.sql(f"SELECT -1 AS event_id, '{CLOSING_KEY}' AS user_key, TIMESTAMP_NTZ '2260-01-01' AS ts")
+    tick.select(*(F.col(f.name).cast(f.dataType) for f in schema)).coalesce(1).write.parquet(folder)
+    return requests.select("event_id", "user_key", "ts").unionByName(spark.readStream.schema(schema).parquet(folder))

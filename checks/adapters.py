@@ -279,14 +279,25 @@ SELECT page_id,
          WHEN 4 THEN 'ERROR: Repository not found: '
          ELSE 'exit code 128 at ' END || url AS message
 FROM $pages""",
-    "llm_responses": f"""
+    "llm_answers": f"""
 SELECT CAST(l_orderkey AS STRING) AS scan_id, CAST(issue_seq AS INT) AS issue_seq,
+       CASE l_partkey % 6
+         WHEN 0 THEN '{{"severity":"high","risk_explanation":" r' || CAST(l_partkey AS STRING) || ' ","refactored_code":"x = 1"}}'
+         WHEN 1 THEN '{{"severity":"","secure_fix_explanation":"fix"}}'
+         WHEN 2 THEN '{{broken'
+         WHEN 3 THEN '{{"severity":null,"risk_explanation":true,"confidence_score":90,"refactored_code":"null"}}'
+         WHEN 4 THEN '{{"risk_explanation":"true","secure_fix_explanation":null,"performance_impact":false}}'
+         ELSE '["a"]' END AS raw
+FROM {NUMBERED} n""",
+    "llm_responses": f"""
+SELECT scan_id, issue_seq, raw FROM (
+SELECT CAST(l_orderkey AS STRING) AS scan_id, CAST(issue_seq AS INT) AS issue_seq, l_partkey,
        CASE l_partkey % 4
          WHEN 0 THEN '{{"severity":"high","risk_explanation":" r' || CAST(l_partkey AS STRING) || ' ","refactored_code":"x = 1"}}'
          WHEN 1 THEN '{{"severity":"","secure_fix_explanation":"fix"}}'
          WHEN 2 THEN '{{broken'
          ELSE '["a"]' END AS raw
-FROM {NUMBERED} n
+FROM {NUMBERED} n) a
 WHERE l_partkey % 5 <> 0""",
 }
 

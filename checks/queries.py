@@ -1182,9 +1182,9 @@ def _(spark, sf):
     return _issues(spark, sf).select("scan_id", "issue_seq", built.alias("prompt"))
 
 
-@query("x3_answers", "SELECT * FROM answers")
+@query("x3_answers", "SELECT * FROM every_answer")
 def _(spark, sf):
-    return enrich.parse_answers(adapt(spark, sf, "llm_responses")).drop("raw")
+    return enrich.parse_answers(adapt(spark, sf, "llm_answers")).drop("raw")
 
 
 _changed = ["severity", "risk_explanation", "secure_fix_explanation", "refactored_code"]
@@ -1280,15 +1280,14 @@ def _drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-_t1_tail = " WHERE t <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events)"
-ORACLE["t1_throttle_stream"] = ORACLE["t1_throttle"] + _t1_tail
+ORACLE["t1_throttle_stream"] = ORACLE["t1_throttle"]
 
 
 @query("t1_throttle_stream")
 def _(spark, sf):
-    # Events behind the watermark get a verdict; it stands at the last event, in milliseconds.
     requests = _stream(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("user_key"), "ts")
-    return _drained(throttle.throttle_stream(requests, 2, 86400, "0 seconds"), "throttle")
+    closed = throttle.with_closing_tick(requests, _folder(spark, "tick"))
+    return _drained(throttle.throttle_stream(closed, 2, 86400, "0 seconds"), "throttle")
 
 
 @query("t2_status_stream", f"""
@@ -1300,7 +1299,7 @@ def _(spark, sf):
     op = op.when(F.col("event_type") == "click", "progress").when(F.col("event_type") == "purchase", "completed").otherwise("failed")
     log = events.select(
         (F.col("user_id") * 10 + F.col("event_id") % 10).alias("scan_id"), F.col("event_id").alias("seq"), op.alias("op"),
-        (F.floor("value").cast("int") * 3 - 20).alias("progress"), F.col("props").alias("error"),
+        (F.floor("value").cast("int") * 3 - 20).alias("progress"), F.col("props").alias("error"), "ts",
     )
     path = _folder(spark, "status")
 
@@ -1324,7 +1323,23 @@ def _(spark, sf):
     )
     path = _folder(spark, "arriving")
     incremental.scan_new_files(arriving, f"{path}/findings", f"{path}/counts", f"{path}/log").awaitTermination()
-    return spark.read.parquet(f"{path}/findings").select("scan_id", "file_path", "line", "rule_id")
+    found = spark.read.parquet(f"{path}/findings").where(F.col("rule_id").isin(*dims.LINE_PATTERNS))
+    return found.select("scan_id", "file_path", "line", "rule_id")
+
+
+@query("t3_counts_of_new_files", "SELECT scan_id, " + ", ".join(
+    f"CAST(sum(CASE WHEN severity = '{s}' THEN 1 ELSE 0 END) AS BIGINT) AS {s}" for s in dims.SEVERITIES) + " FROM (" + " UNION ALL ".join(
+    f"SELECT scan_id, '{dims.RULES[dims.RULE_SEQ[r]][3]}' AS severity FROM doc_stream_lines WHERE {S.hit(p, 'text', True)}"
+    for r, p in dims.LINE_PATTERNS.items()) + ") h GROUP BY scan_id")
+def _(spark, sf):
+    docs = _stream(spark, sf, "documents")
+    arriving = docs.select(
+        F.col("source").alias("scan_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"),
+        F.concat(F.lit("# TODO "), F.col("text")).alias("content"),
+    )
+    path = _folder(spark, "arriving")
+    incremental.scan_new_files(arriving, f"{path}/findings", f"{path}/counts", f"{path}/log", line_rules_only=True).awaitTermination()
+    return incremental.current_counts(spark, f"{path}/counts").select("scan_id", *dims.SEVERITIES)
 
 
 # --- whole scans -----------------------------------------------------------------------------

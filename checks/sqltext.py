@@ -120,6 +120,20 @@ _exposed = "category IN ('security', 'dependency')"
 _severe = "category = 'reliability' AND severity IN ('high', 'critical')"
 _dead = lit(dims.DEAD_CODE_GUIDANCE[0])
 
+
+def _answers(table: str) -> str:
+    """Trimmed answer texts; a JSON null and truth values are written as Python writes them."""
+    good = "CASE WHEN json_valid(raw) THEN raw END"
+    columns = []
+    for key in dims.ANSWER_KEYS:
+        path = lit(f"$.{key}")
+        value = (f"CASE json_type({good}, {path}) WHEN 'NULL' THEN 'None' WHEN 'BOOLEAN' THEN "
+                 f"CASE json_extract_string({good}, {path}) WHEN 'true' THEN 'True' ELSE 'False' END "
+                 f"ELSE coalesce(json_extract_string({good}, {path}), '') END")
+        columns.append(f"CASE WHEN json_valid(raw) AND json_type({good}) = 'OBJECT' THEN {strip(value)} ELSE '' END AS a_{key}")
+    return f"SELECT scan_id, issue_seq, {', '.join(columns)} FROM {table}"
+
+
 FRAGMENTS = {
     **{name: adapters.oracle_text(name) for name in adapters.ADAPTERS},
     "rules": "SELECT * FROM (VALUES "
@@ -200,12 +214,8 @@ FRAGMENTS = {
         f"ELSE coalesce(g_{key}, {lit(default)}) END AS {key}"
         for key, dead, default in zip(dims.GUIDANCE_KEYS, dims.DEAD_CODE_GUIDANCE, dims.DEFAULT_GUIDANCE)
     ) + " FROM issues i LEFT JOIN guidance g USING (rule_id)) e",
-    "answers": "SELECT scan_id, issue_seq, "
-    + ", ".join(
-        f"CASE WHEN json_valid(raw) AND json_type(CASE WHEN json_valid(raw) THEN raw END) = 'OBJECT' THEN "
-        f"{strip(f'coalesce(json_extract_string(CASE WHEN json_valid(raw) THEN raw END, {lit(chr(36) + chr(46) + key)}), {lit(str())})')} ELSE '' END AS a_{key}"
-        for key in dims.ANSWER_KEYS
-    ) + " FROM llm_responses",
+    "answers": _answers("llm_responses"),
+    "every_answer": _answers("llm_answers"),
 }
 
 

@@ -1,4 +1,3 @@
-import json
 import random
 from collections import defaultdict, deque
 from datetime import datetime, timedelta
@@ -118,30 +117,84 @@ def test_status_rules():
     assert status.next_state(state, "running", 0, None)["status"] == "running"
 
 
-def test_status_stream_equals_model(spark, tmp_path):
-    log = random_log(3, 600)
-    latest = {}
+TIMED_LOG = LOG + ", ts timestamp"
+
+
+def timed(log):
+    return [(*row, START + timedelta(seconds=row[1])) for row in log]
+
+
+def run_status(spark, parts, folder, lateness="10 minutes", **options):
+    """Latest shown status of each scan after one run per part."""
+    latest, sizes = {}, []
 
     def keep(batch, _):
         for r in batch.collect():
             latest[int(r.scan_id)] = (r.status, r.progress, r.error)
 
-    for part in (log[:250], log[250:400], log[400:]):
-        spark.createDataFrame(part, LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = status.status_stream(spark.readStream.schema(LOG).parquet(str(tmp_path / "in")))
-        run_stream(stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).start())
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, TIMED_LOG).repartition(4).write.mode("append").parquet(str(folder / "in"))
+        stream = status.status_stream(spark.readStream.schema(TIMED_LOG).parquet(str(folder / "in")), lateness, **options)
+        query = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(folder / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    return latest, sizes
+
+
+@pytest.mark.parametrize("records", ["4096", "1"])
+def test_status_stream_equals_model(spark, tmp_path, records):
+    log = random_log(3, 600)
+    mixed = sorted(timed(log), key=lambda e: random.Random(e[1]).random() * 40 + e[1] // 80 * 80)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    try:
+        latest, _ = run_status(spark, (mixed[:250], mixed[250:400], mixed[400:]), tmp_path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     assert latest == model_status(log)
 
 
+def test_status_stream_of_many_shuffled_events_equals_the_fold(spark, tmp_path):
+    rng = random.Random(8)
+    log, seq = [], 0
+    for k in range(40):
+        for scan in range(1500):
+            log.append((scan, seq, "create" if k == 0 else rng.choice(["running", "progress", "progress", "completed", "failed"]), rng.randint(0, 99), None))
+            seq += 1
+    df = spark.createDataFrame(timed(log), TIMED_LOG)
+    want = {int(r.scan_id): (r.status, r.progress, r.error) for r in status.status_fold(df).collect()}
+    rng.shuffle(log)
+    latest, _ = run_status(spark, [timed(log)], tmp_path, "1 day")
+    assert len(log) == 60_000 and latest == want
+
+
+def test_state_of_closed_scans_goes(spark, tmp_path):
+    log = [(s, 2 * s, "create", 0, None) for s in range(20)] + [(s, 2 * s + 1, "completed" if s % 2 else "failed", 0, "e") for s in range(20)]
+    late = [(99, 10**6, "progress", 1, None)]
+    _, sizes = run_status(spark, (timed(log), timed(late), timed([(98, 10**6 + 1, "progress", 1, None)])), tmp_path, "10 seconds", remembered=60)
+    assert sizes[0] == 20 and sizes[-1] <= 2
+
+
 def test_new_files_are_scanned_once(spark, tmp_path):
     schema = "scan_id string, file_path string, content string"
-    rows = [[("s", "a.py", "eval(x)\n# TODO")], [("s", "b.py", "password == x"), ("t", "c.py", "eval(x)")]]
+    rows = [[("s", "a.py", "eval(x)\n# TODO")], [("s", "b.py", "password == x"), ("t", "c.py", "eval(x)")], [("s", "a.py", "import os\n"), ("u", "d.py", "")]]
     for part in rows:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         query = incremental.scan_new_files(stream, str(tmp_path / "found"), str(tmp_path / "sums"), str(tmp_path / "cp"))
         query.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "found")).count() == 4
-    sums = [json.loads(r) for r in spark.read.parquet(str(tmp_path / "sums")).toJSON().collect()]
-    last = {s["scan_id"]: s for s in sorted(sums, key=lambda s: s["batch_id"])}
-    assert (last["s"]["high"], last["s"]["low"], last["t"]["high"]) == (2, 1, 1)
+    found = spark.read.parquet(str(tmp_path / "found"))
+    hits = [(r.batch_id, r.rule_id) for r in found.collect()]
+    assert sum(rule in ("EVAL_USAGE", "TODO_HACK_MARKER", "INSECURE_AUTH_LOGIC") for _, rule in hits) == 4 and (2, "UNUSED_IMPORT") in hits
+    counts = {r.scan_id: r.asDict() for r in incremental.current_counts(spark, str(tmp_path / "sums")).collect()}
+    # the new version of a.py replaces the findings of the old one
+    assert counts["s"]["high"] == 1 and counts["t"]["high"] == 1 and sum(v for k, v in counts["u"].items() if k != "scan_id") == 0
+
+
+def test_closing_tick_lets_a_run_judge_every_event(spark, tmp_path):
+    events = random_events(9, 400)
+    frame(spark, events).repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_id bigint, user_key string, ts timestamp_ntz").parquet(str(tmp_path / "in"))
+    out = throttle.throttle_stream(throttle.with_closing_tick(stream, str(tmp_path / "tick")), 3, 60, "10 seconds")
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = {r.event_id: (r.allowed, r.retry_after_sec) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == model_throttle(events, 3, 60)
