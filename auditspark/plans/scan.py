@@ -28,15 +28,27 @@ class Scan:
 
 
 def riskiest(files: DataFrame, extra_rules=()) -> DataFrame:
-    """Severity counts and security score of each scan from the line rules alone."""
-    chosen = files.select("scan_id", "file_path", "content")
-    found = line_rules.line_findings(chosen, extra_rules)
-    totals = chosen.groupBy("scan_id").agg(F.count("*").alias("files"), F.sum(metrics.text.count_lines(F.col("content"))).alias("total_lines"))
-    counted = totals.join(scores.issue_rollup(found), "scan_id", "left")
-    filled = [F.coalesce(name, F.lit(0)).alias(name) for name in [*dims.SEVERITIES, "issues", "security_weight"]]
-    rows = counted.select("scan_id", "files", "total_lines", *filled)
+    """Severity counts and security score of each scan from the line rules alone.
+
+    Each text is read once: a row of numbers per file, and one aggregate with partial sums.
+    """
+    rules = dims.rule_rows(extra_rules)
+    seqs = F.transform(line_rules.line_hits(F.col("content"), extra_rules), lambda h: h["rule_seq"])
+    each = files.select("scan_id", metrics.text.count_lines(F.col("content")).alias("lines"), seqs.alias("hits"))
+
+    def added(values: list[int]):
+        """Sum of a number per rule over the hits of all files."""
+        table = F.array(*map(F.lit, values))
+        return F.sum(F.aggregate("hits", F.lit(0), lambda total, seq: total + F.get(table, seq)))
+
+    weights = [dims.SECURITY_WEIGHT.get(r[4], 1) if r[3] in ("security", "dependency") else 0 for r in rules]
+    counted = each.groupBy("scan_id").agg(
+        F.count("*").alias("files"), F.sum("lines").alias("total_lines"), F.sum(F.size("hits")).alias("issues"),
+        *[added([int(r[4] == name) for r in rules]).alias(name) for name in dims.SEVERITIES],
+        added(weights).alias("security_weight"),
+    )
     score = scores.security_score(F.col("security_weight"), F.col("total_lines")).alias("security_score")
-    return rows.select("scan_id", "files", "total_lines", "issues", *dims.SEVERITIES, score)
+    return counted.select("scan_id", "files", "total_lines", "issues", *dims.SEVERITIES, score)
 
 
 def file_facts(files: DataFrame, extra_rules=()) -> DataFrame:
