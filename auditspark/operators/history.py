@@ -31,6 +31,23 @@ def read_history_json(spark: SparkSession, path: str) -> DataFrame:
     return parse_history(spark.read.text(path, wholetext=True))
 
 
+def history_rows(scans: DataFrame, sources: DataFrame) -> DataFrame:
+    """A history row of each finished scan.
+
+    ``scans`` are those of `plans.scan.scan`, and ``sources(scan_id, owner_uid, source_type, source_label, started_at,
+    finished_at)`` says where they came from. Scans without a source keep their totals and scores.
+    """
+    totals = F.struct(
+        F.col("files").cast("int").alias("total_files_scanned"), F.col("total_lines").cast("int").alias("total_lines_analyzed"),
+        F.col("issues").cast("int").alias("total_issues_found"), *[F.col(s).cast("int").alias(s) for s in dims.SEVERITIES],
+    )
+    return scans.join(sources, "scan_id", "left").select(
+        "scan_id", "owner_uid", "source_type", "source_label",
+        F.col("started_at").cast("timestamp").alias("created_at"), F.col("finished_at").cast("timestamp").alias("updated_at"),
+        totals.alias("totals"), F.struct(*[F.col(s).cast("int").alias(s) for s in dims.SCORES]).alias("scores"),
+    )
+
+
 def append_history(scans: DataFrame, path: str) -> None:
     scans.write.mode("append").parquet(path)
 

@@ -158,6 +158,26 @@ def with_scores(rollup: DataFrame) -> DataFrame:
     )
 
 
+# score -> name of a diagnostic, the counter behind it, and its decimals (None: a whole number)
+DIAGNOSTICS = {
+    "trust": [("secret_exposure_hits", "secret_hits", None), ("auth_safety_hits", "auth_hits", None),
+              ("input_validation_hits", "input_hits", None), ("error_handling_hits", "reliability_hits", None)],
+    "reliability": [("missing_exception_cases", "unhandled_hits", 0), ("swallowed_exception_cases", "swallowed_hits", 0),
+                    ("critical_reliability_issues", "reliability_hits", 0), ("logging_ratio", "logging_ratio", 3), ("null_check_ratio", "null_check_ratio", 3)],
+    "quality": [("duplication_hits", "duplication_hits", 0), ("long_function_hits", "long_hits", 0), ("dead_code_hits", "dead_hits", 0),
+                ("complexity_hits", "complexity_hits", 0), ("avg_complexity", "mean_complexity", 2), ("avg_maintainability", "mean_maintainability", 2)],
+}
+
+
+def diagnostics() -> Column:
+    """The counters and rounded means behind three of the scores, one struct each."""
+
+    def shown(counter: str, places: int | None) -> Column:
+        return F.col(counter) if places is None else F.col(counter).cast("double") if places == 0 else text.py_round(F.col(counter), places)
+
+    return F.struct(*[F.struct(*[shown(c, p).alias(n) for n, c, p in rows]).alias(score) for score, rows in DIAGNOSTICS.items()])
+
+
 def score_radar(scored: DataFrame) -> DataFrame:
     """One row per scan and score axis."""
     axes = F.array(*[

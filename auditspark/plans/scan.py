@@ -25,6 +25,7 @@ class Scan:
     recommendations: DataFrame
     heat_map: DataFrame
     skipped: DataFrame
+    quarantine: DataFrame
 
 
 def riskiest(files: DataFrame, extra_rules=()) -> DataFrame:
@@ -84,11 +85,14 @@ def findings(chosen: DataFrame, facts: DataFrame, extra_rules=(), max_blocks=Non
 
 def scan(
     files: DataFrame, include_extensions=None, exclude_paths=None, max_files=None, extra_rules=(), max_blocks=None,
-    similar_pairs=duplication.MAX_FUNCTION_REPORTS,
+    similar_pairs=duplication.MAX_FUNCTION_REPORTS, answers=None, sources_of=None,
 ) -> Scan:
     """Scan every ``scan_id`` of ``files(scan_id, file_path, content)``.
 
-    Nothing is left out unless the caller says so; files that are not selected are rows of ``skipped``.
+    Nothing is left out unless the caller says so; files that are not selected are rows of ``skipped``, and issues that
+    do not fit the schema are rows of ``quarantine`` and count nowhere. ``answers(scan_id, issue_seq, raw)`` of a reviewer
+    are applied before anything is counted. ``sources_of(scan_id, owner_uid, source_type, source_label, started_at,
+    finished_at)`` adds where a scan came from and how long it took.
 
     Two tables are written to the shared folder, since several later steps read each of them and the
     Python workers behind the first should run once: file facts and findings. Readme and licence of a
@@ -100,11 +104,27 @@ def scan(
     facts = every.where("selected")
     found = stored(findings(marked.where("selected"), facts, extra_rules, max_blocks, similar_pairs), "findings")
     listed = enrich.add_guidance(issues.number_issues(found))
+    if answers is not None:
+        listed = enrich.apply_answers(listed, enrich.parse_answers(answers))
+    listed = listed.withColumn("problem", issues.schema_problem({name: F.col(name) for name in listed.columns}))
+    refused, listed = listed.where(F.col("problem").isNotNull()), listed.where(F.col("problem").isNull()).drop("problem")
+    if answers is not None or extra_rules:
+        # what is counted is what is listed: answers change severities, and own rules may not fit the schema
+        listed = stored(listed, "issues")
+        found = listed
     report = scores.file_report(metrics.file_metrics(facts), found)
     scored = scores.with_scores(scores.scan_rollup(report, found))
     full = scored.join(project.test_coverage(facts), "scan_id").join(project.maturity(facts, every), "scan_id")
-    full = full.join(project.safeguards(facts).drop("has_auth", "first_backend"), "scan_id").withColumn("mode", F.lit("basic"))
-    return Scan(listed, report, full, scores.recommendations(full), reports.heat_map(report, None), sources.skipped_files(marked))
+    full = full.join(project.safeguards(facts).drop("has_auth", "first_backend"), "scan_id")
+    if answers is None:
+        full = full.withColumn("mode", F.lit("basic"))
+    else:
+        answered = answers.groupBy("scan_id").agg(F.count("*").alias("answers"))
+        full = full.join(answered, "scan_id", "left").withColumn("mode", F.when(F.col("answers") > 0, "advanced").otherwise("basic_fallback")).drop("answers")
+    if sources_of is not None:
+        seconds = (F.unix_micros(F.col("finished_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / F.lit(1e6)
+        full = full.join(sources_of.withColumn("duration_seconds", metrics.text.py_round(seconds, 2)), "scan_id", "left")
+    return Scan(listed, report, full, scores.recommendations(full), reports.heat_map(report, None), sources.skipped_files(marked), refused)
 
 
 def scan_document(scans: DataFrame) -> DataFrame:
@@ -118,7 +138,9 @@ def scan_document(scans: DataFrame) -> DataFrame:
         F.struct(*dims.SEVERITIES).alias("severity_distribution"),
         F.struct(*[F.col(s).alias(s.split("_")[0]) for s in dims.SCORES]).alias("score_radar"),
         F.struct(
+            F.col("mode").alias("ai_mode_applied"),
             F.struct("logging_ratio", "null_check_ratio").alias("aggregate_metrics"),
+            scores.diagnostics().alias("score_diagnostics"),
             F.struct("missing_input_validation_signals", "auth_layer_missing", "insecure_cors", "debug_enabled").alias("architecture_validator"),
             F.struct("has_test_folder", "has_pytest_or_unittest", "test_file_count", "test_coverage_score").alias("test_coverage"),
             F.struct("has_readme", "readme_quality", "has_license", "modular_structure", "logging_detected", "code_maturity_index").alias("code_maturity"),

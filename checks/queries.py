@@ -1068,6 +1068,31 @@ _score("g11_all_scores", dims.SCORES)
 _score("g12_dependency_score", ["dependency_risk_score"])
 
 
+@query("g11_score_diagnostics", """
+SELECT scan_id, CAST(secret_hits AS BIGINT) AS secret_exposure_hits, CAST(auth_hits AS BIGINT) AS auth_safety_hits,
+  CAST(input_hits AS BIGINT) AS input_validation_hits, CAST(reliability_hits AS BIGINT) AS error_handling_hits,
+  CAST(unhandled_hits AS DOUBLE) AS missing_exception_cases, CAST(swallowed_hits AS DOUBLE) AS swallowed_exception_cases,
+  CAST(reliability_hits AS DOUBLE) AS critical_reliability_issues, CAST(format('{:.3f}', logging_ratio) AS DOUBLE) AS logging_ratio,
+  CAST(format('{:.3f}', null_check_ratio) AS DOUBLE) AS null_check_ratio, CAST(duplication_hits AS DOUBLE) AS duplication_hits,
+  CAST(long_hits AS DOUBLE) AS long_function_hits, CAST(dead_hits AS DOUBLE) AS dead_code_hits, CAST(complexity_hits AS DOUBLE) AS complexity_hits,
+  CAST(format('{:.2f}', mean_complexity) AS DOUBLE) AS avg_complexity, CAST(format('{:.2f}', mean_maintainability) AS DOUBLE) AS avg_maintainability FROM scored""")
+def _(spark, sf):
+    told = _scored(spark, sf).select("scan_id", scores.diagnostics().alias("d"))
+    return told.select("scan_id", "d.trust.*", "d.reliability.*", "d.quality.*")
+
+
+@query("s11_history_rows", f"""
+SELECT scan_id, 'u' || CAST(files % 5 AS VARCHAR) AS owner_uid, 'upload' AS source_type, CAST(issues AS INTEGER) AS total_issues_found,
+  {', '.join(f'CAST({s} AS INTEGER) AS {s}' for s in dims.SCORES)} FROM scored""")
+def _(spark, sf):
+    scored = _scored(spark, sf)
+    came_from = scored.select(
+        "scan_id", F.concat(F.lit("u"), (F.col("files") % 5).cast("string")).alias("owner_uid"), F.lit("upload").alias("source_type"),
+        F.lit("a.zip").alias("source_label"), F.timestamp_seconds(F.lit(0)).alias("started_at"), F.timestamp_seconds(F.lit(5)).alias("finished_at"))
+    rows = history.history_rows(scored, came_from)
+    return rows.select("scan_id", "owner_uid", "source_type", "totals.total_issues_found", "scores.*")
+
+
 @query("g13_score_radar", " UNION ALL ".join(f"SELECT scan_id, '{s.split('_')[0]}' AS axis, {s} AS value FROM scored" for s in dims.SCORES))
 def _(spark, sf):
     return scores.score_radar(_scored(spark, sf))

@@ -190,3 +190,25 @@ def test_one_scan_with_most_of_the_issues(spark):
     want = sorted((r for r in rows if r[0] == "hot"), key=lambda r: (r[3], r[1], r[4], r[5]))
     assert [r.line for r in hot] == [r[2] for r in want]
     assert [r.issue_seq for r in hot] == list(range(1, len(want) + 1))
+
+
+def test_answers_change_what_is_counted_and_misfits_go_to_quarantine(spark, files):
+    tree = {"s": {"a.py": "x = eval(y)\n", "b.py": "# TODO\n"}, "t": {"a.py": "x = eval(y)\n"}}
+    plain = plan.scan(files(tree))
+    seq = {r.scan_id: r.issue_seq for r in plain.issues.where("rule_id = 'EVAL_USAGE'").collect()}
+    before = {r.scan_id: r.asDict() for r in plain.scans.collect()}
+    rows = [("s", seq["s"], json.dumps({"severity": "low", "risk_explanation": "checked"})), ("t", seq["t"], json.dumps({"severity": "dire"}))]
+    answers = spark.createDataFrame(rows, "scan_id string, issue_seq int, raw string")
+    came_from = spark.createDataFrame([("s", "u1", "upload", "s.zip", 0.0, 2.504)], "scan_id string, owner_uid string, source_type string, source_label string, started_at double, finished_at double")
+    came_from = came_from.withColumns({c: F.col(c).cast("timestamp") for c in ("started_at", "finished_at")})
+    done = plan.scan(files(tree), answers=answers, sources_of=came_from)
+    after = {r.scan_id: r.asDict() for r in done.scans.collect()}
+    assert after["s"]["high"] == before["s"]["high"] - 1 and after["s"]["low"] == before["s"]["low"] + 1
+    assert after["s"]["issues"] == before["s"]["issues"] and after["s"]["security_score"] > before["s"]["security_score"]
+    assert after["t"]["issues"] == before["t"]["issues"] - 1 and {r.problem for r in done.quarantine.collect()} == {"BAD_SEVERITY"}
+    assert after["s"]["mode"] == "advanced" and before["s"]["mode"] == "basic" and after["s"]["duration_seconds"] == 2.5
+    assert plain.quarantine.count() == 0
+    row = history.history_rows(done.scans.select(*plain.scans.columns), came_from).where("scan_id = 's'").first()
+    assert (row.owner_uid, row.totals.total_issues_found, row.scores.security_score) == ("u1", after["s"]["issues"], after["s"]["security_score"])
+    told = json.loads(plan.scan_document(done.scans).where("scan_id = 's'").select(F.to_json("metadata").alias("m")).first().m)
+    assert told["score_diagnostics"]["trust"]["secret_exposure_hits"] == 0 and told["ai_mode_applied"] == "advanced"
