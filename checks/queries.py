@@ -34,6 +34,22 @@ BROKEN_KINDS = (6, 21)  # templates that are no valid Python
 PYTHON_COMPLEXITY = {0: 3, 1: 4, 2: 7, 3: 11, 4: 1, 5: 1, 7: 17, 8: 26, 11: 2, 12: 3, 16: 1, 17: 1}  # counted by hand
 
 
+# Names that the Python templates use, read off by hand
+PYTHON_NAMES = {
+    0: "api_key short_token password given eval user hashlib link safe jwt",
+    1: "cursor key os command subprocess open path out OSError",
+    2: "debug app request item ValueError Exception",
+    3: "value other a b x logger OSError print open self",
+    4: "used annotations",
+    5: "value wanted _private",
+    7: "value other",
+    8: "value other",
+    11: "result item items price discount taxed rate words text first last joined",
+    12: "result item items price discount taxed rate table row rows size len",
+    16: "schema input",
+    17: "password input",
+}
+
 # Read off the Python templates by hand:
 # (template, function, parameters, nesting, magic numbers, risky calls, has try)
 PYTHON_FUNCTIONS = [
@@ -528,7 +544,11 @@ def _(spark, sf):
     return rules.python_imports(_parsed(spark, sf)).select("scan_id", "file_path", "name", "line")
 
 
-@query("a9_used_names")
+_names = ", ".join(f"({kind}, '{name}')" for kind, names in PYTHON_NAMES.items() for name in names.split())
+
+
+@query("a9_used_names", f"""
+SELECT d.scan_id, d.file_path, name FROM {_doc_of} d JOIN (VALUES {_names}) c(kind, name) ON d.kind = c.kind""")
 def _(spark, sf):
     return _parsed(spark, sf).select("scan_id", "file_path", F.explode("py.names").alias("name"))
 
