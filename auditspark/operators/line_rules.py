@@ -69,3 +69,23 @@ def line_findings(files: DataFrame, extra_rules=()) -> DataFrame:
     """Findings of all line rules in ``files(scan_id, file_path, content)``."""
     hits = files.select("scan_id", "file_path", F.explode(line_hits(F.col("content"), extra_rules)).alias("h"))
     return hit_findings(hits, extra_rules)
+
+
+def hit_array(hits: Column, extra_rules=()) -> Column:
+    """The findings of a file's ``line_hits``; what a rule fixes is looked up in a literal of the plan."""
+    rules = F.array(*[
+        F.struct(*[F.lit(v).alias(n) for n, v in zip(schema.FINDING[3:7], row[1:5])], F.lit(row[7]).alias("message"),
+                 F.lit(float(row[5])).alias("confidence"), F.array(*map(F.lit, row[6])).cast("array<string>").alias("tags"))
+        for row in dims.rule_rows(extra_rules)
+    ])
+
+    def one(h: Column) -> Column:
+        rule = F.get(rules, h["rule_seq"])
+        return F.struct(
+            h["line"].cast("int").alias("line"), *[rule[n].alias(n) for n in (*schema.FINDING[3:7], "message")],
+            h["code_snippet"].alias("code_snippet"), rule["confidence"].alias("confidence"), rule["tags"].alias("tags"),
+            F.lit(schema.FILE_PHASE).alias("phase"), F.lit(schema.LINE_STAGE).alias("stage"),
+            h["rule_seq"].cast("bigint").alias("seq1"), h["line"].cast("bigint").alias("seq2"),
+        )
+
+    return F.transform(hits, one)

@@ -82,21 +82,30 @@ def profile(files: DataFrame, extra_rules=()) -> DataFrame:
     )
 
 
-def file_metrics(facts: DataFrame) -> DataFrame:
-    """Measures of each file from its profile and structure facts."""
+def _measures() -> dict[str, Column]:
     complexity = F.coalesce(F.col("py.complexity"), F.col("text_complexity"))
     checks = F.coalesce(F.col("py.null_checks"), F.col("js_null_checks"))
-    return facts.select(
-        "scan_id", "file_path", "language", "lines", "comment_lines", "first_line",
-        complexity.cast("int").alias("complexity"),
-        maintainability(F.col("lines"), complexity, F.col("comment_lines")).alias("maintainability_index"),
-        F.coalesce(F.col("py.has_logging"), F.col("js_logging")).cast("int").alias("has_logging"),
-        checks.cast("int").alias("null_checks"),
-    )
+    return {
+        "complexity": complexity.cast("int"),
+        "maintainability_index": maintainability(F.col("lines"), complexity, F.col("comment_lines")),
+        "has_logging": F.coalesce(F.col("py.has_logging"), F.col("js_logging")).cast("int"),
+        "null_checks": checks.cast("int"),
+    }
 
 
-def complexity_findings(metrics: DataFrame) -> DataFrame:
-    """Complex files, and files that are hard to maintain."""
+def file_metrics(facts: DataFrame) -> DataFrame:
+    """Measures of each file from its profile and structure facts."""
+    columns = ["scan_id", "file_path", "language", "lines", "comment_lines", "first_line"]
+    return facts.select(*columns, *[value.alias(name) for name, value in _measures().items()])
+
+
+def with_measures(facts: DataFrame) -> DataFrame:
+    """The facts with the measures beside them."""
+    return facts.withColumns(_measures())
+
+
+def complexity_array() -> Column:
+    """Findings of a row of `file_metrics`: a complex file, and one that is hard to maintain."""
     cc, index = F.col("complexity"), F.col("maintainability_index")
     place = {"snippet": F.col("first_line"), "stage": schema.COMPLEXITY_STAGE}
     heavy = F.when(cc > HIGH_COMPLEXITY, schema.finding(
@@ -108,4 +117,9 @@ def complexity_findings(metrics: DataFrame) -> DataFrame:
         "LOW_MAINTAINABILITY", message=F.concat(F.lit("Maintainability index is low ("), index.cast("string"), F.lit(").")),
         snippet=F.col("first_line"), stage=schema.MAINTAINABILITY_STAGE,
     ))
-    return schema.spread(metrics, F.array(heavy, low))
+    return F.array(heavy, low)
+
+
+def complexity_findings(metrics: DataFrame) -> DataFrame:
+    """Complex files, and files that are hard to maintain."""
+    return schema.spread(metrics, complexity_array())

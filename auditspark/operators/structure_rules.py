@@ -74,37 +74,36 @@ def call_summary(calls: DataFrame) -> DataFrame:
     )
 
 
-def _python_function_tests() -> list[tuple[str, Column, Column]]:
-    name = F.col("name")
-    size = length(F.col("start_line"), F.col("end_line"))
+def _python_function_tests(col=F.col) -> list[tuple[str, Column, Column]]:
+    name = col("name")
+    size = length(col("start_line"), col("end_line"))
     return [
         ("LONG_FUNCTION", size > MAX_LENGTH, _say("Function '", name, "' is ", size, " lines long (limit 50).")),
-        ("TOO_MANY_PARAMETERS", F.col("param_count") > MAX_PARAMS,
-         _say("Function '", name, "' takes ", F.col("param_count"), " parameters.")),
-        ("DEEP_NESTING", F.col("max_nesting") > MAX_NESTING,
-         _say("Function '", name, "' nests ", F.col("max_nesting"), " levels deep.")),
-        ("MAGIC_NUMBERS", F.col("magic_numbers") >= MIN_MAGIC,
-         _say("Function '", name, "' holds ", F.col("magic_numbers"), " bare numbers.")),
+        ("TOO_MANY_PARAMETERS", col("param_count") > MAX_PARAMS,
+         _say("Function '", name, "' takes ", col("param_count"), " parameters.")),
+        ("DEEP_NESTING", col("max_nesting") > MAX_NESTING,
+         _say("Function '", name, "' nests ", col("max_nesting"), " levels deep.")),
+        ("MAGIC_NUMBERS", col("magic_numbers") >= MIN_MAGIC,
+         _say("Function '", name, "' holds ", col("magic_numbers"), " bare numbers.")),
         ("POOR_NAMING_CONVENTION", ~name.rlike(SNAKE_CASE), _say("Function name '", name, "' is no snake_case name.")),
-        ("MISSING_EXCEPTION_HANDLING", (F.col("risky_calls") > 0) & ~F.col("has_try"),
+        ("MISSING_EXCEPTION_HANDLING", (col("risky_calls") > 0) & ~col("has_try"),
          _say("Function '", name, "' makes risky calls without try.")),
     ]
 
 
-def _function_findings(functions: DataFrame, tests) -> DataFrame:
-    found = [
+def _findings_of(tests, col, place) -> Column:
+    """The findings of one function; null where a test fails."""
+    return F.array(*[
         F.when(test, schema.finding(
-            rule_id, line=F.col("start_line"), message=message, snippet=F.col("snippet"),
-            stage=schema.STRUCTURE_STAGE, seq1=F.col("func_seq"), seq2=n,
+            rule_id, line=col("start_line"), message=message, snippet=col("snippet"), stage=schema.STRUCTURE_STAGE, seq1=place, seq2=n,
         ))
         for n, (rule_id, test, message) in enumerate(tests)
-    ]
-    return schema.spread(functions, F.array(*found))
+    ])
 
 
 def python_function_findings(functions: DataFrame) -> DataFrame:
     """Long, wide, deep, numeric, badly named or careless functions."""
-    return _function_findings(functions, _python_function_tests())
+    return schema.spread(functions, _findings_of(_python_function_tests(), F.col, F.col("func_seq")))
 
 
 # Places of the per-file findings after all per-function ones.
@@ -127,7 +126,7 @@ def dead_functions(functions: Column, called: Column, limit: int | None = None)
     return _first(by_name, limit)
 
 
-def python_file_findings(facts: DataFrame, max_imports: int | None = None, max_dead: int | None = None) -> DataFrame:
+def _python_file_array(max_imports: int | None = None, max_dead: int | None = None) -> Column:
     unused = F.transform(
         unused_imports(F.col("py.imports"), F.col("py.names"), max_imports),
         lambda i: schema.finding(
@@ -143,7 +142,11 @@ def python_file_findings(facts: DataFrame, max_imports: int | None = None, max_d
             snippet=f["snippet"], stage=schema.STRUCTURE_STAGE, seq1=DEAD_PLACE, seq2=n,
         ),
     )
-    return schema.spread(facts.where(F.col("py").isNotNull()), F.concat(unused, dead))
+    return F.concat(unused, dead)
+
+
+def python_file_findings(facts: DataFrame, max_imports: int | None = None, max_dead: int | None = None) -> DataFrame:
+    return schema.spread(facts.where(F.col("py").isNotNull()), _python_file_array(max_imports, max_dead))
 
 
 # --- JavaScript and TypeScript -----------------------------------------------------------
@@ -184,71 +187,91 @@ def js_has_logging(content: Column) -> Column:
     return content.rlike(text.java(JS_LOGGING, whole_words=True))
 
 
-def js_measures(functions: DataFrame) -> DataFrame:
-    block = F.col("block")
-    return functions.select(
-        "*",
+def _measures(block: Column) -> list[Column]:
+    return [
         keyword_complexity(block).alias("complexity"),
         brace_depth(block).alias("max_nesting"),
         magic_number_count(block).alias("magic_numbers"),
         block.rlike(text.java(JS_RISKY, whole_words=True)).alias("risky"),
         block.rlike(text.java(JS_TRY, whole_words=True)).alias("has_try"),
-    )
+    ]
 
 
-def _js_function_tests() -> list[tuple[str, Column, Column]]:
-    name = F.col("name")
-    size = F.col("end_line") - F.col("start_line") + 1
+def js_measures(functions: DataFrame) -> DataFrame:
+    return functions.select("*", *_measures(F.col("block")))
+
+
+def _js_function_tests(col=F.col) -> list[tuple[str, Column, Column]]:
+    name = col("name")
+    size = col("end_line") - col("start_line") + 1
     return [
         ("LONG_FUNCTION_JS", size > MAX_LENGTH, _say("Function '", name, "' is ", size, " lines long (limit 50).")),
-        ("TOO_MANY_PARAMETERS_JS", F.col("param_count") > MAX_PARAMS,
-         _say("Function '", name, "' takes ", F.col("param_count"), " parameters.")),
-        ("HIGH_COMPLEXITY_JS", F.col("complexity") > MAX_JS_COMPLEXITY,
-         _say("Function '", name, "' has complexity ", F.col("complexity"), ".")),
-        ("DEEP_NESTING_JS", F.col("max_nesting") > MAX_JS_NESTING,
-         _say("Function '", name, "' nests ", F.col("max_nesting"), " levels deep.")),
-        ("MAGIC_NUMBERS_JS", F.col("magic_numbers") >= MIN_MAGIC,
-         _say("Function '", name, "' holds ", F.col("magic_numbers"), " bare numbers.")),
+        ("TOO_MANY_PARAMETERS_JS", col("param_count") > MAX_PARAMS,
+         _say("Function '", name, "' takes ", col("param_count"), " parameters.")),
+        ("HIGH_COMPLEXITY_JS", col("complexity") > MAX_JS_COMPLEXITY,
+         _say("Function '", name, "' has complexity ", col("complexity"), ".")),
+        ("DEEP_NESTING_JS", col("max_nesting") > MAX_JS_NESTING,
+         _say("Function '", name, "' nests ", col("max_nesting"), " levels deep.")),
+        ("MAGIC_NUMBERS_JS", col("magic_numbers") >= MIN_MAGIC,
+         _say("Function '", name, "' holds ", col("magic_numbers"), " bare numbers.")),
         ("POOR_NAMING_JS", F.length(name) < MIN_JS_NAME, _say("Function name '", name, "' says too little.")),
-        ("MISSING_EXCEPTION_HANDLING_JS", F.col("risky") & ~F.col("has_try"),
+        ("MISSING_EXCEPTION_HANDLING_JS", col("risky") & ~col("has_try"),
          _say("Function '", name, "' makes risky calls without try.")),
     ]
 
 
 def js_function_findings(functions: DataFrame) -> DataFrame:
-    return _function_findings(functions, _js_function_tests())
+    return schema.spread(functions, _findings_of(_js_function_tests(), F.col, F.col("func_seq")))
 
 
-def js_dead_findings(functions: DataFrame) -> DataFrame:
-    dead = F.when(F.col("uses") <= 1, schema.finding(
-        "DEAD_CODE_JS", line=F.col("start_line"), message=_say("Function '", F.col("name"), "' is not used in this file."),
-        snippet=F.col("snippet"), stage=schema.STRUCTURE_STAGE, seq1=IMPORT_PLACE, seq2=F.col("func_seq"),
+def _js_dead(col, place) -> Column:
+    return F.when(col("uses") <= 1, schema.finding(
+        "DEAD_CODE_JS", line=col("start_line"), message=_say("Function '", col("name"), "' is not used in this file."),
+        snippet=col("snippet"), stage=schema.STRUCTURE_STAGE, seq1=IMPORT_PLACE, seq2=place,
     ))
-    return schema.spread(functions, F.array(dead))
+
+
+def js_dead_findings(functions: DataFrame) -> DataFrame:
+    return schema.spread(functions, F.array(_js_dead(F.col, F.col("func_seq"))))
 
 
 def unused_js_imports(imports: Column, limit: int | None = None) -> Column:
     return _first(F.filter(imports, lambda i: ~i["used"]), limit)
 
 
-def js_import_findings(facts: DataFrame, limit: int | None = None) -> DataFrame:
-    unused = F.transform(
+def _js_import_array(limit: int | None = None) -> Column:
+    return F.transform(
         unused_js_imports(F.col("js.imports"), limit),
         lambda i: schema.finding(
             "UNUSED_IMPORT_JS", line=i["line"], message=_say("Nothing uses the import '", i["name"], "'."),
             snippet=i["snippet"], stage=schema.STRUCTURE_STAGE, seq1=DEAD_PLACE, seq2=i["seq"],
         ),
     )
-    return schema.spread(facts.where(F.col("js").isNotNull()), unused)
+
+
+def js_import_findings(facts: DataFrame, limit: int | None = None) -> DataFrame:
+    return schema.spread(facts.where(F.col("js").isNotNull()), _js_import_array(limit))
+
+
+def structure_array() -> Column:
+    """All findings that come from the structure of a file, as one array of its row of facts."""
+    of_functions = F.flatten(F.transform("py.functions", lambda f, n: _findings_of(_python_function_tests(lambda c: f[c]), lambda c: f[c], n)))
+    python = F.concat(of_functions, _python_file_array())
+    # measured first, so that a measure is worked out once however many tests use it
+    kept = ["name", "start_line", "end_line", "uses", "param_count", "snippet"]
+    measured = F.transform("js.functions", lambda f: F.struct(*[f[c].alias(c) for c in kept], *_measures(f["block"])))
+
+    def of_script(f, n):
+        def col(c):
+            return f[c]
+
+        return F.concat(_findings_of(_js_function_tests(col), col, n), F.array(_js_dead(col, n)))
+
+    scripts = text.let(measured, lambda functions: F.flatten(F.transform(functions, of_script)))
+    script = F.concat(scripts, _js_import_array())
+    return F.concat(*[F.coalesce(part, F.array().cast(schema.FINDINGS)) for part in (python, script)])
 
 
 def structure_findings(facts: DataFrame) -> DataFrame:
     """All findings that come from the structure of single files."""
-    scripts = js_functions(facts)
-    return (
-        python_function_findings(python_functions(facts))
-        .unionByName(python_file_findings(facts))
-        .unionByName(js_function_findings(scripts))
-        .unionByName(js_dead_findings(scripts))
-        .unionByName(js_import_findings(facts))
-    )
+    return schema.spread(facts, structure_array())

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark import dims
+from auditspark import dims, schema
 from auditspark.operators import (
     dependencies, duplication, enrich, extract, issues, line_rules, metrics, project, reports, scores, structure_rules,
 )
@@ -58,15 +58,13 @@ def file_facts(files: DataFrame, extra_rules=()) -> DataFrame:
 
 
 def file_findings(facts: DataFrame, extra_rules=()) -> DataFrame:
-    """Findings that rest on single files: line rules, structure, complexity and manifests."""
-    hits = facts.select("scan_id", "file_path", F.explode("line_hits").alias("h"))
+    """Findings that rest on single files: line rules, structure, complexity and manifests.
+
+    All but the manifests' come out of one reading of the facts and one explode.
+    """
+    own = F.concat(line_rules.hit_array(F.col("line_hits"), extra_rules), structure_rules.structure_array(), metrics.complexity_array())
     manifests = facts.where(F.col("manifest").isNotNull()).select("scan_id", "file_path", F.col("manifest").alias("content"))
-    return issues.union_findings(
-        line_rules.hit_findings(hits, extra_rules),
-        structure_rules.structure_findings(facts),
-        metrics.complexity_findings(metrics.file_metrics(facts)),
-        dependencies.dependency_findings(manifests),
-    )
+    return issues.union_findings(schema.spread(metrics.with_measures(facts), own), dependencies.dependency_findings(manifests))
 
 
 def findings(chosen: DataFrame, facts: DataFrame, extra_rules=(), max_blocks=None, similar_pairs=duplication.MAX_FUNCTION_REPORTS) -> DataFrame:

@@ -13,6 +13,12 @@ FINDING = [
     "code_snippet", "confidence", "tags", "phase", "stage", "seq1", "seq2",
 ]
 
+#: an array of findings as they leave a row
+FINDINGS = (
+    "array<struct<line:int,rule_id:string,issue_type:string,category:string,severity:string,message:string,"
+    "code_snippet:string,confidence:double,tags:array<string>,phase:int,stage:int,seq1:bigint,seq2:bigint>>"
+)
+
 FILE_PHASE, BLOCK_PHASE, FUNCTION_PHASE, MANIFEST_PHASE, PROJECT_PHASE, CONFIG_PHASE = range(1, 7)
 LINE_STAGE, STRUCTURE_STAGE, COMPLEXITY_STAGE, MAINTAINABILITY_STAGE = range(1, 5)
 
