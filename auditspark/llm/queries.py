@@ -72,7 +72,63 @@ _TEMPLATES = ", ".join(f"('{label}', list_distinct(string_split('{text}', ' ')))
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_N = len(secrets.ALPHABET) + 1
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _matches(kind: str, rank: int, pattern: str, least: int, source: str = "slim") -> str:
+    """Matches of one kind with their places: what stands between them gives the lengths."""
+    p = _quoted(pattern)
+    return f"""
+  SELECT doc_id, '{kind}' AS kind, {rank} AS rank, start_, start_ + len(f[i]) AS end_, v[i] AS value FROM (
+    SELECT *, coalesce(list_sum(list_transform(b[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: len(x))), 0) AS start_
+    FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(text, {p}, 0) AS f, regexp_extract_all(text, {p}, 1) AS v, string_split_regex(text, {p}) AS b FROM {source}) m) n) o
+  WHERE len(v[i]) >= {least}"""
+
+
+_PAIRS = f"""SELECT label, unnest(list_transform(range(1, len(c)), lambda i: c[i] * {_N} + c[i + 1])) AS pair FROM (
+    SELECT label, list_transform(string_split(token, ''), lambda x: instr('{secrets.ALPHABET}', x)) AS c FROM tokens) t"""
+_RATIO = f"""list_sum(list_transform(range(1, len(value)), lambda i:
+    ratios[instr('{secrets.ALPHABET}', substr(value, i, 1)) * {_N} + instr('{secrets.ALPHABET}', substr(value, i + 1, 1)) + 1]))"""
+_PLAIN = "text"
+for _pattern in (secrets.ASSIGN, secrets.ACCESS, "[0-9a-f]{24,}", secrets.TOKEN):
+    _PLAIN = f"regexp_replace({_PLAIN}, {_quoted(_pattern)}, ' ', 'g')"
+
 ORACLE = {
+    "op2_secrets": f"""
+WITH slim AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+base AS ({' UNION ALL '.join(_matches(kind, n, pattern, least) for n, (kind, pattern, least) in enumerate(secrets.KINDS))}),
+plain AS (
+  SELECT {_PLAIN} AS text FROM slim JOIN (SELECT doc_id FROM slim ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT {secrets.ORDINARY}) s USING (doc_id)),
+tokens AS (
+  SELECT 0 AS label, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_-]{{3,}}')) AS token
+  FROM (SELECT text FROM plain UNION ALL SELECT replace(text, ' ', '_') FROM plain) p
+  UNION ALL SELECT 1, value FROM base JOIN (
+    SELECT doc_id FROM (SELECT DISTINCT doc_id FROM base) d ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT {secrets.RANDOM}) r USING (doc_id)
+  UNION ALL SELECT 1, to_base64(unhex(sha256(CAST(i AS VARCHAR)))) FROM range({secrets.MADE}) r(i)),
+counts AS (SELECT label, pair, count(*) AS n FROM ({_PAIRS}) p GROUP BY ALL),
+grid AS (
+  SELECT label, pair, 1 + coalesce(n, 0) AS n FROM (SELECT label, pair FROM range(2) a(label), range({_N * _N}) b(pair)) g LEFT JOIN counts USING (label, pair)),
+chances AS (SELECT label, pair, ln(n::DOUBLE / sum(n) OVER (PARTITION BY label, pair // {_N})) AS c FROM grid),
+model AS (
+  SELECT list(round(r.c - o.c, 6) ORDER BY r.pair) AS ratios FROM chances r JOIN chances o ON r.pair = o.pair AND r.label = 1 AND o.label = 0),
+added AS (
+  SELECT doc_id, kind, rank, start_, end_ FROM ({_matches('random', len(secrets.KINDS), f'({secrets.TOKEN})', 0)}) c, model
+  WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND {_RATIO} >= {secrets.MARGIN} * (len(value) - 1)
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start_ < c.end_ AND c.start_ < b.end_)),
+told AS (
+  SELECT doc_id, string_agg(s, ',' ORDER BY start_, rank) FILTER (WHERE rank < {len(secrets.KINDS)}) AS base_said, string_agg(s, ',' ORDER BY start_, rank) AS said,
+    {', '.join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k, _, _ in secrets.KINDS)}
+  FROM (SELECT *, kind || ':' || CAST(start_ AS BIGINT) || ':' || CAST(end_ AS BIGINT) AS s FROM (
+    SELECT doc_id, kind, rank, start_, end_ FROM base UNION ALL SELECT * FROM added) u) w GROUP BY doc_id)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0)::BIGINT AS n_{k}' for k, _, _ in secrets.KINDS)},
+  sha256(coalesce(base_said, '')) AS base_sha256, coalesce(said, '') AS spans
+FROM slim LEFT JOIN told USING (doc_id)
+""",
     "op3_mixture": rf"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
