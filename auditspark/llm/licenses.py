@@ -1,16 +1,17 @@
 """License notices: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text. A template is a set of words; a block meets it if it holds at least ``CONTAINED`` of the
-template's words. The join is exact:
+A block is a run of consecutive lines of a text, as notices wrap; lines without words do not count. A run for a template
+of n words has up to 1 + ceil(n / WRAPPED) lines, which hold any copy whose lines have ``WRAPPED`` words or more, wherever
+in a line it begins. A template is a set of words; a block meets it if it holds at least ``CONTAINED`` of the template's
+words. A longer run holds all that a shorter one does, so that only the longest are counted. The join is exact:
 
 - prefix: words are ordered by their frequency in the whole corpus, rare ones first. A block that meets a template of
-  n words must hold one of its first n - ceil(CONTAINED * n) + 1 words. Only those are looked up.
-- length: a block with fewer words than are needed cannot meet the template.
-- position: if the first common prefix word stands at place i of the template and at place j of the block's words in
-  the same order, at most 1 + min(n - i - 1, block - j - 1) words are common; fewer than needed ends the search.
+  n words must hold one of its first n - ceil(CONTAINED * n) + 1 words. Only lines near one of those are looked at.
+- length: lines near which fewer words of the template stand than are needed cannot meet it.
 
-What is left is counted exactly. Templates are the caller's table, a bounded one; the corpus frequencies are those of
-its words only, and no text leaves its task.
+What is left is counted exactly: each word of a template covers the runs that hold it, and one pass over where these
+begin and end has the number of different words of every run. Templates are the caller's table, a bounded one; the
+corpus frequencies are those of its words only, and no text leaves its task.
 
 Null and empty texts have no words, no places and score 0. A block that is repeated counts as often as it stands. Rows
 that repeat have equal results; a template without words is never met. Other columns are not read.
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from auditspark.llm.batches import in_batches, pieces, prepare, whole_windows, windows
 
 CONTAINED = 0.8
+#: words that a line of a wrapped notice holds at least
+WRAPPED = 5
 
 # fixed values: phrases and their labels
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -46,6 +49,22 @@ TEMPLATES = [
     ("template:public-domain", "released into the public domain"),
 ]
 
+#: longer passages of notices, which fill several lines
+PASSAGES = [
+    ("template:gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+                     "license as published by the free software foundation"),
+    ("template:isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("template:mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+                     "documentation files the software to deal in the software without restriction including without limitation the rights "
+                     "to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to "
+                     "whom the software is furnished to do so subject to the following conditions"),
+    ("template:warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the "
+                          "warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("template:warranty", "this software is provided by the copyright holders and contributors as is and any express or implied warranties "
+                          "including but not limited to the implied warranties of merchantability and fitness for a particular purpose are "
+                          "disclaimed"),
+]
+
 TERM = np.ones(256, bool)
 TERM[0x00:0x30] = TERM[0x3A:0x61] = TERM[0x7B:0x80] = False
 
@@ -63,23 +82,27 @@ def _hash(words: list[str]) -> np.ndarray:
 
 
 class Index(NamedTuple):
-    """Template words as sorted hashes; each template as ranks of its words, rare ones first."""
+    """Template words as sorted hashes; each template as ranks of its words, rare ones first, and the lines of its runs."""
 
     labels: list[str]
     words: np.ndarray
     rank: np.ndarray
     templates: list[np.ndarray]
     needed: list[int]
+    lines: list[int]
 
     @staticmethod
-    def of(templates: list[tuple[str, str]], frequency: dict[int, int]) -> Index:
-        sets = [np.unique(_hash(w)) for w in _words([t for _, t in templates])]
+    def of(templates: list[tuple[str, str]], frequency: dict[int, int], wrapped: int | None = None) -> Index:
+        """Without ``wrapped`` a block is a single line."""
+        listed = [_hash(w) for w in _words([t for _, t in templates])]
+        sets = [np.unique(w) for w in listed]
         words = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]))
         counts = np.array([frequency.get(int(w), 0) for w in words.view(np.int64)], np.int64)
         rank = np.empty(len(words), np.int64)
         rank[np.lexsort((words, counts))] = np.arange(len(words))
         ordered = [np.sort(rank[np.searchsorted(words, s)]) for s in sets]
-        return Index([name for name, _ in templates], words, rank, ordered, [math.ceil(CONTAINED * len(s) - 1e-9) for s in sets])
+        lines = [1 + math.ceil(len(w) / wrapped) if wrapped else 1 for w in listed]
+        return Index([name for name, _ in templates], words, rank, ordered, [math.ceil(CONTAINED * len(s) - 1e-9) for s in sets], lines)
 
     def ranks(self, hashes: np.ndarray) -> np.ndarray:
         """The rank of each word, -1 if it is in no template."""
@@ -115,37 +138,46 @@ def frequencies(documents: DataFrame, templates: list[tuple[str, str]]) -> dict[
     return {r["word"]: r["n"] for r in counted.collect()}
 
 
-def join(block: np.ndarray, rank: np.ndarray, size: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(block, template, common words) of all pairs that meet the threshold.
+def join(text: np.ndarray, line: np.ndarray, rank: np.ndarray, index: Index) -> list[tuple[int, int, int]]:
+    """(text, template, most common words of a run) for every text with a run that meets the threshold.
 
-    ``block`` and ``rank`` are the template words of blocks, each once, sorted; ``size`` has each block's distinct words.
+    ``text``, ``line`` and ``rank`` are the template words of lines, each once in a line, sorted; lines have numbers.
     """
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    first = np.searchsorted(block, np.arange(len(size) + 1))
-    inside = np.diff(first)
-    place = np.arange(len(block)) - first[block] if len(block) else np.zeros(0, np.int64)
-    for t, (own, needed) in enumerate(zip(index.templates, index.needed)):
+    out: list[tuple[int, int, int]] = []
+    if not len(rank):
+        return out
+    # lines of different texts are too far apart for any run
+    line = line + text * max(index.lines, default=1)
+    for t, (own, needed, k) in enumerate(zip(index.templates, index.needed, index.lines)):
         if not len(own):
             continue
-        prefix = own[:len(own) - needed + 1]
-        hit = np.flatnonzero(np.isin(rank, prefix))
-        if not len(hit):
+        near = line[np.isin(rank, own[:len(own) - needed + 1])]
+        if not len(near):
+            continue
+        at = np.searchsorted(near, line)
+        above, below = near[np.maximum(at - 1, 0)], near[np.minimum(at, len(near) - 1)]
+        held = np.flatnonzero(((np.abs(line - above) < k) | (np.abs(below - line) < k)) & np.isin(rank, own))
+        if len(held) < needed:
             continue
-        hit = hit[np.r_[True, block[hit][1:] != block[hit][:-1]]]
-        b = block[hit]
-        at = np.searchsorted(own, rank[hit])
-        possible = 1 + np.minimum(len(own) - at - 1, inside[b] - place[hit] - 1)
-        b = b[(size[b] >= needed) & (possible >= needed)]
-        if not len(b):
+        held = held[np.lexsort((line[held], rank[held]))]
+        # a word covers the runs that begin up to k - 1 lines before it, less those that its last place covers
+        last = line[held]
+        first = last - k + 1
+        same = rank[held][1:] == rank[held][:-1]
+        first[1:] = np.where(same, np.maximum(first[1:], last[:-1] + 1), first[1:])
+        begin = np.concatenate([first, last + 1])
+        order = np.argsort(begin, kind="stable")
+        begin = begin[order]
+        common = np.cumsum(np.repeat([1, -1], len(held))[order])
+        done = np.flatnonzero(np.append(begin[1:] != begin[:-1], True) & (common >= needed))
+        if not len(done):
             continue
-        rows = np.repeat(b, inside[b])
-        spots = np.arange(len(rows)) - np.repeat(np.cumsum(inside[b]) - inside[b], inside[b]) + first[rows]
-        common = np.bincount(rows[np.isin(rank[spots], own)], minlength=len(size))[b]
-        met = common >= needed
-        out.append((b[met], np.full(met.sum(), t), common[met]))
-    if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(3))
-    return tuple(np.concatenate(x) for x in zip(*out))
+        # the run that begins there has a word of its text in its k lines
+        owner = text[np.searchsorted(line, begin[done])]
+        most = np.zeros(int(owner.max()) + 1, np.int64)
+        np.maximum.at(most, owner, common[done])
+        out += [(int(i), t, int(most[i])) for i in np.flatnonzero(most)]
+    return out
 
 
 def _judge(piece, index: Index):
@@ -170,18 +202,12 @@ def _judge(piece, index: Index):
 
     known = _lookup(hashes, index.words) if len(index.words) else np.zeros(0, np.int64)
     if len(known):
-        line_starts, _, line_text = piece.lines()
-        # blocks with too few words fall to the length filter, all others are counted
-        line = np.searchsorted(line_starts, starts[known], "right") - 1
-        rank = index.ranks(hashes[known])
-        pairs = np.unique(np.column_stack([line, rank]), axis=0)
-        chosen, block = np.unique(pairs[:, 0], return_inverse=True)
-        line_ends = np.append(line_starts, len(piece.data) + 1)
-        a, b = np.searchsorted(starts, line_starts[chosen]), np.searchsorted(starts, line_ends[chosen + 1])
-        size = b - a  # words, so no fewer than distinct words
-        which, template, common = join(block, pairs[:, 1], size, index)
-        for w, t, c in zip(which, template, common):
-            i = line_text[chosen[w]]
+        line_starts = piece.lines()[0]
+        of = np.searchsorted(line_starts, starts, "right") - 1
+        # numbers of the lines that have words
+        number = np.cumsum(np.r_[True, of[1:] != of[:-1]])[known] - 1
+        found = np.unique(np.column_stack([text[known], number, index.ranks(hashes[known])]), axis=0)
+        for i, t, c in join(*found.T, index):
             labels[i].add(index.labels[t])
             score[i] = max(score[i], c / len(index.templates[t]))
     return {
@@ -192,13 +218,13 @@ def _judge(piece, index: Index):
     }
 
 
-def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + PASSAGES) -> DataFrame:
     """``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)`` for every document.
 
     The score is the largest containment of a template in a block, and 1 where a phrase stands.
     """
     prepare(documents.sparkSession)
-    index = Index.of(templates, frequencies(documents, templates))
+    index = Index.of(templates, frequencies(documents, templates), WRAPPED)
     kinds = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64()}
 
     def work(batch):

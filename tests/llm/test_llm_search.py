@@ -108,3 +108,33 @@ def test_license_places_and_labels(spark, docs, odd):
     odd_found = licenses.scan(odd).collect()
     assert len(odd_found) == 9 and all(r["labels"] == "" and r["score"] == 0 for r in odd_found)
     assert licenses.scan(odd.limit(0)).count() == 0 and licenses.scan(docs(rows), []).where("base_labels <> ''").count() == 3
+
+
+def test_license_runs_are_those_of_all_runs_of_lines():
+    draw = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(14)] + ["the", "of"]
+    templates = [(f"t{k}", " ".join(draw.sample(vocabulary, draw.randint(1, 12)))) for k in range(15)]
+    texts = ["\n".join(" ".join(draw.choices(vocabulary + ["zz", "yy"], k=draw.choice([0, 1, 2, 5]))) for _ in range(draw.randint(1, 9))) for _ in range(200)]
+    index = licenses.Index.of(templates, {}, licenses.WRAPPED)
+    found = [licenses._judge(p, index) for p in licenses.pieces(pa.array(texts))]
+    labels, scores = [x for f in found for x in f["labels"]], [x for f in found for x in f["score"]]
+    for text, label, score in zip(texts, labels, scores):
+        met, lines = {}, [set(line.split()) for line in text.split("\n") if line.split()]
+        for name, template in templates:
+            own = set(template.split())
+            for a in range(len(lines)):
+                for b in range(a + 1, a + 2 + -(-len(own) // licenses.WRAPPED)):
+                    common = len(own & set().union(*lines[a:b]))
+                    if common >= 0.8 * len(own) - 1e-9:
+                        met[name] = max(met.get(name, 0), common / len(own))
+        assert label == ",".join(sorted(met)) and score == max(met.values(), default=0)
+
+
+def test_wrapped_license_notices_are_found(spark, docs):
+    bsd = "# Redistribution and use in source and binary forms, with or without\n#\n# modification, are permitted provided that the following conditions are met:"
+    mit = dict(licenses.PASSAGES[:3])["template:mit"].split()
+    mit = "\n".join(" * " + " ".join(mit[i:i + 11]) for i in range(0, len(mit), 11))
+    far = "redistribution and use in source and binary forms\n" + "one line of other words\n" * 9 + "are permitted"
+    rows = [(1, "a b c\n" + bsd), (2, mit), (3, "redistribution and use in source"), (4, "and binary forms are permitted"), (5, far)]
+    found = {r["doc_id"]: r["labels"] for r in licenses.scan(docs(rows)).collect()}
+    assert found == {1: "template:bsd", 2: "template:mit", 3: "", 4: "", 5: ""}
