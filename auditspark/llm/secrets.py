@@ -1,8 +1,8 @@
 """Secrets in texts: three fixed patterns, and strings that look random by two character Markov models.
 
 The models are bigram tables over classes of characters, one for random strings and one for ordinary identifiers. They
-are trained from labelled samples. Random ones are the values that the fixed patterns find in the documents, and base-64
-forms of ``MADE`` hashes; ordinary ones are the other words of the sampled documents, single and joined, up to the length of a candidate. Counts start at one. A candidate is a run of token characters with a letter and a digit; it is a secret if the log-likelihood
+are counted over all documents. Random ones are the values that the fixed patterns find in them, and base-64
+forms of ``MADE`` hashes; ordinary ones are the other words, single and joined, up to the length of a candidate. Counts start at one. A candidate is a run of token characters with a letter and a digit; it is a secret if the log-likelihood
 ratio of the two models is at least ``MARGIN`` per character.
 
 Everything here is Catalyst expressions: no Python runs on the executors.
@@ -31,7 +31,7 @@ KINDS = [("assign", ASSIGN, 6), ("access", ACCESS, 20), ("hex", HEX, 24)]
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 #: log-likelihood ratio per character from which a candidate is a secret
 MARGIN = 0.35
-#: documents that the ordinary model is trained on, and those with pattern matches that the random model is trained on
+#: documents that the SQL counts, ordinary ones and those with pattern matches; the operator counts all
 ORDINARY, RANDOM = 1_500, 1_500
 #: hashes whose base-64 forms join the random sample
 MADE = 500
@@ -95,21 +95,21 @@ def _slim(documents: DataFrame) -> DataFrame:
 def train(documents: DataFrame) -> list[float]:
     """Log-likelihood ratio, random against ordinary, of each pair of character classes; a bounded table."""
     slim = _slim(documents)
-    ids = slim.where("doc_id is not null").select("doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(ORDINARY)
     plain = F.col("text")
     # candidates are not taken for ordinary, whatever they are
     for pattern in (ASSIGN, ACCESS, "[0-9a-f]{24,}", TOKEN):
         plain = F.regexp_replace(plain, pattern, " ")
     # once as they stand, and once joined as in names of several words
-    forms = F.explode(F.array(plain, F.regexp_replace(plain, " ", "_"))).alias("plain")
-    ordinary = slim.join(F.broadcast(ids), "doc_id").select(forms).select(
-        F.explode(F.regexp_extract_all("plain", F.lit("[A-Za-z_][A-Za-z0-9_-]{3,}"), F.lit(0))).alias("token"), F.lit(0).alias("label"))
-    hits = slim.withColumn("found", base_spans(F.col("text"))).where(F.size("found") > 0)
-    random = (hits.select("doc_id", "found.value").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(RANDOM)
-              .select(F.explode("value").alias("token"), F.lit(1).alias("label")))
+    forms = slim.select(plain.alias("plain")).select(F.explode(F.array("plain", F.regexp_replace("plain", " ", "_"))).alias("plain"))
+    # a token falls into parts that share the underscore between them, so that the pairs stay the same and few parts differ
+    tokens = F.array_join(F.regexp_extract_all("plain", F.lit("[A-Za-z_][A-Za-z0-9_-]{3,}"), F.lit(0)), " ")
+    ordinary = forms.select(F.explode(F.split(F.regexp_replace(tokens, "_", "_ _"), " ")).alias("token"), F.lit(0).alias("label"))
+    hits = slim.select(base_spans(F.col("text")).alias("found")).where(F.size("found") > 0)
+    random = hits.select(F.explode("found.value").alias("token"), F.lit(1).alias("label"))
     made = documents.sparkSession.range(MADE).select(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))).alias("token"), F.lit(1).alias("label"))
-    counts = (ordinary.union(random).union(made).select("label", F.explode(_pairs(F.col("token"))).alias("pair"))
-              .groupBy("label", "pair").agg(F.count("*").alias("n")).collect())
+    tokens = ordinary.union(random).union(made).groupBy("label", "token").agg(F.count("*").alias("n"))
+    counts = (tokens.select("label", "n", F.explode(_pairs(F.col("token"))).alias("pair"))
+              .groupBy("label", "pair").agg(F.sum("n").alias("n")).collect())
     table = [[1.0] * (_N * _N) for _ in range(2)]
     for row in counts:
         table[row["label"]][row["pair"]] += row["n"]

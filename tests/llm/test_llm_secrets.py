@@ -1,4 +1,6 @@
+import base64
 import hashlib
+import math
 import re
 
 from auditspark.llm import secrets
@@ -55,3 +57,32 @@ def test_redaction_replaces_every_span_and_keeps_all_else(spark, docs, odd):
     assert made.columns == odd.columns and made.exceptAll(odd).count() == 0 == odd.exceptAll(made).count()
     assert secrets.scan(odd, ratios).where("spans <> ''").count() == 0
     assert secrets.scan(documents.limit(0), secrets.train(documents.limit(0))).count() == 0
+
+
+def test_models_are_counted_over_all_documents(spark, docs, monkeypatch):
+    monkeypatch.setattr(secrets, "ORDINARY", 4)
+    monkeypatch.setattr(secrets, "RANDOM", 4)
+    texts = [f"{prose(i, 30)} a__b_ _lead trail_ word-with-hyphen été x_{i}y token=aB3dE5fG7{i}" for i in range(40)]
+    rows = list(enumerate(texts)) + [(None, "no_id_here zq" + "zq" * 5)]
+    n = secrets._N
+    counted = [[1] * (n * n) for _ in range(2)]
+
+    def count(label, token):
+        codes = [secrets.ALPHABET.find(c) + 1 for c in token]
+        for a, b in zip(codes, codes[1:]):
+            counted[label][a * n + b] += 1
+
+    for _, text in rows:
+        for m in ASSIGN.finditer(text):
+            count(1, m[1])
+        left = text
+        for pattern in (ASSIGN.pattern, secrets.ACCESS, "[0-9a-f]{24,}", secrets.TOKEN):
+            left = re.sub(pattern, " ", left)
+        for form in (left, left.replace(" ", "_")):
+            for token in re.findall("[A-Za-z_][A-Za-z0-9_-]{3,}", form):
+                count(0, token)
+    for i in range(secrets.MADE):
+        count(1, base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode())
+    chance = [[math.log(c / sum(of[k // n * n:k // n * n + n])) for k, c in enumerate(of)] for of in counted]
+    want = [r - o for o, r in zip(*chance)]
+    assert max(abs(a - b) for a, b in zip(secrets.train(docs(rows)), want)) < 2e-6
