@@ -142,6 +142,20 @@ def windows(hashes: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def rolled(hashes: np.ndarray, width: int, base: int = _BASE) -> np.ndarray:
+    """For each word, a hash of the ``width`` words from it on, by sums of powers of an odd ``base``.
+
+    Windows that leave the text are of no meaning, and those that leave the array are 0.
+    """
+    n = len(hashes)
+    out = np.zeros(n, np.uint64)
+    if n >= width:
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(hashes * _power(base, n)[:n], out=sums[1:])
+        out[:n - width + 1] = mix((sums[width:] - sums[:-width]) * _power(pow(base, -1, 1 << 64), n)[:n - width + 1])
+    return out
+
+
 def whole_windows(text: np.ndarray, width: int) -> np.ndarray:
     """The words from which ``width`` words of the same text stand."""
     n = len(text) - width + 1

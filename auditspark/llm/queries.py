@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditspark.llm import decontaminate, html_text, language, licenses, line_quality, mixture, near_dedup, preference, secrets, warc
+from pyspark.sql import functions as F
+
+from auditspark.llm import (
+    conversations, decontaminate, divergence, html_text, language, licenses, line_quality, mixture, near_dedup, preference, secrets, substring, warc,
+)
+from auditspark.llm.tables import compact
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +60,28 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(documents, language.train(documents))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("repeats", F.lit(0).cast("long"), lambda n, r: n + r["last_word"] - r["first_word"] + 1)
+    cleaned = substring.without_repeats(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = _table(spark, sf_dir, "conversations")
+    rows = conversations.damaged(told)
+    found = compact(conversations.edits(rows), "edits")
+    all_ids = told.select(F.col("conv_id").cast("long").alias("id")).distinct()
+    with_audit = all_ids.join(found, F.col("id").eqNullSafe(found["conv_id"]), "left").drop("conv_id")
+    digest = conversations.digests(rows, found)
+    full = with_audit.join(digest, F.col("id").eqNullSafe(digest["conv_id"]), "left").drop("conv_id")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return full.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_quality": op1_line_quality,
     "op2_secrets": op2_secrets,
@@ -66,6 +93,9 @@ QUERIES = {
     "op8_preference": op8_preference,
     "op9_warc": op9_warc,
     "op10_language": op10_language,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_conversations": op12_conversations,
+    "op13_divergence": op13_divergence,
 }
 
 _TEMPLATES = ", ".join(f"('{label}', list_distinct(string_split('{text}', ' ')))" for label, text in licenses.TEMPLATES)
@@ -224,5 +254,106 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
   CASE WHEN page_id = max(page_id) OVER (PARTITION BY h) THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> max(page_id) OVER (PARTITION BY h) THEN max(page_id) OVER (PARTITION BY h) END AS refers_to
 FROM coded
+""",
+    "op11_substring_dedup": r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spots AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM spots),
+least AS (SELECT g, min(doc_id) AS first_doc FROM windows GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN least USING (g) WHERE first_doc < doc_id),
+places AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM words),
+kept AS (
+  SELECT p.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p.i) AS text FROM places p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+""",
+    "op12_conversations": r"""
+WITH RECURSIVE told AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS said FROM conversations),
+marked AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(said, ''), lambda x: ascii(x)::UBIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT) % 20 AS fault
+  FROM told),
+damaged AS (
+  SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE fault WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM marked WHERE fault <> 0),
+placed AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS initial,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+    right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
+  FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM placed),
+convs AS (
+  SELECT conv_id, count(*) AS n, list(initial ORDER BY i) AS initials, list(fault ORDER BY i) AS faults,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, n AS i, [{'c': 0::BIGINT, 'a': ''}, {'c': 9::BIGINT, 'a': 'III'}, {'c': 3::BIGINT, 'a': 'I'}, {'c': 0::BIGINT, 'a': ''}] AS best FROM convs
+  UNION ALL
+  SELECT conv_id, i - 1, list_transform([1, 2, 3, 4], lambda s: list_sort([
+      {'c': own[s]['c'], 'a': own[s]['a']}, {'c': 3 + own[step[s]]['c'], 'a': 'I' || own[step[s]]['a']},
+      {'c': 6 + own[step[step[s]]]['c'], 'a': 'II' || own[step[step[s]]]['a']}, {'c': 9 + own[step[step[step[s]]]]['c'], 'a': 'III' || own[step[step[step[s]]]]['a']}])[1])
+  FROM (
+    SELECT w.conv_id, w.i, [3, 3, 4, 3] AS step, list_transform([1, 2, 3, 4], lambda s: list_sort([
+        {'c': 4 + best[s]['c'], 'a': 'D' || best[s]['a']},
+        CASE WHEN fault IN ('blank', 'duplicate') THEN {'c': 1000000000000::BIGINT, 'a': ''}
+          ELSE {'c': 3 + extra + best[[3, 3, 4, 3][s]]['c'], 'a': 'R' || best[[3, 3, 4, 3][s]]['a']} END,
+        CASE WHEN fault IN ('blank', 'duplicate') THEN {'c': 1000000000000::BIGINT, 'a': ''}
+          WHEN initial = 's' AND s = 1 THEN {'c': extra + best[2]['c'], 'a': 'K' || best[2]['a']}
+          WHEN initial = 'u' AND s <> 3 THEN {'c': extra + best[3]['c'], 'a': 'K' || best[3]['a']}
+          WHEN initial = 'a' AND s = 3 THEN {'c': extra + best[4]['c'], 'a': 'K' || best[4]['a']}
+          ELSE {'c': 1000000000000::BIGINT, 'a': ''} END])[1]) AS own
+    FROM (SELECT w.*, c.faults[w.i] AS fault, c.initials[w.i] AS initial, CASE c.faults[w.i] WHEN 'truncated' THEN 3 ELSE 0 END AS extra
+          FROM walk w JOIN convs c ON w.conv_id IS NOT DISTINCT FROM c.conv_id WHERE w.i > 0) w) o),
+audits AS (SELECT conv_id, best[1]['c'] AS cost, best[1]['a'] AS audit FROM walk WHERE i = 0),
+letters AS (SELECT conv_id, unnest(string_split(audit, '')) AS letter, unnest(range(1, len(audit) + 1)) AS k FROM audits WHERE audit <> ''),
+counted AS (
+  SELECT *, count(*) FILTER (WHERE letter <> 'I') OVER w AS row, count(*) FILTER (WHERE letter <> 'D') OVER w AS out
+  FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+taken AS (
+  SELECT c.conv_id, c.k, c.letter, c.out, j.role, j.text, c.out = 1 AND c.letter = 'K' AND j.initial = 's' AS lead
+  FROM counted c LEFT JOIN judged j ON c.conv_id IS NOT DISTINCT FROM j.conv_id AND c.row = j.i AND c.letter <> 'I' WHERE c.letter <> 'D'),
+headed AS (SELECT *, max(lead::INTEGER) OVER (PARTITION BY conv_id) AS heads FROM taken),
+shown AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (out - heads) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE letter WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS text
+  FROM headed GROUP BY conv_id)
+SELECT t.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(s.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) t LEFT JOIN convs c ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN audits a ON t.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN shown s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+""",
+    "op13_divergence": r"""
+WITH docs AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+terms AS (
+  SELECT k, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS ln FROM terms GROUP BY lang, term HAVING count(DISTINCT k) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(ln) AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM groups g LEFT JOIN counts c USING (lang, source) GROUP BY ALL),
+grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * l.v) AS p,
+    1 + (1000000000::HUGEINT * (k.ln + 5)) // (l.total + 5 * l.v) AS q
+  FROM sizes g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(d.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source),
+over AS (SELECT lang, source, term AS item, (p - q)::BIGINT AS value FROM grid WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pairs
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM over) t WHERE rank <= 50
 """,
 }
