@@ -17,6 +17,8 @@ products go through decimals, so that shares are exact.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -33,8 +35,8 @@ SMOOTHING = 5
 TOP_TERMS = 50
 #: index entries of a cell, and groups that it serves at a time
 CELL, ROWS = 500_000, 256
-#: words that a task holds before it adds them up
-HELD = 1 << 21
+#: words that a task holds before it adds them up, and rows that it sends at a time
+HELD, SENT = 1 << 20, 1 << 16
 
 #: bytes of terms ``[^\x00-\x40\x5B-\x60\x7B-\x7F]+``
 TERM = np.zeros(256, bool)
@@ -47,41 +49,52 @@ class _Held:
     """Words of a task that are not added up yet."""
 
     def __init__(self):
-        self.parts, self.size, self.groups, self.rows = [], 0, {}, 0
+        self.parts, self.size, self.bytes, self.groups, self.rows = [], 0, 0, {}, 0
 
-    def add(self, batch: pa.RecordBatch) -> None:
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Take a batch, and give out counts whenever enough is held."""
         lang, source = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
-        codes = np.array([self.groups.setdefault(g, len(self.groups)) for g in zip(lang, source)], np.int64)
         for piece in pieces(batch.column("text")):
             piece = piece.lowered()
             starts, ends, text = piece.spans(TERM)
-            hashes = piece.hashes(starts, ends)
-            self.parts.append((piece.data, starts, ends, hashes, codes[piece.first + text], self.rows + piece.first + text))
+            of = zip(lang[piece.first:piece.first + piece.n], source[piece.first:piece.first + piece.n])
+            codes = np.array([self.groups.setdefault(g, len(self.groups)) for g in of], np.int32)
+            place = (starts + self.bytes).astype(np.int32)
+            self.parts.append((piece.data, place, (ends - starts).astype(np.int32), piece.hashes(starts, ends), codes[text], (self.rows + text).astype(np.int32)))
             self.size += len(starts)
-        self.rows += batch.num_rows
+            self.bytes += len(piece.data)
+            self.rows += piece.n
+            if self.size >= HELD:
+                yield from self.counted()
 
-    def counted(self) -> pa.RecordBatch | None:
+    def counted(self) -> Iterator[pa.RecordBatch]:
+        """Counts of all that is held, in batches of bounded size."""
         parts, groups = self.parts, list(self.groups)
+        size = self.size
         self.__init__()
-        if not sum(len(p[1]) for p in parts):
-            return None
+        if not size:
+            return
         data = np.concatenate([p[0] for p in parts])
-        shift = np.repeat(np.cumsum([0, *(len(p[0]) for p in parts[:-1])]), [len(p[1]) for p in parts])
-        starts, ends = (np.concatenate([p[i] for p in parts]) + shift for i in (1, 2))
-        hashes, group, row = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
-        order = np.lexsort((row, group, hashes))
+        starts, sizes, hashes, group, row = (np.concatenate([p[i] for p in parts]) for i in range(1, 6))
+        del parts
+        order = np.lexsort((group, hashes))  # keeps the order of rows
         hashes, group, row = hashes[order], group[order], row[order]
         at = run_starts(hashes, group)
         n = np.diff(np.append(at, len(order)))
-        docs = np.add.reduceat(np.concatenate([[1], (row[1:] != row[:-1]) | (group[1:] != group[:-1]) | (hashes[1:] != hashes[:-1])]).astype(np.int64), at)
-        first = order[at]
-        size = ends[first] - starts[first]
-        offsets = np.concatenate([[0], np.cumsum(size)])
-        taken = np.arange(offsets[-1]) + np.repeat(starts[first] - offsets[:-1], size)
-        terms = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[taken].tobytes())).cast(pa.string())
-        of = pa.array(group[at])
-        names = [pa.array([g[i] for g in groups], pa.string()).take(of) for i in (0, 1)]
-        return pa.RecordBatch.from_arrays([*names, terms, pa.array(n.astype(np.int64)), pa.array(docs)], ["lang", "source", "term", "n", "docs"])
+        fresh = np.ones(len(order), np.int32)
+        fresh[1:] = row[1:] != row[:-1]
+        fresh[at] = 1
+        docs, first, group = np.add.reduceat(fresh, at), order[at], group[at]
+        del order, hashes, row, fresh
+        names = [pa.array([g[i] for g in groups], pa.string()) for i in (0, 1)]
+        for k in range(0, len(at), SENT):
+            few = first[k:k + SENT]
+            offsets = np.concatenate([[0], np.cumsum(sizes[few], dtype=np.int64)])
+            taken = np.arange(offsets[-1]) + np.repeat(starts[few] - offsets[:-1], sizes[few])
+            terms = pa.LargeStringArray.from_buffers(len(few), pa.py_buffer(offsets), pa.py_buffer(data[taken].tobytes())).cast(pa.string())
+            of = pa.array(group[k:k + SENT])
+            counts = [pa.array(x[k:k + SENT].astype(np.int64)) for x in (n, docs)]
+            yield pa.RecordBatch.from_arrays([names[0].take(of), names[1].take(of), terms, *counts], ["lang", "source", "term", "n", "docs"])
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
@@ -90,12 +103,8 @@ def term_counts(documents: DataFrame) -> DataFrame:
     def run(batches):
         held = _Held()
         for batch in batches:
-            held.add(batch)
-            if held.size >= HELD:
-                if (done := held.counted()) is not None:
-                    yield done
-        if (done := held.counted()) is not None:
-            yield done
+            yield from held.add(batch)
+        yield from held.counted()
 
     return documents.select("lang", "source", "text").mapInArrow(run, COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
