@@ -34,7 +34,7 @@ SMOOTHING = 5
 #: terms of the report for each group
 TOP_TERMS = 50
 #: index entries of a cell, and groups that it serves at a time
-CELL, ROWS = 500_000, 256
+CELL, ROWS = 1 << 16, 256
 #: words that a task holds before it adds them up, and rows that it sends at a time
 HELD, SENT = 1 << 20, 1 << 16
 
@@ -48,8 +48,8 @@ COUNTS = "lang string, source string, term string, n long, docs long"
 class _Held:
     """Words of a task that are not added up yet."""
 
-    def __init__(self):
-        self.parts, self.size, self.bytes, self.groups, self.rows = [], 0, 0, {}, 0
+    def __init__(self, words: int):
+        self.words, self.parts, self.size, self.bytes, self.groups, self.rows = words, [], 0, 0, {}, 0
 
     def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Take a batch, and give out counts whenever enough is held."""
@@ -64,14 +64,14 @@ class _Held:
             self.size += len(starts)
             self.bytes += len(piece.data)
             self.rows += piece.n
-            if self.size >= HELD:
+            if self.size >= self.words:
                 yield from self.counted()
 
     def counted(self) -> Iterator[pa.RecordBatch]:
         """Counts of all that is held, in batches of bounded size."""
         parts, groups = self.parts, list(self.groups)
         size = self.size
-        self.__init__()
+        self.__init__(self.words)
         if not size:
             return
         data = np.concatenate([p[0] for p in parts])
@@ -99,9 +99,10 @@ class _Held:
 
 def term_counts(documents: DataFrame) -> DataFrame:
     """``(lang, source, term, n, docs)``: places and documents of each term."""
+    words = HELD
 
     def run(batches):
-        held = _Held()
+        held = _Held(words)
         for batch in batches:
             yield from held.add(batch)
         yield from held.counted()
@@ -145,32 +146,36 @@ def _blocks_of(peers: Column) -> Column:
     return F.ceil(peers / ROWS).cast("int")
 
 
-def _accumulate(key, postings, dims):
-    """The dense rows of a cell: for each of its groups, what the cell's terms add to the distance from every peer."""
-    lang, block, cell = (k.as_py() for k in key)
-    p0 = np.array(dims.column("p0s")[0].as_py(), np.int64)
-    size, terms = np.array(dims.column("sizes")[0].as_py(), np.int64), dims.column("V")[0].as_py()
-    rows = np.arange(block * ROWS, min((block + 1) * ROWS, len(p0)))
-    out = np.zeros((len(rows), len(p0)), np.int64)
-    if cell == 0:  # terms that neither has: all, less those of the one and those of the other; common ones are put right below
-        out += (terms - size[rows, None] - size[None, :]) * np.abs(p0[rows, None] - p0[None, :])
-    if postings.num_rows:
-        term = postings.column("term").combine_chunks().dictionary_encode().indices.to_numpy()
-        order = np.lexsort((postings.column("gid").to_numpy(), term))
-        term, gid, p = term[order], postings.column("gid").to_numpy()[order], postings.column("p").to_numpy()[order]
-        begin = np.searchsorted(term, np.arange(term[-1] + 2))
-        by_group = np.argsort(gid, kind="stable")
-        edge = np.searchsorted(gid[by_group], np.arange(len(p0) + 1))
-        for peer in range(len(p0)):  # a peer's own terms against the zero shares of the rows
-            out[:, peer] += _distances(p[by_group[edge[peer]:edge[peer + 1]]], p0[rows])
-        for i, row in enumerate(rows):
-            mine = by_group[edge[row]:edge[row + 1]]
-            out[i] += _distances(p[mine], p0)
-            low, n = begin[term[mine]], begin[term[mine] + 1] - begin[term[mine]]
-            at = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
-            own, peer, other = np.repeat(p[mine], n), gid[at], p[at]
-            np.add.at(out[i], peer, np.abs(own - other) - np.abs(own - p0[peer]) - np.abs(p0[row] - other) + np.abs(p0[row] - p0[peer]))
-    return pa.table([pa.array([lang] * len(rows), pa.string()), pa.array(rows.astype(np.int32)), pa.array(list(out), pa.list_(pa.int64()))], ["lang", "gid", "sums"])
+def _accumulator(block_rows: int):
+    """The work on a cell: for each of its groups, what the cell's terms add to the distance from every peer."""
+
+    def accumulate(key, postings, dims):
+        lang, block, cell = (k.as_py() for k in key)
+        p0 = np.array(dims.column("p0s")[0].as_py(), np.int64)
+        size, terms = np.array(dims.column("sizes")[0].as_py(), np.int64), dims.column("V")[0].as_py()
+        rows = np.arange(block * block_rows, min((block + 1) * block_rows, len(p0)))
+        out = np.zeros((len(rows), len(p0)), np.int64)
+        if cell == 0:  # terms that neither has: all, less those of the one and those of the other; common ones are put right below
+            out += (terms - size[rows, None] - size[None, :]) * np.abs(p0[rows, None] - p0[None, :])
+        if postings.num_rows:
+            term = postings.column("term").combine_chunks().dictionary_encode().indices.to_numpy()
+            order = np.lexsort((postings.column("gid").to_numpy(), term))
+            term, gid, p = term[order], postings.column("gid").to_numpy()[order], postings.column("p").to_numpy()[order]
+            begin = np.searchsorted(term, np.arange(term[-1] + 2))
+            by_group = np.argsort(gid, kind="stable")
+            edge = np.searchsorted(gid[by_group], np.arange(len(p0) + 1))
+            for peer in range(len(p0)):  # a peer's own terms against the zero shares of the rows
+                out[:, peer] += _distances(p[by_group[edge[peer]:edge[peer + 1]]], p0[rows])
+            for i, row in enumerate(rows):
+                mine = by_group[edge[row]:edge[row + 1]]
+                out[i] += _distances(p[mine], p0)
+                low, n = begin[term[mine]], begin[term[mine] + 1] - begin[term[mine]]
+                at = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+                own, peer, other = np.repeat(p[mine], n), gid[at], p[at]
+                np.add.at(out[i], peer, np.abs(own - other) - np.abs(own - p0[peer]) - np.abs(p0[row] - other) + np.abs(p0[row] - p0[peer]))
+        return pa.table([pa.array([lang] * len(rows), pa.string()), pa.array(rows.astype(np.int32)), pa.array(list(out), pa.list_(pa.int64()))], ["lang", "gid", "sums"])
+
+    return accumulate
 
 
 def _distances(shares: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -197,7 +202,7 @@ def distances(groups: DataFrame, entries: DataFrame) -> DataFrame:
     peers = groups.groupBy("lang").agg(F.count("*").alias("peers"))
     postings = (entries.select("lang", "gid", "term", "p", F.pmod(F.xxhash64("term"), _cells_of(F.col("entries"))).cast("int").alias("cell")).join(peers, "lang")
                 .withColumn("block", F.explode(F.sequence(F.lit(0), _blocks_of(F.col("peers")) - 1))).select(*place, "gid", "term", "p"))
-    partial = postings.groupBy(*place).cogroup(slots.select(*place, "p0s", "sizes", "V").groupBy(*place)).applyInArrow(_accumulate, "lang string, gid int, sums array<bigint>")
+    partial = postings.groupBy(*place).cogroup(slots.select(*place, "p0s", "sizes", "V").groupBy(*place)).applyInArrow(_accumulator(ROWS), "lang string, gid int, sums array<bigint>")
     rows = partial.groupBy("lang", "gid").applyInArrow(_added, "lang string, gid int, sums array<bigint>").select("lang", "gid", F.posexplode("sums").alias("pid", "value")).where("gid <> pid")
     named = groups.select("lang", F.col("gid").alias("pid"), F.col("source").alias("item"))
     return rows.join(groups.select("lang", "gid", "source"), ["lang", "gid"]).join(named, ["lang", "pid"]).select("lang", "source", "item", "value")
