@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from auditspark import schema
 from auditspark.functions import text
-from auditspark.session import broadcast_if_small, shuffle_partitions
+from auditspark.session import shuffle_partitions, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -113,23 +113,26 @@ def block_findings(files: DataFrame, limit: int | None = None) -> DataFrame:
 
 # --- similar functions --------------------------------------------------------------------
 #
-# A similarity self-join whose result is the first pairs of each scan in (left, right) order.
-#   1. A body that occurs very often in a scan gives all its reportable pairs with its earliest
-#      copies, so later copies are dropped before any pairing (see `_useful`).
-#   2. Scans with many functions are cut into blocks by length and a salt; two blocks meet in one
-#      cell, and blocks whose lengths cannot reach the threshold never meet. Cells are bounded, and
-#      a scan of any size spreads over as many tasks as it has cells.
-#   3. In a cell, letter counts, letter-pair counts and then the longest common subsequence bound the
-#      ratio from above; only pairs that pass are compared exactly. Nothing but similar pairs leaves the cell.
+# A similarity self-join over the distinct bodies of each scan, without a limit.
+#   1. Equal bodies are one class. Copies are told by membership and never paired with each other.
+#   2. Scans with many classes are cut into blocks by length and a salt; two blocks meet in one cell, and blocks whose
+#      lengths cannot reach the threshold never meet. Cells are bounded, and a scan of any size spreads over as many tasks
+#      as it has cells.
+#   3. In a cell, letter counts, letter-pair counts and then the longest common subsequence bound the ratio from above;
+#      only pairs that pass are compared exactly. Nothing but links of similar bodies leaves the cell.
+#   4. The report of the first pairs of a scan is read off members and links: as many left functions as the report has
+#      rows are enough, and only those meet their partners.
+#
+# The ratio depends on which text comes first, so links are directed: a link from X to Y says that functions with body X are similar
+# to later ones with body Y. A second function of one name in a file is compared with the first one only; a third with none.
 
 LENGTH_STEP = 0.754  # a little below 0.86 / (2 - 0.86): shorter partners cannot reach the threshold
 BLOCK_ROWS = 512
+PAIRS_AT_ONCE = 8192
 SALT_SPACE = 1 << 20
-PAIR_SCHEMA = (
-    "scan_id string, left_path string, left_line int, left_name string, right_path string, right_line int, "
-    "right_name string, ratio double"
-)
-PAIR_COLUMNS = [part.split()[0] for part in PAIR_SCHEMA.split(", ")]
+LINK_SCHEMA = "scan_id string, left_class string, right_class string, ratio double"
+LINK_COLUMNS = [part.split()[0] for part in LINK_SCHEMA.split(", ")]
+PAIR_COLUMNS = ["scan_id", "left_path", "left_line", "left_name", "right_path", "right_line", "right_name", "ratio"]
 
 
 def _counts(codes: np.ndarray, size: int) -> np.ndarray:
@@ -159,78 +162,87 @@ def _candidates(i, letters, pairs, chars):
     return rest[2 * (common + total + 1) >= 3 * MIN_RATIO * total]
 
 
-def _places(body: str) -> dict[str, int]:
-    """character -> bits of its positions"""
-    places: dict[str, int] = {}
-    for n, char in enumerate(body):
-        places[char] = places.get(char, 0) | 1 << n
-    return places
-
-
-def _can_reach(places: dict[str, int], length: int, other: str) -> bool:
-    """Whether the longest common subsequence allows the threshold.
-
-    The matched runs lie in order in both texts, so the ratio is at most twice that length over the
-    sum. The length is counted with one machine-word operation for many positions at a time.
-    """
-    open_bits = whole = (1 << length) - 1
-    for char in other:
-        hit = open_bits & places.get(char, 0)
-        open_bits = (open_bits + hit) | (open_bits - hit)
-    return 2 * (length - (open_bits & whole).bit_count()) >= MIN_RATIO * (length + len(other))
+def _alphabet(bodies) -> np.ndarray:
+    """A row per body of its letters, numbered from 0 and filled up with a letter that no body has."""
+    codes = [np.frombuffer(body.encode("utf-32-le", "surrogatepass"), np.uint32) for body in bodies]
+    letters, numbers = np.unique(np.concatenate(codes), return_inverse=True)
+    rows = np.full((len(codes), max(map(len, codes))), len(letters), np.int32)
+    rows[np.arange(rows.shape[1]) < np.array([len(c) for c in codes])[:, None]] = numbers
+    return rows
 
 
-def similar_in_cell(cell: pd.DataFrame, limit: int) -> pd.DataFrame:
-    """Similar pairs of one cell in report order, at most ``limit`` of them.
+def _reaching(ones: np.ndarray, others: np.ndarray, rows: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """For which pairs of rows the longest common subsequence allows the threshold; ``ones`` are in order.
 
-    A pair among the first ``limit`` of its scan is among the first ``limit`` of its cell, so
-    stopping there loses none.
+    The matched runs lie in order in both texts, so the ratio is at most twice that length over the sum. The lengths are
+    counted for all pairs at once, a letter of each other row and 64 places of each one at a time.
     """
-    cell = cell.sort_values(["file_path", "line"], kind="stable").reset_index(drop=True)
+    unique, of = np.unique(ones, return_inverse=True)
+    words, letters = int(chars[unique].max()) // 64 + 1, int(rows.max()) + 1
+    places = np.zeros((words, len(unique) * letters), np.uint64)
+    for n, i in enumerate(unique):
+        at = np.arange(chars[i])
+        np.bitwise_or.at(places, (at >> 6, n * letters + rows[i, :chars[i]]), np.uint64(1) << (at & 63).astype(np.uint64))
+    open_ = np.full((words, len(others)), np.iinfo(np.uint64).max, np.uint64)
+    for letter in rows[others, :int(chars[others].max())].T:
+        key, carry = of * letters + letter, None
+        for w in range(words):
+            now = open_[w]
+            hit = now & places[w][key]
+            total = now + hit
+            over = total < now
+            if carry is not None:
+                total += carry
+                over |= total < carry
+            carry = over
+            open_[w] = total | (now ^ hit)
+    size = chars[ones]
+    longest = size.copy()
+    for w in range(words):
+        bits = np.clip(size - 64 * w, 0, 64).astype(np.uint64)
+        inside = np.where(bits == 64, np.iinfo(np.uint64).max, (np.uint64(1) << (bits & np.uint64(63))) - np.uint64(1))
+        longest -= np.bitwise_count(open_[w] & inside)
+    return 2 * longest >= MIN_RATIO * (size + chars[others])
+
+
+def _ratio(matchers: dict[str, SequenceMatcher], left: str, right: str) -> float:
+    """The exact ratio; what the matcher notes of its second text is kept."""
+    if right not in matchers:
+        matchers[right] = SequenceMatcher(None, "", right)
+    matchers[right].set_seq1(left)
+    return matchers[right].ratio()
+
+
+def links_in_cell(cell: pd.DataFrame) -> pd.DataFrame:
+    """Directed links between the classes of one cell."""
     letters, pairs, chars = _profiles(cell["body"])
-    rows = list(cell[["file_path", "line", "name", "turn", "side", "body"]].itertuples(index=False))
+    rows = list(cell[["class_id", "body", "first_path", "first_line", "last_path", "last_line", "side"]].itertuples(index=False))
     crossing, scan = bool(cell["crossing"].iloc[0]), cell["scan_id"].iloc[0]
-    out, matcher = [], SequenceMatcher(None)
-    for i, left in enumerate(rows):
-        if left.turn == 2 or len(out) >= limit:
-            continue
-        places = _places(left.body)
-        for j in _candidates(i, letters, pairs, chars):
-            right = rows[j]
-            same_id = (left.file_path, left.name) == (right.file_path, right.name)
-            if same_id != (right.turn == 2) or (crossing and left.side == right.side):
-                continue
-            ratio = 1.0 if left.body == right.body else 0.0
-            if not ratio and _can_reach(places, len(left.body), right.body):
-                matcher.set_seqs(left.body, right.body)
-                ratio = matcher.ratio()
-            if ratio >= MIN_RATIO:
-                out.append((scan, left.file_path, left.line, left.name, right.file_path, right.line, right.name, ratio))
-                if len(out) >= limit:
-                    break
-    return pd.DataFrame(out, columns=PAIR_COLUMNS)
-
-
-def _useful(blocks: DataFrame, limit: int) -> DataFrame:
-    """Blocks that can be part of a reported pair.
-
-    Equal bodies have ratio 1. If m1 < m2 < ... are the first functions of their names with one body,
-    the pairs (m1, m2) to (m1, m[limit + 1]) fill the report for every left side after m1, and a left
-    side before m1 meets m2 to m[limit + 1] before any later copy. So copies beyond limit + 1 are not
-    needed. A second function of a name is compared with the first one only and is kept.
-    """
-    order = Window.partitionBy("scan_id", "body_key").orderBy("file_path", "line")
-    first = blocks.where(F.col("turn") == 1).withColumn("body_key", F.sha1("body"))
-    few = first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit + 1).drop("n", "body_key")
-    return few.unionByName(blocks.where(F.col("turn") == 2))
-
-
-def _cells(blocks: DataFrame, sizes: DataFrame, block_rows: int) -> DataFrame:
-    """Each block once per cell it takes part in."""
+    spelled, side = _alphabet(cell["body"]), cell["side"].to_numpy()
+    out, matchers = [], {}
+    near = [_candidates(i, letters, pairs, chars) for i in range(len(rows))]
+    ones, others = np.repeat(np.arange(len(rows)), [len(c) for c in near]), np.concatenate(near)
+    if crossing:
+        ones, others = ones[side[ones] != side[others]], others[side[ones] != side[others]]
+    for k in range(0, len(ones), PAIRS_AT_ONCE):
+        some = slice(k, k + PAIRS_AT_ONCE)
+        fit = _reaching(ones[some], others[some], spelled, chars)
+        for i, j in zip(ones[some][fit], others[some][fit]):
+            one, two = rows[i], rows[j]
+            for left, right in ((one, two), (two, one)):
+                if (left.first_path, left.first_line) < (right.last_path, right.last_line):
+                    ratio = _ratio(matchers, left.body, right.body)
+                    if ratio >= MIN_RATIO:
+                        out.append((scan, left.class_id, right.class_id, ratio))
+    return pd.DataFrame(out, columns=LINK_COLUMNS)
+
+
+def _cells(classes: DataFrame, sizes: DataFrame, block_rows: int) -> DataFrame:
+    """Each class once per cell it takes part in."""
     split = F.col("total") > block_rows
     step = F.when(split, F.col("step")).otherwise(F.lit(0))
     salts = lambda s: F.coalesce(F.element_at("salts", s), F.lit(0))
-    own_salt = F.when(split, F.pmod(F.xxhash64("file_path", "name", "line"), salts(step))).otherwise(F.lit(0))
+    own_salt = F.when(split, F.pmod(F.xxhash64("class_id"), salts(step))).otherwise(F.lit(0))
     near = F.when(split, F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).otherwise(F.array(F.lit(0)))
 
     def blocks_of(s):
@@ -240,33 +252,118 @@ def _cells(blocks: DataFrame, sizes: DataFrame, block_rows: int) -> DataFrame:
     reach = F.when(split, F.flatten(F.array_compact(F.transform(near, blocks_of)))).otherwise(
         F.array(F.lit(0).cast("bigint"))
     )
-    joined = blocks.join(broadcast_if_small(sizes), "scan_id")
-    placed = joined.withColumn("own", step.cast("bigint") * SALT_SPACE + own_salt).withColumn("other", F.explode(reach))
+    placed = classes.join(sizes, "scan_id").withColumn("own", step.cast("bigint") * SALT_SPACE + own_salt).withColumn("other", F.explode(reach))
     return placed.select(
-        "scan_id", "file_path", "name", "line", "turn", "body",
+        "scan_id", "class_id", "body", "first_path", "first_line", "last_path", "last_line",
         F.least("own", "other").alias("cell_a"), F.greatest("own", "other").alias("cell_b"),
         (F.col("own") != F.col("other")).alias("crossing"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
 
 
-def similar_functions(blocks: DataFrame, limit: int = MAX_FUNCTION_REPORTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The first ``limit`` pairs of similar functions of each scan, from ``function_blocks``."""
-    stepped = blocks.withColumn("step", F.floor(F.log(F.col("chars")) / F.lit(float(-np.log(LENGTH_STEP)))).cast("int"))
-    per_step = stepped.groupBy("scan_id", "step").agg(F.count("*").alias("n"))
-    entry = F.struct("step", F.ceil(F.col("n") / block_rows).cast("int"))  # under fifty steps up to the read limit
-    sizes = per_step.groupBy("scan_id").agg(
-        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(entry)).alias("salts")
-    )
-    cells = _cells(_useful(stepped, limit), sizes, block_rows)
+def function_classes(blocks: DataFrame) -> DataFrame:
+    """``(scan_id, class_id, copies, body, chars, first_path, first_line, last_path, last_line)`` of the distinct bodies of first
+    functions, from `function_blocks`. Copies are added up before the shuffle."""
+    place = F.struct("file_path", "line")
+    firsts = blocks.where(F.col("turn") == 1).groupBy("scan_id", F.sha1("body").alias("class_id")).agg(
+        F.count("*").alias("copies"), F.min("body").alias("body"), F.min("chars").alias("chars"), F.min(place).alias("first"), F.max(place).alias("last"))
+    return firsts.select("scan_id", "class_id", "copies", "body", "chars", F.col("first.file_path").alias("first_path"), F.col("first.line").alias("first_line"),
+                         F.col("last.file_path").alias("last_path"), F.col("last.line").alias("last_line"))
 
-    def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        return similar_in_cell(cell, limit)
 
+def class_links(classes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """All links ``(scan_id, left_class, right_class, ratio)`` between different bodies of a scan."""
+    stepped = classes.withColumn("step", F.floor(F.log(F.col("chars")) / F.lit(float(-np.log(LENGTH_STEP)))).cast("int"))
+    per_step = stepped.groupBy("scan_id", "step").agg(F.count("*").alias("n"))
+    entry = F.struct("step", F.ceil(F.col("n") / block_rows).cast("int"))  # a row per power of the step, under a hundred
+    sizes = per_step.groupBy("scan_id").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(entry)).alias("salts")).where(F.col("total") > 1)
     place = ["scan_id", "cell_a", "cell_b"]
-    pairs = cells.repartition(shuffle_partitions(blocks.sparkSession), *place).groupBy(*place).applyInPandas(compare, PAIR_SCHEMA)
+    cells = _cells(stepped, sizes, block_rows).repartition(shuffle_partitions(classes.sparkSession), *place)
+    return cells.groupBy(*place).applyInPandas(links_in_cell, LINK_SCHEMA)
+
+
+def twins(blocks: DataFrame) -> DataFrame:
+    """Similar first and second functions of one name in a file, as pairs."""
+    first = blocks.where(F.col("turn") == 1).select("scan_id", "file_path", "name", F.col("line").alias("left_line"), F.col("body").alias("left_body"))
+    both = blocks.where(F.col("turn") == 2).join(first, ["scan_id", "file_path", "name"])
+
+    def compare(batches):
+        for batch in batches:
+            ratios = [1.0 if a == b else SequenceMatcher(None, a, b).ratio() for a, b in zip(batch["left_body"], batch["body"])]
+            yield batch[["scan_id", "file_path", "name", "left_line", "line"]].assign(ratio=ratios)
+
+    judged = both.mapInPandas(compare, "scan_id string, file_path string, name string, left_line int, line int, ratio double").where(F.col("ratio") >= MIN_RATIO)
+    path, name = F.col("file_path"), F.col("name")
+    return judged.select("scan_id", path.alias("left_path"), "left_line", name.alias("left_name"), path.alias("right_path"), F.col("line").alias("right_line"),
+                         name.alias("right_name"), "ratio")
+
+
+def similarity_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``(scan_id, class_id, first_path, first_line, copies, links)``: each distinct body and how many others are similar to it."""
+    ends = [links.select("scan_id", F.col(a).alias("class_id"), F.col(b).alias("other")) for a, b in (("left_class", "right_class"), ("right_class", "left_class"))]
+    counted = ends[0].union(ends[1]).distinct().groupBy("scan_id", "class_id").agg(F.count("*").alias("links"))
+    return classes.join(counted, ["scan_id", "class_id"], "left").select(
+        "scan_id", "class_id", "first_path", "first_line", "copies", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
+
+
+def similarity_totals(blocks: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Beside the report, what a scan has in all: functions, distinct bodies, copies, bodies that are similar to another one, links."""
+    rows = similarity_classes(classes, links).groupBy("scan_id").agg(
+        F.count("*").alias("bodies"), F.sum(F.col("copies") - 1).alias("copies"), F.count_if(F.col("links") > 0).alias("linked_bodies"), (F.sum("links") / 2).cast("bigint").alias("links"))
+    return blocks.groupBy("scan_id").agg(F.count("*").alias("functions")).join(rows, "scan_id")
+
+
+def similar_functions(blocks: DataFrame, limit: int | None = MAX_FUNCTION_REPORTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The first ``limit`` pairs of similar functions of each scan, from ``function_blocks``; all pairs without a limit."""
+    classes = stored(function_classes(blocks), "classes")
+    return reported_pairs(blocks, classes, stored(class_links(classes, block_rows), "links"), limit)
+
+
+def reported_pairs(blocks: DataFrame, classes: DataFrame, links: DataFrame, limit: int | None = MAX_FUNCTION_REPORTS) -> DataFrame:
+    """Pairs of functions in report order, with ``pair_rank``.
+
+    Every left function that has a partner gives a pair, so the first ``limit`` of these hold the first ``limit`` pairs. A function has
+    a partner if the last function of some linked class comes after it.
+    """
+    own = classes.where("copies > 1").select("scan_id", F.col("class_id").alias("left_class"), F.col("class_id").alias("right_class"), F.lit(1.0).alias("ratio"))
+    every = links.unionByName(own)
+    members = blocks.where(F.col("turn") == 1).select("scan_id", F.sha1("body").alias("class_id"), "file_path", "line", "name")
+    lasts = classes.select("scan_id", F.col("class_id").alias("right_class"), F.struct(F.col("last_path").alias("file_path"), F.col("last_line").alias("line")).alias("last"))
+    reach = every.join(lasts, ["scan_id", "right_class"]).groupBy("scan_id", F.col("left_class").alias("class_id")).agg(F.max("last").alias("reach"))
+    lefts = members.join(reach, ["scan_id", "class_id"]).where(F.struct("file_path", "line") < F.col("reach")).drop("reach")
+    same_name = twins(blocks)
+    if limit is not None:
+        order = Window.partitionBy("scan_id").orderBy("file_path", "line")
+        lefts = lefts.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).drop("n")
+    one = lefts.select("scan_id", F.col("class_id").alias("left_class"), F.col("file_path").alias("left_path"), F.col("line").alias("left_line"), F.col("name").alias("left_name"))
+    two = members.select("scan_id", F.col("class_id").alias("right_class"), F.col("file_path").alias("right_path"), F.col("line").alias("right_line"), F.col("name").alias("right_name"))
+    met = one.join(every, ["scan_id", "left_class"]).join(two, ["scan_id", "right_class"]).where(F.struct("left_path", "left_line") < F.struct("right_path", "right_line"))
+    pairs = met.select(*PAIR_COLUMNS).unionByName(same_name)
     order = Window.partitionBy("scan_id").orderBy("left_path", "left_line", "right_path", "right_line")
-    return pairs.withColumn("pair_rank", F.row_number().over(order)).where(F.col("pair_rank") <= limit)
+    ranked = pairs.withColumn("pair_rank", F.row_number().over(order))
+    return ranked if limit is None else ranked.where(F.col("pair_rank") <= limit)
+
+
+def representative_pairs(blocks: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """All that is similar without all pairs: a pair of first functions per link, each further copy with the first one, and twins.
+
+    ``pair_rank`` counts within the left function. Two classes that are linked both ways give one pair, from the earlier one.
+    """
+    members = blocks.where(F.col("turn") == 1).select("scan_id", F.sha1("body").alias("class_id"), F.struct("file_path", "line").alias("place"), "name")
+    first = F.struct(F.col("first_path").alias("file_path"), F.col("first_line").alias("line")).alias("place")
+    heads = classes.select("scan_id", "class_id", first).join(members, ["scan_id", "class_id", "place"])
+    one = heads.select("scan_id", F.col("class_id").alias("left_class"), F.struct("place", "name").alias("x"))
+    two = heads.select("scan_id", F.col("class_id").alias("right_class"), F.struct("place", "name").alias("y"))
+    linked = links.join(one, ["scan_id", "left_class"]).join(two, ["scan_id", "right_class"])
+    low, high = F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")
+    forward = F.struct((F.col("x") < F.col("y")).alias("forward"), "ratio")
+    between = linked.groupBy("scan_id", low, high).agg(F.max(forward)["ratio"].alias("ratio"))
+    later = members.join(heads.select("scan_id", "class_id", F.struct("place", "name").alias("head")), ["scan_id", "class_id"]).where(F.col("place") != F.col("head.place"))
+    copies = later.select("scan_id", F.struct("place", "name").alias("left"), F.col("head").alias("right"), F.lit(1.0).alias("ratio"))
+    parts = [F.col(f"{s}.{c}").alias(f"{s}_{a}") for s in ("left", "right") for c, a in (("place.file_path", "path"), ("place.line", "line"), ("name", "name"))]
+    pairs = between.unionByName(copies).select("scan_id", *parts, "ratio").select(*PAIR_COLUMNS).unionByName(twins(blocks))
+    order = Window.partitionBy("scan_id", "left_path", "left_line").orderBy("right_path", "right_line")
+    return pairs.withColumn("pair_rank", F.row_number().over(order))
 
 
 def pair_confidence(ratio: Column) -> Column:

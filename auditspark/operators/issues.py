@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark import dims, schema
+from auditspark.session import shuffle_partitions, stored
 
 MAX_LISTED = 600
 
@@ -17,19 +18,32 @@ def union_findings(*sources: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
 
 
-def number_issues(findings: DataFrame) -> DataFrame:
+def offsets(counts: DataFrame, group: str, order: list[str], partitions: int | None = None) -> DataFrame:
+    """``counts`` with ``offset``: the sum of ``n`` over the earlier rows of the same ``group``.
+
+    Sums in two levels: rows lie in ranges of (group, order), each range adds up its own rows, and a group looks through one row per
+    range that it lies in. So no task sorts a whole group. The ranges are drawn once, in a written table.
+    """
+    ranges = partitions or shuffle_partitions(counts.sparkSession)
+    cut = stored(counts.repartitionByRange(ranges, group, *order).withColumn("range", F.spark_partition_id()), "counts")
+    earlier = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    handed = cut.groupBy(group, "range").agg(F.sum("n").alias("total")).select(group, "range", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("handed"))
+    near = Window.partitionBy(group, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    looked = cut.withColumn("near", F.coalesce(F.sum("n").over(near), F.lit(0)))
+    return looked.join(handed, [group, "range"]).withColumn("offset", F.col("near") + F.col("handed")).drop("range", "near", "handed")
+
+
+def number_issues(findings: DataFrame, partitions: int | None = None) -> DataFrame:
     """Adds ``issue_seq`` (from 1) and ``issue_id`` in report order.
 
-    Rows are numbered within their file, and each file gets an offset from the counts of the files
-    before it. So no task sorts a whole scan; the offsets see one row per file and phase of a scan,
-    which the cap on files of `select_source_files` bounds.
+    Rows are numbered within their file, and each file gets an offset from the counts of the files before it, so that neither a
+    scan's findings nor its files meet in one task.
     """
     place = ["scan_id", "phase", "file_path"]
     inner = Window.partitionBy(*place).orderBy("stage", "seq1", "seq2", "rule_id", "line")
-    before = Window.partitionBy("scan_id").orderBy("phase", "file_path").rowsBetween(Window.unboundedPreceding, -1)
     counts = findings.groupBy(*place).agg(F.count("*").alias("n"))
-    offsets = counts.select(*place, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    numbered = findings.withColumn("n", F.row_number().over(inner)).join(offsets, place)
+    before = offsets(counts, "scan_id", ["phase", "file_path"], partitions).select(*place, "offset")
+    numbered = findings.withColumn("n", F.row_number().over(inner)).join(before, place)
     seq = (F.col("n") + F.col("offset")).alias("issue_seq")
     return numbered.select(*schema.FINDING[:11], seq).withColumn("issue_id", issue_id(F.col("scan_id"), F.col("issue_seq")))
 

@@ -67,23 +67,29 @@ def file_findings(facts: DataFrame, extra_rules=()) -> DataFrame:
     return issues.union_findings(schema.spread(metrics.with_measures(facts), own), dependencies.dependency_findings(manifests))
 
 
-def findings(chosen: DataFrame, facts: DataFrame, extra_rules=(), max_blocks=None, similar_pairs=duplication.MAX_FUNCTION_REPORTS) -> DataFrame:
-    """All findings; only the search for repeated blocks reads the texts again.
-
-    ``similar_pairs`` is the number of pairs of similar functions that are reported for a scan; all others have no
-    limit of their own.
-    """
+def function_pairs(blocks: DataFrame, similar_pairs: int | None = None) -> DataFrame:
+    """Pairs of similar functions to report: the first ones of each scan, or without a number one for each link between distinct
+    bodies and one for each copy."""
+    classes = stored(duplication.function_classes(blocks), "classes")
+    links = stored(duplication.class_links(classes), "links")
+    if similar_pairs is None:
+        return duplication.representative_pairs(blocks, classes, links)
+    return duplication.reported_pairs(blocks, classes, links, similar_pairs)
+
+
+def findings(chosen: DataFrame, facts: DataFrame, extra_rules=(), max_blocks=None, similar_pairs=None) -> DataFrame:
+    """All findings; only the search for repeated blocks reads the texts again. Nothing has a limit unless it is given."""
     return issues.union_findings(
         file_findings(facts, extra_rules),
         duplication.block_findings(chosen, max_blocks),
-        duplication.similarity_findings(duplication.similar_functions(extract.blocks_of(facts), similar_pairs)),
+        duplication.similarity_findings(function_pairs(extract.blocks_of(facts), similar_pairs)),
         project.safeguard_findings(facts),
     )
 
 
 def scan(
     files: DataFrame, include_extensions=None, exclude_paths=None, max_files=None, extra_rules=(), max_blocks=None,
-    similar_pairs=duplication.MAX_FUNCTION_REPORTS, answers=None, sources_of=None,
+    similar_pairs=None, answers=None, sources_of=None,
 ) -> Scan:
     """Scan every ``scan_id`` of ``files(scan_id, file_path, content)``.
 

@@ -877,6 +877,20 @@ def _(spark, sf):
     return duplication.similar_functions(blocks)
 
 
+@query("d5_similarity_totals")
+def _(spark, sf):
+    blocks = stored(extract.function_blocks(_code(spark, sf)), "blocks")
+    classes = stored(duplication.function_classes(blocks), "classes")
+    return duplication.similarity_totals(blocks, classes, duplication.class_links(classes))
+
+
+@query("d6_all_similarity_findings")
+def _(spark, sf):
+    merged = _code(spark, sf).withColumn("scan_id", F.substring_index("scan_id", "-", 1))
+    found = duplication.similarity_findings(plan.function_pairs(stored(extract.function_blocks(merged), "blocks")))
+    return found.select("scan_id", "file_path", "line", "message", "confidence")
+
+
 @query("d6_similarity_findings")
 def _(spark, sf):
     merged = _code(spark, sf).withColumn("scan_id", F.substring_index("scan_id", "-", 1))

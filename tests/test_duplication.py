@@ -6,6 +6,7 @@ from collections import defaultdict
 from difflib import SequenceMatcher
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from auditspark.operators import duplication, extract
@@ -108,6 +109,36 @@ def test_many_copies_of_one_function(spark, files, block_rows):
     assert got == model_pairs(pool(tree), 120)
 
 
+def test_no_limit_gives_all_pairs(spark, files):
+    scans = {f"s{n}": random_tree(n + 40, files=60) for n in range(2)}
+    got = pairs(spark, files, scans, limit=None, block_rows=8)
+    for scan, tree in scans.items():
+        want = model_pairs(pool(tree), 10**9)
+        assert len(want) > 120 and got[scan] == want
+
+
+def test_classes_links_and_totals(spark, files):
+    """Representatives and membership say the same as all pairs."""
+    tree = random_tree(77, files=40)
+    blocks = extract.function_blocks(files({"s": tree})).cache()
+    classes = duplication.function_classes(blocks).cache()
+    links = duplication.class_links(classes, block_rows=8).cache()
+    of = {(r.file_path, r.line): r for r in blocks.collect()}
+    sha = {place: hashlib.sha1(r.body.encode()).hexdigest() for place, r in of.items()}
+    want = {(sha[p[:2]], sha[p[2:4]]) for p in model_pairs(pool(tree), 10**9) if of[p[:2]].turn == of[p[2:4]].turn == 1}
+    assert {(r.left_class, r.right_class) for r in links.collect()} == {w for w in want if w[0] != w[1]}
+    rows = {r.class_id: r for r in duplication.similarity_classes(classes, links).collect()}
+    for cid, r in rows.items():
+        places = sorted(p for p, b in of.items() if b.turn == 1 and sha[p] == cid)
+        assert (r.first_path, r.first_line) == places[0] and r.copies == len(places)
+        assert r.links == len({x for w in want if cid in w for x in w} - {cid})
+    total = duplication.similarity_totals(blocks, classes, links).first()
+    assert (total.functions, total.bodies, total.copies) == (len(of), len(rows), sum(r.copies - 1 for r in rows.values()))
+    assert total.links == len({frozenset(w) for w in want if w[0] != w[1]}) and total.linked_bodies == sum(r.links > 0 for r in rows.values())
+    told = duplication.representative_pairs(blocks, classes, links).collect()
+    assert len(told) == total.links + total.copies + duplication.twins(blocks).count()
+
+
 def test_bounds_never_lose_a_pair():
     rng = random.Random(3)
     bodies = []
@@ -120,12 +151,14 @@ def test_bounds_never_lose_a_pair():
                 cut[rng.randrange(len(cut))] = rng.choice("abcxyz")
             bodies.append("".join(cut))
     letters, twos, chars = duplication._profiles(bodies)
+    spelled = duplication._alphabet(bodies)
     for i in range(len(bodies) - 1):
         kept = set(duplication._candidates(i, letters, twos, chars).tolist())
+        others = np.arange(i + 1, len(bodies))
+        reaching = set(others[duplication._reaching(np.full(len(others), i), others, spelled, chars)].tolist())
         for j in range(i + 1, len(bodies)):
             if SequenceMatcher(None, bodies[i], bodies[j]).ratio() >= 0.86:
-                assert j in kept
-                assert duplication._can_reach(duplication._places(bodies[i]), len(bodies[i]), bodies[j])
+                assert j in kept and j in reaching
 
 
 def test_subsequence_bound_is_exact():
@@ -138,7 +171,9 @@ def test_subsequence_bound_is_exact():
         return row[-1]
 
     rng = random.Random(4)
-    for _ in range(300):
-        a, b = ("".join(rng.choices("abcd", k=rng.randint(1, 30))) for _ in range(2))
-        want = 2 * longest(a, b) >= 0.86 * (len(a) + len(b))
-        assert duplication._can_reach(duplication._places(a), len(a), b) == want
+    bodies = ["".join(rng.choices("abcd", k=rng.choice([1, 3, 30, 63, 64, 65, 128, 140]))) for _ in range(30)]
+    bodies += [body[:20] + body[22:] + "a" for body in bodies] + ["\U0001f600" * 64, "\U0001f600" * 60 + "\ud800"]
+    spelled, chars = duplication._alphabet(bodies), np.array([len(b) for b in bodies])
+    ones, others = np.triu_indices(len(bodies), 1)
+    want = [2 * longest(bodies[i], bodies[j]) >= 0.86 * (len(bodies[i]) + len(bodies[j])) for i, j in zip(ones, others)]
+    assert any(want) and duplication._reaching(ones, others, spelled, chars).tolist() == want
