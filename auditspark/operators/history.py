@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from auditspark import dims
 from auditspark.functions import text
+from auditspark.sources import committed, json_lists
 
 KEPT_SCANS = 100
 AVERAGED = ["security_score", "reliability_score", "quality_score", "trust_score"]
@@ -27,8 +28,11 @@ def parse_history(texts: DataFrame) -> DataFrame:
 
 
 def read_history_json(spark: SparkSession, path: str) -> DataFrame:
-    """History kept as files that each hold one JSON list."""
-    return parse_history(spark.read.text(path, wholetext=True))
+    """History kept as files that each hold one JSON list, of any size: a list is read by many tasks.
+
+    A file that is no whole list gives no rows, and an element that is no history row is left out.
+    """
+    return json_lists.list_objects(spark, path).select(F.from_json("text", HISTORY_SCHEMA).alias("h")).select("h.*").where(F.col("scan_id").isNotNull())
 
 
 def history_rows(scans: DataFrame, sources: DataFrame) -> DataFrame:
@@ -49,7 +53,13 @@ def history_rows(scans: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def append_history(scans: DataFrame, path: str) -> None:
-    scans.write.mode("append").parquet(path)
+    """Add scans to a history table; a scan that it holds already is replaced, also when a job runs again."""
+    committed.publish(scans.select(*StructType.fromDDL(HISTORY_SCHEMA).names), path)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The scans of a history table."""
+    return committed.committed(spark, path, HISTORY_SCHEMA)
 
 
 def kept_scans(history: DataFrame, limit: int = KEPT_SCANS) -> DataFrame:

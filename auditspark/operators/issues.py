@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark import dims, schema
+from auditspark.operators.prefix import sum_before
 from auditspark.session import shuffle_partitions, stored
 
 MAX_LISTED = 600
@@ -26,11 +27,7 @@ def offsets(counts: DataFrame, group: str, order: list[str], partitions: int | N
     """
     ranges = partitions or shuffle_partitions(counts.sparkSession)
     cut = stored(counts.repartitionByRange(ranges, group, *order).withColumn("range", F.spark_partition_id()), "counts")
-    earlier = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    handed = cut.groupBy(group, "range").agg(F.sum("n").alias("total")).select(group, "range", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("handed"))
-    near = Window.partitionBy(group, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    looked = cut.withColumn("near", F.coalesce(F.sum("n").over(near), F.lit(0)))
-    return looked.join(handed, [group, "range"]).withColumn("offset", F.col("near") + F.col("handed")).drop("range", "near", "handed")
+    return sum_before(cut, [group], "range", order, "n", "offset").drop("range")
 
 
 def number_issues(findings: DataFrame, partitions: int | None = None) -> DataFrame:

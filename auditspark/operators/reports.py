@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditspark import dims
 from auditspark.functions import text
+from auditspark.sources import committed
 
 HEAT_FILES, TOP_FINDINGS, TOP_SUGGESTIONS, PRINTED_ADVICE = 60, 12, 6, 10
 
@@ -105,10 +106,18 @@ def json_rows(table: DataFrame, part: str, order: Column) -> DataFrame:
     return table.select("scan_id", F.lit(part).alias("part"), order.cast("bigint").alias("seq"), F.to_json(F.struct("scan_id", *body)).alias("json"))
 
 
+EXPORTED = "value string, scan_id string"
+
+
 def export_json(rows: DataFrame, path: str, rows_per_file: int = 200_000) -> None:
-    """One folder per scan with JSON lines.
+    """One folder per scan with JSON lines; a scan that was exported before is replaced.
 
     A large scan is spread over several files and is never one document in memory.
     """
     placed = rows.repartition("scan_id", "part", F.floor(F.col("seq") / rows_per_file))
-    placed.select("scan_id", F.col("json").alias("value")).write.partitionBy("scan_id").text(path)
+    committed.publish(placed.select("scan_id", F.col("json").alias("value")), path, "text", ("scan_id",))
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, scan_id)``: the JSON lines of an export."""
+    return committed.committed(spark, path, EXPORTED, "text")

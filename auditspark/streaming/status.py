@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from auditspark.operators import issues
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Closing operations, status after an operation, length of a stored error.
@@ -67,10 +69,10 @@ def status_fold(events: DataFrame) -> DataFrame:
     return folded.where(F.col("created_seq").isNotNull()).select("scan_id", "status", "progress", "updated_at", error)
 
 
-def status_of(statuses: DataFrame, scan_id, user: str | None = None) -> DataFrame:
-    """Status of one scan if the user may see it."""
-    found = statuses.where(F.col("scan_id") == scan_id)
-    return found if not user else found.where(F.col("owner_uid").isNull() | (F.col("owner_uid") == user))
+def status_of(statuses: DataFrame, user: str | None = None, scan_id=None) -> DataFrame:
+    """The statuses that the user may see, of one scan or of all."""
+    seen = statuses.where(issues.visible_to(F.col("owner_uid"), user))
+    return seen if scan_id is None else seen.where(F.col("scan_id") == scan_id)
 
 
 def next_state(state: dict | None, op: str, progress, error) -> dict | None:

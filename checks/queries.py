@@ -253,6 +253,48 @@ def _(spark, sf):
     return kept.select("scan_id", "owner_uid", "scores.quality_score", "scores.security_score")
 
 
+@query("s9_history_file", """
+SELECT scan_id, owner_uid, quality_score, security_score, 'a "}{][" \\ b' AS source_label FROM scan_history""")
+def _(spark, sf):
+    """One file that holds all history as one JSON list; it is read by byte ranges."""
+    label = F.lit('a "}{][" \\ b').alias("source_label")
+    rows = adapt(spark, sf, "scan_history").select(F.to_json(F.struct("scan_id", "owner_uid", label, F.struct(*dims.SCORES).alias("scores"))).alias("value"))
+    path = f"{shared_folder(spark)}/auditspark-history-{uuid.uuid4().hex}"
+    ends = [spark.range(1).select(F.lit(v).alias("value"), F.lit(n).alias("n")) for v, n in (("[ null", 0), ("]", 2))]
+    listed = ends[0].unionByName(rows.select(F.concat(F.lit(", "), "value").alias("value"), F.lit(1).alias("n"))).unionByName(ends[1])
+    listed.coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+    return history.read_history_json(spark, path).select("scan_id", "owner_uid", "scores.quality_score", "scores.security_score", "source_label")
+
+
+@query("s10_exported_json", """
+SELECT scan_id, '{"scan_id":"' || scan_id || '","issue_seq":' || issue_seq || ',"severity":"' || severity || '","file_path":"' || file_path || '"}' AS value
+FROM issues WHERE CAST(scan_id AS BIGINT) % 50 < 40""")
+def _(spark, sf):
+    """Scans 0 to 29 of each fifty exported, then 20 to 39, then an export whose commit is missing, and read back."""
+    rows = reports.json_rows(_issues(spark, sf).select("scan_id", "issue_seq", "severity", "file_path"), "issue", F.col("issue_seq"))
+    rows = rows.withColumn("group", F.floor((F.col("scan_id").cast("bigint") % 50) / 10)).withColumn("scan_id", F.concat(F.lit("k"), F.col("group").cast("string"))).drop("group")
+    path = f"{shared_folder(spark)}/auditspark-export-{uuid.uuid4().hex}"
+    for groups in (("k0", "k1", "k2"), ("k2", "k3")):
+        reports.export_json(rows.where(F.col("scan_id").isin(*groups)), path)
+    rows.limit(5).select(F.col("json").alias("value"), "scan_id").write.partitionBy("scan_id").text(f"{path}/data/part=lost")
+    read = reports.read_export(spark, path)
+    return read.select(F.get_json_object("value", "$.scan_id").alias("scan_id"), "value")
+
+
+@query("s11_history_table", "SELECT scan_id, owner_uid, updated_at, security_score FROM scan_history")
+def _(spark, sf):
+    """History written in two overlapping jobs, the first one twice, and read back."""
+    scans = adapt(spark, sf, "scan_history")
+    totals = F.struct(*[F.lit(None).cast("int").alias(c) for c in ("total_files_scanned", "total_lines_analyzed", "total_issues_found", *dims.SEVERITIES)])
+    rows = scans.withColumn("source_label", F.lit("x")).withColumn("totals", totals).withColumn("scores", F.struct(*dims.SCORES))
+    rows = rows.withColumns({c: F.col(c).cast("timestamp") for c in ("created_at", "updated_at")})
+    path = f"{shared_folder(spark)}/auditspark-scans-{uuid.uuid4().hex}"
+    number = F.col("scan_id").cast("bigint") % 4
+    for some in (number < 3, number < 3, number > 1):
+        history.append_history(rows.where(some), path)
+    return history.read_history(spark, path).select("scan_id", "owner_uid", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"), "scores.security_score")
+
+
 @query("s10_export_json", """
 SELECT scan_id, 'issue' AS part, CAST(issue_seq AS BIGINT) AS seq, '{"scan_id":"' || scan_id || '","issue_seq":' || issue_seq ||
   ',"severity":"' || severity || '","file_path":"' || file_path || '"}' AS json FROM issues""")
@@ -1298,7 +1340,7 @@ def _(spark, sf):
     scan_id = F.col("user_id") * 10 + F.col("event_id") % 10
     owners = events.select(scan_id.alias("scan_id"), (F.col("user_id") % 3).cast("string").alias("owner_uid")).distinct()
     known = status.status_fold(adapt(spark, sf, "scan_status_events")).join(owners, "scan_id")
-    return known.where(issues.visible_to(F.col("owner_uid"), "1")).select("scan_id", "owner_uid", "status")
+    return status.status_of(known, "1").select("scan_id", "owner_uid", "status")
 
 
 @query("t1_throttle", """

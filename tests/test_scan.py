@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from auditspark import dims
 from auditspark.operators import history, issues, line_rules, metrics, project, reports, scores
 from auditspark.plans import scan as plan
-from auditspark.sources import files as sources
+from auditspark.sources import files as sources, json_lists
 
 TREE = {
     "app/main.py": "import os\nimport jwt\napi_key = 'abcdef1'\n\ndef run(command):\n    os.system(command)\n    return open(command)\n",
@@ -101,9 +102,36 @@ def test_history_files(spark, tmp_path):
     (tmp_path / "object.json").write_text(json.dumps(item))
     got = history.read_history_json(spark, str(tmp_path)).collect()
     assert {(r.scan_id, r.scores.security_score) for r in got} == {("a", 7), ("b", 7)}
-    history.append_history(spark.createDataFrame(got, history.HISTORY_SCHEMA), str(tmp_path / "table"))
-    history.append_history(spark.createDataFrame(got, history.HISTORY_SCHEMA), str(tmp_path / "table"))
-    assert spark.read.parquet(str(tmp_path / "table")).count() == 4
+    path = str(tmp_path / "table")
+    assert history.read_history(spark, path).count() == 0
+    for n in range(2):  # a job that runs again
+        history.append_history(spark.createDataFrame(got, history.HISTORY_SCHEMA), path)
+    later = spark.createDataFrame(got, history.HISTORY_SCHEMA).where("scan_id = 'a'").withColumn("source_label", F.lit("later"))
+    history.append_history(later, path)
+    later.withColumn("scan_id", F.lit("lost")).write.parquet(f"{path}/data/part=plost")  # a job that ended before its commit
+    assert sorted((r.scan_id, r.source_label) for r in history.read_history(spark, path).collect()) == [("a", "later"), ("b", None)]
+
+
+def test_lists_are_read_by_byte_ranges(spark, tmp_path):
+    """One list over many ranges gives what a whole read gives, whatever its strings hold."""
+    draw = random.Random(8)
+    texts = ['"}', "{[", "\\", '\\"', "]}", "é\n", "", '","{']
+    items = [{"scan_id": str(n), "source_label": "".join(draw.choices(texts, k=4)), "scores": {"security_score": n}, "more": [{"x": [{}]}, [1, "}"]]} for n in range(4000)]
+    mixed = [draw.choice([[item], [None, item], ["{", item], [1.5, item]]) for item in items]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(" \n" + json.dumps([x for some in mixed for x in some], ensure_ascii=False, indent=draw.choice([None, 1])))
+    (tmp_path / "in" / "cut.json").write_text(json.dumps(items)[:-1])
+    (tmp_path / "in" / "open.json").write_text(json.dumps(items)[:-9])
+    (tmp_path / "in" / "empty.json").write_text("[]\n")
+    (tmp_path / "in" / "nothing.json").write_text("")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert spark.read.option("lineSep", "}").text(str(tmp_path / "in" / "a.json")).rdd.getNumPartitions() > 10
+        found = json_lists.list_objects(spark, str(tmp_path / "in")).orderBy("item").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [json.loads(r.text) for r in found] == items
 
 
 @pytest.fixture(scope="module")
@@ -143,8 +171,10 @@ def test_export(done, spark, tmp_path):
     rows = reports.json_rows(done.scans.select("scan_id", "files"), "scan", F.lit(0)).unionByName(
         reports.json_rows(done.issues.select("scan_id", "issue_id", "issue_seq"), "issue", F.col("issue_seq")))
     reports.export_json(rows, str(tmp_path / "out"))
-    back = spark.read.text(str(tmp_path / "out" / "scan_id=s1")).collect()
-    assert len(back) == 19 and all(json.loads(r.value)["scan_id"] == "s1" for r in back)
+    reports.export_json(rows.where("scan_id = 's1'"), str(tmp_path / "out"))
+    every = reports.read_export(spark, str(tmp_path / "out")).collect()
+    back = [r for r in every if r.scan_id == "s1"]
+    assert len(every) == rows.count() and len(back) == 19 and all(json.loads(r.value)["scan_id"] == "s1" for r in back)
 
 
 def test_conform_splits_good_and_bad(done):
