@@ -93,21 +93,22 @@ def next_state(state: dict | None, op: str, progress, error) -> dict | None:
 
 STATUS_SCHEMA = "scan_id string, status string, progress int, error string, last_seq bigint"
 STATE_SCHEMA = (
-    "status string, progress int, error string, last_seq bigint, closed bigint, "
+    "status string, progress int, error string, last_seq bigint, newest_at bigint, "
     "seqs array<bigint>, times array<bigint>, ops array<string>, progresses array<int>, errors array<string>"
 )
 COLUMNS = ["scan_id", "status", "progress", "error", "last_seq"]
-#: seconds that a closed scan is remembered after its last event, in case it is restarted
-REMEMBERED = 7 * 24 * 3600
+#: seconds that a closed scan is remembered after its last event, in case it is restarted, and one that was left open
+REMEMBERED, ABANDONED = 7 * 24 * 3600, 30 * 24 * 3600
 
 
-def status_stream(events: DataFrame, lateness: str = "10 minutes", remembered: int = REMEMBERED) -> DataFrame:
+def status_stream(events: DataFrame, lateness: str = "10 minutes", remembered: int = REMEMBERED, abandoned: int = ABANDONED) -> DataFrame:
     """The same fold on a stream, in update mode.
 
     Events of a scan may come in any order within ``lateness``. Those that the watermark has not passed are kept and
     folded anew in each batch, so that every status shown takes in all events so far in the order of ``seq``; what the
     watermark has passed is settled, and an event older than that is dropped. State goes ``remembered`` seconds after
-    the last event of a closed scan, and is never kept for events without a create event that are settled.
+    the last event of a closed scan and ``abandoned`` seconds after that of an open one, so that every scan's state ends; it is
+    never kept for events without a create event that are settled.
     """
 
     def fold(now, waiting):
@@ -116,9 +117,9 @@ def status_stream(events: DataFrame, lateness: str = "10 minutes", remembered: i
         return now
 
     def step(key, frames, state: GroupState):
-        now, last, closed, waiting = None, -1, 0, []
+        now, last, newest_at, waiting = None, -1, 0, []
         if state.exists:
-            status, progress, error, last, closed, *columns = state.get
+            status, progress, error, last, newest_at, *columns = state.get
             now = None if status is None else {"status": status, "progress": progress, "error": error}
             waiting = list(zip(*columns))
         if not state.hasTimedOut:
@@ -134,18 +135,18 @@ def status_stream(events: DataFrame, lateness: str = "10 minutes", remembered: i
         newest = waiting[-1][0] if waiting else last
         now, passed, waiting = fold(now, waiting[:settled]), waiting[:settled], waiting[settled:]
         last = passed[-1][0] if passed else last
-        closed = max([closed, *(r[1] for r in passed)])
-        done = not waiting and (now is None or (now["status"] in CLOSING and closed + remembered * 1_000_000 <= mark))
+        newest_at = max([newest_at, *(r[1] for r in passed)])
+        forgotten_at = newest_at + (remembered if now and now["status"] in CLOSING else abandoned) * 1_000_000
+        done = not waiting and (now is None or forgotten_at <= mark)
         if done:
             if state.exists:
                 state.remove()
         else:
             kept = (now["status"], now["progress"], now["error"]) if now else (None, None, None)
             columns = [list(c) for c in zip(*waiting)] or [[] for _ in range(5)]
-            state.update((*kept, last, closed, *columns))
-            if waiting or now["status"] in CLOSING:
-                wake = waiting[0][1] if waiting else closed + remembered * 1_000_000
-                state.setTimeoutTimestamp(max(wake, mark) // 1000 + 1)
+            state.update((*kept, last, newest_at, *columns))
+            wake = waiting[0][1] if waiting else forgotten_at
+            state.setTimeoutTimestamp(max(wake, mark) // 1000 + 1)
         rows = [] if shown is None or state.hasTimedOut else [(key[0], shown["status"], shown["progress"], shown["error"], newest)]
         yield pd.DataFrame(rows, columns=COLUMNS)
 

@@ -174,6 +174,13 @@ def test_state_of_closed_scans_goes(spark, tmp_path):
     assert sizes[0] == 20 and sizes[-1] <= 2
 
 
+def test_state_of_scans_that_never_close_goes(spark, tmp_path):
+    log = [(s, 3 * s + k, op, 10, None) for s in range(20) for k, op in enumerate(("create", "running", "progress"))]
+    later = [(200 + n, 10**6 + n, "progress", 1, None) for n in range(2)]
+    latest, sizes = run_status(spark, (timed(log), timed(later[:1]), timed(later[1:])), tmp_path, "10 seconds", abandoned=3600)
+    assert latest == model_status(log) and sizes[0] == 20 and sizes[-1] <= 2
+
+
 def test_new_files_are_scanned_once(spark, tmp_path):
     schema = "scan_id string, file_path string, content string"
     rows = [[("s", "a.py", "eval(x)\n# TODO")], [("s", "b.py", "password == x"), ("t", "c.py", "eval(x)")], [("s", "a.py", "import os\n"), ("u", "d.py", "")]]
