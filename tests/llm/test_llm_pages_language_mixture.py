@@ -130,3 +130,65 @@ def test_mixture_of_odd_and_empty_tables(spark, odd):
     assert mixture.shares(odd.limit(0)).count() == 0 == mixture.mixed(odd.limit(0)).count()
     nothing = odd.where("doc_id IN (1, 2, 3)")
     assert {r["taken"] for r in mixture.shares(nothing).collect()} == {0}
+
+
+def _made_page(draw, bare):
+    """A page and the text of its article; without names and with no tag but div if ``bare``."""
+    put = lambda name, text: f"<div>{text}</div>" if bare else f"<{name}>{text}</{name.split()[0]}>"
+    link = lambda: f"<a href=/x>{prose(draw.randrange(10**6), draw.randint(1, 4))}</a>"
+    line = lambda low, high: prose(draw.randrange(10**6), draw.randint(low, high)).replace("\n", " ")
+    text = [line(3, 12)] + [line(24, 90) if n == 4 else line(1, 90) for n in range(5)]
+    menu = "".join(put("li", link()) for _ in range(draw.randint(3, 8)))
+    advert, foot = put('div class="x1"', line(4, 14)), put('div class="x2"', line(4, 14))
+    return menu + advert + put("h1", text[0]) + "".join(put("p", t) for t in text[1:]) + foot, "\n\n".join(text)
+
+
+@pytest.mark.parametrize("bare", [False, True])
+def test_main_text_without_names(spark, bare):
+    """Menus, adverts and feet go by words and links alone."""
+    draw = random.Random(9)
+    made = [_made_page(draw, bare) for _ in range(200)]
+    found = html_text.extract(spark.createDataFrame([(i, "u", page) for i, (page, _) in enumerate(made)], "page_id long, url string, html string"), html_text.train()).collect()
+    assert {r["page_id"]: r["text"] for r in found} == {i: text for i, (_, text) in enumerate(made)}
+
+
+def test_words_and_links_decide():
+    """With constant words and densities the tree cannot tell menus, adverts and feet from the text."""
+    draw, tree = random.Random(10), html_text.train()
+    for bare in (False, True):
+        rows = html_text.features(html_text.blocks(_made_page(draw, bare)[0]))
+        level = rows.copy()
+        level[:, :6] = 1
+        assert 0 < html_text.classify(tree, rows).sum() < len(rows) and (html_text.classify(tree, rows) != html_text.classify(tree, level)).any()
+
+
+def _plain_end(page, at):
+    """Where a tag ends whose name ends at ``at``, sign by sign."""
+    quote = None
+    for i in range(at, len(page)):
+        if quote:
+            quote = None if page[i] == quote else quote
+        elif page[i] in "\"'":
+            quote = page[i]
+        elif page[i] == ">":
+            return i + 1
+    return -1
+
+
+def test_tags_end_where_a_plain_scan_says():
+    draw = random.Random(11)
+    for _ in range(300):
+        page = "".join(draw.choices("<a>\"' /x", k=draw.randint(0, 60)))
+        tags = html_text._Tags(page)
+        places = list(range(len(page) + 1))
+        draw.shuffle(places)
+        assert [tags.end(p) for p in places] == [_plain_end(page, p) for p in places]
+
+
+@pytest.mark.parametrize("broken", ['<a "', "<a<a", "<a '\"><b \">\"", "<!--", "<div>", "<p <"])
+def test_broken_markup_of_a_megabyte_takes_seconds(broken):
+    import time
+
+    start = time.perf_counter()
+    html_text.blocks(broken * (1_000_000 // len(broken)))
+    assert time.perf_counter() - start < 20
