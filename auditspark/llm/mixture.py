@@ -5,7 +5,7 @@ words, and the excess is shared again by weight until none is above.
 
 Copies: a source whose target is r times its words takes each document floor(r) times for certain. The words that are
 then left to take are filled by a sample without replacement: a document's inclusion probability is c times its size, c
-such that the expected words fit; documents that would exceed 1 are certain too. The others are ranked by their random
+such that the expected words fit; documents that would reach 1 are certain too, and their words are taken off. The others are ranked by their random
 odds divided by their inclusion odds, U / (1 - U) over p / (1 - p), and taken in this order. The sample's size is fixed in
 words: a document is taken if at least half of it fits, so that a source misses its target by at most half a document.
 
@@ -68,7 +68,8 @@ def targets(sized: DataFrame) -> DataFrame:
 
 
 def _rates(units: DataFrame, sources: DataFrame) -> DataFrame:
-    """``sources`` with ``whole`` copies of all, ``rate`` c of the sample, and ``open`` words that it may take."""
+    """``sources`` with ``whole`` copies of all, ``rate`` c of the sample, the ``largest`` size that it draws from, and ``open`` words
+    that it may take."""
     known = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     known = known.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
     down = Window.partitionBy("key").orderBy(F.col("size").desc())
@@ -76,12 +77,12 @@ def _rates(units: DataFrame, sources: DataFrame) -> DataFrame:
     counted = units.where("size > 0").groupBy("key", "size").agg(F.sum("m").alias("m")).join(known, "key")
     counted = (counted.withColumn("above", F.coalesce(F.sum(F.col("m") * F.col("size")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                .withColumn("squares", F.sum((F.col("m") * F.col("size") * F.col("size")).cast("decimal(28,0)")).over(up).cast("double")))
-    counted = counted.withColumn("rate", (F.col("left") - F.col("above")) / F.col("squares")).where(F.col("rate") * F.col("size") <= 1)
-    # the cut with the largest size: the documents above it are certain
-    best = counted.groupBy("key").agg(F.max_by(F.struct("rate", "above"), "size").alias("b"))
+    counted = counted.withColumn("rate", (F.col("left") - F.col("above")) / F.col("squares")).where(F.col("rate") * F.col("size") < 1)
+    # the cut with the largest size: the documents above it are certain, and their words are no longer open
+    best = counted.groupBy("key").agg(F.max_by(F.struct("rate", "above", "size"), "size").alias("b"))
     rated = known.join(best, "key", "left")
     return rated.select("key", "source_size", "target", "whole", F.coalesce("b.rate", F.lit(0.0)).alias("rate"),
-                        (F.col("left") - F.coalesce("b.above", F.lit(0))).alias("open"))
+                        F.coalesce("b.size", F.lit(0)).alias("largest"), (F.col("left") - F.coalesce("b.above", F.lit(0))).alias("open"))
 
 
 def plan(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,8 +95,8 @@ def plan(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     chance = F.col("rate") * F.col("size")
     odds = (u / (1 - u)) / (chance / (1 - chance))
-    drawn = units.join(rates, "key").withColumn("certain", (F.col("size") > 0) & (chance >= 1))
-    drawn = drawn.withColumn("odds", F.when((F.col("size") > 0) & (chance > 0) & (chance < 1), odds))
+    drawn = units.join(rates, "key").withColumn("certain", F.col("size") > F.col("largest"))
+    drawn = drawn.withColumn("odds", F.when((F.col("size") > 0) & ~F.col("certain") & (chance > 0), odds))
     drawn = drawn.withColumn("bucket", F.floor(BUCKETS * F.col("odds") / (1 + F.col("odds"))))
     drawn = compact(drawn, "drawn")
 

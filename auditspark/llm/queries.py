@@ -186,20 +186,20 @@ counted AS (
   FROM (SELECT source, size, count(*) AS m FROM sized WHERE size > 0 GROUP BY ALL) c
   JOIN lefts l ON c.source IS NOT DISTINCT FROM l.source),
 rates AS (
-  SELECT source, max_by((remaining - above::DOUBLE) / squares, size) AS rate, max_by(above, size) AS above
-  FROM counted WHERE (remaining - above::DOUBLE) / squares * size <= 1 GROUP BY source),
+  SELECT source, max_by((remaining - above::DOUBLE) / squares, size) AS rate, max_by(above, size) AS above, max(size) AS largest
+  FROM counted WHERE (remaining - above::DOUBLE) / squares * size < 1 GROUP BY source),
 drawn AS (
   SELECT s.doc_id, s.size, l.source, l.source_size, l.target, l.whole, l.remaining - coalesce(r.above, 0)::DOUBLE AS open,
-    coalesce(r.rate, 0) * s.size AS chance,
+    coalesce(r.rate, 0) * s.size AS chance, s.size > coalesce(r.largest, 0) AS certain,
     (CAST('0x' || substr(md5('mixture-1:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN lefts l ON s.source IS NOT DISTINCT FROM l.source LEFT JOIN rates r ON l.source IS NOT DISTINCT FROM r.source),
 ranked AS (
-  SELECT *, CASE WHEN size > 0 AND chance > 0 AND chance < 1 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS odds FROM drawn),
+  SELECT *, CASE WHEN size > 0 AND NOT certain AND chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS odds FROM drawn),
 reached AS (
   SELECT *, coalesce(sum(CASE WHEN odds IS NOT NULL THEN size END) OVER (
     PARTITION BY source ORDER BY odds NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ranked)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
-  (size * (whole + CASE WHEN size > 0 AND chance >= 1 THEN 1 WHEN odds IS NOT NULL AND before + size / 2.0::DOUBLE <= open THEN 1 ELSE 0 END))::BIGINT AS taken
+  (size * (whole + CASE WHEN certain THEN 1 WHEN odds IS NOT NULL AND before + size / 2.0::DOUBLE <= open THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM reached
 """,
     "op4_licenses": rf"""

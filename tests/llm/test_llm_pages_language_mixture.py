@@ -122,6 +122,13 @@ def test_mixture_meets_targets_and_limits(spark, docs, monkeypatch, buckets):
     assert sum(r["taken"] for r in mixed) == sum(taken.values()) and all(r["copies"] > 0 for r in mixed)
 
 
+def test_a_document_whose_chance_is_exactly_one(docs):
+    """Its words are taken off what is open: 4 + 100 * 1 words to a target of 133, 295 words in the other source."""
+    rows = [(0, "w w w w", "en", "a")] + [(i, "w", "en", "a") for i in range(1, 101)] + [(200 + i, "w " * 5, "en", "b") for i in range(59)]
+    found = mixture.shares(docs(rows)).collect()
+    assert {r["target"] for r in found if r["doc_id"] < 200} == {133.0} and sum(r["taken"] for r in found if r["doc_id"] < 200) == 133
+
+
 def test_mixture_of_odd_and_empty_tables(spark, odd):
     found = mixture.shares(odd).collect()
     assert len(found) == 9 and sum(r["size"] == 0 and r["taken"] == 0 for r in found) == 3
