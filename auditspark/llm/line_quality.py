@@ -1,17 +1,21 @@
 """Content and boilerplate lines by a linear-chain conditional random field, and the documents that are kept by it.
 
 Each line of a text has features of its words and signs. The field has the states content and boilerplate, a weight for
-each feature and state, and weights for the change from line to line. It is trained by gradient ascent on the
-log-likelihood (forward-backward) of a bounded sample of labelled documents, whose lines have the document's label. The
-labels of a whole text come from Viterbi decoding. A document is kept if it passes the base rule and if at least
-``CONTENT`` of its word characters stand in content lines.
+each feature and state, and weights for the change from line to line. The labels of a whole text come from Viterbi decoding. A
+document is kept if it passes the base rule and if at least ``CONTENT`` of its word characters stand in content lines.
+
+Training takes a bounded sample of labelled documents, at most ``RUN`` lines in a row of each. Lines have labels of their own: a
+classifier of single lines is fitted to tell lines of good documents from lines of bad ones, and then says, in ``ROUNDS`` rounds, which
+lines of a bad document are as good as any (content) and which of a good one are clearly not (boilerplate). Besides the texts as
+they are, the field sees good texts with runs of boilerplate lines planted at the head, inside and at the foot, and
+so learns where the state changes. It is trained by gradient ascent on the log-likelihood (forward-backward).
 
 All texts of a batch are decoded together, line by line of the longest one; texts are sorted by their number of lines so
 that short ones drop out.
 
-A null or empty text has one empty line, no words, and fails the base rule. Labels other than 0 and 1 are not learned
-from. Without labels, or with one kind only, every line is content. Rows that repeat have equal results. Other columns
-are not read.
+A null or empty text has one empty line, no words, and fails the base rule. A share of exactly ``CONTENT`` is kept. Labels other than 0
+and 1 are not learned from. Without labels, or with one kind only, every line is content. Rows that repeat have equal results. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ from auditspark.llm.batches import in_batches, mix, pieces, prepare
 from auditspark.llm.samples import sample, texts_of
 from auditspark.llm.textstats import NAMES, SYMBOLS, Words, shares
 
-#: labelled documents of each kind, and lines of all of them, that the field is trained on
-PER_CLASS, LINES = 500, 40_000
+#: labelled documents of each kind, and lines of each of them, that the field is trained on
+PER_CLASS, RUN = 500, 40
+#: rounds in which lines get labels of their own, and the chance of content below which a line of a good document is boilerplate
+ROUNDS, CLEARLY = 3, 0.1
 #: share of word characters in content lines from which a document is kept
 CONTENT = 0.5
 #: base rule: fewest words, and the percentage of words in repeated windows beyond which a text fails
@@ -161,33 +167,72 @@ def content_lines(lines: Lines, model: dict | None) -> np.ndarray:
     return viterbi(emit, model["change"], lines.text) == 1
 
 
+def line_labels(rows: np.ndarray, kind: np.ndarray, filled: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """A label for each line: 1 content, 0 boilerplate. ``kind`` is its document's; lines without words go with the line before."""
+    label = kind.copy()
+    for _ in range(ROUNDS):
+        single = fit(rows[filled], np.arange(filled.sum()), label[filled])
+        if single is None:
+            break
+        score = (rows - single["mean"]) / single["scale"] @ single["weights"]
+        chance = 1 / (1 + np.exp(score[:, 0] - score[:, 1]))
+        label = np.where(kind == 1, chance >= CLEARLY, chance >= 0.5).astype(kind.dtype)
+    # the last line with words before each one, in its text
+    last = np.maximum.accumulate(np.where(filled, np.arange(len(label)), -1))
+    known = (last >= 0) & (text[np.maximum(last, 0)] == text)
+    return np.where(known, label[np.maximum(last, 0)], kind)
+
+
+def planted(text: np.ndarray, label: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines, as places among the given ones, and their texts: each good text with boilerplate at head, inside and foot, by chance."""
+    draw = np.random.default_rng(1)
+    first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+    bounds = list(zip(first, np.append(first[1:], len(text))))
+    runs = [np.arange(a, b)[label[a:b] == 0] for a, b in bounds]
+    runs = [r for r in runs if len(r)]
+    places, owner = [], []
+    for a, b in bounds if runs else ():
+        if kind[a] != 1:
+            continue
+        cut = int(draw.integers(a, b + 1))
+        some = [runs[draw.integers(len(runs))][:draw.integers(1, 7)] if draw.random() < 0.5 else np.zeros(0, np.int64) for _ in range(3)]
+        chain = np.concatenate([some[0], np.arange(a, cut), some[1], np.arange(cut, b), some[2]]).astype(np.int64)
+        owner.append(np.full(len(chain), len(places)))
+        places.append(chain)
+    return (np.concatenate(places), np.concatenate(owner)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def train(documents: DataFrame, labels: DataFrame) -> dict | None:
-    """Fit on the lines of a bounded sample of labelled documents."""
+    """Fit on the lines of a bounded sample of labelled documents; of a long text a run of lines from a place drawn by its length."""
     prepare(documents.sparkSession)
     known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1))
 
     def work(batch):
-        label, text, rows, seen = batch.column("label").to_numpy(), [], [], 0
+        label, out = batch.column("label").to_numpy(), []
         for piece in pieces(batch.column("text")):
             lines = Lines(piece)
-            text.append(lines.text + piece.first)
-            rows.append(lines.rows[:, :-1])
-        text, rows = np.concatenate(text), np.concatenate(rows)
-        cut = np.searchsorted(text, np.arange(len(label) + 1))
-        return pa.RecordBatch.from_arrays([pa.array(label), pa.array([rows[a:b].ravel().tolist() for a, b in zip(cut[:-1], cut[1:])], pa.list_(pa.float64()))], ["label", "rows"])
-
-    found = in_batches(texts_of(sample(known, PER_CLASS, 2 * PER_CLASS), documents), work, "label int, rows array<double>")
-    # long texts come last and go first when the lines are too many
-    found = sorted(((r["label"], np.array(r["rows"]).reshape(-1, _FEATURES - 1)) for r in found.toLocalIterator()), key=lambda r: (len(r[1]), r[0], r[1].tolist()))
-    rows, text, label, n = [], [], [], 0
-    for i, (kind, row) in enumerate(found):
-        n += len(row)
-        if n > LINES:
-            break
-        rows.append(np.hstack([row, np.ones((len(row), 1))]))
-        text.append(np.full(len(row), i))
-        label.append(np.full(len(row), kind))
-    return fit(np.concatenate(rows), np.concatenate(text), np.concatenate(label)) if rows else None
+            cut = np.searchsorted(lines.text, np.arange(piece.n + 1))
+            mark = piece.counts(np.ones(len(piece.data), bool))
+            for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+                a += int(mark[i]) % max(1, b - a - RUN + 1)
+                b = min(b, a + RUN)
+                row = np.hstack([lines.rows[a:b, :-1], lines.filled[a:b, None]])
+                out.append((int(label[piece.first + i]), row.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([y for _, y in out], pa.binary())], ["label", "rows"])
+
+    found = in_batches(texts_of(sample(known, PER_CLASS, 2 * PER_CLASS), documents), work, "label int, rows binary")
+    found = sorted((r["label"], bytes(r["rows"])) for r in found.toLocalIterator())  # at most 2 * PER_CLASS * RUN lines
+    if not found:
+        return None
+    made = [np.frombuffer(x).reshape(-1, _FEATURES) for _, x in found]
+    size = [len(m) for m in made]
+    whole, text, kind = np.concatenate(made), np.repeat(np.arange(len(made)), size), np.repeat([k for k, _ in found], size)
+    rows, filled = np.hstack([whole[:, :-1], np.ones((len(whole), 1))]), whole[:, -1] > 0
+    if not filled.any() or kind[filled].min() == kind[filled].max():
+        return None
+    label = line_labels(rows, kind, filled, text)
+    places, owner = planted(text, label, kind)
+    return fit(np.vstack([rows, rows[places]]), np.concatenate([text, owner + len(made)]), np.concatenate([label, label[places]]))
 
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
