@@ -1,25 +1,28 @@
 """License notices: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a run of consecutive lines of a text, as notices wrap; lines without words do not count. A run for a template
-of n words has up to 1 + ceil(n / WRAPPED) lines, which hold any copy whose lines have ``WRAPPED`` words or more, wherever
-in a line it begins. A template is a set of words; a block meets it if it holds at least ``CONTAINED`` of the template's
-words. A longer run holds all that a shorter one does, so that only the longest are counted. The join is exact:
+A template is a row of different words, those of a notice in order. A block is a run of words of a text, at most ``SPREAD`` times as many as
+the notice has; line breaks and comment signs are no words, so that a notice may wrap. A block meets a template if at least
+``CONTAINED`` of the template's words stand in it in the template's order. So words of prose that happen to stand
+near a notice do not complete another template. The join is exact:
 
 - prefix: words are ordered by their frequency in the whole corpus, rare ones first. A block that meets a template of
-  n words must hold one of its first n - ceil(CONTAINED * n) + 1 words. Only lines near one of those are looked at.
-- length: lines near which fewer words of the template stand than are needed cannot meet it.
+  n words must hold one of its first n - needed + 1 words. An index leads from these words to their templates, so that only pairs of a
+  text and a template that share one are looked at, however many templates there are.
+- length: a pair whose text holds fewer of the template's words than are needed is dropped, and so is a block with fewer places.
+- position: if the rarest word that a block holds is the template's word number i, at most n - i + 1 words are common. Blocks that
+  cannot reach the number needed are dropped.
 
-What is left is counted exactly: each word of a template covers the runs that hold it, and one pass over where these
-begin and end has the number of different words of every run. Templates are the caller's table, a bounded one; the
+What is left is counted exactly, as the longest rising run of template places. Templates are the caller's table, a bounded one; the
 corpus frequencies are those of its words only, and no text leaves its task.
 
-Null and empty texts have no words, no places and score 0. A block that is repeated counts as often as it stands. Rows
-that repeat have equal results; a template without words is never met. Other columns are not read.
+Null and empty texts have no words, no places and score 0. A block that is repeated counts as often as it stands, and of equal
+scores any one is the result. Rows that repeat have equal results; a template without words is never met. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from typing import NamedTuple
 
 import numpy as np
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 from auditspark.llm.batches import in_batches, pieces, prepare, whole_windows, windows
 
 CONTAINED = 0.8
-#: words that a line of a wrapped notice holds at least
-WRAPPED = 5
+#: words of a block for each word of a notice
+SPREAD = 2
 
 # fixed values: phrases and their labels
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -82,34 +85,46 @@ def _hash(words: list[str]) -> np.ndarray:
 
 
 class Index(NamedTuple):
-    """Template words as sorted hashes; each template as ranks of its words, rare ones first, and the lines of its runs."""
+    """Template words as sorted hashes with their ranks, rare ones first, and the templates that lead from them.
+
+    ``ranks`` of a template are sorted, ``order`` has the place in the notice of each of these, ``needed`` and ``width`` the least number of
+    common words and the words of a block. ``heads`` are the prefix words of all templates, sorted, and ``owners`` their templates.
+    """
 
     labels: list[str]
     words: np.ndarray
     rank: np.ndarray
-    templates: list[np.ndarray]
+    ranks: list[np.ndarray]
+    order: list[np.ndarray]
     needed: list[int]
-    lines: list[int]
+    width: list[int]
+    heads: np.ndarray
+    owners: np.ndarray
 
     @staticmethod
-    def of(templates: list[tuple[str, str]], frequency: dict[int, int], wrapped: int | None = None) -> Index:
-        """Without ``wrapped`` a block is a single line."""
+    def of(templates: list[tuple[str, str]], frequency: dict[int, int]) -> Index:
         listed = [_hash(w) for w in _words([t for _, t in templates])]
-        sets = [np.unique(w) for w in listed]
-        words = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]))
+        words = np.unique(np.concatenate([np.zeros(0, np.uint64), *listed]))
         counts = np.array([frequency.get(int(w), 0) for w in words.view(np.int64)], np.int64)
         rank = np.empty(len(words), np.int64)
         rank[np.lexsort((words, counts))] = np.arange(len(words))
-        ordered = [np.sort(rank[np.searchsorted(words, s)]) for s in sets]
-        lines = [1 + math.ceil(len(w) / wrapped) if wrapped else 1 for w in listed]
-        return Index([name for name, _ in templates], words, rank, ordered, [math.ceil(CONTAINED * len(s) - 1e-9) for s in sets], lines)
-
-    def ranks(self, hashes: np.ndarray) -> np.ndarray:
-        """The rank of each word, -1 if it is in no template."""
-        if not len(self.words):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.rank[at], -1)
+        ranks, order, needed = [], [], []
+        for own in listed:
+            different, first = np.unique(own, return_index=True)
+            place = np.argsort(np.argsort(first))
+            of = rank[np.searchsorted(words, different)]
+            ranks.append(np.sort(of))
+            order.append(place[np.argsort(of)])
+            needed.append(math.ceil(CONTAINED * len(different) - 1e-9))
+        prefix = [r[:len(r) - n + 1] if len(r) else r for r, n in zip(ranks, needed)]
+        heads = np.concatenate([np.zeros(0, np.int64), *prefix])
+        owners = np.repeat(np.arange(len(prefix)), [len(p) for p in prefix])
+        by = np.argsort(heads, kind="stable")
+        return Index([name for name, _ in templates], words, rank, ranks, order, needed, [SPREAD * len(w) for w in listed], heads[by], owners[by])
+
+    def rank_of(self, hashes: np.ndarray) -> np.ndarray:
+        """The rank of each hash, all of template words."""
+        return self.rank[np.searchsorted(self.words, hashes)]
 
 
 def _lookup(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -138,45 +153,46 @@ def frequencies(documents: DataFrame, templates: list[tuple[str, str]]) -> dict[
     return {r["word"]: r["n"] for r in counted.collect()}
 
 
-def join(text: np.ndarray, line: np.ndarray, rank: np.ndarray, index: Index) -> list[tuple[int, int, int]]:
-    """(text, template, most common words of a run) for every text with a run that meets the threshold.
+def _rising(places: list[int]) -> int:
+    """Length of the longest strictly rising run of places, others left out."""
+    ends: list[int] = []
+    for p in places:
+        at = bisect_left(ends, p)
+        ends[at:at + 1] = [p]
+    return len(ends)
+
 
-    ``text``, ``line`` and ``rank`` are the template words of lines, each once in a line, sorted; lines have numbers.
+def join(text: np.ndarray, place: np.ndarray, rank: np.ndarray, index: Index) -> list[tuple[int, int, int]]:
+    """(text, template, most common words of a block) for every text with a block that meets the threshold.
+
+    ``text``, ``place`` and ``rank`` are the places of template words, in order.
     """
     out: list[tuple[int, int, int]] = []
-    if not len(rank):
-        return out
-    # lines of different texts are too far apart for any run
-    line = line + text * max(index.lines, default=1)
-    for t, (own, needed, k) in enumerate(zip(index.templates, index.needed, index.lines)):
-        if not len(own):
-            continue
-        near = line[np.isin(rank, own[:len(own) - needed + 1])]
-        if not len(near):
-            continue
-        at = np.searchsorted(near, line)
-        above, below = near[np.maximum(at - 1, 0)], near[np.minimum(at, len(near) - 1)]
-        held = np.flatnonzero(((np.abs(line - above) < k) | (np.abs(below - line) < k)) & np.isin(rank, own))
+    low, high = np.searchsorted(index.heads, rank), np.searchsorted(index.heads, rank, "right")
+    n = high - low
+    owner = index.owners[np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)]
+    pairs = np.unique(np.repeat(text, n) * len(index.labels) + owner)
+    begin, end = np.searchsorted(text, pairs // max(len(index.labels), 1)), np.searchsorted(text, pairs // max(len(index.labels), 1), "right")
+    for pair, a, b in zip(pairs.tolist(), begin.tolist(), end.tolist()):
+        i, t = divmod(pair, len(index.labels))
+        own, needed = index.ranks[t], index.needed[t]
+        at = np.searchsorted(own, rank[a:b])
+        held = np.flatnonzero(own[np.minimum(at, len(own) - 1)] == rank[a:b])
         if len(held) < needed:
             continue
-        held = held[np.lexsort((line[held], rank[held]))]
-        # a word covers the runs that begin up to k - 1 lines before it, less those that its last place covers
-        last = line[held]
-        first = last - k + 1
-        same = rank[held][1:] == rank[held][:-1]
-        first[1:] = np.where(same, np.maximum(first[1:], last[:-1] + 1), first[1:])
-        begin = np.concatenate([first, last + 1])
-        order = np.argsort(begin, kind="stable")
-        begin = begin[order]
-        common = np.cumsum(np.repeat([1, -1], len(held))[order])
-        done = np.flatnonzero(np.append(begin[1:] != begin[:-1], True) & (common >= needed))
-        if not len(done):
-            continue
-        # the run that begins there has a word of its text in its k lines
-        owner = text[np.searchsorted(line, begin[done])]
-        most = np.zeros(int(owner.max()) + 1, np.int64)
-        np.maximum.at(most, owner, common[done])
-        out += [(int(i), t, int(most[i])) for i in np.flatnonzero(most)]
+        number, spots = at[held], place[a + held]
+        last = np.searchsorted(spots, spots + index.width[t])
+        rare = np.concatenate([[0], np.cumsum(number <= len(own) - needed)])
+        starts = np.arange(len(held))
+        # length, and position: a block has a word that leaves enough common ones
+        starts = starts[(last - starts >= needed) & (rare[last] > rare[:-1])]
+        order, most = index.order[t][number].tolist(), 0
+        for k in starts.tolist():
+            if most == len(own):
+                break
+            most = max(most, _rising(order[k:last[k]]))
+        if most >= needed:
+            out.append((i, t, most))
     return out
 
 
@@ -201,15 +217,9 @@ def _judge(piece, index: Index):
     base = [",".join(sorted(x)) for x in labels]
 
     known = _lookup(hashes, index.words) if len(index.words) else np.zeros(0, np.int64)
-    if len(known):
-        line_starts = piece.lines()[0]
-        of = np.searchsorted(line_starts, starts, "right") - 1
-        # numbers of the lines that have words
-        number = np.cumsum(np.r_[True, of[1:] != of[:-1]])[known] - 1
-        found = np.unique(np.column_stack([text[known], number, index.ranks(hashes[known])]), axis=0)
-        for i, t, c in join(*found.T, index):
-            labels[i].add(index.labels[t])
-            score[i] = max(score[i], c / len(index.templates[t]))
+    for i, t, c in join(text[known], known, index.rank_of(hashes[known]), index):
+        labels[i].add(index.labels[t])
+        score[i] = max(score[i], c / len(index.ranks[t]))
     return {
         "n_words": np.diff(first), "n_base": n_base, "score": score, "base_labels": base,
         "first_word": [int(spots[l] - first[i]) if n_base[i] else None for i, l in enumerate(low)],
@@ -224,7 +234,7 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + PA
     The score is the largest containment of a template in a block, and 1 where a phrase stands.
     """
     prepare(documents.sparkSession)
-    index = Index.of(templates, frequencies(documents, templates), WRAPPED)
+    index = Index.of(templates, frequencies(documents, templates))
     kinds = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64()}
 
     def work(batch):

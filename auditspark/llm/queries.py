@@ -98,7 +98,14 @@ QUERIES = {
     "op13_divergence": op13_divergence,
 }
 
-_TEMPLATES = ", ".join(f"('{label}', list_distinct(string_split('{text}', ' ')))" for label, text in licenses.TEMPLATES)
+def _template(n: int, label: str, text: str) -> str:
+    """A row (template, label, words of a block, least common words, its different words in order)."""
+    words = text.split()
+    different = list(dict.fromkeys(words))
+    return f"({n}, '{label}', {licenses.SPREAD * len(words)}, ceil({licenses.CONTAINED} * {len(different)} - 1e-9), {different})"
+
+
+_TEMPLATES = ", ".join(_template(n, *template) for n, template in enumerate(licenses.TEMPLATES + licenses.PASSAGES))
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -204,24 +211,34 @@ FROM reached
 """,
     "op4_licenses": rf"""
 WITH words AS (
-  SELECT doc_id, {_LOWER} AS text, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 places AS (
-  SELECT doc_id, label, unnest(list_filter(range(1, len(w) - len(p) + 2), lambda i: w[i:i + len(p) - 1] = p)) - 1 AS spot
+  SELECT k, label, unnest(list_filter(range(1, len(w) - len(p) + 2), lambda i: w[i:i + len(p) - 1] = p)) - 1 AS spot
   FROM words, (VALUES (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved')) f(p, label)),
 base AS (
-  SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list_distinct(list(label)) AS labels FROM places GROUP BY doc_id),
+  SELECT k, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list_distinct(list(label)) AS labels FROM places GROUP BY k),
+templates AS (SELECT * FROM (VALUES {_TEMPLATES}) f(t, label, width, needed, d)),
+members AS (SELECT t, unnest(d) AS word, unnest(range(1, len(d) + 1)) AS i FROM templates),
+held AS (
+  SELECT k, t, list({{'place': place, 'i': i}} ORDER BY place) AS h
+  FROM (SELECT k, unnest(w) AS word, unnest(range(len(w))) AS place FROM words) x JOIN members USING (word) JOIN templates USING (t)
+  GROUP BY k, t, needed HAVING count(DISTINCT i) >= needed),
+starts AS (SELECT k, t, h, unnest(range(1, len(h) + 1)) AS s FROM held),
 blocks AS (
-  SELECT doc_id, regexp_extract_all(unnest(string_split(text, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS b FROM words),
+  SELECT DISTINCT k, t, label, len(d) AS n, needed, list_transform(list_filter(h[s:s + width], lambda x: x['place'] < h[s]['place'] + width), lambda x: x['i']) AS b
+  FROM starts JOIN templates USING (t)),
 met AS (
-  SELECT doc_id, label, max(len(list_intersect(t, b))::DOUBLE / len(t)) AS score
-  FROM blocks, (VALUES {_TEMPLATES}) f(label, t)
-  WHERE len(b) > 0 AND len(list_intersect(t, b)) >= ceil(0.8 * len(t) - 1e-9) GROUP BY ALL),
-added AS (SELECT doc_id, list(label) AS labels, max(score) AS score FROM met GROUP BY doc_id)
+  SELECT k, label, max(common)::DOUBLE / n AS score FROM (
+    SELECT *, list_max(list_transform(list_reduce(list_prepend([{{'i': 0::BIGINT, 'c': 0::BIGINT}}], list_transform(b, lambda x: [{{'i': x::BIGINT, 'c': 0::BIGINT}}])),
+      lambda known, x: list_append(known, {{'i': x[1]['i'], 'c': 1 + list_max(list_transform(list_filter(known, lambda y: y['i'] < x[1]['i']), lambda y: y['c']))}})),
+      lambda y: y['c'])) AS common FROM blocks WHERE len(list_distinct(b)) >= needed) c
+  WHERE common >= needed GROUP BY k, t, label, n),
+added AS (SELECT k, list(label) AS labels, max(score) AS score FROM met GROUP BY k)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(added.labels, [])))), ','), '') AS labels,
   CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(score, 0) END::DOUBLE AS score
-FROM words LEFT JOIN base USING (doc_id) LEFT JOIN added USING (doc_id)
+FROM words LEFT JOIN base USING (k) LEFT JOIN added USING (k)
 """,
     "op5_near_dedup": rf"""
 WITH RECURSIVE words AS (
