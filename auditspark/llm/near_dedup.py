@@ -12,7 +12,7 @@ Every link rests on the exact similarity of whole sets. A pair at the threshold
 about 2e-6, and falls below ``LIKELY`` with about 1e-7.
 
 Nulls, empty texts and texts without words have the empty set and stay alone. Rows that repeat count as copies; rows
-that share a doc_id but not a text are separate documents. A null doc_id takes part, and is never the smallest.
+that share a doc_id but not a text are separate documents, also in ``keep_one``. A null doc_id takes part, and is never the smallest.
 Columns other than the two named are not read. Distinct sets are told apart by 64-bit keys.
 """
 
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from auditspark.llm import setsketch
 from auditspark.llm.batches import WORD, in_batches, mix, pieces, prepare
 from auditspark.llm.components import components
+from auditspark.llm.samples import fresh
 from auditspark.llm.tables import compact
 from auditspark.session import stored
 
@@ -46,7 +47,7 @@ def _keys(elements: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, node, bands)``; without a set, node and bands are null."""
+    """``(doc_id, mark, n_shingles, node, bands)``, where ``mark`` is a hash of the text; without a set, node and bands are null."""
 
     def work(batch):
         n, node, keys = [], [], []
@@ -60,10 +61,11 @@ def sketches(documents: DataFrame) -> DataFrame:
         bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[n > 0].ravel()))
         bands = pa.ListArray.from_buffers(pa.list_(pa.int64()), len(n), [None, bands.buffers()[1]], children=[bands.values])
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(node, mask=n == 0), bands],
-            ["doc_id", "n_shingles", "node", "bands"])
+            [batch.column("doc_id").cast(pa.int64()), batch.column("mark"), pa.array(n.astype(np.int64)), pa.array(node, mask=n == 0), bands],
+            ["doc_id", "mark", "n_shingles", "node", "bands"])
 
-    return in_batches(documents.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, n_shingles long, node long, bands array<long>")
+    return in_batches(documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text"), work,
+                      "doc_id long, mark long, n_shingles long, node long, bands array<long>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -232,9 +234,9 @@ def _dealt(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *GROUP).sortWithinPartitions(*GROUP, "node")
 
 
-def groups(documents: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``documents(doc_id, text)``."""
-    spark = prepare(documents.sparkSession)
+def _components_of(documents: DataFrame) -> DataFrame:
+    """``(doc_id, mark, n_shingles, root, least)`` for every row: its component, and the smallest doc_id there; null without a set."""
+    prepare(documents.sparkSession)
     made = stored(sketches(documents), "sketches")
     nodes = made.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     banded = compact(nodes.select("node", "doc_id", F.explode("bands").alias("key")), "bands")
@@ -261,16 +263,29 @@ def groups(documents: DataFrame) -> DataFrame:
     more = _links_of_groups(_dealt(likely.join(sets.select("node", "shingles"), "node")))
     roots = components(compact(links.union(more), "links"))
 
-    slim = made.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    slim = compact(slim.select("doc_id", "n_shingles", "root"), "rooted")
+    slim = made.select("doc_id", "mark", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    slim = compact(slim.select("doc_id", "mark", "n_shingles", "root"), "rooted")
     least = slim.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    return slim.join(least, "root", "left")
+
+
+def groups(documents: DataFrame) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``documents(doc_id, text)``."""
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return (slim.join(least, "root", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return (_components_of(documents).select("doc_id", "n_shingles", component.alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents``, all columns, that stay when one document of each group is kept."""
-    decided = groups(documents).select(F.col("doc_id").alias("kept_id"), "kept").where("kept").select("kept_id").distinct()
-    stays = documents.join(decided, documents["doc_id"].cast("long").eqNullSafe(decided["kept_id"]), "left_semi")
-    return stays.dropDuplicates(["doc_id", "text"])
+    """The rows of ``documents``, all columns, that stay when one document of each group is kept.
+
+    Decisions go by doc_id and text, so that rows which share a doc_id are told apart: of those with the smallest doc_id of a group one
+    text stays. Rows without a word all stay.
+    """
+    known, mark = fresh("kept_id", documents.columns), fresh("kept_mark", documents.columns)
+    chosen = (_components_of(documents).where(F.col("root").isNotNull() & F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("root")
+              .agg(F.first("doc_id").alias(known), F.min("mark").alias(mark)).select(known, mark))
+    bare = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same = documents["doc_id"].cast("long").eqNullSafe(chosen[known]) & (F.xxhash64(documents["text"]) == chosen[mark])
+    stays = documents.where(~bare).join(chosen, same, "left_semi")
+    return stays.dropDuplicates(["doc_id", "text"]).unionByName(documents.where(bare))

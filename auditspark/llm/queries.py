@@ -140,12 +140,11 @@ ORACLE = {
 WITH slim AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS ({' UNION ALL '.join(_matches(kind, n, pattern, least) for n, (kind, pattern, least) in enumerate(secrets.KINDS))}),
 plain AS (
-  SELECT {_PLAIN} AS text FROM slim JOIN (SELECT doc_id FROM slim ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT {secrets.ORDINARY}) s USING (doc_id)),
+  SELECT {_PLAIN} AS text FROM slim),
 tokens AS (
   SELECT 0 AS label, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_-]{{3,}}')) AS token
   FROM (SELECT text FROM plain UNION ALL SELECT replace(text, ' ', '_') FROM plain) p
-  UNION ALL SELECT 1, value FROM base JOIN (
-    SELECT doc_id FROM (SELECT DISTINCT doc_id FROM base) d ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT {secrets.RANDOM}) r USING (doc_id)
+  UNION ALL SELECT 1, value FROM base
   UNION ALL SELECT 1, to_base64(unhex(sha256(CAST(i AS VARCHAR)))) FROM range({secrets.MADE}) r(i)),
 counts AS (SELECT label, pair, count(*) AS n FROM ({_PAIRS}) p GROUP BY ALL),
 grid AS (

@@ -31,8 +31,6 @@ KINDS = [("assign", ASSIGN, 6), ("access", ACCESS, 20), ("hex", HEX, 24)]
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 #: log-likelihood ratio per character from which a candidate is a secret
 MARGIN = 0.35
-#: documents that the SQL counts, ordinary ones and those with pattern matches; the operator counts all
-ORDINARY, RANDOM = 1_500, 1_500
 #: hashes whose base-64 forms join the random sample
 MADE = 500
 #: classes of characters: each character of this list its own, all others one

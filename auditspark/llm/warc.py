@@ -23,6 +23,7 @@ import hashlib
 import posixpath
 import uuid
 import zlib
+from collections import deque
 
 import pyarrow as pa
 from pyarrow import fs
@@ -108,25 +109,34 @@ def _file_system(path: str):
 
 
 class _Range:
-    """Bytes of a file from a place on, read in chunks."""
+    """Bytes of a file from a place on, read in chunks that are let go when they are passed."""
 
     def __init__(self, stream, start: int):
-        self.stream, self.base, self.data = stream, start, b""
+        self.stream, self.base, self.size, self.chunks = stream, start, 0, deque()
         stream.seek(start)
 
     def get(self, at: int, n: int) -> bytes:
         """Up to ``n`` bytes from place ``at`` of the file; fewer at its end."""
-        while self.base + len(self.data) < at + n:
+        while self.base + self.size < at + n:
             more = self.stream.read(_CHUNK)
             if not more:
                 break
-            self.data += more
-        return self.data[at - self.base:at - self.base + n]
+            self.chunks.append(more)
+            self.size += len(more)
+        found, place = [], self.base
+        for chunk in self.chunks:
+            if place >= at + n:
+                break
+            if place + len(chunk) > at:
+                found.append(chunk[max(0, at - place):at + n - place])
+            place += len(chunk)
+        return b"".join(found)
 
     def forget(self, at: int) -> None:
         """Nothing before ``at`` is asked for again."""
-        if at - self.base > 4 * _CHUNK:
-            self.data, self.base = self.data[at - self.base:], at
+        while self.chunks and self.base + len(self.chunks[0]) <= at:
+            self.base += len(self.chunks[0])
+            self.size -= len(self.chunks.popleft())
 
 
 def _member(source: _Range, at: int) -> tuple[bytes, int] | None:

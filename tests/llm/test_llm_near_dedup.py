@@ -84,3 +84,13 @@ def test_components_of_chains_stars_and_loops(spark):
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {**{i: 100 for i in range(100, 141)}, **{k: 1 for k in range(1, 50)}, 70: 70, 71: 70}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_that_share_an_id_are_kept_by_their_texts(docs):
+    a, b, near = prose(1, 200), prose(2, 200), prose(3, 200)
+    rows = [(5, a), (3, b), (5, b), (7, near), (7, near + " end"), (None, a), (None, prose(4, 90)), (None, prose(5, 90)), (None, None), (None, None), (None, ""), (9, " "), (9, " ")]
+    kept = near_dedup.keep_one(docs(rows)).collect()
+    got = sorted(((r["doc_id"] or 0), r["text"] or "") for r in kept)
+    sevens = [g for g in got if g[0] == 7]
+    assert len(sevens) == 1 and sevens[0][1] in (near, near + " end")
+    assert sorted(g for g in got if g[0] != 7) == sorted([(5, a), (3, b), (0, prose(4, 90)), (0, prose(5, 90)), (0, ""), (0, ""), (0, ""), (9, " "), (9, " ")])

@@ -199,3 +199,16 @@ def test_broken_markup_of_a_megabyte_takes_seconds(broken):
     start = time.perf_counter()
     html_text.blocks(broken * (1_000_000 // len(broken)))
     assert time.perf_counter() - start < 20
+
+
+def test_a_large_member_is_read_in_time_in_proportion():
+    import time
+
+    draw, took = random.Random(12), []
+    for size in (8_000_000, 64_000_000):
+        data = b"x" * 1000 + warc.record(1, "http://x/1", draw.randbytes(size)) + warc.record(2, "http://x/2", b"end")
+        start = time.perf_counter()
+        found = [len(block) for _, block in warc.records_of(io.BytesIO(data), 0, len(data))]
+        took.append(time.perf_counter() - start)
+        assert len(found) == 2 and found[0] > size
+    assert took[1] < 30 * max(took[0], 0.05)
