@@ -10,8 +10,10 @@
 Items are the query set: they go to the tasks in blocks of about ``BLOCK`` items, one pass over the texts for each
 block. Documents are never shuffled.
 
-Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z have become a-z, so punctuation and case do not count. Null
-and empty texts have no words and no leaks. An item with fewer words than a seed is not searched for. Rows that repeat
+Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z have become a-z, so punctuation and case do not count; of scripts
+that are written without spaces (``_alone``) each character is a word, so that their items have seeds inside running text. An
+item of fewer words than a seed has its whole sequence as its one seed, and leaks wherever that stands. Null and empty
+texts have no words and no leaks, and an item without words is in no document. Of places with equal scores the first is told. Rows that repeat
 are reported as often as they occur; an item_id that repeats is reported once for a document, by its best score. Other
 columns are not read, or pass through ``clean`` untouched.
 """
@@ -42,7 +44,7 @@ TERM[0x00:0x30] = TERM[0x3A:0x61] = TERM[0x7B:0x80] = False
 
 
 class Items(NamedTuple):
-    """A block of items: their words as hashes, and sorted n-grams with the item and place of each."""
+    """A block of items: their words as hashes, sorted n-grams with the item and place of each, and how long n-grams are."""
 
     ids: list
     words: list[np.ndarray]
@@ -50,29 +52,33 @@ class Items(NamedTuple):
     item: np.ndarray
     place: np.ndarray
     maybe: np.ndarray
+    widths: list[int]
 
     @staticmethod
     def of(ids: list, texts: list) -> Items:
         words, grams, item, place = [], [], [], []
         for piece in pieces(pa.array(texts, pa.string())):
-            piece = piece.lowered()
-            starts, ends, text = piece.spans(TERM)
-            hashes = piece.hashes(starts, ends)
-            begin = whole_windows(text, SEED)
+            hashes, text = _words(piece)
             first = np.searchsorted(text, np.arange(piece.n + 1))
+            sizes = np.diff(first)
             words += [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
-            grams.append(windows(hashes, text, SEED)[begin])
-            item.append(text[begin] + piece.first)
-            place.append(begin - first[text[begin]])
-        return Items._sorted(ids, words, *(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (grams, item, place)))
+            for width in range(1, SEED + 1):
+                begin = whole_windows(text, width)
+                own = sizes[text[begin]]
+                begin = begin[own >= SEED] if width == SEED else begin[own == width]
+                grams.append(windows(hashes, text, width)[begin])
+                item.append(text[begin] + piece.first)
+                place.append(begin - first[text[begin]])
+        widths = sorted({min(len(w), SEED) for w in words if len(w)})
+        return Items._sorted(ids, words, *(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (grams, item, place)), widths)
 
     @staticmethod
-    def _sorted(ids, words, grams, item, place) -> Items:
+    def _sorted(ids, words, grams, item, place, widths) -> Items:
         order = np.argsort(grams, kind="stable")
         grams = grams[order].astype(np.uint64)
         maybe = np.zeros(1 << 20, bool)
         maybe[grams >> np.uint64(44)] = True
-        return Items(ids, words, grams, item[order], place[order], maybe)
+        return Items(ids, words, grams, item[order], place[order], maybe, widths)
 
     def seeds(self, documents_with: dict[int, int]) -> Items:
         """Only the rarer n-grams of each item."""
@@ -82,7 +88,7 @@ class Items(NamedTuple):
             own = np.flatnonzero(self.item == i)
             if len(own):
                 keep[own] = counts[own] <= np.sort(counts[own])[math.ceil(RARE * len(own)) - 1]
-        return Items._sorted(self.ids, self.words, self.grams[keep], self.item[keep], self.place[keep])
+        return Items._sorted(self.ids, self.words, self.grams[keep], self.item[keep], self.place[keep], self.widths)
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of ``grams`` that are known, and the first place of each in the sorted n-grams."""
@@ -93,12 +99,33 @@ class Items(NamedTuple):
         return near[known], at[known]
 
 
-def _terms(piece):
+def _alone(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each character of a script without spaces: kana and Han, Thai and Lao, Burmese, Khmer."""
+    lead = np.flatnonzero(data >= 0xE0)
+    a, b = data[lead], data[lead + 1]
+    alone = (a >= 0xE3) & (a <= 0xE9) | (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB) | (a == 0xF0) & (b >= 0xA0) & (b <= 0xAF)
+    alone |= (a == 0xE1) & ((b >= 0x80) & (b <= 0x82) | (b == 0x9E) | (b == 0x9F))
+    return lead[alone], lead[alone] + np.where(a[alone] == 0xF0, 4, 3)
+
+
+def _words(piece) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of each word."""
     piece = piece.lowered()
     starts, ends, text = piece.spans(TERM)
-    hashes = piece.hashes(starts, ends)
-    begin = whole_windows(text, SEED)
-    return hashes, text, begin, windows(hashes, text, SEED)[begin]
+    begin, end = _alone(piece.data)
+    if len(begin):
+        parts = np.union1d(starts, np.concatenate([begin, end[~np.isin(end, ends)]]))
+        ends = np.minimum(ends[np.searchsorted(starts, parts, "right") - 1], np.append(parts[1:], len(piece.data)))
+        starts, text = parts, piece.text_of(parts)
+    return piece.hashes(starts, ends), text
+
+
+def _terms(piece, widths: list[int]):
+    """Words and texts, and the first word and hash of each n-gram of the lengths that the items need."""
+    hashes, text = _words(piece)
+    begin = [whole_windows(text, width) for width in widths]
+    grams = [windows(hashes, text, width)[of] for width, of in zip(widths, begin)]
+    return hashes, text, np.concatenate(begin), np.concatenate(grams)
 
 
 def align(windows_: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +155,7 @@ def _count(documents: DataFrame, items: Items) -> dict[int, int]:
     def work(batch):
         found = [np.zeros(0, np.int64)]
         for piece in pieces(batch.column("text")):
-            _, text, begin, grams = _terms(piece)
+            _, text, begin, grams = _terms(piece, items.widths)
             near, at = items.hits(grams)
             pairs = np.unique(np.column_stack([text[begin[near]], at]), axis=0)
             found.append(pairs[:, 1])
@@ -168,7 +195,7 @@ def _leaks_of(column, items: Items) -> list[tuple[int, int, float, int, int]]:
     """(row, item, score, first word, last word): the best place of each item in each text, if it is a leak."""
     out: dict[tuple[int, object], tuple] = {}
     for piece in pieces(column):
-        hashes, text, begin, grams = _terms(piece)
+        hashes, text, begin, grams = _terms(piece, items.widths)
         if not len(begin):
             continue
         edges = np.searchsorted(text, np.arange(piece.n + 1))

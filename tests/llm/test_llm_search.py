@@ -33,6 +33,12 @@ def test_alignment_is_smith_waterman():
         assert s == 0 or smith_waterman(list(t[:e + 1]), list(i)) == s
 
 
+def copied(text, item):
+    if len(item) < 3:
+        return bool(item) and any(text[i:i + len(item)] == item for i in range(len(text)))
+    return smith_waterman(text, item) >= len(item)
+
+
 def _edit(text, share, seed):
     draw, out = random.Random(seed), []
     for w in text.split():
@@ -58,8 +64,9 @@ def test_leaks_are_those_of_all_pairs(spark, docs, benchmark, monkeypatch):
             text += " " + " ".join(items[i % 12][1].split()[:7]) + " " + prose(i + 500, 20)
         rows.append((i, text))
     rows += [(100 + i, prose(1001, 36)) for i in range(40)] + [(200, prose(2000, 30)), (200, prose(2000, 30))]
+    rows += [(300, "a text that is Too, short"), (301, "too long and short"), (302, "short, too"), (303, "too short")]
     want = [(d, i) for d, text in rows for i in {x[0] for x in items}
-            if any(k == i and len(terms(t)) >= 3 and smith_waterman(terms(text), terms(t)) >= len(terms(t)) for k, t in items)]
+            if any(k == i and copied(terms(text), terms(t)) for k, t in items)]
     key = lambda r: tuple((x is None, x) for x in r)
     for block in (5000, 4):
         monkeypatch.setattr(decontaminate, "BLOCK", block)
@@ -72,6 +79,13 @@ def test_leaks_are_those_of_all_pairs(spark, docs, benchmark, monkeypatch):
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(d for d, _ in rows if d not in {w[0] for w in want})
 
 
+def test_items_of_scripts_without_spaces_are_found_in_running_text(spark, docs):
+    items = spark.createDataFrame([(1, "今天天气很好我们一起去公园散步吧"), (2, "สวัสดีครับวันนี้อากาศดี"), (3, "好"), (4, "..."), (5, "안녕하세요")], "item_id long, text string")
+    texts = ["他说今天天气很好，我们一起去公园散步吧。然后他们走了", "明天下雨不去公园", "abcสวัสดีครับวันนี้อากาศดีdef", "그는 안녕하세요 말했다", "안녕하세요요", None, ""]
+    found = decontaminate.leaks(docs(list(enumerate(texts))), items).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(0, 1), (0, 3), (2, 2), (3, 5)]
+
+
 def test_search_has_defined_results_for_odd_and_empty_tables(spark, docs, odd, benchmark):
     assert decontaminate.leaks(odd, benchmark).count() == 0
     clean = decontaminate.clean(odd, benchmark)
