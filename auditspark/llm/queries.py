@@ -151,10 +151,14 @@ grid AS (
   SELECT label, pair, 1 + coalesce(n, 0) AS n FROM (SELECT label, pair FROM range(2) a(label), range({_N * _N}) b(pair)) g LEFT JOIN counts USING (label, pair)),
 chances AS (SELECT label, pair, ln(n::DOUBLE / sum(n) OVER (PARTITION BY label, pair // {_N})) AS c FROM grid),
 model AS (
-  SELECT list(round(r.c - o.c, 6) ORDER BY r.pair) AS ratios FROM chances r JOIN chances o ON r.pair = o.pair AND r.label = 1 AND o.label = 0),
+  SELECT list(round(r.c - o.c, 6) ORDER BY r.pair) AS ratios,
+    greatest({secrets.MARGIN}::DOUBLE, {secrets.LETTERS_SHARE}::DOUBLE * round(avg(round(r.c - o.c, 6)) FILTER (
+      WHERE r.pair // {_N} BETWEEN 1 AND 52 AND r.pair % {_N} BETWEEN 1 AND 52), 6)) AS letters_margin
+  FROM chances r JOIN chances o ON r.pair = o.pair AND r.label = 1 AND o.label = 0),
 added AS (
   SELECT doc_id, kind, rank, start_, end_ FROM ({_matches('random', len(secrets.KINDS), f'({secrets.TOKEN})', 0)}) c, model
-  WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND {_RATIO} >= {secrets.MARGIN} * (len(value) - 1)
+  WHERE regexp_matches(value, '[A-Za-z]')
+    AND {_RATIO} >= CASE WHEN regexp_matches(value, '[0-9]') THEN {secrets.MARGIN} ELSE letters_margin END::DOUBLE * (len(value) - 1)
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start_ < c.end_ AND c.start_ < b.end_)),
 told AS (
   SELECT doc_id, string_agg(s, ',' ORDER BY start_, rank) FILTER (WHERE rank < {len(secrets.KINDS)}) AS base_said, string_agg(s, ',' ORDER BY start_, rank) AS said,

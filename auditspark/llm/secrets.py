@@ -2,14 +2,16 @@
 
 The models are bigram tables over classes of characters, one for random strings and one for ordinary identifiers. They
 are counted over all documents. Random ones are the values that the fixed patterns find in them, and base-64
-forms of ``MADE`` hashes; ordinary ones are the other words, single and joined, up to the length of a candidate. Counts start at one. A candidate is a run of token characters with a letter and a digit; it is a secret if the log-likelihood
-ratio of the two models is at least ``MARGIN`` per character.
+forms of ``MADE`` hashes; ordinary ones are the other words, single and joined, up to the length of a candidate. Counts
+start at one. A candidate is a run of token characters with a letter; it is a secret if the log-likelihood ratio of the
+two models is at least ``MARGIN`` per character. Names in mixed case look more random than other words, so a candidate
+without a digit needs ``LETTERS_SHARE`` of the ratio that the models give to letters drawn evenly.
 
 Everything here is Catalyst expressions: no Python runs on the executors.
 
 Positions are code points. A null text counts as empty and has no secrets; an empty table gives no rows. Rows that repeat
-are reported as often. ``redacted`` replaces each span and passes all columns through; spans that touch or overlap become
-one. Other columns are not read.
+are reported as often. ``redacted`` replaces each span and passes all columns through; spans that overlap become one.
+Other columns are not read. Spans of a text are worked on in parts of ``PART``, so that time grows about as its length.
 """
 
 from __future__ import annotations
@@ -31,16 +33,40 @@ KINDS = [("assign", ASSIGN, 6), ("access", ACCESS, 20), ("hex", HEX, 24)]
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 #: log-likelihood ratio per character from which a candidate is a secret
 MARGIN = 0.35
+#: for candidates without a digit: share of the mean ratio over all pairs of letters
+LETTERS_SHARE = 0.5
 #: hashes whose base-64 forms join the random sample
 MADE = 500
 #: classes of characters: each character of this list its own, all others one
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 _N = len(ALPHABET) + 1
 REDACTION = "[SECRET]"
+#: spans of a text that are worked on together
+PART = 128
 
 _SPAN = "array<struct<kind:string,start:long,end:long,rank:int,value:string>>"
 
 
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _parts(items: Column) -> Column:
+    """An array in parts of ``PART``; an empty array is one empty part."""
+    last = F.greatest(F.ceil(F.size(items) / PART).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * PART + 1, PART))
+
+
+def _parts_of(items: Column) -> Column:
+    return _with(items, _parts)
+
+
+def _running(parts: Column, first: Column, after) -> Column:
+    """``first``, and what ``after`` makes of the value before a part and the part, one for each part."""
+    return F.aggregate(parts, F.array(first), lambda have, part: F.concat(have, F.array(after(F.element_at(have, -1), part))))
+
+
 def _spans(text: Column, kind: str, rank: int, pattern: str, group: int) -> Column:
     """Leftmost matches that do not overlap, with their places: what stands between matches gives the lengths."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -48,8 +74,6 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, group: int) -> Colu
     between = F.split(text, pattern, -1)
     steps = F.transform(F.arrays_zip(found.alias("f"), values.alias("v"), F.slice(between, 1, F.size(found)).alias("b")),
                         lambda x: F.struct(F.length(x["b"]).cast("long").alias("gap"), F.length(x["f"]).cast("long").alias("size"), x["v"].alias("value")))
-    empty = F.lit(None).cast(_SPAN)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(have, x):
         begin = have["at"] + x["gap"]
@@ -57,7 +81,15 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, group: int) -> Colu
         return F.struct(end.alias("at"), F.concat(have["out"], F.array(F.struct(
             F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), x["value"].alias("value")))).cast(_SPAN).alias("out"))
 
-    return F.coalesce(F.aggregate(steps, start, step, lambda have: have["out"]), empty)
+    def placed(part, begin):
+        return F.aggregate(part, F.struct(begin.alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda have: have["out"])
+
+    def length(part):
+        return F.aggregate(part, F.lit(0).cast("long"), lambda have, x: have + x["gap"] + x["size"])
+
+    return F.flatten(_with(_parts_of(steps), lambda parts: _with(
+        _running(parts, F.lit(0).cast("long"), lambda at, part: at + length(part)),
+        lambda begins: F.transform(parts, lambda part, k: placed(part, F.get(begins, k))))))
 
 
 def _or_none(test: Column, spans: Column) -> Column:
@@ -118,13 +150,21 @@ def train(documents: DataFrame) -> list[float]:
     return [round(r - o, 6) for o, r in zip(*chance)]
 
 
+def letters_margin(ratios: list[float]) -> float:
+    """Least ratio per character of a candidate without a digit."""
+    letters = range(1, 53)  # their places in the list of characters
+    mean = round(math.fsum(ratios[a * _N + b] for a in letters for b in letters) / len(letters) ** 2, 6)
+    return max(MARGIN, LETTERS_SHARE * mean)
+
+
 def _random_spans(text: Column, ratios: list[float]) -> Column:
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
 
     def secret(s):
         token = s["value"]
         total = F.aggregate(_pairs(token), F.lit(0.0), lambda have, k: have + F.get(table, k))
-        return token.rlike("[0-9]") & token.rlike("[A-Za-z]") & (total >= MARGIN * (F.length(token) - 1))
+        margin = F.when(token.rlike("[0-9]"), MARGIN).otherwise(letters_margin(ratios))
+        return token.rlike("[A-Za-z]") & (total >= margin * (F.length(token) - 1))
 
     return F.filter(_spans(text, "random", len(KINDS), f"({TOKEN})", 1), secret)
 
@@ -139,9 +179,15 @@ def with_spans(documents: DataFrame, ratios: list[float]) -> tuple[DataFrame, st
     whole = F.coalesce(F.col("text"), F.lit(""))
     # columns of their own, so that no part is worked out twice
     found = documents.withColumn(base, ordered(base_spans(whole)))
-    mixed = F.when(whole.rlike("[0-9]"), whole.rlike("(?=[A-Za-z+/_=-]*[0-9])" + TOKEN)).otherwise(F.lit(False))
-    found = found.withColumn(added, ordered(_or_none(mixed, _random_spans(whole, ratios))))
-    apart = F.filter(added, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    found = found.withColumn(added, ordered(_or_none(whole.rlike(TOKEN), _random_spans(whole, ratios))))
+
+    def meet(a, b):
+        return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+    ranges = F.transform(_parts(F.col(base)), lambda part: F.struct(
+        F.array_min(part["start"]).alias("start"), F.array_max(part["end"]).alias("end"), part.alias("part")))
+    apart = _with(ranges, lambda near: F.filter(added, lambda s: ~F.exists(
+        near, lambda r: F.coalesce(meet(r, s), F.lit(False)) & F.exists(r["part"], lambda b: meet(b, s)))))
     found = found.withColumn(added, F.when(F.size(added) > 0, apart).otherwise(F.col(added)))
     return found.withColumn(both, F.when(F.size(added) > 0, F.array_sort(F.concat(base, added))).otherwise(F.col(base))).drop(added), base, both
 
@@ -166,16 +212,28 @@ def redacted(documents: DataFrame, ratios: list[float]) -> DataFrame:
     columns = documents.columns
     found, _, spans = with_spans(documents, ratios)
     cut = fresh("cut", found.columns)
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(have, s):
-        gap = F.substring(F.col("text"), (have["at"] + 1).cast("int"), F.greatest(s["start"] - have["at"], F.lit(0)).cast("int"))
-        mark = F.when(s["start"] < have["at"], F.lit("")).otherwise(F.lit(REDACTION))
-        return F.struct(F.greatest(s["end"], have["at"]).alias("at"), F.concat(have["out"], gap, mark).alias("out"))
-
-    found = found.withColumn(cut, F.when(F.size(spans) > 0, F.aggregate(spans, first, step)))
-    tail = F.substring(F.col("text"), (F.col(cut)["at"] + 1).cast("int"), F.length("text"))
-    found = found.withColumn("text", F.when(F.col(cut).isNotNull(), F.concat(F.col(cut)["out"], tail)).otherwise(F.col("text")))
+    text = F.col("text")
+
+    def marked(part, begin, end):
+        """The text from ``begin`` to ``end``, with its spans replaced."""
+        own = F.substring(text, (begin + 1).cast("int"), (end - begin).cast("int"))
+
+        def step(piece):
+            def one(have, s):
+                gap = F.substring(piece, (have["at"] - begin + 1).cast("int"), F.greatest(s["start"] - have["at"], F.lit(0)).cast("int"))
+                mark = F.when(s["start"] < have["at"], F.lit("")).otherwise(F.lit(REDACTION))
+                return F.struct(F.greatest(s["end"], have["at"]).alias("at"), F.concat(have["out"], gap, mark).alias("out"))
+            return one
+
+        return _with(own, lambda piece: F.aggregate(part, F.struct(begin.alias("at"), F.lit("").alias("out")), step(piece), lambda have: have["out"]))
+
+    whole = _with(_parts(F.col(spans)), lambda parts: _with(
+        _running(parts, F.lit(0).cast("long"), lambda at, part: F.greatest(at, F.array_max(part["end"]))),
+        lambda ends: F.concat(
+            F.array_join(F.transform(parts, lambda part, k: marked(part, F.get(ends, k), F.get(ends, k + 1))), ""),
+            F.substring(text, (F.element_at(ends, -1) + 1).cast("int"), F.length(text)))))
+    found = found.withColumn(cut, F.when(F.size(spans) > 0, whole))
+    found = found.withColumn("text", F.coalesce(cut, text))
     if "n_chars" in columns:
         kind = documents.schema["n_chars"].dataType
         found = found.withColumn("n_chars", F.when(F.col(cut).isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
