@@ -5,7 +5,7 @@
 2. Nodes that share a band key with another node are read once more for their registers and sets.
 3. Each node is held against the smallest node of its buckets: one pair per node. This joins copies of one text.
 4. Buckets whose nodes are still in different components are searched for all pairs across components. Buckets of
-   more than ``BLOCK`` nodes are dealt out as pairs of blocks. Registers go first, and only nodes of a pair with a
+   more than ``BLOCK`` nodes or ``BLOCK_SHINGLES`` shingles are dealt out as pairs of blocks. Registers go first, and only nodes of a pair with a
    likely similarity are followed by their sets. A bucket returns links that connect it, never all its pairs.
 
 Every link rests on the exact similarity of whole sets. A pair at the threshold misses all bands with a chance of
@@ -35,8 +35,9 @@ WIDTH = 5
 PERCENT = 75
 #: estimated similarity from which a pair is confirmed on its sets; over five standard errors below the threshold
 LIKELY = 0.60
-#: nodes of a bucket that are compared in one task
+#: nodes of a block, and shingles of its nodes on average; two blocks are compared in one task
 BLOCK = 512
+BLOCK_SHINGLES = 2_000_000
 
 
 def _keys(elements: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -238,16 +239,18 @@ def _components_of(documents: DataFrame) -> DataFrame:
     """``(doc_id, mark, n_shingles, root, least)`` for every row: its component, and the smallest doc_id there; null without a set."""
     prepare(documents.sparkSession)
     made = stored(sketches(documents), "sketches")
-    nodes = made.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    banded = compact(nodes.select("node", "doc_id", F.explode("bands").alias("key")), "bands")
-    buckets = compact(banded.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("members")).where("members > 1"), "buckets")
-    members = compact(banded.join(buckets, "key").select("key", "lead", "members", "node", "doc_id"), "members")
+    nodes = made.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    banded = compact(nodes.select("node", "doc_id", "n", F.explode("bands").alias("key")), "bands")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    buckets = banded.groupBy("key").agg(F.min("node").alias("lead"), blocks.alias("blocks"), F.count("*").alias("members"))
+    buckets = compact(buckets.where("members > 1").drop("members"), "buckets")
+    members = compact(banded.join(buckets, "key").select("key", "lead", "blocks", "node", "doc_id"), "members")
 
     # null-safe, as a node may have no doc_id
     wanted = members.select("node", F.col("doc_id").alias("id")).distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = wanted.join(texts, wanted["id"].eqNullSafe(texts["doc_id"])).select("node", "text")
-    sets = compact(_sets(texts).dropDuplicates(["node"]), "sets")
+    sets = stored(_sets(texts).dropDuplicates(["node"]), "sets")
 
     stars = members.where("node <> lead").groupBy("node").agg(F.min("lead").alias("b")).withColumnRenamed("node", "a")
     links = compact(_confirmed(stars, sets), "stars")
@@ -255,9 +258,8 @@ def _components_of(documents: DataFrame) -> DataFrame:
 
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    open_ = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    sides = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
+    open_ = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q")))
     open_ = open_.select("key", "node", "root", "block", F.explode(sides).alias("s")).select("key", "s.p", "s.q", "block", "node", "root")
     likely = compact(_likely_partners(_dealt(open_.join(sets.select("node", "n", "registers"), "node"))), "likely")
     more = _links_of_groups(_dealt(likely.join(sets.select("node", "shingles"), "node")))
@@ -265,7 +267,8 @@ def _components_of(documents: DataFrame) -> DataFrame:
 
     slim = made.select("doc_id", "mark", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     slim = compact(slim.select("doc_id", "mark", "n_shingles", "root"), "rooted")
-    least = slim.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # written, so that a join on a root of very many rows can be split
+    least = compact(slim.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     return slim.join(least, "root", "left")
 
 

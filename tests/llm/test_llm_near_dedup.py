@@ -47,9 +47,10 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_groups_are_those_of_all_pairs(spark, docs, corpus, monkeypatch, block):
+@pytest.mark.parametrize("block,shingles", [(512, 2_000_000), (4, 2_000_000), (512, 300)])
+def test_groups_are_those_of_all_pairs(spark, docs, corpus, monkeypatch, block, shingles):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
     found = near_dedup.groups(docs(corpus)).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == sorted(plain_groups(corpus))
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
