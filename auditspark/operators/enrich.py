@@ -64,7 +64,11 @@ def parse_answers(responses: DataFrame) -> DataFrame:
 
 def apply_answers(issues: DataFrame, answers: DataFrame) -> DataFrame:
     """Non-empty answer texts replace those of the issue; aliases follow."""
-    joined = issues.join(answers.select("scan_id", "issue_seq", *[f"a_{k}" for k in dims.ANSWER_KEYS]), ["scan_id", "issue_seq"], "left")
+    return take_answers(issues.join(answers.select("scan_id", "issue_seq", *[f"a_{k}" for k in dims.ANSWER_KEYS]), ["scan_id", "issue_seq"], "left"))
+
+
+def take_answers(joined: DataFrame) -> DataFrame:
+    """The same for issues that already stand beside their answers."""
     taken = {key: F.coalesce(F.nullif(F.col(f"a_{key}"), F.lit("")), F.col(key)) for key in dims.ANSWER_KEYS}
     return _with_aliases(joined.withColumns(taken).drop(*[f"a_{key}" for key in dims.ANSWER_KEYS]))
 

@@ -21,7 +21,7 @@ from auditspark.operators import (
 from auditspark.plans import scan as plan
 from auditspark.session import shared_folder, stored
 from auditspark.sources import files as sources
-from auditspark.streaming import incremental, status, throttle
+from auditspark.streaming import incremental, reviews, status, throttle
 from checks import sqltext as S
 from checks.adapters import TEMPLATES, adapt, table
 
@@ -1413,6 +1413,23 @@ def _(spark, sf):
     return latest.select("scan_id", "s.*")
 
 
+@query("x4_late_answers", """
+SELECT CAST(o_orderkey % 100 AS VARCHAR) AS scan_id, o_orderkey AS issue_seq, 'open' AS severity, 'sent ' || epoch_us(l_shipdate) AS after_code
+FROM orders JOIN (SELECT DISTINCT l_orderkey, l_shipdate FROM lineitem) l ON l_orderkey = o_orderkey
+  AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 90 DAY""")
+def _(spark, sf):
+    """Orders as issues and shipments as answers; issues that stay open come out behind the watermark only, and are left aside."""
+    orders, lines = _stream(spark, sf, "orders"), _stream(spark, sf, "lineitem")
+    scan = lambda key: (F.col(key) % 100).cast("string").alias("scan_id")
+    texts = [F.lit("open").alias(key) for key in dims.ANSWER_KEYS]
+    sent_at, answered_at = F.col("o_orderdate").cast("timestamp"), F.col("l_shipdate").cast("timestamp")
+    issues = orders.select(scan("o_orderkey"), F.col("o_orderkey").alias("issue_seq"), sent_at.alias("sent_at"), F.lit("").alias("code_snippet"), *texts)
+    answer = F.to_json(F.struct(F.concat(F.lit("sent "), F.unix_micros(answered_at)).alias("refactored_code")))
+    responses = lines.select(scan("l_orderkey"), F.col("l_orderkey").alias("issue_seq"), answered_at.alias("answered_at"), answer.alias("raw"))
+    done = _drained(reviews.reviewed(issues, responses, "90 days"), "reviews")
+    return done.where("answered").select("scan_id", "issue_seq", "severity", "after_code")
+
+
 @query("t3_new_files", " UNION ALL ".join(
     f"SELECT scan_id, file_path, CAST(line AS INTEGER) AS line, '{r}' AS rule_id FROM doc_stream_lines WHERE {S.hit(p, 'text', True)}"
     for r, p in dims.LINE_PATTERNS.items()))

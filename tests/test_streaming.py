@@ -5,7 +5,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from auditspark.streaming import incremental, status, throttle
+from auditspark import dims
+from auditspark.streaming import incremental, reviews, status, throttle
 
 START = datetime(2024, 1, 1)
 
@@ -205,3 +206,32 @@ def test_closing_tick_lets_a_run_judge_every_event(spark, tmp_path):
     out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     got = {r.event_id: (r.allowed, r.retry_after_sec) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == model_throttle(events, 3, 60)
+
+
+def test_late_answers_equal_the_batch_and_unanswered_issues_come_out(spark, tmp_path):
+    at = lambda minute: START + timedelta(minutes=minute)
+    old = {key: f"old {key}" for key in dims.ANSWER_KEYS}
+    issue = lambda n, minute: ("s", n, at(minute), "code", *old.values())
+    raw = lambda text: '{"refactored_code": "%s", "severity": ""}' % text
+    issue_schema = "scan_id string, issue_seq bigint, sent_at timestamp, code_snippet string, " + ", ".join(f"{k} string" for k in old)
+    answer_schema = "scan_id string, issue_seq bigint, answered_at timestamp, raw string"
+    days = 24 * 60
+    batches = [
+        ([issue(1, 0), issue(2, 0), issue(3, 1), issue(4, 2)], [("s", 1, at(5), raw("one")), ("s", 5, at(6), raw("five")), ("s", 4, at(1), raw("early"))]),
+        ([issue(5, 5)], [("s", 1, at(5), raw("one")), ("s", 2, at(61), raw("late")), (None, 3, at(7), raw("none")), ("t", 3, at(7), raw("other"))]),
+        ([issue(8, days)], [("s", 9, at(days), raw("end"))]),
+        ([issue(8, 2 * days)], [("s", 9, at(2 * days), raw("end"))]),
+    ]
+    sink, got = tmp_path / "out", []
+    for n, (issues, answers) in enumerate(batches):
+        spark.createDataFrame(issues, issue_schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "issues"))
+        spark.createDataFrame(answers, answer_schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "answers"))
+        out = reviews.reviewed(spark.readStream.schema(issue_schema).parquet(str(tmp_path / "issues")),
+                               spark.readStream.schema(answer_schema).parquet(str(tmp_path / "answers")))
+        writer = out.writeStream.format("parquet").option("path", str(sink)).option("checkpointLocation", str(tmp_path / "log"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+        got.append(sorted((r.issue_seq, r.answered, r.refactored_code, r.after_code, r.severity) for r in spark.read.parquet(str(sink)).collect()))
+    unanswered = lambda n: (n, False, "old refactored_code", "old refactored_code", "old severity")
+    answered = lambda n, text: (n, True, text, text, "old severity")
+    assert got[1] == [answered(1, "one"), answered(5, "five")]
+    assert [r for r in got[3] if r[0] < 8] == [answered(1, "one"), unanswered(2), unanswered(3), unanswered(4), answered(5, "five")]
