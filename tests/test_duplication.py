@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import defaultdict
 from difflib import SequenceMatcher
 from itertools import combinations
@@ -177,3 +178,17 @@ def test_subsequence_bound_is_exact():
     ones, others = np.triu_indices(len(bodies), 1)
     want = [2 * longest(bodies[i], bodies[j]) >= 0.86 * (len(bodies[i]) + len(bodies[j])) for i, j in zip(ones, others)]
     assert any(want) and duplication._reaching(ones, others, spelled, chars).tolist() == want
+
+
+def test_a_cell_of_few_long_bodies_takes_little_time():
+    letters = np.array(list("abcdefgh =().\n"))
+    bodies = ["".join(np.random.default_rng(n // 2).permutation(np.repeat(letters, 80))) + "x" * (n % 2) for n in range(12)]
+    spelled, chars = duplication._alphabet(bodies), np.array([len(b) for b in bodies])
+    ones, others = np.triu_indices(len(bodies), 1)
+    few = duplication._longest_of_few(ones, others, spelled, chars)
+    assert few.tolist() == duplication._longest_of_many(ones, others, spelled, chars).tolist()
+    assert [few[(ones == n) & (others == n + 1)][0] == chars[n] for n in range(0, 12, 2)] == [True] * 6
+    start = time.process_time()
+    for n in range(0, 30, 3):
+        duplication._reaching(ones[n:n + 3], others[n:n + 3], spelled, chars)
+    assert time.process_time() - start < 0.4
