@@ -25,3 +25,12 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+@pytest.mark.parametrize("name", ["t3_new_files", "t3_counts_of_new_files"])
+def test_streamed_tables_may_be_folders_of_files(spark, tmp_path, name):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    documents.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    documents.write.parquet(f"{tmp_path}/old_documents.parquet")
+    run = registry.queries()[name]
+    assert sorted(run(spark, str(tmp_path)).collect()) == sorted(run(spark, SF).collect()) != []
