@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as registry
-from checks import compare
+from checks import compare, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +34,13 @@ def test_streamed_tables_may_be_folders_of_files(spark, tmp_path, name):
     documents.write.parquet(f"{tmp_path}/old_documents.parquet")
     run = registry.queries()[name]
     assert sorted(run(spark, str(tmp_path)).collect()) == sorted(run(spark, SF).collect()) != []
+
+
+def test_files_without_a_number_do_not_meet_in_one_task(spark):
+    numbered = queries._numbered(queries._code(spark, SF))
+    assert 0 < numbered.count() < queries._code(spark, SF).count() and numbered.where("doc = ''").isEmpty()
+
+
+def test_texts_are_parsed_once(spark):
+    planned = registry.queries()["a7_try_and_none"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert planned.count("MapInArrow") <= 1
