@@ -23,10 +23,10 @@ def _commits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LIST).parquet(f"{path}/commits")
 
 
-def publish(rows: DataFrame, path: str, form: str = "parquet", folders: tuple[str, ...] = ()) -> None:
-    """Write ``rows`` and put them on the list; in ``folders`` by some columns if wished."""
+def publish(rows: DataFrame, path: str, form: str = "parquet", folders: tuple[str, ...] = (), **options) -> None:
+    """Write ``rows`` and put them on the list; in ``folders`` by some columns if wished, with options of the writer."""
     spark, part = rows.sparkSession, f"p{uuid.uuid4().hex}"
-    rows.write.format(form).partitionBy(*folders).save(f"{path}/data/part={part}")
+    rows.write.format(form).options(**options).partitionBy(*folders).save(f"{path}/data/part={part}")
     last = _commits(spark, path).agg(F.max("seq")).first()[0]
     spark.range(1).select(F.lit(part).alias("part"), F.lit((last or 0) + 1).cast("bigint").alias("seq")).coalesce(1).write.mode("append").parquet(f"{path}/commits")
 

@@ -242,3 +242,11 @@ def test_answers_change_what_is_counted_and_misfits_go_to_quarantine(spark, file
     assert (row.owner_uid, row.totals.total_issues_found, row.scores.security_score) == ("u1", after["s"]["issues"], after["s"]["security_score"])
     told = json.loads(plan.scan_document(done.scans).where("scan_id = 's'").select(F.to_json("metadata").alias("m")).first().m)
     assert told["score_diagnostics"]["trust"]["secret_exposure_hits"] == 0 and told["ai_mode_applied"] == "advanced"
+
+
+def test_an_exported_scan_is_spread_whatever_its_numbers_are(spark, tmp_path):
+    table = spark.range(4000).select(F.lit("s1").alias("scan_id"), "id")
+    reports.export_json(reports.json_rows(table, "issue", F.lit(0)), str(tmp_path / "out"), rows_per_file=500)
+    read = reports.read_export(spark, str(tmp_path / "out"))
+    sizes = [len(file.read_text().splitlines()) for file in (tmp_path / "out/data").rglob("part-*")]
+    assert read.count() == read.distinct().count() == sum(sizes) == 4000 and max(sizes) <= 500
