@@ -44,3 +44,21 @@ def test_files_without_a_number_do_not_meet_in_one_task(spark):
 def test_texts_are_parsed_once(spark):
     planned = registry.queries()["a7_try_and_none"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert planned.count("MapInArrow") <= 1
+
+
+def test_history_is_written_by_many_tasks(spark, tmp_path):
+    sizes = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize"]
+    kept = {name: spark.conf.get(name) for name in sizes}
+    for name in sizes:
+        spark.conf.set(name, "1k")
+    written = []
+    read = queries.history.read_history_json
+    queries.history.read_history_json = lambda spark, path: written.append(path) or read(spark, path)
+    try:
+        rows = registry.queries()["s9_history_file"](spark, SF).count()
+    finally:
+        queries.history.read_history_json = read
+        for name in sizes:
+            spark.conf.set(name, kept[name])
+    files = spark.read.text(written[0]).select("_metadata.file_path").distinct().count()
+    assert files > 1 and rows == spark.read.parquet(f"{SF}/orders.parquet").count()
