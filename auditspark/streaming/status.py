@@ -97,6 +97,7 @@ STATE_SCHEMA = (
     "seqs array<bigint>, times array<bigint>, ops array<string>, progresses array<int>, errors array<string>"
 )
 COLUMNS = ["scan_id", "status", "progress", "error", "last_seq"]
+EVENT_COLUMNS = ["seq", "t", "op", "progress", "error"]
 #: seconds that a closed scan is remembered after its last event, in case it is restarted, and one that was left open
 REMEMBERED, ABANDONED = 7 * 24 * 3600, 30 * 24 * 3600
 
@@ -124,8 +125,8 @@ def status_stream(events: DataFrame, lateness: str = "10 minutes", remembered: i
             waiting = list(zip(*columns))
         if not state.hasTimedOut:
             for frame in frames:
-                plain = frame.astype(object).where(frame.notna(), None)
-                waiting += [r for r in zip(plain["seq"], plain["t"], plain["op"], plain["progress"], plain["error"]) if r[0] > last]
+                plain = ([None if x is None or x != x else x for x in frame[c].tolist()] for c in EVENT_COLUMNS)
+                waiting += [r for r in zip(*plain) if r[0] > last]
         waiting.sort(key=lambda r: r[0])
         mark = state.getCurrentWatermarkMs() * 1000
         settled = 0
@@ -147,8 +148,8 @@ def status_stream(events: DataFrame, lateness: str = "10 minutes", remembered: i
             state.update((*kept, last, newest_at, *columns))
             wake = waiting[0][1] if waiting else forgotten_at
             state.setTimeoutTimestamp(max(wake, mark) // 1000 + 1)
-        rows = [] if shown is None or state.hasTimedOut else [(key[0], shown["status"], shown["progress"], shown["error"], newest)]
-        yield pd.DataFrame(rows, columns=COLUMNS)
+        if shown is not None and not state.hasTimedOut:
+            yield pd.DataFrame([(key[0], shown["status"], shown["progress"], shown["error"], newest)], columns=COLUMNS)
 
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
     shaped = timed.select(
