@@ -20,11 +20,13 @@ def reviewed(issues: DataFrame, responses: DataFrame, wait: str = "1 hour", late
     match nothing, and an issue without a time is never closed.
     """
     keys = {"scan_id": "r_scan_id", "issue_seq": "r_issue_seq"}
-    texts = [f"a_{key}" for key in dims.ANSWER_KEYS]
-    answers = enrich.parse_answers(responses.withWatermark("answered_at", lateness)).withColumnsRenamed(keys)
-    answers = answers.select(*keys.values(), "answered_at", *texts).dropDuplicatesWithinWatermark([*keys.values(), "answered_at"])
-    sent = issues.withWatermark("sent_at", lateness)
+    own = {"raw": "i_raw"}  # a column of the issues by that name stays theirs
+    answers = responses.withWatermark("answered_at", lateness).withColumnsRenamed(keys).select(*keys.values(), "answered_at", "raw")
+    answers = answers.dropDuplicatesWithinWatermark([*keys.values(), "answered_at"])
+    sent = issues.withColumnsRenamed(own).withWatermark("sent_at", lateness)
     same = [F.col(key) == F.col(other) for key, other in keys.items()]
     in_time = F.col("answered_at").between(F.col("sent_at"), F.col("sent_at") + F.expr(f"interval {wait}"))
     joined = sent.join(answers, [*same, in_time], "left_outer").withColumn("answered", F.col("answered_at").isNotNull())
-    return enrich.take_answers(joined).drop(*keys.values(), "answered_at")
+    # only answers that met their issue are parsed, and state holds them as they came
+    taken = enrich.take_answers(enrich.parse_answers(joined))
+    return taken.drop(*keys.values(), "answered_at", "raw").withColumnsRenamed({there: name for name, there in own.items()})

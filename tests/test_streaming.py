@@ -235,3 +235,15 @@ def test_late_answers_equal_the_batch_and_unanswered_issues_come_out(spark, tmp_
     answered = lambda n, text: (n, True, text, text, "old severity")
     assert got[1] == [answered(1, "one"), answered(5, "five")]
     assert [r for r in got[3] if r[0] < 8] == [answered(1, "one"), unanswered(2), unanswered(3), unanswered(4), answered(5, "five")]
+
+
+def test_only_answers_that_met_their_issue_are_parsed(spark, tmp_path):
+    texts = ", ".join(f"{key} string" for key in dims.ANSWER_KEYS)
+    schemas = {"issues": f"scan_id string, issue_seq bigint, sent_at timestamp, code_snippet string, raw string, {texts}",
+               "answers": "scan_id string, issue_seq bigint, answered_at timestamp, raw string"}
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}")
+    issues, answers = (spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}") for name, schema in schemas.items())
+    out = reviews.reviewed(issues, answers)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "raw" in out.columns and "from_json" not in plan[plan.index("Join LeftOuter"):] and "from_json" in plan
