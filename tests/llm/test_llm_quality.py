@@ -1,5 +1,6 @@
 import itertools
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,33 @@ def test_pairwise_ranking_separates_the_held_out_fold(spark, docs):
     assert kept.columns == documents.columns and {r["doc_id"] for r in kept.collect()} == {i for i in range(60) if i % 3}
 
 
+def test_ranking_is_fitted_on_every_labelled_row(spark, docs):
+    rows = [(i, prose(i, 12 + i % 40) + " !" * (i % 7 * (i % 3)) + " 123 #" * (i % 5)) for i in range(3000)]
+    quality = {i: int((i * 7919) % 11 > i % 3 * 3) for i, _ in rows}
+    labels = spark.createDataFrame([(i, q, 0) for i, q in quality.items()], "doc_id long, quality int, toxic int")
+    model = preference.train(docs(rows), labels)
+    learned = [(i, text) for i, text in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    found = preference.features(pa.array([text for _, text in learned]))
+    good = np.array([quality[i] == 1 for i, _ in learned])
+    assert min(good.sum(), (~good).sum()) > 500 and max(good.sum(), (~good).sum()) > 1000
+    assert np.allclose(model["mean"], found.mean(axis=0)) and np.allclose(model["scale"], np.maximum(found.std(axis=0), 1e-6))
+    plain = (found - model["mean"]) / model["scale"]
+    raw = plain @ model["weights"]
+    lose = 1 / (1 + np.exp(raw[good][:, None] - raw[~good][None, :]))
+    slope = (lose.sum(axis=1) @ plain[good] - lose.sum(axis=0) @ plain[~good]) / lose.size - preference._RIDGE * model["weights"]
+    assert np.abs(slope).max() < 1e-4 < np.abs(plain[good].mean(axis=0) - plain[~good].mean(axis=0)).max() / 100
+    assert (raw < model["middle"]).sum() == (~good).sum()
+    again = preference.train(docs(rows[::-1]).repartition(5), labels.repartition(3))
+    assert np.array_equal(model["weights"], again["weights"]) and model["middle"] == again["middle"]
+
+
+def test_values_at_a_rank_are_exact(spark):
+    values = [0.0, 0.0, 1e-300, 1e-300, 1.0, 1.0 + 2e-16, 7.5, 7.5, 7.5, 1e9, -3.0]
+    frame, order = spark.createDataFrame([(v,) for v in values], "raw double"), sorted(values)
+    for rank in range(len(values) - 1):
+        assert preference._ranked(frame, rank) == (order[rank], order[rank + 1])
+
+
 def test_labels_of_the_held_out_fold_are_not_learned(spark, docs):
     documents, labels = _labelled(docs, spark)
     import zlib
