@@ -1,4 +1,9 @@
-from auditspark.operators import extract, structure_rules as rules
+import ast
+import re
+from collections import Counter
+
+from auditspark.functions.text import is_comment
+from auditspark.operators import extract, metrics, structure_rules as rules
 from pyspark.sql import functions as F
 
 SOURCE = '''import os.path as p, sys
@@ -145,3 +150,38 @@ def test_script_measures(spark):
     assert rows[0].max_nesting == 3
     assert rows[1].magic_numbers == 4  # 2, 3.5, -7, 42
     assert rows[2].complexity == 4
+
+
+def test_a_tree_is_walked_once_however_deep_its_functions_lie(monkeypatch):
+    depth = 40
+    lines = [f"{'  ' * n}def f{n}(a, b=3, *c):" for n in range(depth)]
+    lines += ["  " * depth + text for text in ("if a is None and b:", "  for x in c:", "    with open(x) as y:", "      y = 7 + True - 9.5", "try: g(2)", "finally: pass")]
+    source = "\n".join(lines) + "\n"
+    listed = Counter()
+    plain = ast.iter_child_nodes
+    monkeypatch.setattr(ast, "iter_child_nodes", lambda node: (listed.update([id(node)]), plain(node))[1])
+    facts = extract.python_facts(source)
+    assert max(listed.values(), default=0) <= 1
+    assert [f["name"] for f in facts["functions"]] == [f"f{n}" for n in range(depth)]
+    assert [f["max_nesting"] for f in facts["functions"]] == [3] * depth
+    assert [f["magic_numbers"] for f in facts["functions"]] == [3 + depth - n for n in range(depth)]
+    assert [f["has_try"] for f in facts["functions"]] == [False] * (depth - 1) + [True]
+    assert [f["risky_calls"] for f in facts["functions"]] == [0] * (depth - 1) + [1]
+    assert (facts["null_checks"], facts["complexity"]) == (1, 6)
+
+
+def test_a_later_function_of_a_name_takes_over_and_what_follows_counts_for_it():
+    source = "def f():\n  def f(x):\n    if x: return 5\n  try: open(8)\n  finally: pass\ndef g(): return {**f, 'a': None}\nclass C:\n  def g(self, *, k=6): return [4 for _ in k if _]\n"
+    facts = {f["name"]: f for f in extract.python_facts(source)["functions"]}
+    assert list(facts) == ["f", "g"]
+    assert (facts["f"]["start_line"], facts["f"]["max_nesting"], facts["f"]["magic_numbers"], facts["f"]["has_try"], facts["f"]["risky_calls"]) == (2, 1, 1, True, 1)
+    assert (facts["g"]["start_line"], facts["g"]["param_count"], facts["g"]["magic_numbers"]) == (8, 2, 2)
+
+
+def test_branch_words_and_comment_marks_follow_the_plain_patterns(spark):
+    texts = ["if iff éif if_ ifé (if)for while\nwhile1 switch-catch caseif if", "cases case&&a a&&b a ?b x? y||z case if", "", "for", "forfor for\u00a0for", "# a", " \t# b", "x # c", "\u2003//d", "/ /", "\x1c* e", " /* f"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = frame.select("t", metrics.keyword_complexity(F.col("t")).alias("k"), metrics.js_complexity(F.col("t")).alias("j"), *[is_comment(F.lit(lang), F.col("t")).alias(lang) for lang in ("python", "java")]).collect()
+    for r in found:
+        assert r["k"] == len(re.findall(metrics.OTHER_BRANCHES, r["t"])) + 1 and r["j"] == len(re.findall(metrics.JS_BRANCHES, r["t"])) + 1, r
+        assert r["python"] == bool(re.match(r"\s*#", r["t"])) and r["java"] == bool(re.match(r"\s*(//|/\*|\*)", r["t"])), r
