@@ -2,8 +2,10 @@ import ast
 import re
 from collections import Counter
 
+from auditspark.functions import text
 from auditspark.functions.text import is_comment
-from auditspark.operators import extract, metrics, structure_rules as rules
+from auditspark.operators import extract, line_rules, metrics, structure_rules as rules
+from auditspark.plans import scan as plan
 from pyspark.sql import functions as F
 
 SOURCE = '''import os.path as p, sys
@@ -185,3 +187,38 @@ def test_branch_words_and_comment_marks_follow_the_plain_patterns(spark):
     for r in found:
         assert r["k"] == len(re.findall(metrics.OTHER_BRANCHES, r["t"])) + 1 and r["j"] == len(re.findall(metrics.JS_BRANCHES, r["t"])) + 1, r
         assert r["python"] == bool(re.match(r"\s*#", r["t"])) and r["java"] == bool(re.match(r"\s*(//|/\*|\*)", r["t"])), r
+
+
+def test_text_facts_are_those_of_the_column_functions(files):
+    """What the workers tell from lines and words is what the column functions tell, on odd texts too."""
+    odd = [
+        "", "\n", "a\r\nb\rc\x0bd\x0ce\x1cf\x85g\u2028h\u2029", "  # x\n\u3000# y\n#\n\u00a0// z\n/* a\n * b\n",
+        "to\u017fend\nTODO\nmi todo el dia\nxtodo todo_ \u00e9todo todo\u00e9 FIXME", "api_\u212aey = 'abcdefg'\nAPI-KEY: \"1234567\"\nsecret = 'short'\npa\u017f\u017fword = 'longenough'",
+        "\u0130f \u0131f if iff _if if_ \u00e9if if\u00e9 if(for)while:switch;catch case", "a ? b : c\na? b:c\na?b\nx&&y x && y x&&&&y ||z a||b a?  c a??b",
+        "select 1 + f'x' from t\nDELETE %s WHERE\nselect from", "except:\nexcept : pass\nexcept Exception as e:\nexcept X: return  None\nexcept:\u00a0\n",
+        "HTTP://a\nhttp://\u212a\nhttp:// x\nopen(p, 'w')\nOpen (p,\"W+\")\nFileWriter(x", "if user == 'root'\npassword ==x\nrequest.args input( request.forms",
+        "a?.b !== null != null typeof x !== 'undefined' typeof  y!=\"undefined\"\nconsole.warn(1) xconsole.log(2) logger.x",
+        "  " + "y" * 300 + " # TODO", "def f(:\n  eval (x) new Function(y) xeval(z) exec(md5(sha1 (hashlib.md5(", "\U0001f600 todo \U0001f600" * 99,
+    ]
+    names = ["a.py", "a.js", "a.ts", "a.java", "a.txt"]
+    frame = files({"s": {f"{n}/{name}": content for n, content in enumerate(odd) for name in names}})
+    made = plan.file_facts(frame)
+    lang, content, split = F.col("language"), F.col("content"), text.split_lines(F.col("content"))
+    script = lang.isin("javascript", "typescript")
+    plain = frame.withColumn("language", text.language(F.col("file_path"))).select(
+        "file_path", text.count_lines(content).alias("lines"), text.comment_lines(lang, split).alias("comment_lines"), text.line_at(split, 1).alias("first_line"),
+        metrics.text_complexity(lang, content).alias("text_complexity"), (script & rules.js_has_logging(content)).alias("js_logging"),
+        F.when(script, rules.null_check_count(content)).otherwise(0).alias("js_null_checks"), line_rules.line_hits(content).alias("line_hits"),
+    )
+    columns = [c for c in plain.columns if c != "text_complexity"]
+    assert made.select(columns).sort("file_path").collect() == plain.select(columns).sort("file_path").collect()
+    # a file that was parsed has a number of its own
+    words = made.join(plain.select("file_path", F.col("text_complexity").alias("want")), "file_path")
+    assert words.where("py IS NULL AND NOT text_complexity <=> want OR py IS NOT NULL AND text_complexity IS NOT NULL").count() == 0
+    assert made.selectExpr("sum(size(line_hits)) AS n").first().n > 100
+
+
+def test_lines_are_not_gone_through_by_column_functions(files, capsys):
+    """Column functions over the elements of an array are interpreted one by one: the pass over texts is free of them."""
+    plan.file_facts(files({"s": {"a.py": "x = 1"}})).explain("extended")
+    assert "lambda" not in capsys.readouterr().out
