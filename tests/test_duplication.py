@@ -68,6 +68,22 @@ def test_blocks_equal_model(files, seed):
     assert want and {(r.scan_id, r.fp, r.file_path, r.line, r.other_path, r.other_line) for r in got} == want
 
 
+def test_own_blocks_are_those_of_the_column_functions(files, monkeypatch, capsys):
+    """Blocks come out of the workers in batches of any size, are those of `fingerprints`, and lines are not gone through by column functions."""
+    monkeypatch.setattr(duplication, "PLACES_AT_ONCE", 5)
+    odd = "\r\n".join(["x = 1 # y", "\u3000z\u00a0 =\t\u00e9", "", "// only", "a\x0bb", "http://c", "\U0001f600 " * 9, "short"] * 3)
+    tree = {"a.py": odd, "b.py": "", "c.py": odd + "\n" + "tail " * 9, "d.py": "\n".join("ab" for _ in range(30)), **random_tree(5, vocabulary=6)}
+    frame = files({"s": tree, "t": {"n.py": None}})
+    capsys.readouterr()
+    duplication.duplicate_blocks(frame).explain("extended")
+    assert "lambda" not in capsys.readouterr().out
+    want = defaultdict(list)
+    for r in duplication.shingles(frame.where("content IS NOT NULL")).sort("idx").collect():
+        want[r.file_path, r.fp].append(r.idx)
+    got = {(r.file_path, r.fp.hex()): [n for n in (r.first_idx, r.second_idx) if n is not None] for r in duplication.own_blocks(frame).collect()}
+    assert len(got) > 30 and got == {key: places[:2] for key, places in want.items()}
+
+
 def test_first_two_places_may_be_in_one_file(files):
     lines = "\n".join(f"value_{n} = {n}" for n in range(6))
     rows = duplication.duplicate_blocks(files({"s": {"a.py": lines + "\n" + lines, "b.py": lines}, "t": {"a.py": lines + "\n" + lines}})).collect()
