@@ -222,3 +222,16 @@ def test_lines_are_not_gone_through_by_column_functions(files, capsys):
     """Column functions over the elements of an array are interpreted one by one: the pass over texts is free of them."""
     plan.file_facts(files({"s": {"a.py": "x = 1"}})).explain("extended")
     assert "lambda" not in capsys.readouterr().out
+
+
+def test_signs_of_a_text_are_told_by_the_workers_as_by_the_column_functions(files, capsys):
+    odd = ["", "JWT", "OAuth authentiçation", "verify_ID_token", "x firebase_admin.auth", "authorizİe", "CORS allow_origins=['*']", 'allow_origins=["*"]cors', "cors allow_origins=[]",
+           "debug = True", "DEBUG =\x1ctrue", "xdebug=true", "debug=trueé", "Debug = truE; _debug=true", "édebug=true", "request.args", "Request.Json schema", "input(x) BaseModel", "İnput( ınput(",
+           "input( zod", "requeſt.form", "pyTest", "unittest test", "log logger", "LOGGING", "tests logg", "Koauth", "\U0001f600 debug=true \U0001f600"]
+    frame = files({"s": {f"{n}.{suffix}": content for n, content in enumerate(odd) for suffix in ("py", "js", "txt")}})
+    names = ["file_path", *metrics.text_signs(F.col("content"))]
+    made = plan.file_facts(frame)
+    assert made.select(names).sort("file_path").collect() == metrics.profile(frame).select(names).sort("file_path").collect()
+    assert all(made.where(name).count() > 0 for name in names[1:])
+    made.explain("extended")
+    assert "Contains(lower(" not in (shown := capsys.readouterr().out) and "lower(content" not in shown

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditspark import dims
+from auditspark.functions import text
 from auditspark.operators import history, issues, line_rules, metrics, project, reports, scores
 from auditspark.plans import scan as plan
 from auditspark.sources import files as sources, json_lists
@@ -250,3 +251,12 @@ def test_an_exported_scan_is_spread_whatever_its_numbers_are(spark, tmp_path):
     read = reports.read_export(spark, str(tmp_path / "out"))
     sizes = [len(file.read_text().splitlines()) for file in (tmp_path / "out/data").rglob("part-*")]
     assert read.count() == read.distinct().count() == sum(sizes) == 4000 and max(sizes) <= 500
+
+
+def test_suffixes_asked_for_are_put_in_order_once_and_not_for_each_row(spark, files):
+    asked = [" .PY", "js", "", " Txt\x1f", ".py", "..x", ".", "İ", None]
+    column = spark.range(1).select(text.normalize_extensions(F.array(*[F.lit(a).cast("string") for a in asked])).alias("e")).first().e
+    assert text.normalized_extensions(asked) == column
+    marked = sources.mark_source_files(files({"s": {"a.py": "x", "b.JS": "x", "c.txt": "x", "d.x": "x", "e": "x"}}), asked)
+    assert {r.file_path: r.selected for r in marked.collect()} == {"a.py": True, "b.JS": True, "c.txt": True, "d.x": False, "e": False}
+    assert "lambda" not in marked._jdf.queryExecution().optimizedPlan().toString()
