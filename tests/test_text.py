@@ -130,3 +130,11 @@ def test_maintainability(spark):
 def test_list_field(spark):
     values = ['["a", " b ", ""]', "a, b,,", "[broken", None, "  ", "[]"]
     assert column(spark, values, text.parse_list(F.col("v"))) == [["a", "b"], ["a", "b"], ["[broken"], [], [], []]
+
+
+def test_stripping_looks_at_the_ends_of_a_text_only(spark):
+    spaces = [chr(i) for i in range(0x3100) if chr(i).isspace()]
+    texts = ["", " ", "".join(spaces), "a b", *[f"{c}{d}x {c}y{d}{c}" for c in map(chr, [*range(1, 0x100), *range(0x1680, 0x1690), *range(0x180B, 0x1810), *range(0x2000, 0x2070), 0x3000, 0xFEFF]) for d in ("", " ", "\u2003")]]
+    made = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.strip(F.col("t")).alias("s"))
+    assert all(r.s == r.t.strip() for r in made.collect())
+    assert "regexp" not in made._jdf.queryExecution().optimizedPlan().toString()
