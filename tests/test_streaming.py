@@ -247,3 +247,18 @@ def test_only_answers_that_met_their_issue_are_parsed(spark, tmp_path):
     out = reviews.reviewed(issues, answers)
     plan = out._jdf.queryExecution().analyzed().toString()
     assert "raw" in out.columns and "from_json" not in plan[plan.index("Join LeftOuter"):] and "from_json" in plan
+
+
+def test_state_of_answers_is_kept_on_disk(spark, tmp_path):
+    texts = [f"'old' {key}" for key in dims.ANSWER_KEYS]
+    start = "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, id)"
+    spark.range(200).selectExpr("'s' scan_id", "id issue_seq", f"{start} sent_at", "'code' code_snippet", *texts).write.parquet(str(tmp_path / "issues"))
+    spark.range(200).selectExpr("'s' scan_id", "id issue_seq", f"{start} answered_at", """'{"severity": "low"}' raw""").write.parquet(str(tmp_path / "answers"))
+    streams = [spark.readStream.schema(spark.read.parquet(str(tmp_path / name)).schema).parquet(str(tmp_path / name)) for name in ("issues", "answers")]
+    writer = reviews.reviewed(*streams).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log"))
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).where("answered and severity = 'low'").count() == 200
+    operators = [o for progress in query.recentProgress for o in progress["stateOperators"]]
+    assert {o["operatorName"] for o in operators} == {"symmetricHashJoin", "dedupeWithinWatermark"}
+    assert all(any(name.startswith("rocksdb") for name in o["customMetrics"]) for o in operators)
