@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,7 +78,7 @@ def status_of(statuses: DataFrame, user: str | None = None, scan_id=None) -> Dat
 
 
 def next_state(state: dict | None, op: str, progress, error) -> dict | None:
-    """The status after one event; None while the scan has not been created."""
+    """The status after one event; None while the scan has not been created. ``folded`` is held against this."""
     if op == "create":
         return {"status": "queued", "progress": 0, "error": None}
     if state is None or (op == "progress" and state["status"] in CLOSING):
@@ -92,69 +94,154 @@ def next_state(state: dict | None, op: str, progress, error) -> dict | None:
 
 
 STATUS_SCHEMA = "scan_id string, status string, progress int, error string, last_seq bigint"
-STATE_SCHEMA = (
-    "status string, progress int, error string, last_seq bigint, newest_at bigint, "
-    "seqs array<bigint>, times array<bigint>, ops array<string>, progresses array<int>, errors array<string>"
-)
-COLUMNS = ["scan_id", "status", "progress", "error", "last_seq"]
-EVENT_COLUMNS = ["seq", "t", "op", "progress", "error"]
+STATE_SCHEMA = "known binary, waiting binary"
 #: seconds that a closed scan is remembered after its last event, in case it is restarted, and one that was left open
 REMEMBERED, ABANDONED = 7 * 24 * 3600, 30 * 24 * 3600
+#: scans are kept in this many groups by a hash, each of them one state and one Python call in a batch
+BUCKETS = 4096
+
+# Operations and statuses are numbers in the order of STATUS_AFTER; UNKNOWN stands for any other operation, NONE for a scan without a create event.
+OPS, STATUSES = list(STATUS_AFTER), list(dict.fromkeys(STATUS_AFTER.values()))
+CREATE, PROGRESS, COMPLETED, FAILED = (OPS.index(op) for op in ("create", "progress", "completed", "failed"))
+UNKNOWN, NONE, FIRST = -1, -1, np.iinfo("int64").min
+AFTER = np.array([STATUSES.index(status) for status in STATUS_AFTER.values()], "int8")
+#: of each scan its settled status, the number of its last settled event and the latest time of these
+KNOWN = pa.schema([("scan_id", pa.large_string()), ("status", pa.int8()), ("progress", pa.int32()), ("error", pa.large_string()),
+                   ("last_seq", pa.int64()), ("newest_at", pa.int64())])
+#: events that the watermark has not passed; ``scan`` is a row of the known scans
+WAITING = pa.schema([("scan", pa.int32()), ("seq", pa.int64()), ("t", pa.int64()), ("op", pa.int8()), ("progress", pa.int32()), ("error", pa.large_string())])
+
+
+def folded(now: tuple, scan: np.ndarray, op: np.ndarray, progress: np.ndarray, fault: np.ndarray) -> tuple:
+    """``next_state`` over the events of many scans at once: status, progress and number of the error of each scan.
+
+    Events are in the order of scan and ``seq``; ``now`` holds the three arrays as they are before. Where an index
+    repeats, numpy's assignment leaves the last value, so that the last event of a scan decides.
+    """
+    status, percent, error = (values.copy() for values in now)
+    place = np.arange(len(scan))
+    begin = np.maximum.accumulate(np.where(np.diff(scan, prepend=-1) != 0, place, 0))
+    closing, closed = [OPS.index(o) for o in CLOSING], [STATUSES.index(STATUS_AFTER[o]) for o in CLOSING]
+    gate = np.maximum.accumulate(np.where(op != PROGRESS, place, -1))
+    gate = np.concatenate([[-1], gate[:-1]])[: len(place)]
+    shut = np.where(gate >= begin, np.isin(op[gate], closing), np.isin(status[scan], closed))
+    created = (status[scan] != NONE) | (np.maximum.accumulate(np.where(op == CREATE, place, -1)) >= begin)
+    counted = created & ~((op == PROGRESS) & shut)
+    if (op[counted] == UNKNOWN).any():
+        raise ValueError("an event of a created scan has an unknown operation")
+
+    def put(values: np.ndarray, test: np.ndarray, new: np.ndarray) -> None:
+        values[scan[test]] = new[test]
+
+    put(status, counted, AFTER[op])
+    put(percent, counted & np.isin(op, [CREATE, PROGRESS, COMPLETED]), np.select([op == CREATE, op == COMPLETED], [0, 100], progress))
+    put(error, counted & np.isin(op, [CREATE, FAILED]), np.where(op == CREATE, -1, fault))
+    return status, percent, error
+
+
+def _unpacked(packed, schema: pa.Schema) -> list[pa.Array]:
+    return pa.ipc.read_record_batch(pa.py_buffer(packed), schema).columns
+
+
+def _packed(columns: list, schema: pa.Schema) -> bytes:
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)]
+    return pa.record_batch(arrays, schema=schema).serialize().to_pybytes()
+
 
+def _joined(parts: list, kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays([pa.array(part, kind, from_pandas=True) if not isinstance(part, pa.Array) else part for part in parts] or [pa.array([], kind)])
 
-def status_stream(events: DataFrame, lateness: str = "10 minutes", remembered: int = REMEMBERED, abandoned: int = ABANDONED) -> DataFrame:
+
+def _taken(texts: pa.Array, numbers: np.ndarray) -> pa.Array:
+    return texts.take(pa.array(numbers, pa.int64(), mask=numbers < 0))
+
+
+def status_stream(events: DataFrame, lateness: str = "10 minutes", remembered: int = REMEMBERED, abandoned: int = ABANDONED, buckets: int = BUCKETS) -> DataFrame:
     """The same fold on a stream, in update mode.
 
     Events of a scan may come in any order within ``lateness``. Those that the watermark has not passed are kept and
     folded anew in each batch, so that every status shown takes in all events so far in the order of ``seq``; what the
     watermark has passed is settled, and an event older than that is dropped. State goes ``remembered`` seconds after
     the last event of a closed scan and ``abandoned`` seconds after that of an open one, so that every scan's state ends; it is
-    never kept for events without a create event that are settled.
+    never kept for events without a create event that are settled. Scans are folded by groups, as a Python call costs
+    far more than the events of one scan; ``buckets`` is part of the state and stays for the life of a stream.
     """
 
-    def fold(now, waiting):
-        for event in waiting:
-            now = next_state(now, event[2], event[3], event[4])
-        return now
-
     def step(key, frames, state: GroupState):
-        now, last, newest_at, waiting = None, -1, 0, []
+        mark = state.getCurrentWatermarkMs() * 1000
+        known = [pa.array([], f.type) for f in KNOWN]
+        waiting = [pa.array([], f.type) for f in WAITING]
         if state.exists:
-            status, progress, error, last, newest_at, *columns = state.get
-            now = None if status is None else {"status": status, "progress": progress, "error": error}
-            waiting = list(zip(*columns))
+            known, waiting = (_unpacked(packed, schema) for packed, schema in zip(state.get, (KNOWN, WAITING)))
+        parts = [] if state.hasTimedOut else list(frames)
+        new = {c: _joined([part[c] for part in parts], WAITING.field(c).type) for c in WAITING.names[1:]}
+        if new["seq"].null_count or new["t"].null_count:
+            raise ValueError("an event without a number or a time has no place in the order")
+
+        # scans are rows of the known ones, followed by those met for the first time
+        ids = pa.concat_arrays([known[0], _joined([part["scan_id"] for part in parts], pa.large_string())]).dictionary_encode("encode")
+        old, scans = len(known[0]), len(ids.dictionary)
+        more = scans - old
+        status, percent, last, newest_at = (
+            np.concatenate([known[n].to_numpy(), np.full(more, blank, known[n].to_numpy().dtype)]) for n, blank in ((1, NONE), (2, 0), (4, FIRST), (5, 0))
+        )
+        arrived = ids.indices.to_numpy()[old:]
+        # errors are numbers of texts: those of known scans, of waiting events and of new ones
+        texts = pa.concat_arrays([known[3], waiting[5], new["error"]])
+        error = np.concatenate([np.arange(old), np.full(more, -1)])
+
+        scan = np.concatenate([waiting[0].to_numpy(), arrived])
+        seq, t, op, progress = (np.concatenate([waiting[n].to_numpy(), new[c].to_numpy()]) for n, c in enumerate(WAITING.names[1:5], 1))
+        fault = np.arange(old, old + len(scan))
+        order = np.lexsort((seq, scan))
+        order = order[seq[order] > last[scan[order]]]
+        scan, seq, t, op, progress, fault = (values[order] for values in (scan, seq, t, op, progress, fault))
+        now = status, percent, error
+
         if not state.hasTimedOut:
-            for frame in frames:
-                plain = ([None if x is None or x != x else x for x in frame[c].tolist()] for c in EVENT_COLUMNS)
-                waiting += [r for r in zip(*plain) if r[0] > last]
-        waiting.sort(key=lambda r: r[0])
-        mark = state.getCurrentWatermarkMs() * 1000
-        settled = 0
-        while settled < len(waiting) and waiting[settled][1] <= mark:
-            settled += 1
-        shown = fold(now, waiting)
-        newest = waiting[-1][0] if waiting else last
-        now, passed, waiting = fold(now, waiting[:settled]), waiting[:settled], waiting[settled:]
-        last = passed[-1][0] if passed else last
-        newest_at = max([newest_at, *(r[1] for r in passed)])
-        forgotten_at = newest_at + (remembered if now and now["status"] in CLOSING else abandoned) * 1_000_000
-        done = not waiting and (now is None or forgotten_at <= mark)
-        if done:
+            shown, newest = folded(now, scan, op, progress, fault), last.copy()
+            newest[scan] = seq
+            seen = np.unique(arrived)
+            seen = seen[shown[0][seen] != NONE]
+            if len(seen):
+                yield pd.DataFrame({
+                    "scan_id": ids.dictionary.take(pa.array(seen)).to_pandas(), "status": np.array(STATUSES, object)[shown[0][seen]],
+                    "progress": shown[1][seen], "error": _taken(texts, shown[2][seen]).to_pandas(), "last_seq": newest[seen],
+                })
+
+        # a scan's events are settled in their order, up to the first that the watermark has not passed
+        place, ahead = np.arange(len(scan)), np.full(scans, len(scan))
+        np.minimum.at(ahead, scan[t > mark], place[t > mark])
+        past = place < ahead[scan]
+        status, percent, error = folded(now, *(values[past] for values in (scan, op, progress, fault)))
+        last[scan[past]] = seq[past]
+        np.maximum.at(newest_at, scan[past], t[past])
+
+        forgotten_at = newest_at + np.where(np.isin(status, [STATUSES.index(STATUS_AFTER[o]) for o in CLOSING]), remembered, abandoned) * 1_000_000
+        open_events = ahead < len(scan)
+        kept = open_events | ((status != NONE) & (forgotten_at > mark))
+        if not kept.any():
             if state.exists:
                 state.remove()
-        else:
-            kept = (now["status"], now["progress"], now["error"]) if now else (None, None, None)
-            columns = [list(c) for c in zip(*waiting)] or [[] for _ in range(5)]
-            state.update((*kept, last, newest_at, *columns))
-            wake = waiting[0][1] if waiting else forgotten_at
-            state.setTimeoutTimestamp(max(wake, mark) // 1000 + 1)
-        if shown is not None and not state.hasTimedOut:
-            yield pd.DataFrame([(key[0], shown["status"], shown["progress"], shown["error"], newest)], columns=COLUMNS)
+            return
+        wake = forgotten_at
+        wake[open_events] = t[ahead[open_events]]
+        rows = pa.array(np.flatnonzero(kept))
+        held = [ids.dictionary.take(rows), status[kept], percent[kept], _taken(texts, error[kept]), last[kept], newest_at[kept]]
+        later = [(np.cumsum(kept) - 1)[scan[~past]], seq[~past], t[~past], op[~past], progress[~past], _taken(texts, fault[~past])]
+        state.update((_packed(held, KNOWN), _packed(later, WAITING)))
+        state.setTimeoutTimestamp(int(max(wake[kept].min(), mark)) // 1000 + 1)
 
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    op, number = F.col("op"), F.lit(UNKNOWN)
+    for n, name in enumerate(OPS):
+        number = F.when(op == name, n).otherwise(number)
+    error = F.when(op == "failed", F.left(F.col("error").cast("string"), F.lit(ERROR_CHARS)))
+    scan_id = F.col("scan_id").cast("string")
     shaped = timed.select(
-        F.col("scan_id").cast("string").alias("scan_id"), "seq", "op", "progress", "error", "ts", F.unix_micros("ts").alias("t")
+        F.pmod(F.xxhash64(scan_id), F.lit(buckets)).alias("bucket"), scan_id.alias("scan_id"), F.col("seq").cast("long").alias("seq"), number.cast("byte").alias("op"),
+        clamp(F.col("progress")).cast("int").alias("progress"), error.alias("error"), "ts", F.unix_micros("ts").alias("t"),
     ).withWatermark("ts", lateness)
-    return shaped.groupBy("scan_id").applyInPandasWithState(
+    return shaped.groupBy("bucket").applyInPandasWithState(
         step, STATUS_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout
     )

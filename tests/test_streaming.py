@@ -2,6 +2,7 @@ import random
 from collections import defaultdict, deque
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +169,42 @@ def test_status_stream_of_many_shuffled_events_equals_the_fold(spark, tmp_path):
     assert len(log) == 60_000 and latest == want
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_folding_many_scans_at_once_equals_one_event_at_a_time(seed):
+    rng = random.Random(seed)
+    scans = [None, *({"status": s, "progress": 7, "error": "old"} for s in status.STATUSES)] * 12
+    ops = status.OPS + (["progress"] * 4 if seed % 2 else [])
+    events = sorted(((rng.randrange(len(scans)), rng.choice(ops), rng.randint(-20, 130)) for _ in range(200 * seed)), key=lambda e: e[0])
+    now = [(-1, 0, 0) if s is None else (status.STATUSES.index(s["status"]), 7, 0) for s in scans]
+    columns = [np.array([e[0] for e in events], int), np.array([status.OPS.index(e[1]) for e in events], int), np.array([max(0, min(100, e[2])) for e in events], int)]
+    got = status.folded(tuple(np.array(c) for c in zip(*now)), *columns, np.arange(1, len(events) + 1))
+    for n, (scan, op, progress) in enumerate(events, 1):
+        scans[scan] = status.next_state(scans[scan], op, progress, str(n))
+    for scan, code, progress, error in zip(scans, *got):
+        want = None if scan is None else (scan["status"], scan["progress"], scan["error"])
+        assert (None if code < 0 else (status.STATUSES[code], progress, {0: "old", -1: None}.get(error, str(error)))) == want
+
+
+def test_scans_share_one_state_and_one_call_by_buckets(spark, tmp_path):
+    log = [(scan, seq, op, progress, None if seq % 5 == 0 else f"\u00e4\u4e2d{seq}") for scan, seq, op, progress, _ in random_log(11, 900)]
+    mixed = sorted(timed(log), key=lambda e: random.Random(e[1]).random() * 40 + e[1] // 80 * 80)
+    latest, sizes = run_status(spark, (mixed[:300], mixed[300:301], mixed[301:]), tmp_path, buckets=7)
+    assert latest == model_status(log) and max(sizes) == 7 < len(latest)
+
+
+def test_unknown_operations_fail_and_scans_without_a_name_are_one(spark, tmp_path):
+    start = spark.createDataFrame(timed([(None, 1, "create", 0, None), (None, 2, "failed", 0, "e" * 2000), (4, 3, "pause", 0, None)]), TIMED_LOG)
+    start.write.parquet(str(tmp_path / "in"))
+    got, read = [], lambda: spark.readStream.schema(TIMED_LOG).parquet(str(tmp_path / "in"))
+    run = lambda: status.status_stream(read()).writeStream.outputMode("update").foreachBatch(lambda b, _: got.extend(b.collect())).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    run()
+    assert [tuple(r) for r in got] == [(None, "failed", 0, "e" * 1200, 2)]
+    spark.createDataFrame(timed([(4, 2, "create", 0, None)]), TIMED_LOG).write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="unknown operation"):
+        run()
+
+
 def test_state_of_closed_scans_goes(spark, tmp_path):
     log = [(s, 2 * s, "create", 0, None) for s in range(20)] + [(s, 2 * s + 1, "completed" if s % 2 else "failed", 0, "e") for s in range(20)]
     late = [(99, 10**6, "progress", 1, None)]
