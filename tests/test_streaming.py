@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict, deque
+from contextlib import nullcontext
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditspark import dims
+from auditspark.session import uncounted
 from auditspark.streaming import incremental, reviews, status, throttle
 
 START = datetime(2024, 1, 1)
@@ -299,3 +301,17 @@ def test_state_of_answers_is_kept_on_disk(spark, tmp_path):
     operators = [o for progress in query.recentProgress for o in progress["stateOperators"]]
     assert {o["operatorName"] for o in operators} == {"symmetricHashJoin", "dedupeWithinWatermark"}
     assert all(any(name.startswith("rocksdb") for name in o["customMetrics"]) for o in operators)
+
+
+def test_streams_started_uncounted_count_no_state_rows(spark, tmp_path):
+    key, sizes = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", []
+    frame(spark, random_events(1, 50)).write.parquet(str(tmp_path / "in"))
+    for n, scope in enumerate((nullcontext(), uncounted(spark))):
+        stream = spark.readStream.schema("event_id bigint, user_key string, ts timestamp_ntz").parquet(str(tmp_path / "in"))
+        writer = throttle.throttle_stream(stream, 3, 60, "10 seconds").writeStream.format("noop").option("checkpointLocation", str(tmp_path / f"cp{n}"))
+        with scope:
+            query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        assert spark.conf.get(key, "true") == "true"
+    assert sizes[0] > 0 == sizes[1]
